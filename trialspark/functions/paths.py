@@ -49,9 +49,6 @@ def _walk(parts: list[str], column: Column | None, every: bool) -> Column:
 
 # --- quotes -----------------------------------------------------------------------
 
-# Fields whose evidence value is a list: a quote must equal one element.
-LIST_FIELDS = ("phase", "interventionType", "interventionName", "country")
-
 # Flat column behind every alias that a citation can point at.
 _FLAT = {
     "nctId": "nct_id",

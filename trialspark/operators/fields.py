@@ -43,6 +43,7 @@ class FieldSpec:
     """
 
     alias: str
+    path: str
     mode: str
     columns: tuple[str, ...]
     key: Callable[[], Column]
@@ -54,14 +55,7 @@ class FieldSpec:
     matched: Callable[[Column], Column] | None = None
     tokens: Callable[[Column], Column] = _no_tokens
     known_tokens: tuple[str, ...] | None = None
-
-    @property
-    def path(self) -> str:
-        return fixed.FIELD_PATHS[self.alias]
-
-    @property
-    def is_list(self) -> bool:
-        return self.alias in ("phase", "interventionType", "country")
+    is_list: bool = False
 
 
 def _one(column: str) -> Column:
@@ -99,6 +93,7 @@ def _phase_tokens(value: Column) -> Column:
 def _scalar(alias: str, column: str, label, known: tuple[str, ...]) -> FieldSpec:
     return FieldSpec(
         alias=alias,
+        path=fixed.FIELD_PATHS[alias],
         mode="combine",
         columns=(column,),
         key=lambda: F.coalesce(_one(column), F.lit(fixed.UNKNOWN)),
@@ -112,6 +107,8 @@ def _scalar(alias: str, column: str, label, known: tuple[str, ...]) -> FieldSpec
 FIELDS: dict[str, FieldSpec] = {
     "phase": FieldSpec(
         alias="phase",
+        path=fixed.FIELD_PATHS["phase"],
+        is_list=True,
         mode="combine",
         columns=("phases",),
         key=lambda: phases.phase_key(F.col("phases")),
@@ -125,6 +122,8 @@ FIELDS: dict[str, FieldSpec] = {
     "sponsorClass": _scalar("sponsorClass", "sponsor_class", names.title_case, fixed.SPONSOR_CLASS_TOKENS),
     "interventionType": FieldSpec(
         alias="interventionType",
+        path=fixed.FIELD_PATHS["interventionType"],
+        is_list=True,
         mode="explode",
         columns=("interventions",),
         key=lambda: _or_unknown(_types()),
@@ -135,6 +134,8 @@ FIELDS: dict[str, FieldSpec] = {
     ),
     "country": FieldSpec(
         alias="country",
+        path=fixed.FIELD_PATHS["country"],
+        is_list=True,
         mode="explode",
         columns=("countries_raw",),
         key=lambda: _or_unknown(_countries()),
@@ -165,6 +166,7 @@ def date_spec(date_field: str) -> FieldSpec:
     column = fixed.DATE_COLUMNS[date_field]
     return FieldSpec(
         alias=date_field,
+        path=fixed.FIELD_PATHS[date_field],
         mode="combine",
         columns=(column,),
         key=lambda: F.col(column),

@@ -35,9 +35,9 @@ def duration_histogram(
     start_column = spec.columns[0]
     wanted = _also(spec, end_column)
     rows = keyed_rows(trials, wanted, (), unique_ids, order_column)
-    months = duration_months(F.col(start_column), F.col(end_column))
-    # The label stands for the bin: one bucket per label, -1 for the undated.
-    rows = rows.withColumn("bin", F.coalesce(bin_index(months, edges), F.lit(-1)))
+    rows = rows.withColumn("months", duration_months(F.col(start_column), F.col(end_column)))
+    # Bins go by position; -1 collects the undated.
+    rows = rows.withColumn("bin", F.coalesce(bin_index(F.col("months"), edges), F.lit(-1)))
     counts = rows.groupBy("bin").agg(F.count("nct_id").alias("n"))
 
     table = F.array(

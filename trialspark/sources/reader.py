@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from trialspark import fixed_values as fixed
-from trialspark.sources.schema import INTERVENTION_DDL, LENIENT_STUDY, STUDY
+from trialspark.sources.schema import INTERVENTION, LENIENT_STUDY, STUDY
 
 _SECTION = "protocolSection"
 
@@ -65,7 +65,7 @@ def _interventions(items: Column) -> Column:
             i["name"].alias("name"),
             _text_list(i["otherNames"]).alias("otherNames"),
         ),
-    ).cast(f"array<{INTERVENTION_DDL}>")
+    ).cast(T.ArrayType(INTERVENTION))
 
 
 def _locations(items: Column) -> Column:

@@ -4,98 +4,114 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+STRING, LONG, DOUBLE, BOOLEAN = T.StringType(), T.LongType(), T.DoubleType(), T.BooleanType()
+STRINGS = T.ArrayType(STRING)
 
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
 
+def struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
 
-# The study record as published: one nested document per trial.
-STUDY = _struct(
-    """
-    protocolSection STRUCT<
-      identificationModule STRUCT<nctId STRING, briefTitle STRING>,
-      designModule STRUCT<phases ARRAY<STRING>, studyType STRING>,
-      statusModule STRUCT<
-        overallStatus STRING,
-        startDateStruct STRUCT<date STRING>,
-        primaryCompletionDateStruct STRUCT<date STRING>,
-        completionDateStruct STRUCT<date STRING>,
-        studyFirstPostDateStruct STRUCT<date STRING>,
-        lastUpdatePostDateStruct STRUCT<date STRING>>,
-      sponsorCollaboratorsModule STRUCT<leadSponsor STRUCT<name STRING, class STRING>>,
-      armsInterventionsModule STRUCT<
-        interventions ARRAY<STRUCT<type STRING, name STRING, otherNames ARRAY<STRING>>>>,
-      conditionsModule STRUCT<conditions ARRAY<STRING>>,
-      contactsLocationsModule STRUCT<locations ARRAY<STRUCT<country STRING>>>
-    >
-    """
-)
 
-# The same record with the fields registries fill inconsistently left as JSON
-# text, so that one bad element does not void its whole array.
-LENIENT_STUDY = _struct(
-    """
-    protocolSection STRUCT<
-      identificationModule STRUCT<nctId STRING, briefTitle STRING>,
-      designModule STRUCT<phases STRING, studyType STRING>,
-      statusModule STRUCT<
-        overallStatus STRING,
-        startDateStruct STRUCT<date STRING>,
-        primaryCompletionDateStruct STRUCT<date STRING>,
-        completionDateStruct STRUCT<date STRING>,
-        studyFirstPostDateStruct STRUCT<date STRING>,
-        lastUpdatePostDateStruct STRUCT<date STRING>>,
-      sponsorCollaboratorsModule STRUCT<leadSponsor STRUCT<name STRING, class STRING>>,
-      armsInterventionsModule STRUCT<interventions ARRAY<STRING>>,
-      conditionsModule STRUCT<conditions ARRAY<STRING>>,
-      contactsLocationsModule STRUCT<locations ARRAY<STRING>>
-    >
-    """
-)
+INTERVENTION = struct(type=STRING, name=STRING, otherNames=STRINGS)
+
+
+def _study(phases: T.DataType, intervention: T.DataType, location: T.DataType) -> T.StructType:
+    date = struct(date=STRING)
+    return struct(
+        protocolSection=struct(
+            identificationModule=struct(nctId=STRING, briefTitle=STRING),
+            designModule=struct(phases=phases, studyType=STRING),
+            statusModule=struct(
+                overallStatus=STRING,
+                startDateStruct=date,
+                primaryCompletionDateStruct=date,
+                completionDateStruct=date,
+                studyFirstPostDateStruct=date,
+                lastUpdatePostDateStruct=date,
+            ),
+            sponsorCollaboratorsModule=struct(leadSponsor=struct(name=STRING, **{"class": STRING})),
+            armsInterventionsModule=struct(interventions=T.ArrayType(intervention)),
+            conditionsModule=struct(conditions=STRINGS),
+            contactsLocationsModule=struct(locations=T.ArrayType(location)),
+        )
+    )
+
+
+# The study record as published: one nested document per trial.
+STUDY = _study(STRINGS, INTERVENTION, struct(country=STRING))
 
-INTERVENTION_DDL = "struct<type:string,name:string,otherNames:array<string>>"
+# The same record with the lists registries fill inconsistently left as JSON
+# text, so that one bad element does not void its whole list.
+LENIENT_STUDY = _study(STRING, STRING, STRING)
 
 # The flat working form every operator takes.
-TRIALS = _struct(
-    f"""
-    nct_id STRING, brief_title STRING, phases ARRAY<STRING>, study_type STRING,
-    overall_status STRING, start_date STRING, primary_completion_date STRING,
-    completion_date STRING, first_post_date STRING, last_update_date STRING,
-    sponsor_name STRING, sponsor_class STRING, interventions ARRAY<{INTERVENTION_DDL}>,
-    countries_raw ARRAY<STRING>, conditions ARRAY<STRING>
-    """
+TRIALS = struct(
+    nct_id=STRING,
+    brief_title=STRING,
+    phases=STRINGS,
+    study_type=STRING,
+    overall_status=STRING,
+    start_date=STRING,
+    primary_completion_date=STRING,
+    completion_date=STRING,
+    first_post_date=STRING,
+    last_update_date=STRING,
+    sponsor_name=STRING,
+    sponsor_class=STRING,
+    interventions=T.ArrayType(INTERVENTION),
+    countries_raw=STRINGS,
+    conditions=STRINGS,
 )
 
-CITATION = _struct(
-    "nct_id STRING, excerpt STRING, field_path STRING, value ARRAY<STRING>, is_array BOOLEAN, "
-    "matched_value STRING, matched_tokens ARRAY<STRING>"
+CITATION = struct(
+    nct_id=STRING,
+    excerpt=STRING,
+    field_path=STRING,
+    value=STRINGS,
+    is_array=BOOLEAN,
+    matched_value=STRING,
+    matched_tokens=STRINGS,
 )
 
 # One chart row, whatever the chart. Operators that do not use a channel leave
 # it null, so all results share this contract.
-RESULT_ROW = T.StructType(
-    _struct(
-        "value STRING, label STRING, period STRING, series STRING, bin_start DOUBLE, "
-        "bin_end DOUBLE, count_trials BIGINT, count_mentions BIGINT, percent DOUBLE, "
-        "planned BOOLEAN, partial_year BOOLEAN, source_ids ARRAY<STRING>"
-    ).fields
-    + [T.StructField("citations", T.ArrayType(CITATION))]
-    + _struct(
-        "citations_truncated BOOLEAN, contributing_count BIGINT, derived BOOLEAN, "
-        "members ARRAY<STRING>"
-    ).fields
+RESULT_ROW = struct(
+    value=STRING,
+    label=STRING,
+    period=STRING,
+    series=STRING,
+    bin_start=DOUBLE,
+    bin_end=DOUBLE,
+    count_trials=LONG,
+    count_mentions=LONG,
+    percent=DOUBLE,
+    planned=BOOLEAN,
+    partial_year=BOOLEAN,
+    source_ids=STRINGS,
+    citations=T.ArrayType(CITATION),
+    citations_truncated=BOOLEAN,
+    contributing_count=LONG,
+    derived=BOOLEAN,
+    members=STRINGS,
 )
 
-NODES = _struct("id STRING, label STRING, kind STRING, degree BIGINT")
+NODES = struct(id=STRING, label=STRING, kind=STRING, degree=LONG)
 
-EDGES = T.StructType(
-    _struct("source STRING, target STRING, weight BIGINT, source_ids ARRAY<STRING>").fields
-    + [T.StructField("citations", T.ArrayType(CITATION))]
+EDGES = struct(
+    source=STRING, target=STRING, weight=LONG, source_ids=STRINGS, citations=T.ArrayType(CITATION)
 )
 
 # One row per stored result, beside its rows (or edges).
-RESULT_META = _struct(
-    "result_id STRING, status STRING, chart_type STRING, mode STRING, count_total BIGINT, "
-    "distinct_trials BIGINT, mentions BIGINT, truncated BOOLEAN, partial BOOLEAN, "
-    "reconcile BOOLEAN, notes ARRAY<STRING>"
+RESULT_META = struct(
+    result_id=STRING,
+    status=STRING,
+    chart_type=STRING,
+    mode=STRING,
+    count_total=LONG,
+    distinct_trials=LONG,
+    mentions=LONG,
+    truncated=BOOLEAN,
+    partial=BOOLEAN,
+    reconcile=BOOLEAN,
+    notes=STRINGS,
 )
