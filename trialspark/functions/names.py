@@ -34,7 +34,7 @@ def country_label(value: Column) -> Column:
 
 def country_alias(name: Column) -> Column:
     """The canonical country behind a known spelling, null for any other text."""
-    key = F.regexp_replace(F.lower(collapse_space(name)), r"\.+\z", "")
+    key = F.rtrim(F.lower(collapse_space(name)), F.lit("."))
     return lookup(fixed.COUNTRY_ALIASES, key)
 
 
@@ -57,12 +57,14 @@ def _without_trailing(text: Column, words: tuple[str, ...]) -> Column:
 
 def _or_raw(key: Column, raw: Column) -> Column:
     """A name without a single a-z0-9 keeps its own trimmed lower-case text as key."""
-    return F.when(key != "", key).otherwise(F.lower(strip(raw)))
+    return F.coalesce(F.nullif(key, F.lit("")), F.lower(strip(raw)))
 
 
 def drug_key(name: Column) -> Column:
     """Active-ingredient key: no dose, no punctuation, no trailing salt, form or route."""
-    undosed = F.regexp_replace(F.lower(name), fixed.DOSE_PATTERN, " ")
+    low = F.lower(name)
+    has_number = low.rlike(r"(?U)\d")
+    undosed = F.when(has_number, F.regexp_replace(low, fixed.DOSE_PATTERN, " ")).otherwise(low)
     return _or_raw(_without_trailing(_words(undosed), fixed.DRUG_TRAILING_WORDS), name)
 
 
@@ -85,19 +87,15 @@ def sponsor_key(name: Column) -> Column:
 def slug(text: Column) -> Column:
     """``a-z0-9-`` form of a key; a key with none of those gets 8 digits of its md5."""
     plain = F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
-    return F.when(plain != "", plain).otherwise(F.substring(F.md5(text.cast("binary")), 1, 8))
+    hashed = F.substring(F.md5(text.cast("binary")), 1, 8)
+    return F.coalesce(F.nullif(plain, F.lit("")), hashed)
 
 
 def is_placebo(name: Column, other_names: Column) -> Column:
     """A placebo or standard-of-care marker anywhere in the name or the other names."""
-
-    def marked(text: Column) -> Column:
-        found = F.lit(False)
-        for marker in fixed.PLACEBO_MARKERS:
-            found = found | F.contains(F.lower(text), F.lit(marker))
-        return found
-
-    return marked(name) | F.coalesce(F.exists(other_names, marked), F.lit(False))
+    # A line feed keeps a marker from being found across two names.
+    text = F.lower(F.concat_ws("\n", name, other_names))
+    return text.rlike("|".join(fixed.PLACEBO_MARKERS))
 
 
 def is_combination(name: Column) -> Column:

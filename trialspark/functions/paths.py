@@ -67,9 +67,9 @@ def flat_values(alias: str) -> Column:
     if alias == "country":
         return F.coalesce(F.col("countries_raw"), F.array().cast("array<string>"))
     if alias in ("interventionType", "interventionName"):
+        # Field access on the array, not a lambda, so that the scan reads this part only.
         part = "type" if alias == "interventionType" else "name"
-        items = F.transform(F.col("interventions"), lambda i: i[part])
-        return F.coalesce(items, F.array().cast("array<string>"))
+        return F.coalesce(F.col(f"interventions.{part}"), F.array().cast("array<string>"))
     column = F.col(_FLAT[alias])
     return F.when(column.isNotNull(), F.array(column)).otherwise(F.array().cast("array<string>"))
 

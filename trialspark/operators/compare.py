@@ -48,7 +48,9 @@ def arm_rows(trials: DataFrame, arms: Sequence[Arm], common: Mapping | None = No
         F.when(predicate({**(common or {}), **arm.filters}, arm.search), F.lit(i))
         for i, arm in enumerate(arms)
     ]
-    return trials.withColumn("arm", F.explode(F.array_compact(F.array(*member))))
+    # Outer, then filtered: a plain explode would evaluate all predicates twice.
+    listed = F.array_compact(F.array(*member))
+    return trials.withColumn("arm", F.explode_outer(listed)).filter(F.col("arm").isNotNull())
 
 
 def compare(

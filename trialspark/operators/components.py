@@ -21,18 +21,27 @@ def connected_components(pairs: DataFrame, a: str = "a", b: str = "b") -> tuple[
     """
     edges = pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
     edges = cut_lineage(edges, "edges")
-    state = _state(edges)
-    while state[0] > 0:
-        edges = cut_lineage(_small_star(_large_star(edges, state[0])), "edges")
-        before, state = state, _state(edges)
-        if state == before:
-            break
-    return edges.select(F.col("u").alias("key"), F.col("v").alias("root")), state[0]
-
-
-def _state(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
-    return row["n"], row["h"]
+    count, stars = _state(edges)
+    while not stars:
+        edges = cut_lineage(_small_star(_large_star(edges, count)), "edges")
+        count, stars = _state(edges)
+    return edges.select(F.col("u").alias("key"), F.col("v").alias("root")), count
+
+
+def _state(edges: DataFrame) -> tuple[int, bool]:
+    """(number of edges, whether every component is a star around its smallest key).
+
+    Edges point from the larger to the smaller key, so they form such stars
+    exactly when a key with an edge of its own has only that one and receives none.
+    """
+    ends = edges.select(F.inline(F.array(
+        F.struct(F.col("u").alias("key"), F.lit(1).alias("own")),
+        F.struct(F.col("v").alias("key"), F.lit(0).alias("own")),
+    )))
+    keys = ends.groupBy("key").agg(F.sum("own").alias("own"), F.count(F.lit(1)).alias("ends"))
+    loose = (F.col("own") > 1) | ((F.col("own") == 1) & (F.col("ends") > 1))
+    row = keys.agg(F.coalesce(F.sum("own"), F.lit(0)).alias("n"), F.count_if(loose).alias("loose")).first()
+    return row["n"], row["loose"] == 0
 
 
 def _large_star(edges: DataFrame, count: int) -> DataFrame:

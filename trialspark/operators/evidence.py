@@ -83,7 +83,7 @@ def collect_citations(sampled: DataFrame, bucket: Sequence[str]) -> DataFrame:
     return (
         sampled.groupBy(*bucket)
         .agg(packed.alias("citations"))
-        .withColumn("source_ids", F.transform("citations", lambda c: c["nct_id"]))
+        .withColumn("source_ids", F.col("citations.nct_id"))
     )
 
 

@@ -35,7 +35,8 @@ def by_phase() -> list[Column]:
 
 @dataclass(frozen=True)
 class FieldSpec:
-    """``key`` gives one bucket value (combine) or an array of them (explode).
+    """``key`` gives one bucket value (combine) or an array of distinct ones (explode);
+    an empty or null array puts the trial into the ``UNKNOWN`` bucket.
 
     ``evidence`` is the record's own value as ``array<string>``, ``matched``
     picks the quote of a bucket's value from the record, and ``tokens`` lists
@@ -63,10 +64,6 @@ def _one(column: str) -> Column:
     return F.nullif(F.col(column), F.lit(""))
 
 
-def _or_unknown(values: Column) -> Column:
-    return F.when(F.size(values) > 0, values).otherwise(F.array(F.lit(fixed.UNKNOWN)))
-
-
 def _types() -> Column:
     named = F.filter(flat_values("interventionType"), lambda t: t.isNotNull() & (t != ""))
     return F.array_distinct(named)
@@ -126,7 +123,7 @@ FIELDS: dict[str, FieldSpec] = {
         is_list=True,
         mode="explode",
         columns=("interventions",),
-        key=lambda: _or_unknown(_types()),
+        key=_types,
         label=names.intervention_type_label,
         evidence=_types,
         matched=lambda value: value,
@@ -138,7 +135,7 @@ FIELDS: dict[str, FieldSpec] = {
         is_list=True,
         mode="explode",
         columns=("countries_raw",),
-        key=lambda: _or_unknown(_countries()),
+        key=_countries,
         label=names.country_label,
         top_n=fixed.COUNTRY_TOP_N,
         noun="countries",

@@ -81,7 +81,7 @@ def _filters(filters: Mapping) -> list[Column]:
     kind = filters.get("interventionType")
     if kind is not None:
         token = _token(kind, fixed.INTERVENTION_TYPE_TOKENS, "intervention type")
-        found.append(F.exists("interventions", lambda i: i["type"] == token))
+        found.append(F.array_contains("interventions.type", token))
     start, end = filters.get("start_year"), filters.get("end_year")
     if start is not None:
         found.append(ct_year(F.col("start_date")) >= _year(start, "start_year"))
@@ -110,16 +110,13 @@ def _search(area: str, value: str) -> Column:
     def has(text: Column) -> Column:
         return F.contains(F.lower(text), needle)
 
-    def in_interventions() -> Column:
-        return F.exists(
-            "interventions",
-            lambda i: F.coalesce(has(i["name"]), F.lit(False))
-            | F.coalesce(F.exists(i["otherNames"], has), F.lit(False)),
-        )
-
+    interventions = [
+        F.exists("interventions.name", has),
+        F.exists(F.flatten(F.filter("interventions.otherNames", lambda o: o.isNotNull())), has),
+    ]
     clauses = {
         "cond": [F.exists("conditions", has)],
-        "intr": [in_interventions()],
+        "intr": interventions,
         "spons": [has(F.col("sponsor_name"))],
         "locn": [F.exists("countries_raw", has)],
     }

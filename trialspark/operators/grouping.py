@@ -10,6 +10,7 @@ from trialspark import fixed_values as fixed
 from trialspark.functions.names import title_case
 from trialspark.operators.evidence import bucket_evidence, citation, collect_citations, first_per_bucket, with_evidence
 from trialspark.operators.fields import FIELDS, FieldSpec, field_spec
+from trialspark.session import cut_lineage
 from trialspark.sources.reader import dedupe_trials
 
 FROM_SPEC = -1
@@ -47,7 +48,7 @@ def single_value(trials: DataFrame, evidence_limit: int = fixed.EVIDENCE_LIMIT)
         F.concat(grouped, F.lit(" trials")).alias("label"),
         total,
         total.alias("contributing_count"),
-        F.transform("citations", lambda c: c["nct_id"]).alias("source_ids"),
+        F.col("citations.nct_id").alias("source_ids"),
         "citations",
         (F.size("citations") < total).alias("citations_truncated"),
         answer.alias("answer"),
@@ -76,7 +77,9 @@ def keyed_rows(
     if "brief_title" not in rows.columns:
         rows = rows.withColumn("brief_title", F.lit(None).cast("string"))
     if spec.mode == "explode":
-        return rows.withColumn("values", spec.key())
+        found = rows.withColumn("_found", spec.key())
+        values = F.when(F.size("_found") > 0, F.col("_found")).otherwise(F.array(F.lit(fixed.UNKNOWN)))
+        return found.withColumn("values", values).drop("_found")
     rows = rows.filter(F.col("nct_id").isNotNull())
     if not unique_ids:
         rows = first_row_per_trial(rows, by, order_column)
@@ -102,7 +105,9 @@ def bucket_rows(rows: DataFrame, fold: Column | None = None) -> DataFrame:
     them in the trial's list.
     """
     if fold is None:
-        exploded = rows.select("*", F.explode("values").alias("value")).drop("values")
+        # Never empty, so the outer form drops nothing; the plain form would add a
+        # not-empty filter that computes the values a second time.
+        exploded = rows.select("*", F.explode_outer("values").alias("value")).drop("values")
         return exploded.select("*", F.col("value").alias("member"), F.lit(1).alias("mentions"))
     marked = rows.withColumn("_kept", F.array_intersect("values", fold)).withColumn(
         "_tail", F.array_except("values", fold)
@@ -114,7 +119,7 @@ def bucket_rows(rows: DataFrame, fold: Column | None = None) -> DataFrame:
     own = F.transform("_kept", lambda v: entry(v, v, F.lit(1)))
     other = F.array(entry(F.lit(fixed.OTHER), F.get("_tail", 0), F.size("_tail")))
     buckets = F.when(F.size("_tail") > 0, F.concat(own, other)).otherwise(own)
-    return marked.select("*", F.inline(buckets)).drop("values", "_kept", "_tail")
+    return marked.select("*", F.inline_outer(buckets)).drop("values", "_kept", "_tail")
 
 
 def count_buckets(rows: DataFrame, spec: FieldSpec, by: Sequence[str] = (), unique_ids: bool = False) -> DataFrame:
@@ -173,7 +178,8 @@ def distribution(
             F.lit(None).cast("array<string>").alias("members"),
         )
     else:
-        every = count_buckets(bucket_rows(rows), spec, by, unique_ids)
+        # Stored: the kept values, the folded ones and their number all come from it.
+        every = cut_lineage(count_buckets(bucket_rows(rows), spec, by, unique_ids), "buckets")
         exploded = bucket_rows(rows, _own_bucket(every, top_n, by))
         counts = count_buckets(exploded, spec, by, unique_ids)
         buckets = _label_folded(counts, every, spec, top_n, by, inline_members)

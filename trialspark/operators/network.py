@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from trialspark import fixed_values as fixed
 from trialspark.functions.names import drug_key, is_combination, is_placebo, slug, sponsor_key
 from trialspark.functions.paths import clean
+from trialspark.functions.text import strip
 from trialspark.operators.components import connected_components
 from trialspark.operators.evidence import citation, collect_citations, first_per_bucket, with_evidence
 from trialspark.session import BROADCAST_ROWS, broadcast_if_small, cut_lineage
@@ -41,13 +42,14 @@ def drug_rows(trials: DataFrame, *carried: str) -> DataFrame:
     listed = trials.filter(F.col("nct_id").isNotNull()).select(
         "nct_id", *carried, F.posexplode("interventions").alias("place", "item")
     )
-    others = F.filter(F.transform("item.otherNames", clean), lambda o: o.isNotNull())
-    named = (
-        listed.filter(F.col("item.type") == "DRUG")
-        .select("nct_id", *carried, "place", clean(F.col("item.name")).alias("name"), others.alias("other_names"))
-        .filter(F.col("name").isNotNull())
+    # Markers hold no outer blanks, so the raw names can be tested before they are trimmed.
+    kept = listed.filter((F.col("item.type") == "DRUG") & (strip(F.col("item.name")) != "")).filter(
+        ~is_placebo(F.col("item.name"), F.col("item.otherNames"))
+    )
+    others = F.filter(F.transform("item.otherNames", strip), lambda o: o.isNotNull() & (o != ""))
+    return kept.select(
+        "nct_id", *carried, "place", strip(F.col("item.name")).alias("name"), others.alias("other_names")
     )
-    return named.filter(~is_placebo(F.col("name"), F.col("other_names")))
 
 
 def drug_mentions(trials: DataFrame) -> DataFrame:
@@ -146,27 +148,27 @@ def node_id(kind: str, key: Column) -> Column:
 def trial_drugs(trials: DataFrame, components: tuple[DataFrame, int]) -> DataFrame:
     """One row per trial with a drug: its drug names, and its distinct resolved drugs.
 
-    ``names`` are the literal names in record order; ``drugs`` pairs each
-    resolved drug with the first literal name it has in this record.
+    ``names`` are the literal names in record order; ``drugs`` pairs the node id
+    of each resolved drug with the first literal name it has in this record.
     """
     rows = drug_rows(trials, "brief_title", "sponsor_name").withColumn("key", drug_key(F.col("name")))
-    rows = resolve(rows, components)
+    rows = resolve(rows, components).withColumn("id", node_id("drug", F.col("canon")))
     # Regroups what one record's list held before it was exploded.
-    listed = F.sort_array(F.collect_list(F.struct("place", "name", "canon")))
-    grouped = rows.groupBy("nct_id", "brief_title", "sponsor_name").agg(listed.alias("items"))
-    canons = F.array_sort(F.array_distinct(F.transform("items", lambda i: i["canon"])))
+    grouped = rows.groupBy("nct_id").agg(
+        F.first("brief_title").alias("brief_title"),
+        F.first("sponsor_name").alias("sponsor_name"),
+        F.sort_array(F.collect_list(F.struct("place", "name", "id"))).alias("items"),
+    )
+    listed = grouped.select(
+        "nct_id", "brief_title", "sponsor_name", F.col("items.name").alias("names"), F.col("items.id").alias("ids")
+    )
     drugs = F.transform(
-        canons,
-        lambda c: F.struct(
-            c.alias("canon"),
-            node_id("drug", c).alias("id"),
-            F.get(F.filter("items", lambda i: i["canon"] == c), 0)["name"].alias("name"),
+        F.array_sort(F.array_distinct("ids")),
+        lambda d: F.struct(
+            d.alias("id"), F.get("names", (F.array_position("ids", d) - 1).cast("int")).alias("name")
         ),
     )
-    return grouped.select(
-        "nct_id", "brief_title", "sponsor_name", F.transform("items", lambda i: i["name"]).alias("names"),
-        drugs.alias("drugs"),
-    )
+    return listed.select("nct_id", "brief_title", "sponsor_name", "names", drugs.alias("drugs"))
 
 
 def _pairs(resolved: DataFrame, max_drugs: int) -> DataFrame:
@@ -196,6 +198,11 @@ def _sponsor_pairs(resolved: DataFrame) -> DataFrame:
     )
 
 
+def _drug_node_labels(mentions: DataFrame, components: tuple[DataFrame, int]) -> DataFrame:
+    labels = drug_labels(mentions, components)
+    return labels.select(node_id("drug", F.col("canon")).alias("id"), "label")
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """Incident edges per node."""
     ends = edges.select(F.explode(F.array("source", "target")).alias("id"))
@@ -242,12 +249,9 @@ class Network:
     @cached_property
     def nodes(self) -> DataFrame:
         """``id, label, kind, degree`` of every endpoint left, by falling degree."""
-        drug = drug_labels(self.mentions, self.components).select(
-            node_id("drug", F.col("canon")).alias("id"), "label"
-        )
-        labels = drug
+        labels = _drug_node_labels(self.mentions, self.components)
         if self.kind == "sponsor_drug":
-            labels = drug.unionByName(
+            labels = labels.unionByName(
                 sponsor_labels(self.trials).select(node_id("sponsor", F.col("sponsor")).alias("id"), "label")
             )
         joined = degrees(self.weights).join(labels, "id", "left")
@@ -331,23 +335,21 @@ def drug_frequencies(
 ) -> DataFrame:
     """The ``top_n`` drugs by distinct trials, each cited by its own name in a record."""
     rows = resolved.select("nct_id", "brief_title", "names", F.explode("drugs").alias("drug")).select(
-        "nct_id", "brief_title", "names", F.col("drug.canon").alias("canon"), F.col("drug.name").alias("name")
+        "nct_id", "brief_title", "names", "drug.id", "drug.name"
     )
-    counts = rows.groupBy("canon").agg(F.count(F.lit(1)).alias("count_trials"))
+    counts = rows.groupBy("id").agg(F.count(F.lit(1)).alias("count_trials"))
     total = counts.agg(F.count(F.lit(1)).alias("n"))
-    ranked = counts.join(drug_labels(mentions, components), "canon", "left").withColumn(
-        "label", F.coalesce("label", "canon")
-    )
+    ranked = counts.join(_drug_node_labels(mentions, components), "id")
     top = ranked.orderBy(F.col("count_trials").desc(), "label").limit(top_n)
-    shown = F.broadcast(top.select("canon")) if top_n <= BROADCAST_ROWS else top.select("canon")
-    sampled = first_per_bucket(rows.join(shown, "canon", "left_semi"), ["canon"], evidence_limit)
+    shown = F.broadcast(top.select("id")) if top_n <= BROADCAST_ROWS else top.select("id")
+    sampled = first_per_bucket(rows.join(shown, "id", "left_semi"), ["id"], evidence_limit)
     quoted = citation(_DRUG_PATH, F.col("names"), True, F.col("name"))
-    evidence = collect_citations(sampled.withColumn("citation", quoted), ["canon"])
+    evidence = collect_citations(sampled.withColumn("citation", quoted), ["id"])
     buckets = top.withColumn("value", F.col("label")).withColumn("count_mentions", F.col("count_trials"))
     return (
-        with_evidence(buckets, evidence, ["canon"])
+        with_evidence(buckets, evidence, ["id"])
         .withColumn("buckets_truncated", total.scalar() > F.lit(top_n))
-        .drop("canon")
+        .drop("id")
         .orderBy(F.col("count_trials").desc(), "label")
     )
 

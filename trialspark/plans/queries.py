@@ -105,7 +105,7 @@ def nested_paths(spark, sf_dir):
         F.array_join(paths.path_all(path["country"]), ";", "-").alias("all_countries"),
         F.array_join(paths.path_all(path["interventionType"]), ";", "-").alias("all_types"),
         F.array_join(paths.path_all(path["overallStatus"]), ";", "-").alias("all_statuses"),
-        F.size(F.get(paths.path_all(path["phase"]), 0)).alias("phases"),
+        F.size(F.get(paths.path_all(path["phase"]), 0)).cast("long").alias("phases"),
     )
 
 
@@ -354,9 +354,9 @@ def _evidence(buckets: DataFrame, *keys: str) -> DataFrame:
         "contributing_count",
         "citations_truncated",
         _join("source_ids").alias("source_ids"),
-        _join(F.transform("citations", lambda c: c["matched_value"]), ";").alias("matched"),
+        _join(F.col("citations.matched_value"), ";").alias("matched"),
         _join(F.transform("citations", lambda c: F.coalesce(_join(c["matched_tokens"], "+"), F.lit("-"))), ";").alias("tokens"),
-        _join(F.transform("citations", lambda c: c["excerpt"]), ";").alias("excerpts"),
+        _join(F.col("citations.excerpt"), ";").alias("excerpts"),
         F.forall("citations", audit.citation_ok).alias("quotes_hold"),
     )
 
@@ -411,7 +411,7 @@ CONDITION = FieldSpec(
     path="protocolSection.conditionsModule.conditions",
     mode="explode",
     columns=("conditions",),
-    key=lambda: F.coalesce(F.col("conditions"), F.array(F.lit(fixed.UNKNOWN))),
+    key=lambda: F.col("conditions"),
     label=F.initcap,
     evidence=lambda: F.col("conditions"),
     matched=lambda value: value,
@@ -512,7 +512,7 @@ def _bins(histogram: DataFrame) -> DataFrame:
     return histogram.select(
         "value", "label", "bin_start", "bin_end", "count_trials", "citations_truncated",
         _join("source_ids").alias("source_ids"),
-        _join(F.transform("citations", lambda c: c["matched_value"]), ";").alias("matched"),
+        _join(F.col("citations.matched_value"), ";").alias("matched"),
     )
 
 
@@ -674,7 +674,7 @@ def drug_frequency_fallback(spark, sf_dir):
     return bars.select(
         "value", "count_trials", "citations_truncated", "buckets_truncated",
         _join("source_ids").alias("source_ids"),
-        _join(F.transform("citations", lambda c: c["matched_value"]), ";").alias("matched"),
+        _join(F.col("citations.matched_value"), ";").alias("matched"),
     )
 
 

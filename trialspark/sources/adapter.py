@@ -31,17 +31,17 @@ def trials_from_orders(
     def table(name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-    orders = table("orders")
+    orders = _spread(table("orders"))
     if {"sponsor_name", "sponsor_class", "brief_title"} & set(wanted):
         orders = orders.join(table("customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
 
     # One shuffle by order key serves the grouping and the join to orders. The
     # sets hold distinct values of small domains, reduced before the shuffle.
-    lines = table("lineitem")
+    lines = _spread(table("lineitem"))
     aggregates = []
     if _LINE_COLUMNS & set(wanted):
         aggregates += [
-            F.collect_set("l_returnflag").alias("flags"),
+            *[F.max(F.col("l_returnflag") == f).alias(f"has_{f}") for f in "ANR"],
             F.min("l_shipdate").alias("first_ship"),
             F.max("l_shipdate").alias("last_ship"),
         ]
@@ -61,6 +61,12 @@ def trials_from_orders(
     return orders.select(*[_COLUMNS[name]().alias(name) for name in wanted])
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Share a file of few row groups among all cores; no-op once there are enough splits."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 # --- one builder per study column ---------------------------------------------------
 
 
@@ -74,16 +80,16 @@ def _brief_title() -> Column:
 
 
 def _phases() -> Column:
-    names = F.transform(
-        F.sort_array("flags", asc=False),
-        lambda f: F.when(f == "A", "PHASE1").when(f == "N", "PHASE2").otherwise("PHASE3"),
-    )
-    return (
-        F.when(F.col("flags").isNull(), F.lit(None))
-        .when(_every(17), F.array(F.lit("NA")))
-        .when(_every(23), F.concat(names, F.array(F.lit("EARLY_PHASE1"))))
-        .otherwise(names)
+    tokens = F.array_compact(
+        F.array(
+            F.when(F.col("has_R"), "PHASE3"),
+            F.when(F.col("has_N"), "PHASE2"),
+            F.when(F.col("has_A"), "PHASE1"),
+            F.when(_every(23), "EARLY_PHASE1"),
+        )
     )
+    shipped = F.when(_every(17), F.array(F.lit("NA"))).otherwise(tokens)
+    return F.when(F.col("l_orderkey").isNotNull(), shipped)
 
 
 def _study_type() -> Column:
