@@ -19,9 +19,13 @@ FROM_SPEC = -1
 # --- totals -------------------------------------------------------------------------
 
 
-def count_trials(trials: DataFrame) -> DataFrame:
-    """One row: the exact number of distinct trials, which every result reconciles to."""
-    return trials.agg(F.count_distinct("nct_id").alias("count_trials"))
+def count_trials(trials: DataFrame, unique_ids: bool = False) -> DataFrame:
+    """One row: the exact number of distinct trials, which every result reconciles to.
+
+    With ``unique_ids`` it is a plain count and shuffles nothing but partial counts.
+    """
+    total = F.count("nct_id") if unique_ids else F.count_distinct("nct_id")
+    return trials.agg(total.alias("count_trials"))
 
 
 def single_value(trials: DataFrame, evidence_limit: int = fixed.EVIDENCE_LIMIT) -> DataFrame:
@@ -343,7 +347,7 @@ def group_summary(
         F.count(F.lit(1)).alias("buckets"),
     )
     return totals.select(
-        count_trials(trials).scalar().alias("distinct_trials"), "sum_trials", "mentions", "buckets"
+        count_trials(trials, unique_ids).scalar().alias("distinct_trials"), "sum_trials", "mentions", "buckets"
     )
 
 

@@ -374,7 +374,10 @@ def build_network(
         raise ValueError(f"unknown network kind {kind!r}; known: {list(KINDS)}")
     order = [order_column] if order_column else []
     trials = trials.select(*TRIAL_COLUMNS, *order)
-    trials = trials.filter(F.col("nct_id").isNotNull()) if unique_ids else dedupe_trials(trials, order_column)
+    if unique_ids:
+        trials = trials.filter(F.col("nct_id").isNotNull())
+    else:
+        trials = cut_lineage(dedupe_trials(trials, order_column), "trials")
     mentions = cut_lineage(drug_mentions(trials), "mentions")
     components = connected_components(alias_pairs(mentions))
     resolved = cut_lineage(trial_drugs(trials, components), "resolved")

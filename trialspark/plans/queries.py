@@ -55,6 +55,11 @@ def _trials(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return trials_from_orders(spark, sf_dir, dict.fromkeys(("nct_id", *columns)))
 
 
+def _stored(trials: DataFrame) -> DataFrame:
+    """The derived studies as a stored table, for queries that scan them more than once."""
+    return cut_lineage(trials, "trials")
+
+
 def _for_fields(spark: SparkSession, sf_dir: str, *fields: str, extra: Iterable[str] = ()) -> DataFrame:
     columns = [c for f in fields for c in FIELDS[f].columns]
     return _trials(spark, sf_dir, *columns, *extra)
@@ -326,10 +331,11 @@ def _register_distributions() -> None:
     ):
         def bars(spark, sf_dir, f=field):
             trials = _for_fields(spark, sf_dir, f)
+            trials = _stored(trials) if FIELDS[f].top_n else trials
             return _bars(distribution(trials, f, unique_ids=True, evidence_limit=0, sort=False), f)
 
         def cited(spark, sf_dir, f=field):
-            trials = _for_fields(spark, sf_dir, f, extra=["brief_title"])
+            trials = _stored(_for_fields(spark, sf_dir, f, extra=["brief_title"]))
             return _evidence(distribution(trials, f, unique_ids=True, sort=False))
 
         QUERIES[f"distribution_{name}"] = bars
@@ -367,7 +373,7 @@ _register_distributions()
 @query
 def distribution_country_top10(spark, sf_dir):
     """The fold: ten countries, one derived "Other" row of distinct trials, sentinels."""
-    trials = _for_fields(spark, sf_dir, "country")
+    trials = _stored(_for_fields(spark, sf_dir, "country"))
     buckets = distribution(trials, "country", unique_ids=True, top_n=10, evidence_limit=0, sort=False)
     return with_position(buckets, "country").select(
         "position", "value", "label", "count_trials", "count_mentions", "derived", _join("members").alias("members")
@@ -377,7 +383,7 @@ def distribution_country_top10(spark, sf_dir):
 @query
 def evidence_country_top3(spark, sf_dir):
     """Evidence of a folded bar; "Other" quotes each record's own folded country."""
-    trials = _for_fields(spark, sf_dir, "country", extra=["brief_title"])
+    trials = _stored(_for_fields(spark, sf_dir, "country", extra=["brief_title"]))
     return _evidence(distribution(trials, "country", unique_ids=True, top_n=3, sort=False))
 
 
@@ -391,7 +397,7 @@ def country_fold_members(spark, sf_dir):
 @query
 def distribution_country_repeats(spark, sf_dir):
     """Repeated rows and rows without an id raise mentions, never trials."""
-    trials = _with_repeats(_for_fields(spark, sf_dir, "country"))
+    trials = _stored(_with_repeats(_for_fields(spark, sf_dir, "country")))
     buckets = distribution(trials, "country", order_column="walk", top_n=5, evidence_limit=0, sort=False)
     return _bars(buckets, "country")
 
@@ -430,7 +436,7 @@ def distribution_custom_field(spark, sf_dir):
 @query
 def count_bases(spark, sf_dir):
     """Dual counts: the trial total beside the mention total, per field."""
-    trials = _for_fields(spark, sf_dir, *FIELDS)
+    trials = _stored(_for_fields(spark, sf_dir, *FIELDS))
     table = None
     for field in sorted(FIELDS):
         one = group_summary(trials, field, unique_ids=True).withColumn("field", F.lit(field))
@@ -518,13 +524,13 @@ def _bins(histogram: DataFrame) -> DataFrame:
 
 @query
 def histogram_duration(spark, sf_dir):
-    trials = _trials(spark, sf_dir, "start_date", "completion_date", "brief_title")
+    trials = _stored(_trials(spark, sf_dir, "start_date", "completion_date", "brief_title"))
     return _bins(duration_histogram(trials, unique_ids=True))
 
 
 @query
 def histogram_custom(spark, sf_dir):
-    trials = _trials(spark, sf_dir, "start_date", "completion_date", "brief_title")
+    trials = _stored(_trials(spark, sf_dir, "start_date", "completion_date", "brief_title"))
     return _bins(duration_histogram(trials, bins=[(0, 12), (12, 36), (60, None)], unique_ids=True))
 
 
@@ -545,7 +551,7 @@ _MANY_ARMS = tuple(Arm(f"Since {y}", filters={"start_year": y}) for y in range(1
 
 
 def _compared(spark, sf_dir, field, arms, common=None, top_n=None) -> DataFrame:
-    trials = trials_from_orders(spark, sf_dir, compare_columns(field, arms, common) - {"brief_title"})
+    trials = _stored(trials_from_orders(spark, sf_dir, compare_columns(field, arms, common) - {"brief_title"}))
     bars = compare(trials, field, arms, common=common, unique_ids=True, top_n=top_n)
     return bars.select(
         "value", "label", "series", "count_trials", "count_mentions", "percent", "arm_total",
@@ -582,7 +588,7 @@ def compare_arms(spark, sf_dir):
 
 
 def _drug_trials(spark, sf_dir) -> DataFrame:
-    return _trials(spark, sf_dir, *network.TRIAL_COLUMNS)
+    return _stored(_trials(spark, sf_dir, *network.TRIAL_COLUMNS))
 
 
 @query
@@ -687,7 +693,7 @@ def _status_result(spark, sf_dir) -> DataFrame:
 
 
 def _country_result(spark, sf_dir) -> DataFrame:
-    trials = _for_fields(spark, sf_dir, "country", extra=["brief_title"])
+    trials = _stored(_for_fields(spark, sf_dir, "country", extra=["brief_title"]))
     return distribution(trials, "country", unique_ids=True, top_n=10, sort=False)
 
 
@@ -778,7 +784,7 @@ def audit_quotes_in_records(spark, sf_dir):
 @query
 def audit_edge_quotes(spark, sf_dir):
     """Edge citations against the records they cite; a sound graph has none to report."""
-    trials = cut_lineage(_drug_trials(spark, sf_dir), "trials")
+    trials = _drug_trials(spark, sf_dir)
     graph = network.build_network(trials, "sponsor_drug", unique_ids=True)
     edges = cut_lineage(result_edges(graph.edges, "graph"), "result")
     bad = audit.audit_citations_against(edges, trials, "source", "target", fields=("sponsorName", "interventionName"))

@@ -31,13 +31,13 @@ def trials_from_orders(
     def table(name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-    orders = _spread(table("orders"))
+    orders = table("orders")
     if {"sponsor_name", "sponsor_class", "brief_title"} & set(wanted):
         orders = orders.join(table("customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
 
     # One shuffle by order key serves the grouping and the join to orders. The
     # sets hold distinct values of small domains, reduced before the shuffle.
-    lines = _spread(table("lineitem"))
+    lines = _spread(table("lineitem"), "l_orderkey")
     aggregates = []
     if _LINE_COLUMNS & set(wanted):
         aggregates += [
@@ -61,10 +61,14 @@ def trials_from_orders(
     return orders.select(*[_COLUMNS[name]().alias(name) for name in wanted])
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """Share a file of few row groups among all cores; no-op once there are enough splits."""
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """Share a table of few splits among all cores, by the key it is grouped by next.
+
+    A table with at least one split per core is left as it is: there the
+    grouping reduces each split before its shuffle, whatever the key's skew.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 
 
 # --- one builder per study column ---------------------------------------------------
