@@ -248,14 +248,13 @@ def _label_folded(counts, every, spec, top_n, by, inline_members) -> DataFrame:
     """Label the buckets; "Other" says how many values it holds, and lists them."""
     ranked = F.struct((-F.col("count_trials")).alias("n"), F.col("value").alias("v"))
     listed = F.transform(F.sort_array(F.collect_list(ranked)), lambda m: m["v"])
-    folded = (
-        fold_members(every, top_n, by)
-        .groupBy(*by, F.lit(fixed.OTHER).alias("value"))
-        .agg(
-            F.count(F.lit(1)).alias("_folded"),
-            (listed if inline_members else F.lit(None).cast("array<string>")).alias("members"),
-        )
+    own = F.array_contains(_own_bucket(every, top_n, by), F.col("value"))
+    bucket = F.when(own, F.col("value")).otherwise(F.lit(fixed.OTHER))
+    folded = every.groupBy(*by, bucket.alias("bucket")).agg(
+        F.count(F.lit(1)).alias("_folded"),
+        (listed if inline_members else F.lit(None).cast("array<string>")).alias("_members"),
     )
+    folded = folded.withColumnRenamed("bucket", "value")
     other = F.col("value") == fixed.OTHER
     label = F.when(other, F.format_string(f"Other (%d {spec.noun})", "_folded")).otherwise(
         spec.label(F.col("value"))
@@ -266,8 +265,8 @@ def _label_folded(counts, every, spec, top_n, by, inline_members) -> DataFrame:
         "count_trials",
         "count_mentions",
         label.alias("label"),
-        (other & F.col("_folded").isNotNull()).alias("derived"),
-        "members",
+        other.alias("derived"),
+        F.when(other, F.col("_members")).alias("members"),
     )
 
 
