@@ -166,3 +166,12 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Ta
             held_key = keys[start]
     if held:
         yield pa.Table.from_batches(held)
+
+
+def span_lists(batch: pa.RecordBatch) -> list[dict[str, np.ndarray]]:
+    """The starts and ends of each row's ``spans``; an empty dict for a null."""
+    lists = batch.column("spans")
+    at = lists.offsets.to_numpy()
+    s, e = (lists.values.field(c).to_numpy(zero_copy_only=False) for c in ("s", "e"))
+    some = lists.is_valid().to_numpy(zero_copy_only=False)
+    return [{"s": s[at[i] : at[i + 1]], "e": e[at[i] : at[i + 1]]} if some[i] else {} for i in range(len(lists))]

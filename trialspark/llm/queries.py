@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from trialspark.llm.doubling import doubling_dedup
 from trialspark.llm.minhash import near_duplicates
+from trialspark.llm.suffix import suffix_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,8 +20,20 @@ def op2_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir).select("doc_id", "text"), words=3, percent=85)
 
 
+def op5_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes covered by a 200-byte string that also starts elsewhere, removed."""
+    return suffix_dedup(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def op7_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words covered by a 50-word window that also starts in a smaller document, removed."""
+    return doubling_dedup(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chosen_path": op2_chosen_path,
+    "op5_suffix_arrays": op5_suffix_arrays,
+    "op7_doubling": op7_doubling,
 }
 
 ORACLES: dict[str, str] = {}
