@@ -8,13 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from trialspark.llm.doubling import doubling_dedup
 from trialspark.llm.minhash import near_duplicates
+from trialspark.llm.pieces import encode_documents
+from trialspark.llm.shards import shard_documents
 from trialspark.llm.suffix import suffix_dedup
+from trialspark.llm.urls import url_verdicts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every text, and whether decoding them gives the text back."""
+    return encode_documents(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op2_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components on 3-word shingles at a similarity of 0.85."""
     return near_duplicates(_documents(spark, sf_dir).select("doc_id", "text"), words=3, percent=85)
@@ -30,10 +38,24 @@ def op7_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doubling_dedup(_documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op8_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url, by rule or by its aliases."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return url_verdicts(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op9_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of near equal bytes."""
+    return shard_documents(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_streaming_viterbi": op1_streaming_viterbi,
     "op2_chosen_path": op2_chosen_path,
     "op5_suffix_arrays": op5_suffix_arrays,
     "op7_doubling": op7_doubling,
+    "op8_redirect_equivalence": op8_redirect_equivalence,
+    "op9_sampled_splitters": op9_sampled_splitters,
 }
 
 ORACLES: dict[str, str] = {}
