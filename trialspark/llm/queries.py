@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from trialspark.llm.doubling import doubling_dedup
+from trialspark.llm.language import identify
 from trialspark.llm.minhash import near_duplicates
 from trialspark.llm.pieces import encode_documents
+from trialspark.llm.rules import quality
 from trialspark.llm.shards import shard_documents
 from trialspark.llm.suffix import suffix_dedup
+from trialspark.llm.token_counts import section_tokens
 from trialspark.llm.urls import url_verdicts
 
 
@@ -28,11 +31,26 @@ def op2_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir).select("doc_id", "text"), words=3, percent=85)
 
 
+def op3_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule counts of every text, and the verdict of the base rules and the forest."""
+    return quality(_documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
+
+
+def op4_rank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text, learned from the documents that are not held out."""
+    return identify(_documents(spark, sf_dir).select("doc_id", "text", "lang"))
+
+
 def op5_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes covered by a 200-byte string that also starts elsewhere, removed."""
     return suffix_dedup(_documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op6_offset_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every text and of each of its lines."""
+    return section_tokens(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op7_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words covered by a 50-word window that also starts in a smaller document, removed."""
     return doubling_dedup(_documents(spark, sf_dir).select("doc_id", "text"))
@@ -52,7 +70,10 @@ def op9_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_streaming_viterbi": op1_streaming_viterbi,
     "op2_chosen_path": op2_chosen_path,
+    "op3_isolation_forest": op3_isolation_forest,
+    "op4_rank_order": op4_rank_order,
     "op5_suffix_arrays": op5_suffix_arrays,
+    "op6_offset_attribution": op6_offset_attribution,
     "op7_doubling": op7_doubling,
     "op8_redirect_equivalence": op8_redirect_equivalence,
     "op9_sampled_splitters": op9_sampled_splitters,
