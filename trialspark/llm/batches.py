@@ -79,11 +79,17 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
 
 
+_BYTES = np.arange(256)
+#: Bytes between words: white space, or all of ASCII but letters and digits.
+SPACES = (_BYTES == 32) | ((_BYTES >= 9) & (_BYTES <= 13))
+NOT_ALPHANUMERIC = (_BYTES < 128) & ~np.array([chr(b).isalnum() for b in range(256)])
+
+
 class Words:
     """The words of a chunk: byte ranges, and for each row the range of its words."""
 
-    def __init__(self, data: np.ndarray, at: np.ndarray):
-        space = (data == 32) | ((data >= 9) & (data <= 13))
+    def __init__(self, data: np.ndarray, at: np.ndarray, between: np.ndarray = SPACES):
+        space = between[data]
         before = np.ones(len(data) + 1, bool)
         before[1:] = space
         before[at] = True

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from trialspark.llm.decontaminate import leaks
 from trialspark.llm.doubling import doubling_dedup
 from trialspark.llm.language import identify
 from trialspark.llm.minhash import near_duplicates
@@ -67,6 +68,11 @@ def op9_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op10_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that each text holds."""
+    return leaks(_documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_streaming_viterbi": op1_streaming_viterbi,
     "op2_chosen_path": op2_chosen_path,
@@ -77,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_doubling": op7_doubling,
     "op8_redirect_equivalence": op8_redirect_equivalence,
     "op9_sampled_splitters": op9_sampled_splitters,
+    "op10_block_max_wand": op10_block_max_wand,
 }
 
 ORACLES: dict[str, str] = {}
