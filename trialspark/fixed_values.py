@@ -226,14 +226,5 @@ SPONSOR_ALIASES = {"msd": "merck sharp dohme"}
 # --- defaults (fixed values) -----------------------------------------------------
 
 EVIDENCE_LIMIT = 20
-TOKEN_EVIDENCE_LIMIT = 10
-COUNTRY_TOP_N = 50
-MAX_ARMS = 5
-MAX_NODES = 60
-MAX_DRUGS_PER_TRIAL = 25
-MIN_EDGE_WEIGHT = {"drug_drug": 2, "sponsor_drug": 1}
-MIN_ALIAS_TRIALS = 2
-FALLBACK_TOP_N = 25
-POPULATION_LIMIT = 20_000
 DRIFT_SHARE = 0.005
 DRIFT_TRIALS = 20

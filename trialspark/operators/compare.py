@@ -23,9 +23,10 @@ class Arm:
     filters: Mapping[str, object] = dataclass_field(default_factory=dict)
 
 
-def cap_arms(arms: Sequence[Arm], limit: int = fixed.MAX_ARMS) -> tuple[list[Arm], list[str]]:
-    """The first ``limit`` arms, and the labels of the ones left out."""
-    return list(arms[:limit]), [a.label for a in arms[limit:]]
+def cap_arms(arms: Sequence[Arm], limit: int | None = None) -> tuple[list[Arm], list[str]]:
+    """The first ``limit`` arms (all without one), and the labels of the ones left out."""
+    kept = list(arms if limit is None else arms[:limit])
+    return kept, [a.label for a in arms[len(kept):]]
 
 
 def percent(count: Column, total: Column) -> Column:
@@ -63,14 +64,15 @@ def compare(
     order_column: str | None = None,
     top_n: int | None = FROM_SPEC,
     evidence_limit: int = fixed.EVIDENCE_LIMIT,
+    max_arms: int | None = None,
 ) -> DataFrame:
     """Every category for every arm, with counts and the percentage within the arm.
 
     A category an arm lacks is a zero row. Categories come in the order the
-    arms first show them, then the arms in the order given; only the first
-    five arms are compared (see :func:`cap_arms`).
+    arms first show them, then the arms in the order given. With ``max_arms``
+    only the first ones are compared; :func:`compare_summary` names the others.
     """
-    arms, _ = cap_arms(arms)
+    arms, _ = cap_arms(arms, max_arms)
     if len(arms) < 2:
         raise ValueError("a comparison needs at least two arms")
     spec = field_spec(field)
@@ -86,7 +88,7 @@ def compare(
         sort=False,
     )
 
-    # Bucket tables from here on: categories x five arms.
+    # Bucket tables from here on: categories x arms.
     place = F.row_number().over(Window.partitionBy("arm").orderBy(*spec.order()))
     placed = buckets.withColumn("place", place)
     first = F.min(F.struct("arm", "place", "label")).alias("first")
@@ -131,12 +133,18 @@ def arm_totals(rows: DataFrame, unique_ids: bool = False) -> DataFrame:
 
 
 def compare_summary(
-    trials: DataFrame, arms: Sequence[Arm], *, common: Mapping | None = None, declared: Mapping[str, int] | None = None
+    trials: DataFrame,
+    arms: Sequence[Arm],
+    *,
+    common: Mapping | None = None,
+    declared: Mapping[str, int] | None = None,
+    unique_ids: bool = False,
+    max_arms: int | None = None,
 ) -> DataFrame:
     """One row per arm asked for: its total, its drift from a declared total, and
     whether it was dropped by the arm limit. ``status`` is ``empty`` when no arm matches.
     """
-    kept, _ = cap_arms(arms)
+    kept, _ = cap_arms(arms, max_arms)
     rows = arm_rows(trials, kept, common)
     table = F.array(
         *[
@@ -150,7 +158,7 @@ def compare_summary(
         ]
     )
     listed = trials.sparkSession.range(1).select(F.inline(table))
-    totals = listed.join(arm_totals(rows), "arm", "left")
+    totals = listed.join(arm_totals(rows, unique_ids), "arm", "left")
     found = F.when(~F.col("dropped"), F.coalesce("arm_total", F.lit(0)))
     return totals.select(
         "arm",

@@ -137,7 +137,6 @@ FIELDS: dict[str, FieldSpec] = {
         columns=("countries_raw",),
         key=_countries,
         label=names.country_label,
-        top_n=fixed.COUNTRY_TOP_N,
         noun="countries",
         # The record's own spelling is quoted, not the canonical one.
         evidence=lambda: flat_values("country"),

@@ -28,14 +28,20 @@ def count_trials(trials: DataFrame, unique_ids: bool = False) -> DataFrame:
     return trials.agg(total.alias("count_trials"))
 
 
-def single_value(trials: DataFrame, evidence_limit: int = fixed.EVIDENCE_LIMIT) -> DataFrame:
+def single_value(trials: DataFrame, evidence_limit: int = fixed.EVIDENCE_LIMIT, unique_ids: bool = False) -> DataFrame:
     """One card row: the count, its label, the yes/no text and a sample of members.
 
-    A count of zero is a result like any other.
+    The sample is the trials with the smallest ids. With ``unique_ids`` each task
+    keeps its own smallest ones and nothing else is shuffled; else ids are made
+    distinct first, without their titles. A count of zero is a result like any other.
     """
-    titles = trials.filter(F.col("nct_id").isNotNull()).groupBy("nct_id").agg(F.min("brief_title").alias("brief_title"))
-    sample = titles.orderBy("nct_id").limit(evidence_limit)
     path = fixed.FIELD_PATHS["nctId"]
+    rows = trials.filter(F.col("nct_id").isNotNull()).select("nct_id", "brief_title")
+    if unique_ids:
+        sample = rows.orderBy("nct_id").limit(evidence_limit)
+    else:
+        ids = rows.select("nct_id").distinct().orderBy("nct_id").limit(evidence_limit)
+        sample = rows.join(F.broadcast(ids), "nct_id").groupBy("nct_id").agg(F.min("brief_title").alias("brief_title"))
     cited = sample.select(
         citation(path, F.array("nct_id"), False, F.col("nct_id")).alias("citation")
     )
@@ -47,7 +53,7 @@ def single_value(trials: DataFrame, evidence_limit: int = fixed.EVIDENCE_LIMIT)
             F.lit("Yes — "), grouped, F.when(total == 1, " trial").otherwise(" trials"), F.lit(" match this query.")
         )
     )
-    return packed.select("citations", count_trials(trials).scalar().alias("count_trials")).select(
+    return packed.select("citations", count_trials(trials, unique_ids).scalar().alias("count_trials")).select(
         total.cast("string").alias("value"),
         F.concat(grouped, F.lit(" trials")).alias("label"),
         total,
@@ -279,7 +285,7 @@ def token_counts(
     *,
     unique_ids: bool = False,
     order_column: str | None = None,
-    evidence_limit: int = fixed.TOKEN_EVIDENCE_LIMIT,
+    evidence_limit: int = fixed.EVIDENCE_LIMIT,
 ) -> DataFrame:
     """One row per known token with at least one trial, in alphabetical order.
 
@@ -350,27 +356,11 @@ def group_summary(
     )
 
 
-def population_gate(
-    trials: DataFrame, field: str | None = None, max_population: int | None = None
-) -> DataFrame:
-    """One row: the exact total and whether to chart.
-
-    ``status`` is ``empty`` for no trials, ``too_large`` above ``max_population``
-    unless the field's closed token set allows exact per-token counts, else
-    ``ok``. There is no limit by default: nothing is paged here.
-    """
-    by_token = field is not None and field_spec(field).known_tokens is not None
+def population_gate(trials: DataFrame, unique_ids: bool = False) -> DataFrame:
+    """One row: the exact total, and ``empty`` or ``ok``. No population is too large to chart."""
     total = F.col("count_trials")
-    status = F.when(total == 0, "empty")
-    method = F.lit("distribution")
-    if max_population is not None:
-        if not by_token:
-            status = status.when(total > max_population, "too_large")
-        method = F.when((total > max_population) & F.lit(by_token), "token_counts").otherwise(method)
-    status = status.otherwise("ok")
-    return count_trials(trials).select(
-        total.alias("of_total"), status.alias("status"), F.when(status == "ok", method).alias("method")
-    )
+    status = F.when(total == 0, "empty").otherwise("ok")
+    return count_trials(trials, unique_ids).select(total.alias("of_total"), status.alias("status"))
 
 
 def partial_note(distinct: Column, total: Column, truncated: Column) -> Column:

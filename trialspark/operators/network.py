@@ -8,6 +8,7 @@ edges, evidence and the fallback bar all read that table.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -24,6 +25,9 @@ from trialspark.sources.reader import dedupe_trials
 
 KINDS = ("drug_drug", "sponsor_drug")
 
+# Merged names up to which they are looked up in a map instead of joined.
+MAP_ROWS = 500
+
 TRIAL_COLUMNS = ("nct_id", "brief_title", "sponsor_name", "interventions")
 
 _DRUG_PATH = fixed.FIELD_PATHS["interventionName"]
@@ -33,6 +37,12 @@ _SPONSOR_PATH = fixed.FIELD_PATHS["sponsorName"]
 # --- names and aliases ----------------------------------------------------------------
 
 
+def _is_drug(item: Column) -> Column:
+    # Markers hold no outer blanks, so the raw names can be tested before they are trimmed.
+    named = (item["type"] == "DRUG") & (strip(item["name"]) != "")
+    return F.coalesce(named & ~is_placebo(item["name"], item["otherNames"]), F.lit(False))
+
+
 def drug_rows(trials: DataFrame, *carried: str) -> DataFrame:
     """One row per drug of a trial: ``nct_id``, ``place``, ``name``, ``other_names``.
 
@@ -42,10 +52,7 @@ def drug_rows(trials: DataFrame, *carried: str) -> DataFrame:
     listed = trials.filter(F.col("nct_id").isNotNull()).select(
         "nct_id", *carried, F.posexplode("interventions").alias("place", "item")
     )
-    # Markers hold no outer blanks, so the raw names can be tested before they are trimmed.
-    kept = listed.filter((F.col("item.type") == "DRUG") & (strip(F.col("item.name")) != "")).filter(
-        ~is_placebo(F.col("item.name"), F.col("item.otherNames"))
-    )
+    kept = listed.filter(_is_drug(F.col("item")))
     others = F.filter(F.transform("item.otherNames", strip), lambda o: o.isNotNull() & (o != ""))
     return kept.select(
         "nct_id", *carried, "place", strip(F.col("item.name")).alias("name"), others.alias("other_names")
@@ -149,34 +156,53 @@ def trial_drugs(trials: DataFrame, components: tuple[DataFrame, int]) -> DataFra
     """One row per trial with a drug: its drug names, and its distinct resolved drugs.
 
     ``names`` are the literal names in record order; ``drugs`` pairs the node id
-    of each resolved drug with the first literal name it has in this record.
+    of each resolved drug with the first literal name it has in this record. A
+    record's list stays a list, so nothing is shuffled; merged names are looked
+    up in a map, or by a join of the exploded lists where there are too many.
     """
+    table, size = components
+    if size > MAP_ROWS:
+        listed = _joined_drugs(trials, components)
+    else:
+        kept = F.filter("interventions", _is_drug)
+        names = F.transform(kept, lambda x: strip(x["name"]))
+        listed = trials.filter(F.col("nct_id").isNotNull()).select("nct_id", "brief_title", "sponsor_name", names.alias("names"))
+        listed = listed.filter(F.size("names") > 0)
+        canon: Callable[[Column], Column] = drug_key
+        if size:
+            roots = table.agg(F.map_from_entries(F.collect_list(F.struct("key", "root"))).alias("roots")).scalar()
+            listed = listed.withColumn("roots", roots)
+            canon = lambda name: F.coalesce(F.try_element_at(F.col("roots"), drug_key(name)), drug_key(name))
+        listed = listed.withColumn("ids", F.transform("names", lambda n: node_id("drug", canon(n))))
+    drugs = F.transform(
+        F.array_sort(F.array_distinct("ids")),
+        lambda d: F.struct(
+            d.alias("id"), F.get("names", (F.array_position("ids", d) - 1).cast("int")).alias("name")
+        ),
+    )
+    return listed.select("nct_id", "brief_title", "sponsor_name", "names", drugs.alias("drugs"))
+
+
+def _joined_drugs(trials: DataFrame, components: tuple[DataFrame, int]) -> DataFrame:
     rows = drug_rows(trials, "brief_title", "sponsor_name").withColumn("key", drug_key(F.col("name")))
     rows = resolve(rows, components).withColumn("id", node_id("drug", F.col("canon")))
-    # Regroups what one record's list held before it was exploded.
     grouped = rows.groupBy("nct_id").agg(
         F.first("brief_title").alias("brief_title"),
         F.first("sponsor_name").alias("sponsor_name"),
         F.sort_array(F.collect_list(F.struct("place", "name", "id"))).alias("items"),
     )
-    listed = grouped.select(
+    return grouped.select(
         "nct_id", "brief_title", "sponsor_name", F.col("items.name").alias("names"), F.col("items.id").alias("ids")
     )
-    drugs = F.transform(
-        F.array_sort(F.array_distinct("ids")),
-        lambda d: F.struct(
-            d.alias("id"), F.get("names", (F.array_position("ids", d) - 1).cast("int")).alias("name")
-        ),
-    )
-    return listed.select("nct_id", "brief_title", "sponsor_name", "names", drugs.alias("drugs"))
 
 
-def _pairs(resolved: DataFrame, max_drugs: int) -> DataFrame:
-    """Unordered drug pairs of a trial; larger trials are skipped, see ``summary``.
+def _pairs(resolved: DataFrame, max_drugs: int | None) -> DataFrame:
+    """Unordered drug pairs of a trial.
 
-    The guard bounds the fan-out of one record at max_drugs^2 / 2 pairs.
+    With ``max_drugs`` larger trials are skipped and counted in ``summary``; the
+    fan-out of one record is then at most max_drugs^2 / 2 pairs.
     """
-    small = resolved.filter(F.size("drugs") <= max_drugs)
+    small = resolved if max_drugs is None else resolved.filter(F.size("drugs") <= max_drugs)
     return small.select(
         "nct_id",
         F.col("drugs").alias("all"),
@@ -198,9 +224,13 @@ def _sponsor_pairs(resolved: DataFrame) -> DataFrame:
     )
 
 
-def _drug_node_labels(mentions: DataFrame, components: tuple[DataFrame, int]) -> DataFrame:
-    labels = drug_labels(mentions, components)
-    return labels.select(node_id("drug", F.col("canon")).alias("id"), "label")
+def _drug_node_labels(mentions: DataFrame, components: tuple[DataFrame, int], shown: DataFrame | None = None) -> DataFrame:
+    """``id`` -> ``label`` of all drugs, or of the ``shown`` ids only, chosen before the labels are."""
+    names = resolve(mentions, components).withColumn("id", node_id("drug", F.col("canon")))
+    if shown is not None:
+        names = names.join(shown.select("id"), "id", "left_semi")
+    names = names.groupBy("id", "name").agg(F.sum("mentions").alias("n"), F.min("first").alias("seen"))
+    return _most_frequent(names, "id")
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -218,9 +248,9 @@ class Network:
     mentions: DataFrame
     components: tuple[DataFrame, int]
     resolved: DataFrame
-    max_nodes: int
+    max_nodes: int | None
     min_edge_weight: int
-    max_drugs_per_trial: int
+    max_drugs_per_trial: int | None
     evidence_limit: int
 
     @cached_property
@@ -231,14 +261,21 @@ class Network:
         return _pairs(self.resolved, self.max_drugs_per_trial)
 
     @cached_property
-    def weights(self) -> DataFrame:
-        """Kept edges with their weight: distinct trials. Stored, as four tables read it.
+    def all_weights(self) -> DataFrame:
+        """All edges with their weight: distinct trials. Stored, as the other tables read it."""
+        return cut_lineage(self.links.groupBy("source", "target").agg(F.count(F.lit(1)).alias("weight")), "edges")
 
-        Edges below the weight are pruned, then all but the ``max_nodes`` nodes
-        of highest degree and the edges between them.
-        """
-        weights = self.links.groupBy("source", "target").agg(F.count(F.lit(1)).alias("weight"))
-        heavy = cut_lineage(weights.filter(F.col("weight") >= self.min_edge_weight), "edges")
+    @cached_property
+    def heavy(self) -> DataFrame:
+        """Edges of at least the minimum weight."""
+        return self.all_weights.filter(F.col("weight") >= self.min_edge_weight) if self.min_edge_weight > 1 else self.all_weights
+
+    @cached_property
+    def weights(self) -> DataFrame:
+        """Kept edges: those between the ``max_nodes`` nodes of highest degree, or all."""
+        heavy = self.heavy
+        if self.max_nodes is None:
+            return heavy
         top = degrees(heavy).orderBy(F.col("degree").desc(), "id").limit(self.max_nodes).select("id")
         if self.max_nodes <= BROADCAST_ROWS:
             top = F.broadcast(top)
@@ -249,12 +286,14 @@ class Network:
     @cached_property
     def nodes(self) -> DataFrame:
         """``id, label, kind, degree`` of every endpoint left, by falling degree."""
-        labels = _drug_node_labels(self.mentions, self.components)
+        ends = degrees(self.weights)
+        shown = None if self.max_nodes is None else ends
+        labels = _drug_node_labels(self.mentions, self.components, shown)
         if self.kind == "sponsor_drug":
             labels = labels.unionByName(
                 sponsor_labels(self.trials).select(node_id("sponsor", F.col("sponsor")).alias("id"), "label")
             )
-        joined = degrees(self.weights).join(labels, "id", "left")
+        joined = ends.join(labels, "id", "left")
         kind = F.split_part(F.col("id"), F.lit(":"), F.lit(1))
         return joined.select("id", F.coalesce("label", "id").alias("label"), kind.alias("kind"), "degree").orderBy(
             F.col("degree").desc(), "id"
@@ -267,23 +306,26 @@ class Network:
         The two citations of an edge, one per endpoint, quote the literal names
         in its trial with the smallest id.
         """
-        kept = self.weights.select("source", "target")
         # max_nodes nodes have at most max_nodes^2 / 2 edges between them.
-        if self.max_nodes**2 <= 2 * BROADCAST_ROWS:
-            kept = F.broadcast(kept)
-        linked = self.links.join(kept, ["source", "target"], "left_semi")
+        few = self.max_nodes is not None and self.max_nodes**2 <= 2 * BROADCAST_ROWS
+        linked = self.links
+        if self.max_nodes is not None or self.min_edge_weight > 1:
+            kept = self.weights.select("source", "target")
+            linked = linked.join(F.broadcast(kept) if few else kept, ["source", "target"], "left_semi")
         sampled = first_per_bucket(linked, ["source", "target"], self.evidence_limit)
         ids = sampled.groupBy("source", "target").agg(
             F.sort_array(F.collect_list("nct_id")).alias("source_ids")
         )
-        ids = ids.withColumn("nct_id", F.get("source_ids", 0))
-        shown = F.broadcast(ids) if self.max_nodes**2 <= 2 * BROADCAST_ROWS else ids
-        cited = self.resolved.join(shown, "nct_id").select(
-            "source", "target", "source_ids", F.array(self._source_citation(), self._drug_citation("target")).alias("citations")
+        # Only the ends and one id go to the records; the id lists meet the edges at the end.
+        first = ids.select("source", "target", F.get("source_ids", 0).alias("nct_id"))
+        cited = self.resolved.join(F.broadcast(first) if few else first, "nct_id").select(
+            "source", "target", F.array(self._source_citation(), self._drug_citation("target")).alias("citations")
         )
         return (
-            self.weights.join(cited, ["source", "target"])
+            self.weights.join(ids, ["source", "target"])
+            .join(cited, ["source", "target"])
             .withColumn("contributing_count", F.col("weight"))
+            .withColumn("truncated", F.col("weight") > F.size("source_ids"))
             .orderBy(F.col("weight").desc(), "source", "target")
         )
 
@@ -299,18 +341,27 @@ class Network:
 
     @cached_property
     def summary(self) -> DataFrame:
-        """One row: sizes, degeneracy, skipped trials and the share of weight-1 edges."""
+        """One row: sizes, degeneracy, what the options left out, and the share of weight-1 edges."""
         edges = self.weights.agg(
             F.count(F.lit(1)).alias("n_edges"), F.count_if(F.col("weight") == 1).alias("weight1_edges")
         )
         nodes = degrees(self.weights).agg(F.count(F.lit(1)).alias("n"))
         distinct = self.trials.agg(F.count("nct_id").alias("n"))
-        skipped = self.resolved.agg(F.count_if(F.size("drugs") > self.max_drugs_per_trial).alias("n"))
+        none = F.lit(0).cast("long")
+        skips = self.kind == "drug_drug" and self.max_drugs_per_trial is not None
+        skipped = self.resolved.agg(F.count_if(F.size("drugs") > self.max_drugs_per_trial).alias("n")).scalar() if skips else none
+        pruned = self.all_weights.agg(F.count_if(F.col("weight") < self.min_edge_weight).alias("n")).scalar()
+        capped = self.max_nodes is not None
+        heavy = self.heavy.agg(F.count(F.lit(1)).alias("n")).scalar()
+        ends = degrees(self.heavy).agg(F.count(F.lit(1)).alias("n")).scalar()
         row = edges.select(
             distinct.scalar().alias("distinct_trials"),
             nodes.scalar().alias("n_nodes"),
             "n_edges",
-            (F.lit(0).cast("long") if self.kind == "sponsor_drug" else skipped.scalar()).alias("skipped_trials"),
+            skipped.alias("skipped_trials"),
+            pruned.alias("pruned_edges"),
+            (F.greatest(none, ends - self.max_nodes) if capped else none).alias("dropped_nodes"),
+            (heavy - F.col("n_edges") if capped else none).alias("dropped_edges"),
             "weight1_edges",
         )
         n, ones = F.col("n_edges"), F.col("weight1_edges")
@@ -320,35 +371,53 @@ class Network:
             ((F.col("n_nodes") <= 1) | (n == 0)).alias("degenerate"),
         )
 
-    @cached_property
-    def fallback(self) -> DataFrame:
+    def frequencies(self, top_n: int | None = None) -> DataFrame:
         """Drug-frequency bar, for when the graph is degenerate: see :func:`drug_frequencies`."""
-        return drug_frequencies(self.resolved, self.mentions, self.components, evidence_limit=self.evidence_limit)
+        return drug_frequencies(self.resolved, self.mentions, self.components, top_n, self.evidence_limit)
+
+    @property
+    def fallback(self) -> DataFrame:
+        """The bar of all drugs."""
+        return self.frequencies()
 
 
 def drug_frequencies(
     resolved: DataFrame,
     mentions: DataFrame,
     components: tuple[DataFrame, int],
-    top_n: int = fixed.FALLBACK_TOP_N,
+    top_n: int | None = None,
     evidence_limit: int = fixed.EVIDENCE_LIMIT,
 ) -> DataFrame:
-    """The ``top_n`` drugs by distinct trials, each cited by its own name in a record."""
+    """Drugs by distinct trials, each cited by its own name in a record; with ``top_n`` the first ones.
+
+    Every row holds the totals: ``drugs_total`` drugs in ``trials_total`` trials.
+    Counts choose the drugs (those that tie with the last included) before any
+    label is made.
+    """
     rows = resolved.select("nct_id", "brief_title", "names", F.explode("drugs").alias("drug")).select(
         "nct_id", "brief_title", "names", "drug.id", "drug.name"
     )
     counts = rows.groupBy("id").agg(F.count(F.lit(1)).alias("count_trials"))
-    total = counts.agg(F.count(F.lit(1)).alias("n"))
-    ranked = counts.join(_drug_node_labels(mentions, components), "id")
-    top = ranked.orderBy(F.col("count_trials").desc(), "label").limit(top_n)
-    shown = F.broadcast(top.select("id")) if top_n <= BROADCAST_ROWS else top.select("id")
-    sampled = first_per_bucket(rows.join(shown, "id", "left_semi"), ["id"], evidence_limit)
+    counts = cut_lineage(counts, "frequencies")
+    total = counts.agg(F.count(F.lit(1)).alias("n")).scalar()
+    if top_n is None:
+        top = counts.join(_drug_node_labels(mentions, components), "id")
+    else:
+        least = counts.select("count_trials").orderBy(F.col("count_trials").desc()).limit(top_n).agg(F.min("count_trials").alias("n"))
+        most = counts.filter(F.col("count_trials") >= least.scalar())
+        top = most.join(_drug_node_labels(mentions, components, most), "id")
+        top = top.orderBy(F.col("count_trials").desc(), "label").limit(top_n)
+        few = top.select("id")
+        rows = rows.join(F.broadcast(few) if top_n <= BROADCAST_ROWS else few, "id", "left_semi")
+    sampled = first_per_bucket(rows, ["id"], evidence_limit)
     quoted = citation(_DRUG_PATH, F.col("names"), True, F.col("name"))
     evidence = collect_citations(sampled.withColumn("citation", quoted), ["id"])
     buckets = top.withColumn("value", F.col("label")).withColumn("count_mentions", F.col("count_trials"))
     return (
         with_evidence(buckets, evidence, ["id"])
-        .withColumn("buckets_truncated", total.scalar() > F.lit(top_n))
+        .withColumn("drugs_total", total)
+        .withColumn("trials_total", resolved.agg(F.count_if(F.size("drugs") > 0).alias("n")).scalar())
+        .withColumn("buckets_truncated", F.lit(False) if top_n is None else total > F.lit(top_n))
         .drop("id")
         .orderBy(F.col("count_trials").desc(), "label")
     )
@@ -360,15 +429,16 @@ def build_network(
     *,
     unique_ids: bool = False,
     order_column: str | None = None,
-    max_nodes: int = fixed.MAX_NODES,
-    min_edge_weight: int | None = None,
-    max_drugs_per_trial: int = fixed.MAX_DRUGS_PER_TRIAL,
+    max_nodes: int | None = None,
+    min_edge_weight: int = 1,
+    max_drugs_per_trial: int | None = None,
     evidence_limit: int = fixed.EVIDENCE_LIMIT,
 ) -> Network:
     """Resolve the names and store one resolved row per trial; the graph reads that.
 
-    The minimum edge weight is 2 for ``drug_drug`` and 1 for ``sponsor_drug``
-    unless given.
+    Everything is kept unless an option says otherwise: ``max_nodes`` of highest
+    degree, a minimum edge weight, a maximum of drugs per trial. ``summary``
+    counts what they leave out.
     """
     if kind not in KINDS:
         raise ValueError(f"unknown network kind {kind!r}; known: {list(KINDS)}")
@@ -388,7 +458,7 @@ def build_network(
         components=components,
         resolved=resolved,
         max_nodes=max_nodes,
-        min_edge_weight=fixed.MIN_EDGE_WEIGHT[kind] if min_edge_weight is None else min_edge_weight,
+        min_edge_weight=min_edge_weight,
         max_drugs_per_trial=max_drugs_per_trial,
         evidence_limit=evidence_limit,
     )

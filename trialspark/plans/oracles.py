@@ -52,7 +52,7 @@ def _title(column: str) -> str:
 _STUDIES = f"""
 base AS (
   SELECT o_orderkey AS k,
-    'NCT' || lpad(CAST(o_orderkey AS VARCHAR), 8, '0') AS nct_id,
+    'NCT' || lpad(CAST(o_orderkey AS VARCHAR), CAST(greatest(8, length(CAST(o_orderkey AS VARCHAR))) AS INTEGER), '0') AS nct_id,
     CASE WHEN o_orderkey % 13 = 0 THEN ''
          WHEN o_orderkey % 11 <> 0 THEN 'Study ' || o_orderkey || ' of ' || lower(c_mktsegment) END AS brief_title,
     CASE WHEN o_orderpriority = '5-LOW' THEN 'OBSERVATIONAL' ELSE 'INTERVENTIONAL' END AS study_type,
@@ -127,7 +127,7 @@ seen AS (
   FROM base LEFT JOIN (SELECT DISTINCT k, country FROM loc) c ON c.k = base.k
 ),
 iv AS (
-  SELECT k, 'NCT' || lpad(CAST(k AS VARCHAR), 8, '0') AS nct_id, type, name, others,
+  SELECT k, 'NCT' || lpad(CAST(k AS VARCHAR), CAST(greatest(8, length(CAST(k AS VARCHAR))) AS INTEGER), '0') AS nct_id, type, name, others,
     row_number() OVER (PARTITION BY k ORDER BY type, name, others) - 1 AS place
   FROM (
     SELECT DISTINCT l_orderkey AS k,
@@ -367,11 +367,8 @@ oracle(
 oracle(
     "population_gates",
     """
-    SELECT n AS of_total, CASE gate WHEN 1 THEN CASE WHEN n > 1000 THEN 'too_large' ELSE 'ok' END WHEN 3 THEN 'empty' ELSE 'ok' END AS status,
-      CASE gate WHEN 0 THEN 'distribution' WHEN 1 THEN CASE WHEN n <= 1000 THEN 'distribution' END
-                WHEN 2 THEN CASE WHEN n > 1000 THEN 'token_counts' ELSE 'distribution' END END AS method, gate
-    FROM (SELECT gate, CASE gate WHEN 3 THEN 0 ELSE (SELECT count(*) FROM base) END AS n
-          FROM (VALUES (0), (1), (2), (3)) AS g(gate))
+    SELECT n AS of_total, CASE WHEN n = 0 THEN 'empty' ELSE 'ok' END AS status, gate
+    FROM (SELECT gate, CASE gate WHEN 1 THEN 0 ELSE (SELECT count(*) FROM base) END AS n FROM (VALUES (0), (1)) AS g(gate))
     """,
 )
 
@@ -454,7 +451,7 @@ oracle(
 _TOKENS = """
     SELECT value, {title} AS label, count(*) AS count_trials, count(*) AS count_mentions, false AS derived,
       count(*) > 10 AS citations_truncated,
-      string_agg(nct_id, ',' ORDER BY nct_id) FILTER (WHERE place <= 10) AS source_ids
+      string_agg(nct_id, ',' ORDER BY nct_id) FILTER (WHERE place <= 20) AS source_ids
     FROM (SELECT nct_id, value, row_number() OVER (PARTITION BY value ORDER BY nct_id) AS place FROM ({rows}))
     GROUP BY value
 """
@@ -736,16 +733,15 @@ _compare(
 ORACLES["compare_country_top5"] = ORACLES["compare_country_top5"].replace(
     "GROUP BY arm, value))", "GROUP BY arm, value) _x)"
 )
-oracle(
-    "compare_arms",
-    """
-    SELECT CAST(y - 1995 AS INT) AS arm, 'Since ' || y AS series, y >= 2000 AS dropped,
-      CASE WHEN y < 2000 THEN (SELECT count(*) FROM dated WHERE start_year >= y) END AS arm_total,
-      CASE y WHEN 1995 THEN 10 WHEN 1996 THEN 20 END - (SELECT count(*) FROM dated WHERE start_year >= y) AS drift,
+_ARM_TOTALS = """
+    SELECT CAST(y - 1995 AS INT) AS arm, 'Since ' || y AS series, y >= {end} AS dropped,
+      CASE WHEN y < {end} THEN (SELECT count(*) FROM dated WHERE start_year >= y) END AS arm_total,
+      CASE y {declared} END - (SELECT count(*) FROM dated WHERE start_year >= y) AS drift,
       'ok' AS status
     FROM (SELECT unnest(generate_series(1995, 2001)) AS y)
-    """,
-)
+"""
+oracle("compare_arms", _ARM_TOTALS.format(end=2002, declared="WHEN 1995 THEN 10 WHEN 1996 THEN 20"))
+oracle("compare_arms_capped", _ARM_TOTALS.format(end=2000, declared="WHEN 1995 THEN 10"))
 
 # --- network ------------------------------------------------------------------------------------------------
 
@@ -765,6 +761,7 @@ _DRUG_LINKS = """links AS (
   SELECT x.nct_id, least(x.id, y.id) AS source, greatest(x.id, y.id) AS target
   FROM trial_drugs x JOIN trial_drugs y ON y.nct_id = x.nct_id AND y.canon > x.canon
   WHERE x.nct_id IN (SELECT nct_id FROM trial_drugs GROUP BY nct_id HAVING count(*) <= {guard}))"""
+_NO_LIMIT = 1_000_000_000
 _SPONSOR_LINKS = f"""links AS (
   SELECT d.nct_id, 'sponsor:' || {_slug('s.sponsor')} AS source, d.id AS target
   FROM trial_drugs d JOIN sponsors s ON s.nct_id = d.nct_id)"""
@@ -773,10 +770,12 @@ _SPONSOR_LINKS = f"""links AS (
 def _graph_ctes(links: str, weight: int, nodes: int) -> tuple[str, ...]:
     return (
         links,
-        f"heavy AS (SELECT source, target, count(*) AS weight FROM links GROUP BY 1, 2 HAVING count(*) >= {weight})",
-        f"""top AS (SELECT id FROM (SELECT source AS id FROM heavy UNION ALL SELECT target FROM heavy)
-             GROUP BY id ORDER BY count(*) DESC, id LIMIT {nodes})""",
-        "kept AS (SELECT * FROM heavy WHERE source IN (SELECT id FROM top) AND target IN (SELECT id FROM top))",
+        "weighed AS MATERIALIZED (SELECT source, target, count(*) AS weight FROM links GROUP BY 1, 2)",
+        f"heavy AS MATERIALIZED (SELECT * FROM weighed WHERE weight >= {weight})",
+        """heavy_ends AS (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM heavy UNION ALL SELECT target FROM heavy)
+             GROUP BY id)""",
+        f"top AS (SELECT id FROM heavy_ends ORDER BY degree DESC, id LIMIT {nodes})",
+        "kept AS MATERIALIZED (SELECT * FROM heavy WHERE source IN (SELECT id FROM top) AND target IN (SELECT id FROM top))",
         "ends AS (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM kept UNION ALL SELECT target FROM kept) GROUP BY id)",
         f"""labels AS (SELECT 'drug:' || {_slug('canon')} AS id, label FROM drug_labels
              UNION ALL SELECT 'sponsor:' || {_slug('sponsor')}, label FROM sponsor_labels)""",
@@ -790,12 +789,13 @@ _NODES = "SELECT e.id, l.label, split_part(e.id, ':', 1) AS kind, e.degree FROM
 _EDGES = """
     SELECT source, target, weight, ids AS source_ids, source_quote, target_quote,
       CASE WHEN b.brief_title <> '' THEN b.brief_title ELSE source_quote END AS source_excerpt,
-      (SELECT string_agg(name, ';' ORDER BY place) FROM drugs WHERE drugs.nct_id = first) AS drug_names,
+      listed.drug_names,
       true AS quotes_hold
     FROM (
       SELECT k.source, k.target, k.weight, string_agg(s.nct_id, ',' ORDER BY s.nct_id) AS ids, min(s.nct_id) AS first
       FROM kept k JOIN sampled s ON s.source = k.source AND s.target = k.target GROUP BY 1, 2, 3) e
     JOIN base b ON b.nct_id = e.first
+    JOIN (SELECT nct_id, string_agg(name, ';' ORDER BY place) AS drug_names FROM drugs GROUP BY nct_id) listed ON listed.nct_id = e.first
     JOIN quotes x ON x.nct_id = e.first AND x.id = e.source
     JOIN quotes y ON y.nct_id = e.first AND y.id = e.target
 """
@@ -805,18 +805,23 @@ _QUOTES = f"""quotes(nct_id, id, source_quote, target_quote) AS (
 _EDGES = _EDGES.replace("source_quote, target_quote,\n", "x.source_quote, y.target_quote,\n").replace(
     "ELSE source_quote END", "ELSE x.source_quote END"
 )
-_drug_graph = _graph_ctes(_DRUG_LINKS.format(guard=25), 2, 60)
-_sponsor_graph = _graph_ctes(_SPONSOR_LINKS, 1, 60)
+_drug_graph = _graph_ctes(_DRUG_LINKS.format(guard=_NO_LIMIT), 1, _NO_LIMIT)
+_sponsor_graph = _graph_ctes(_SPONSOR_LINKS, 1, _NO_LIMIT)
+_capped_graph = _graph_ctes(_DRUG_LINKS.format(guard=25), 2, 60)
 oracle("drug_drug_nodes", _NODES, *_drug_graph)
 oracle("drug_drug_edges", _EDGES, *_drug_graph, _QUOTES)
+oracle("drug_drug_nodes_capped", _NODES, *_capped_graph)
 oracle("sponsor_drug_nodes", _NODES, *_sponsor_graph)
 oracle("sponsor_drug_edges", _EDGES, *_sponsor_graph, _QUOTES)
 _SUMMARY = """
-    SELECT distinct_trials, n_nodes, n_edges, skipped_trials, weight1_edges,
+    SELECT distinct_trials, n_nodes, n_edges, skipped_trials, pruned_edges, dropped_nodes, dropped_edges, weight1_edges,
       CASE WHEN n_edges > 0 THEN (200 * weight1_edges + n_edges) // (2 * n_edges) END AS weight1_percent,
       n_nodes <= 1 OR n_edges = 0 AS degenerate
     FROM (SELECT (SELECT count(*) FROM base) AS distinct_trials, (SELECT count(*) FROM ends) AS n_nodes,
       (SELECT count(*) FROM kept) AS n_edges, {skipped} AS skipped_trials,
+      (SELECT count(*) FROM weighed) - (SELECT count(*) FROM heavy) AS pruned_edges,
+      (SELECT count(*) FROM heavy_ends) - (SELECT count(*) FROM top) AS dropped_nodes,
+      (SELECT count(*) FROM heavy) - (SELECT count(*) FROM kept) AS dropped_edges,
       (SELECT count(*) FROM kept WHERE weight = 1) AS weight1_edges)
 """
 oracle("sponsor_drug_summary", _SUMMARY.format(skipped="CAST(0 AS BIGINT)"), *_sponsor_graph)
@@ -827,19 +832,19 @@ oracle(
     ),
     *_graph_ctes(_DRUG_LINKS.format(guard=3), 4, 30),
 )
-oracle(
-    "drug_frequency_fallback",
-    """
+_FREQUENCIES = """
     SELECT label AS value, n AS count_trials, n > 20 AS citations_truncated,
-      (SELECT count(DISTINCT canon) > 25 FROM trial_drugs) AS buckets_truncated, ids AS source_ids, quotes AS matched
+      (SELECT count(DISTINCT canon) FROM trial_drugs) AS drugs_total, (SELECT count(DISTINCT nct_id) FROM trial_drugs) AS trials_total,
+      (SELECT count(DISTINCT canon) > {n} FROM trial_drugs) AS buckets_truncated, ids AS source_ids, quotes AS matched
     FROM (
       SELECT l.label, count(*) AS n, string_agg(nct_id, ',' ORDER BY nct_id) FILTER (WHERE place <= 20) AS ids,
         string_agg(name, ';' ORDER BY nct_id) FILTER (WHERE place <= 20) AS quotes
       FROM (SELECT *, row_number() OVER (PARTITION BY canon ORDER BY nct_id) AS place FROM trial_drugs) d
       JOIN drug_labels l ON l.canon = d.canon GROUP BY d.canon, l.label)
-    ORDER BY n DESC, label LIMIT 25
-    """,
-)
+    ORDER BY n DESC, label LIMIT {n}
+"""
+oracle("drug_frequency_fallback", _FREQUENCIES.format(n=_NO_LIMIT))
+oracle("drug_frequency_top25", _FREQUENCIES.format(n=25))
 
 # --- audits -----------------------------------------------------------------------------------------------
 

@@ -35,7 +35,7 @@ from trialspark.operators.grouping import (
 from trialspark.operators.histogram import duration_histogram
 from trialspark.operators.series import series_summary, timeseries
 from trialspark.session import cut_lineage
-from trialspark.sources.adapter import trials_from_orders
+from trialspark.sources.adapter import nct_id, trials_from_orders
 from trialspark.sources.reader import dedupe_trials, flatten_studies, is_valid_nct_id, nest_studies, split_valid_ids
 from trialspark.sources.schema import TRIALS
 from trialspark.sources.sink import result_edges, result_rows
@@ -118,7 +118,7 @@ def nested_paths(spark, sf_dir):
 def id_validity(spark, sf_dir):
     """Well-formed ids among damaged ones: case, line feed, length, blank, foreign digit."""
     key = F.col("o_orderkey")
-    good = F.concat(F.lit("NCT"), F.lpad(key.cast("string"), 8, "0"))
+    good = nct_id(key)
     damaged = (
         F.when(key % 8 == 1, F.lower(good))
         .when(key % 8 == 2, F.concat(good, F.lit("\n")))
@@ -135,9 +135,9 @@ def id_validity(spark, sf_dir):
 
 def _with_repeats(trials: DataFrame) -> DataFrame:
     """Repeat a quarter of the rows later in the walk, some of them without an id."""
-    number = F.substring("nct_id", 4, 8).cast("int")
-    walk = trials.withColumn("walk", number)
-    later = walk.filter(number % 4 == 0).withColumn("walk", number + 100_000_000)
+    number = F.expr("substring(nct_id, 4)").cast("long")
+    walk = trials.withColumns({"walk": 2 * number, "repeat": F.lit(False)})
+    later = walk.filter(number % 4 == 0).withColumns({"walk": F.col("walk") + 1, "repeat": F.lit(True)})
     return walk.unionByName(
         later.withColumn("nct_id", F.when(number % 28 != 0, F.col("nct_id")))
     )
@@ -148,7 +148,7 @@ def first_row_wins(spark, sf_dir):
     """One row per trial, the first in walk order, from a table with repeats."""
     trials = _with_repeats(_trials(spark, sf_dir, "overall_status"))
     changed = trials.withColumn(
-        "overall_status", F.when(F.col("walk") >= 100_000_000, "WITHDRAWN").otherwise(F.col("overall_status"))
+        "overall_status", F.when(F.col("repeat"), "WITHDRAWN").otherwise(F.col("overall_status"))
     )
     return dedupe_trials(changed, "walk").select("nct_id", "overall_status")
 
@@ -291,7 +291,7 @@ def trial_count(spark, sf_dir):
 def trial_card(spark, sf_dir):
     """Single value with its evidence."""
     trials = _trials(spark, sf_dir, "overall_status", "brief_title")
-    card = single_value(filter_trials(trials, {"overallStatus": "RECRUITING"}))
+    card = single_value(filter_trials(trials, {"overallStatus": "RECRUITING"}), unique_ids=True)
     return card.select(
         "value", "label", "count_trials", _join("source_ids").alias("source_ids"), "citations_truncated", "answer"
     )
@@ -301,18 +301,17 @@ def trial_card(spark, sf_dir):
 def empty_card(spark, sf_dir):
     """A count of zero is a result."""
     trials = _trials(spark, sf_dir, "overall_status", "brief_title")
-    card = single_value(filter_trials(trials, {"overallStatus": "WITHHELD"}))
+    card = single_value(filter_trials(trials, {"overallStatus": "WITHHELD"}), unique_ids=True)
     return card.select("value", "label", "count_trials", F.size("citations").alias("cited"), "answer")
 
 
 @query
 def population_gates(spark, sf_dir):
-    trials = _for_fields(spark, sf_dir, "phase", "overallStatus")
+    """The exact total, and whether there is anything to chart."""
+    trials = _for_fields(spark, sf_dir, "overallStatus")
     gates = [
-        population_gate(trials, "phase"),
-        population_gate(trials, "phase", 1000),
-        population_gate(trials, "overallStatus", 1000),
-        population_gate(filter_trials(trials, {"overallStatus": "WITHHELD"}), "phase", 1000),
+        population_gate(trials, unique_ids=True),
+        population_gate(filter_trials(trials, {"overallStatus": "WITHHELD"}), unique_ids=True),
     ]
     table = gates[0].withColumn("gate", F.lit(0))
     for place, gate in enumerate(gates[1:], 1):
@@ -407,7 +406,7 @@ def distribution_status_repeats(spark, sf_dir):
     """A repeated trial counts once, in the bucket of its first row."""
     trials = _with_repeats(_for_fields(spark, sf_dir, "overallStatus"))
     changed = trials.withColumn(
-        "overall_status", F.when(F.col("walk") >= 100_000_000, "WITHDRAWN").otherwise(F.col("overall_status"))
+        "overall_status", F.when(F.col("repeat"), "WITHDRAWN").otherwise(F.col("overall_status"))
     )
     return _bars(distribution(changed, "overallStatus", order_column="walk", evidence_limit=0, sort=False), "overallStatus")
 
@@ -508,7 +507,7 @@ def series_notes(spark, sf_dir):
 def series_one_year(spark, sf_dir):
     """Events of a single year: one point is not a trend."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select(
-        F.concat(F.lit("NCT"), F.lpad(F.col("event_id").cast("string"), 8, "0")).alias("nct_id"),
+        nct_id(F.col("event_id")).alias("nct_id"),
         F.date_format("ts", "yyyy-MM-dd").alias("start_date"),
     )
     return series_summary(timeseries(events, current_year=2030, unique_ids=True, evidence_limit=0))
@@ -579,9 +578,16 @@ def compare_country_top5(spark, sf_dir):
 
 @query
 def compare_arms(spark, sf_dir):
-    """Arm totals, declared totals and the arms beyond the limit."""
+    """Totals of seven arms, two of them with a declared total."""
     trials = trials_from_orders(spark, sf_dir, compare_columns("phase", _MANY_ARMS) - {"brief_title"})
-    return compare_summary(trials, _MANY_ARMS, declared={"Since 1995": 10, "Since 1996": 20})
+    return compare_summary(trials, _MANY_ARMS, declared={"Since 1995": 10, "Since 1996": 20}, unique_ids=True)
+
+
+@query
+def compare_arms_capped(spark, sf_dir):
+    """The option to compare the first five arms only; the others are named as dropped."""
+    trials = trials_from_orders(spark, sf_dir, compare_columns("phase", _MANY_ARMS) - {"brief_title"})
+    return compare_summary(trials, _MANY_ARMS, declared={"Since 1995": 10}, unique_ids=True, max_arms=5)
 
 
 # --- network ----------------------------------------------------------------------------------------
@@ -652,9 +658,15 @@ def drug_drug_edges(spark, sf_dir):
     return _edge_text(_graph(spark, sf_dir, "drug_drug").edges)
 
 
+@query
+def drug_drug_nodes_capped(spark, sf_dir):
+    """The options of a small picture: 60 nodes, edges of two trials or more, trials of up to 25 drugs."""
+    return _graph(spark, sf_dir, "drug_drug", max_nodes=60, min_edge_weight=2, max_drugs_per_trial=25).nodes
+
+
 @query
 def drug_drug_guarded(spark, sf_dir):
-    """A low basket guard and a high weight: skipped trials are counted, not hidden."""
+    """The options to leave out, set low: what they leave out is counted."""
     return _graph(spark, sf_dir, "drug_drug", max_drugs_per_trial=3, min_edge_weight=4, max_nodes=30).summary
 
 
@@ -675,10 +687,19 @@ def sponsor_drug_summary(spark, sf_dir):
 
 @query
 def drug_frequency_fallback(spark, sf_dir):
-    """The bar shown when a graph is degenerate: top drugs by distinct trials."""
-    bars = _graph(spark, sf_dir, "drug_drug").fallback
+    """The bar shown when a graph is degenerate: drugs by distinct trials, and the totals."""
+    return _frequencies(_graph(spark, sf_dir, "drug_drug").frequencies())
+
+
+@query
+def drug_frequency_top25(spark, sf_dir):
+    """The option to show the 25 most frequent drugs only."""
+    return _frequencies(_graph(spark, sf_dir, "drug_drug").frequencies(25))
+
+
+def _frequencies(bars: DataFrame) -> DataFrame:
     return bars.select(
-        "value", "count_trials", "citations_truncated", "buckets_truncated",
+        "value", "count_trials", "citations_truncated", "drugs_total", "trials_total", "buckets_truncated",
         _join("source_ids").alias("source_ids"),
         _join(F.col("citations.matched_value"), ";").alias("matched"),
     )

@@ -74,8 +74,10 @@ def _spread(df: DataFrame, key: str) -> DataFrame:
 # --- one builder per study column ---------------------------------------------------
 
 
-def _nct_id() -> Column:
-    return F.concat(F.lit("NCT"), F.lpad(F.col("o_orderkey").cast("string"), 8, "0"))
+def nct_id(key: Column) -> Column:
+    """``NCT`` and the key, padded to eight digits; a longer key keeps all of its digits."""
+    digits = key.cast("string")
+    return F.concat(F.lit("NCT"), F.lpad(digits, F.greatest(F.length(digits), F.lit(8)), "0"))
 
 
 def _brief_title() -> Column:
@@ -198,7 +200,7 @@ def _completion_date() -> Column:
 
 
 _COLUMNS = {
-    "nct_id": _nct_id,
+    "nct_id": lambda: nct_id(F.col("o_orderkey")),
     "brief_title": _brief_title,
     "phases": _phases,
     "study_type": _study_type,
