@@ -122,9 +122,11 @@ def test_percent_ties_round_up(study_table):
 def test_arm_limit_and_drift(study_table):
     trials = study_table([{"nct_id": nct(i), "start_date": "2000"} for i in range(4)])
     arms = [Arm(f"a{i}", filters={"start_year": 1999}) for i in range(7)]
-    rows = compare_summary(trials, arms, declared={"a0": 6}).collect()
+    assert not any(r["dropped"] for r in compare_summary(trials, arms).collect())
+    rows = compare_summary(trials, arms, declared={"a0": 6}, max_arms=5).collect()
     assert [r["dropped"] for r in rows] == [False] * 5 + [True] * 2
     assert (rows[0]["arm_total"], rows[0]["drift"], rows[0]["status"]) == (4, 2, "ok")
     empty = compare_summary(trials, [Arm("x", filters={"start_year": 2050}), Arm("y", filters={"start_year": 2051})])
     assert {r["status"] for r in empty.collect()} == {"empty"}
-    assert compare(trials, "phase", arms).select("series").distinct().count() == 5
+    assert compare(trials, "phase", arms).select("series").distinct().count() == 7
+    assert compare(trials, "phase", arms, max_arms=5).select("series").distinct().count() == 5

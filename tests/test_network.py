@@ -6,7 +6,9 @@ from itertools import combinations
 
 import pytest
 from conftest import drug, nct
+from pyspark.sql import functions as F
 
+from trialspark.operators import network
 from trialspark.operators.components import connected_components
 from trialspark.operators.network import alias_pairs, build_network, drug_mentions
 
@@ -53,8 +55,9 @@ def test_sponsor_drug(study_table):
 
 def test_drug_drug_weights_and_prune(study_table):
     trials = study_table([trial(1, "A", "B"), trial(2, "A", "B", "A"), trial(3, "B", "C")])
-    assert edges(build_network(trials, "drug_drug")) == [("drug:a", "drug:b", 2)]
-    assert edges(build_network(trials, "drug_drug", min_edge_weight=1)) == [("drug:a", "drug:b", 2), ("drug:b", "drug:c", 1)]
+    pruned = build_network(trials, "drug_drug", min_edge_weight=2)
+    assert edges(pruned) == [("drug:a", "drug:b", 2)] and pruned.summary.first()["pruned_edges"] == 1
+    assert edges(build_network(trials, "drug_drug")) == [("drug:a", "drug:b", 2), ("drug:b", "drug:c", 1)]
 
 
 def test_only_named_non_placebo_drugs(study_table):
@@ -106,10 +109,10 @@ def test_label_is_the_most_frequent_then_first(study_table):
 def test_basket_guard_is_counted(study_table):
     basket = trial(9, *[f"D{i}" for i in range(26)])
     trials = study_table([trial(1, "D0", "D1"), trial(2, "D0", "D1"), basket])
-    graph = build_network(trials, "drug_drug", min_edge_weight=1)
+    graph = build_network(trials, "drug_drug", max_drugs_per_trial=25)
     assert edges(graph) == [("drug:d0", "drug:d1", 2)]
     assert graph.summary.first()["skipped_trials"] == 1
-    wide = build_network(trials, "drug_drug", min_edge_weight=1, max_drugs_per_trial=26)
+    wide = build_network(trials, "drug_drug")
     assert len(edges(wide)) == 325 and wide.summary.first()["skipped_trials"] == 0
 
 
@@ -119,6 +122,22 @@ def test_node_cap_recomputes_degree(study_table):
     assert nodes(graph) == [
         ("drug:hub", "Hub", "drug", 2), ("drug:leaf0", "Leaf0", "drug", 1), ("drug:leaf1", "Leaf1", "drug", 1),
     ]
+    summary = graph.summary.first()
+    assert (summary["n_edges"], summary["dropped_nodes"], summary["dropped_edges"]) == (2, 3, 3)
+
+
+def test_merged_names_are_joined_where_a_map_would_be_large(study_table, monkeypatch):
+    trials = study_table([trial(i, drug("A", ["B"]), "C") for i in range(3)] + [trial(9, "B", "C")])
+    mapped = edges(build_network(trials, "drug_drug"))
+    monkeypatch.setattr(network, "MAP_ROWS", 0)
+    assert edges(build_network(trials, "drug_drug")) == mapped == [("drug:a", "drug:c", 4)]
+
+
+def test_unique_trials_are_not_regrouped(study_table):
+    trials = study_table([trial(1, "A", "B"), trial(2, "A", "B")])
+    mentions = network.drug_mentions(trials)
+    resolved = network.trial_drugs(trials, (mentions.select("key", F.col("key").alias("root")).limit(0), 0))
+    assert "Exchange" not in resolved._jdf.queryExecution().optimizedPlan().toString() and "Aggregate" not in resolved._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_degenerate_graph_has_a_fallback(study_table):
@@ -128,7 +147,9 @@ def test_degenerate_graph_has_a_fallback(study_table):
     bars = graph.fallback.collect()
     assert [(r["value"], r["count_trials"]) for r in bars] == [("Lonafarnib", 30), ("Other drug", 1)]
     assert bars[0]["citations"][1]["matched_value"] == "Lonafarnib 50 mg" and bars[0]["citations_truncated"]
-    assert not bars[0]["buckets_truncated"]
+    assert not bars[0]["buckets_truncated"] and (bars[0]["drugs_total"], bars[0]["trials_total"]) == (2, 31)
+    top = graph.frequencies(1).collect()
+    assert [(r["value"], r["buckets_truncated"], r["drugs_total"]) for r in top] == [("Lonafarnib", True, 2)]
     nothing = build_network(study_table([trial(1, drug("x", kind="DEVICE"))]), "drug_drug")
     assert nothing.fallback.count() == 0 and nothing.summary.first()["degenerate"]
 

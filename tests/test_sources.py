@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from trialspark import fixed_values as fixed
 from trialspark.functions import paths
+from trialspark.sources import adapter
 from trialspark.sources.reader import (
     dedupe_trials,
     flatten_studies,
@@ -127,3 +128,9 @@ def test_results_are_stored_under_the_contract(spark, study_table, tmp_path):
     with pytest.raises(ValueError):
         write_results(bars, str(tmp_path), "charts")
     assert set(TRIALS.fieldNames()) >= {"nct_id", "conditions"}
+
+
+def test_ids_of_large_keys_stay_apart(spark):
+    keys = [5, 100000001, 100000002, 1000000010, 12345678901]
+    got = spark.createDataFrame([(k,) for k in keys], "k long").select(adapter.nct_id(F.col("k"))).collect()
+    assert [r[0] for r in got] == ["NCT00000005", "NCT100000001", "NCT100000002", "NCT1000000010", "NCT12345678901"]

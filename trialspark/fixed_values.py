@@ -228,3 +228,8 @@ SPONSOR_ALIASES = {"msd": "merck sharp dohme"}
 EVIDENCE_LIMIT = 20
 DRIFT_SHARE = 0.005
 DRIFT_TRIALS = 20
+
+# --- texts of results (fixed values) ---------------------------------------------
+
+# Observed total, expected total, difference.
+DRIFT_NOTE = "%d trials were counted where %d were expected: %d apart, within tolerance."

@@ -871,8 +871,8 @@ oracle(
     "audit_release",
     """
     SELECT r AS result_id, reason IS NULL AS ok, reason,
-      CASE WHEN r = 'small_drift' AND reason IS NULL THEN 'Reconciliation: observed distinct-trial total ' || n
-        || ' differs from the expected total ' || (n + 2) || ' by 2.' END AS disclosure
+      CASE WHEN r = 'small_drift' AND reason IS NULL THEN n || ' trials were counted where '
+        || (n + 2) || ' were expected: 2 apart, within tolerance.' END AS disclosure
     FROM (SELECT r, n, CASE r
         WHEN 'forged_quote' THEN 'citation_invalid' WHEN 'inflated_bar' THEN 'bar_sum_mismatch'
         WHEN 'uncited' THEN 'uncited_datum' WHEN 'large_drift' THEN 'reconciliation_failed'

@@ -2,28 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # A table with at most this many rows may be shipped to every executor.
 BROADCAST_ROWS = 200_000
+# The same for tables with long texts, whose size is measured.
+BROADCAST_BYTES = 32 << 20
+
+_STORED: list[str] = []
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of this session.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local session
-    (a test) that names none gets a folder of its own; on a cluster a missing
-    setting is an error, because a machine-local folder dies with its machine.
+    The cluster names it in ``spark.checkpoint.dir``. Where nothing is set, a
+    folder of the warehouse is used, which driver and executors share as well.
     """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        configured = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        configured = f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(configured)
     return configured
@@ -33,17 +33,32 @@ def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and continue from it.
 
     A lost executor then costs a re-read instead of a recomputation, and later
-    steps scan only the columns they need. The folder's owner clears it.
+    steps scan only the columns they need. :func:`drop_stored` clears them.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/trialspark-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STORED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only when the known row count ``rows`` proves ``df`` small.
+def drop_stored(spark: SparkSession) -> int:
+    """Delete what :func:`cut_lineage` wrote in this session; results that still read it end.
+
+    Returns the number of tables deleted.
+    """
+    paths, _STORED[:] = list(_STORED), []
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    return len(paths)
+
+
+def broadcast_if_small(df: DataFrame, rows: int, size: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast only when the known row count, and size in bytes, prove ``df`` small.
 
-    Above the limit the join stays a shuffle join, and AQE splits skewed keys.
+    Above the limits the join stays a shuffle join, and AQE splits skewed keys.
+    Without a ``size`` rows must be narrow: a few ids or keys.
     """
-    return F.broadcast(df) if rows <= limit else df
+    return F.broadcast(df) if rows <= limit and (size or 0) <= BROADCAST_BYTES else df
