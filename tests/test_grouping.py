@@ -77,7 +77,7 @@ def test_fold_counts_distinct_trials(study_table):
         [{"nct_id": nct(i), "countries_raw": ["A", "B"][: 1 + i % 2]} for i in range(6)]
         + [{"nct_id": nct(10), "countries_raw": ["C", "D"]}, {"nct_id": nct(11), "countries_raw": ["D", "A"]}, {"nct_id": nct(12)}]
     )
-    rows = distribution(trials, "country", top_n=2).collect()
+    rows = distribution(trials, "country", top_n=2, inline_members=True).collect()
     got = [(r["value"], r["label"], r["count_trials"], r["count_mentions"], r["derived"], r["members"]) for r in rows]
     assert got == [
         ("A", "A", 7, 7, False, None),

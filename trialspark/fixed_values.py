@@ -233,3 +233,8 @@ DRIFT_TRIALS = 20
 
 # Observed total, expected total, difference.
 DRIFT_NOTE = "%d trials were counted where %d were expected: %d apart, within tolerance."
+
+OVERLAP_NOTE = "A trial is counted once per value it has, so the bars can sum to more than the trials."
+FOLD_NOTE = "Values beyond the largest are folded into one bar."
+# Trials counted, all trials.
+CUT_NOTE = "The input was cut short: %d of %d trials are counted."

@@ -153,7 +153,7 @@ def distribution(
     top_n: int | None = FROM_SPEC,
     evidence_limit: int = fixed.EVIDENCE_LIMIT,
     by: Sequence[str] = (),
-    inline_members: bool = True,
+    inline_members: bool = False,
     sort: bool = True,
 ) -> DataFrame:
     """Trials per bucket of a field, labelled, ordered, folded and cited.
@@ -172,8 +172,8 @@ def distribution(
     by
         Extra leading group columns (the arms of a comparison).
     inline_members
-        List the folded values on the "Other" row. Turn off for a field whose
-        vocabulary has no bound and read :func:`fold_members` instead.
+        List the folded values on the "Other" row, for a field whose vocabulary
+        is small. Otherwise :func:`fold_members` is the table of them.
     """
     spec = field_spec(field)
     top_n = spec.top_n if top_n == FROM_SPEC else top_n
@@ -191,7 +191,10 @@ def distribution(
         # Stored: the kept values, the folded ones and their number all come from it.
         every = cut_lineage(count_buckets(bucket_rows(rows), spec, by, unique_ids), "buckets")
         exploded = bucket_rows(rows, _own_bucket(every, top_n, by))
-        counts = count_buckets(exploded, spec, by, unique_ids)
+        # Kept values have their counts; only the trials of the tail are counted again.
+        other = count_buckets(exploded.filter(F.col("value") == fixed.OTHER), spec, by, unique_ids)
+        own = F.array_contains(_own_bucket(every, top_n, by), F.col("value")) & (F.col("value") != fixed.OTHER)
+        counts = every.filter(own).unionByName(other)
         buckets = _label_folded(counts, every, spec, top_n, by, inline_members)
     evidence = None
     if evidence_limit:
@@ -304,7 +307,8 @@ def token_counts(
         rows = rows.withColumn("value", F.when(known, F.col("value")))
     else:
         rows = rows.filter(known)
-    counts = count_buckets(rows, spec, (), unique_ids).withColumn("count_mentions", F.col("count_trials"))
+    # Stored: a row per token, read for the tokens and for the residual.
+    counts = cut_lineage(count_buckets(rows, spec, (), unique_ids), "tokens").withColumn("count_mentions", F.col("count_trials"))
     tokens = counts.filter(F.col("value").isNotNull()).select(
         "*", title_case(F.col("value")).alias("label"), F.lit(False).alias("derived")
     )

@@ -9,6 +9,7 @@ from trialspark.functions.dates import ct_year, is_future
 from trialspark.operators.evidence import bucket_evidence, with_evidence
 from trialspark.operators.fields import date_spec
 from trialspark.operators.grouping import keyed_rows
+from trialspark.session import cut_lineage
 
 
 def timeseries(
@@ -32,7 +33,8 @@ def timeseries(
         raise ValueError(f"unknown grain {grain!r}; known: ['year']")
     rows = keyed_rows(trials, spec, (), unique_ids, order_column)
     rows = rows.withColumn("year", ct_year(F.col(spec.columns[0])))
-    counts = rows.groupBy("year").agg(F.count("nct_id").alias("count_trials"))
+    # Stored: a row per year, read for the range, the gaps and the bars; the trials are read once more for evidence.
+    counts = cut_lineage(rows.groupBy("year").agg(F.count("nct_id").alias("count_trials")), "years")
 
     # Gaps lie inside the non-future years. With no such year the range is null
     # and explodes to nothing; it never counts down.

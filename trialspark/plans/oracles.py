@@ -919,3 +919,25 @@ oracle(
     """,
     _RESULTS,
 )
+
+oracle(
+    "nested_source",
+    """
+    SELECT k % 8 AS kind, count(*) AS sent, CASE WHEN k % 8 IN (0, 4, 5, 7) THEN count(*) ELSE 0 END AS survived,
+      CASE WHEN k % 8 = 4 THEN count(*) WHEN k % 8 IN (0, 7) THEN count(*) FILTER (WHERE contains(phase_key, 'PHASE2')) ELSE 0 END AS phase2
+    FROM base JOIN t USING (k) GROUP BY k % 8
+    """,
+)
+oracle(
+    "stored_results",
+    """
+    SELECT r AS result_id, 'PASS' AS i_schema, 'PASS' AS ii_provenance, 'PASS' AS iii_counts, 'PASS' AS iv_reconciliation,
+      CASE r WHEN 'status' THEN '0/0' WHEN 'country' THEN '2/2' ELSE '1/1' END AS v_notes, true AS ok,
+      CASE WHEN r = 'cut_short' THEN 'reconciliation_failed' END AS reason,
+      total.n AS count_total, CASE WHEN r = 'cut_short' THEN completed.n ELSE total.n END AS distinct_trials,
+      CASE r WHEN 'status' THEN total.n WHEN 'country' THEN (SELECT count(*) FROM seen) ELSE completed.n END AS mentions,
+      r = 'cut_short' AS truncated, r = 'cut_short' AS partial, CASE r WHEN 'status' THEN 0 WHEN 'country' THEN 2 ELSE 1 END AS n_notes
+    FROM (VALUES ('status'), ('country'), ('cut_short')) v(r), (SELECT count(*) AS n FROM base) total, completed
+    """,
+    _COMPLETED,
+)

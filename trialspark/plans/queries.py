@@ -6,6 +6,7 @@ that a result is made of scalars.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -34,11 +35,11 @@ from trialspark.operators.grouping import (
 )
 from trialspark.operators.histogram import duration_histogram
 from trialspark.operators.series import series_summary, timeseries
-from trialspark.session import cut_lineage
+from trialspark.session import checkpoint_dir, cut_lineage
 from trialspark.sources.adapter import nct_id, trials_from_orders
-from trialspark.sources.reader import dedupe_trials, flatten_studies, is_valid_nct_id, nest_studies, split_valid_ids
+from trialspark.sources.reader import dedupe_trials, flatten_studies, is_valid_nct_id, nest_studies, parse_studies, split_valid_ids
 from trialspark.sources.schema import TRIALS
-from trialspark.sources.sink import result_edges, result_rows
+from trialspark.sources.sink import conform, read_results, result_edges, result_meta, result_rows, write_results
 
 CURRENT_YEAR = 2000
 
@@ -96,6 +97,30 @@ def study_records(spark, sf_dir):
     )
 
 
+@query
+def nested_source(spark, sf_dir):
+    """Study records as JSON text, some damaged: what survives the lenient schema, and its phases."""
+    trials = trials_from_orders(spark, sf_dir, ("nct_id", "overall_status", "phases"))
+    kind = F.expr("substring(nct_id, 4)").cast("long") % 8
+    whole = nest_studies(conform(trials, TRIALS))
+    text = whole.select(paths.path_first(fixed.FIELD_PATHS["nctId"]).alias("nct_id"), F.to_json(F.struct("protocolSection")).alias("json"))
+    one_phase = F.concat(F.lit('{"protocolSection":{"identificationModule":{"nctId":"'), F.col("nct_id"), F.lit('"},"designModule":{"phases":"PHASE2"}}}'))
+    no_list = F.concat(F.lit('{"protocolSection":{"identificationModule":{"nctId":"'), F.col("nct_id"), F.lit('"},"designModule":{"phases":7}}}'))
+    line = (
+        F.when(kind == 1, "{not json").when(kind == 2, '{"other":1}').when(kind == 3, F.lit(None)).when(kind == 4, one_phase)
+        .when(kind == 5, no_list).when(kind == 6, "").otherwise(F.col("json"))
+    )
+    lines = text.select(kind.alias("kind"), line.alias("line"))
+    sent = lines.groupBy("kind").agg(F.count(F.lit(1)).alias("sent"))
+    section = "protocolSection"
+    read = parse_studies(lines, "line", "kind").select(
+        "kind", F.col(f"{section}.identificationModule.nctId").alias("nct_id"), F.col(f"{section}.designModule.phases").alias("phases")
+    )
+    survived = read.groupBy("kind").agg(F.count("nct_id").alias("survived"), F.count_if(F.array_contains("phases", "PHASE2")).alias("phase2"))
+    counted = sent.join(survived, "kind", "left")
+    return counted.select("kind", "sent", F.coalesce("survived", F.lit(0)).alias("survived"), F.coalesce("phase2", F.lit(0)).alias("phase2"))
+
+
 @query
 def nested_paths(spark, sf_dir):
     """First-element and every-element reads by JSON path."""
@@ -373,7 +398,7 @@ _register_distributions()
 def distribution_country_top10(spark, sf_dir):
     """The fold: ten countries, one derived "Other" row of distinct trials, sentinels."""
     trials = _stored(_for_fields(spark, sf_dir, "country"))
-    buckets = distribution(trials, "country", unique_ids=True, top_n=10, evidence_limit=0, sort=False)
+    buckets = distribution(trials, "country", unique_ids=True, top_n=10, evidence_limit=0, inline_members=True, sort=False)
     return with_position(buckets, "country").select(
         "position", "value", "label", "count_trials", "count_mentions", "derived", _join("members").alias("members")
     )
@@ -785,6 +810,28 @@ def _stored_meta(spark, sf_dir) -> DataFrame:
     )
 
 
+@query
+def stored_results(spark, sf_dir):
+    """Three results with the meta rows built from them, written, read back and verified."""
+    trials = _stored(_for_fields(spark, sf_dir, "overallStatus", "country", extra=["brief_title"]))
+    total = count_trials(trials, unique_ids=True)
+    made = {
+        "status": ("combine", distribution(trials, "overallStatus", unique_ids=True, sort=False)),
+        "country": ("explode", distribution(trials, "country", unique_ids=True, top_n=10, sort=False)),
+        "cut_short": ("combine", distribution(trials.filter(F.col("overall_status") == "COMPLETED"), "overallStatus", unique_ids=True, sort=False)),
+    }
+    path = f"{checkpoint_dir(spark)}/stored-results-{uuid.uuid4().hex}"
+    for name, (mode, buckets) in made.items():
+        rows = cut_lineage(result_rows(buckets, name), "result")
+        seen = rows.agg(F.sum("count_trials").alias("count_trials")) if name == "cut_short" else total
+        meta = result_meta(rows, name, chart_type="bar", mode=mode, total=total, distinct=seen, truncated=name == "cut_short")
+        write_results(rows, path, "rows")
+        write_results(meta, path, "meta")
+    rows, meta = read_results(spark, path, "rows"), read_results(spark, path, "meta")
+    verdicts = audit.verify_results(rows, meta).join(audit.release_check(rows, meta).drop("ok", "disclosure"), "result_id")
+    return verdicts.join(meta.select("result_id", "count_total", "distinct_trials", "mentions", "truncated", "partial", F.size("notes").alias("n_notes")), "result_id")
+
+
 @query
 def audit_quotes(spark, sf_dir):
     """Citations that do not quote their own value, over sound and forged results."""

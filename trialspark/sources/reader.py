@@ -21,25 +21,35 @@ def read_studies(spark: SparkSession, path: str, source: str = "json") -> DataFr
     """
     if source == "json":
         # Only JSON sources can have mixed shapes; columnar files carry a schema.
-        lenient = spark.read.schema(LENIENT_STUDY).option("mode", "PERMISSIVE").json(path)
-        return lenient.filter(F.col(_SECTION).isNotNull()).select(
-            F.col(_SECTION)
-            .withField("designModule", _with(f"{_SECTION}.designModule", "phases", _text_list))
-            .withField(
-                "armsInterventionsModule",
-                _with(f"{_SECTION}.armsInterventionsModule", "interventions", _interventions),
-            )
-            .withField(
-                "contactsLocationsModule",
-                _with(f"{_SECTION}.contactsLocationsModule", "locations", _locations),
-            )
-            .alias(_SECTION)
-        )
+        return _lenient(spark.read.schema(LENIENT_STUDY).option("mode", "PERMISSIVE").json(path))
     if source in ("parquet", "orc"):
         return spark.read.schema(STUDY).format(source).load(path).filter(F.col(_SECTION).isNotNull())
     raise ValueError(f"unknown study source {source!r}; known: json, orc, parquet")
 
 
+def parse_studies(lines: DataFrame, column: str, *carried: str) -> DataFrame:
+    """Nested study records from a column of JSON text, as :func:`read_studies` reads a file of them."""
+    parsed = F.from_json(column, LENIENT_STUDY, {"mode": "PERMISSIVE"})[_SECTION].alias(_SECTION)
+    return _lenient(lines.select(*carried, parsed), *carried)
+
+
+def _lenient(studies: DataFrame, *carried: str) -> DataFrame:
+    return studies.filter(F.col(_SECTION).isNotNull()).select(
+        *carried,
+        F.col(_SECTION)
+        .withField("designModule", _with(f"{_SECTION}.designModule", "phases", _text_list))
+        .withField(
+            "armsInterventionsModule",
+            _with(f"{_SECTION}.armsInterventionsModule", "interventions", _interventions),
+        )
+        .withField(
+            "contactsLocationsModule",
+            _with(f"{_SECTION}.contactsLocationsModule", "locations", _locations),
+        )
+        .alias(_SECTION),
+    )
+
+
 def _with(struct: str, field: str, build) -> Column:
     column = F.col(struct)
     return F.when(column.isNotNull(), column.withField(field, build(column[field])))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
+from trialspark import fixed_values as fixed
+from trialspark.operators.grouping import partial_note
 from trialspark.sources.schema import EDGES, RESULT_META, RESULT_ROW
 
 _KINDS = {"rows": RESULT_ROW, "edges": EDGES, "meta": RESULT_META}
@@ -30,6 +32,39 @@ def result_edges(df: DataFrame, result_id: str) -> DataFrame:
     return conform(df, EDGES).withColumn("result_id", F.lit(result_id))
 
 
+def result_meta(
+    rows: DataFrame, result_id: str, *, chart_type: str, mode: str, total: DataFrame, distinct: DataFrame | None = None,
+    truncated: bool = False, reconcile: bool = True,
+) -> DataFrame:
+    """The meta row of a result, from its rows and its exact totals.
+
+    ``total`` is the one-row count of all matching trials, ``distinct`` that of
+    the trials counted (the same unless the input was cut short). Notes tell of
+    overlapping bars, of a folded tail and of a cut.
+    """
+    seen = total if distinct is None else distinct
+    facts = rows.agg(
+        F.coalesce(F.sum("count_mentions"), F.lit(0)).alias("mentions"),
+        F.count_if(F.coalesce("derived", F.lit(False))).alias("derived"),
+        F.count(F.lit(1)).alias("bars"),
+    )
+    facts = facts.select("*", total.select("count_trials").scalar().alias("total"), seen.select("count_trials").scalar().alias("seen"))
+    cut = F.lit(truncated)
+    partial = partial_note(F.col("seen"), F.col("total"), cut)
+    notes = F.array_compact(F.array(
+        F.when(F.lit(mode == "explode"), F.lit(fixed.OVERLAP_NOTE)),
+        F.when(F.col("derived") > 0, F.lit(fixed.FOLD_NOTE)),
+        F.when(partial, F.format_string(fixed.CUT_NOTE, "seen", "total")),
+    ))
+    row = facts.select(
+        F.lit(result_id).alias("result_id"), F.when(F.col("total") == 0, "empty").otherwise("ok").alias("status"),
+        F.lit(chart_type).alias("chart_type"), F.lit(mode).alias("mode"), F.col("total").alias("count_total"),
+        F.col("seen").alias("distinct_trials"), "mentions", cut.alias("truncated"), partial.alias("partial"),
+        F.lit(reconcile).alias("reconcile"), notes.alias("notes"),
+    )
+    return conform(row, RESULT_META)
+
+
 def write_results(df: DataFrame, path: str, kind: str, mode: str = "append") -> None:
     """Append results to the table of their kind (``rows``, ``edges`` or ``meta``)."""
     if kind not in _KINDS:
