@@ -1,8 +1,10 @@
-"""The registered queries: each operator over its whole table, and its SQL where SQL can say it."""
+"""The registered queries: each operator over its whole table."""
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,7 +20,20 @@ from trialspark.llm.token_counts import section_tokens
 from trialspark.llm.urls import url_verdicts
 
 
+def let_workers_import(spark: SparkSession) -> None:
+    """Let the Python workers of this session import the package from the folder it was imported from.
+
+    Needed where a program finds the package by ``sys.path`` alone; a cluster
+    gets it with ``--py-files`` or installs it.
+    """
+    root, known = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    paths = [p for p in known.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        known["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    let_workers_import(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -85,5 +100,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sampled_splitters": op9_sampled_splitters,
     "op10_block_max_wand": op10_block_max_wand,
 }
-
-ORACLES: dict[str, str] = {}
