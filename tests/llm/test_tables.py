@@ -5,9 +5,10 @@ import zlib
 
 import corpus_pipeline
 import pytest
+from check_oracles import compare, connect
 from plain import leaked, near_components, odd_texts, sentence, suffix_rows, table
 
-from trialspark.llm import queries, shards
+from trialspark.llm import oracles, queries, shards
 from trialspark.llm.shards import shard_documents
 from trialspark.llm.urls import url_verdicts
 
@@ -68,6 +69,11 @@ def test_shards_of_an_empty_table(spark):
     assert shard_documents(table(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("name", sorted(oracles.ORACLES))
+def test_queries_match_sql(spark, name):
+    assert compare(spark, connect(DATA), name, DATA) is None
+
+
 def test_every_query_is_registered(spark):
     import __spark_entry__
 
