@@ -43,7 +43,7 @@ def test_verdicts_of_no_pages_and_no_rules(spark):
     assert {r.verdict for r in got} == {"allow"} and {r.rule for r in got} == {None}
 
 
-@pytest.mark.parametrize("range_rows", [500_000, 3])
+@pytest.mark.parametrize("range_rows", [4_000_000, 3])
 def test_shards_hold_near_equal_bytes(spark, range_rows, monkeypatch):
     monkeypatch.setattr(shards, "RANGE_ROWS", range_rows)
     hot = sentence(9, 40)

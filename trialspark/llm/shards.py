@@ -26,7 +26,7 @@ SHARDS = 16
 WHOLE = 0.02
 #: Ranges at least, rows of a range aimed at, and keys drawn for each range.
 RANGES = 128
-RANGE_ROWS = 500_000
+RANGE_ROWS = 4_000_000
 DRAWN = 64
 _ROUNDS = 8
 
