@@ -44,6 +44,17 @@ def version(text: Column) -> Column:
     return F.coalesce(F.hash(text), F.lit(0))
 
 
+def packed_rows(docs: DataFrame, text_column: str) -> DataFrame:
+    """(``row``, ``text``): all other columns as one struct, so that no name can clash."""
+    others = [docs[c] for c in docs.columns if c != text_column] or [F.lit(None).cast("int").alias("none")]
+    return docs.select(F.struct(*others).alias("row"), docs[text_column].cast("string").alias("text"))
+
+
+def unpacked_rows(packed: DataFrame, docs: DataFrame, text_column: str) -> DataFrame:
+    """The columns of ``docs`` in their order, the text being the packed one."""
+    return packed.select(*[(F.col("text") if c == text_column else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``docs`` (``doc_id``, ``v``, ``text``) with ``spans``, the ranges found in each text."""
     lists = spans.groupBy("doc_id", "v").agg(F.collect_list(F.struct("s", "e")).alias("spans"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Texts handled at once inside a task; one longer text is a chunk of its own.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -109,6 +109,12 @@ def byte_values(data: np.ndarray) -> np.ndarray:
     return _BYTE_VALUES[data]
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values, sorted."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+
+
 def shingle_sets(hashes: np.ndarray, rows: np.ndarray, size: int) -> list[np.ndarray]:
     """Per row, the distinct shingles of ``size`` words, sorted.
 
@@ -120,7 +126,7 @@ def shingle_sets(hashes: np.ndarray, rows: np.ndarray, size: int) -> list[np.nda
     for start, end in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True):
         if end - start >= size:
             first = np.arange(start, end - size + 1)
-            out.append(np.unique(rolling.of(first, first + size)))
+            out.append(distinct(rolling.of(first, first + size)))
         else:
             ends = np.array([start, end] if end > start else [], np.int64)
             out.append(rolling.of(ends[:1], ends[1:]))

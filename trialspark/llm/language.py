@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from trialspark.llm.anchors import packed_rows, unpacked_rows
+
 FIT_ROWS = 20_000
 PROFILE = 400
 LONGEST = 3
@@ -55,12 +57,10 @@ def keep_identified(docs: DataFrame, least: float, id_column: str = "doc_id", te
 
     Handles the same cases as ``identify``: rows without a letter go.
     """
-    row = F.struct(*[docs[c] for c in docs.columns])
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"), F.col(lang_column).cast("string").alias("lang"), row.alias("row"))
-    profiles = learn_profiles(rows.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).select("doc_id", "text", "lang"))
-    told = rows.select("row", "text").mapInArrow(_scored(profiles), f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double")
-    kept = told.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"), F.col(lang_column).cast("string").alias("lang"))
+    profiles = learn_profiles(rows.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()))
+    packed = packed_rows(docs, text_column)
+    return unpacked_rows(packed.mapInArrow(_identified(profiles, least), packed.schema), docs, text_column)
 
 
 def learn_profiles(rows: DataFrame) -> list[tuple[str, np.ndarray]]:
@@ -147,11 +147,11 @@ def _predicted(profiles: list[tuple[str, np.ndarray]]):
     return run
 
 
-def _scored(profiles: list[tuple[str, np.ndarray]]):
+def _identified(profiles: list[tuple[str, np.ndarray]], least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Profiles(profiles)
         for batch in batches:
-            told = [known.nearest(t.as_py()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([t for t, _ in told], pa.string()), pa.array([s for _, s in told], pa.float64())], ["row", "lang_pred", "score"])
+            told = (known.nearest(t.as_py()) for t in batch.column("text"))
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in told], pa.bool_()))
 
     return run

@@ -27,13 +27,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from trialspark.llm.anchors import fragments, span_marks, version, with_spans
+from trialspark.llm.anchors import fragments, packed_rows, span_marks, unpacked_rows, version, with_spans
 from trialspark.llm.batches import RollingHash, byte_values, chunks, signed, sorted_groups, span_lists, text_bytes
 from trialspark.session import cut_lineage
 
 WINDOW = 200
 ANCHOR = 32
-SHARD_BYTES = 1 << 21
+SHARD_BYTES = 1 << 20
 _LANE = 128
 
 _FOUND = "doc_id long, v int, s int, n int, k long, f long"
@@ -99,12 +99,10 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, id_column: str = "doc
     """
     spans = repeated_spans(_plain(docs, id_column, text_column), window)
     lists = spans.groupBy("doc_id", "v").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    row = F.struct(*[docs[c] for c in docs.columns])
-    keyed = docs.select(row.alias("row"), F.col(id_column).cast("long").alias("doc_id"), version(F.col(text_column)).alias("v"))
-    joined = keyed.join(lists, ["doc_id", "v"], "left").select("row", F.col(f"row.`{text_column}`").alias("text"), "spans")
-    schema = f"row {keyed.schema['row'].dataType.simpleString()}, text string"
-    cut = joined.mapInArrow(_cut, schema)
-    return cut.select(*[(F.col("text") if c == text_column else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    packed = packed_rows(docs, text_column)
+    keyed = packed.select("row", "text", F.col(f"row.`{id_column}`").cast("long").alias("doc_id"), version(F.col("text")).alias("v"))
+    joined = keyed.join(lists, ["doc_id", "v"], "left").select("row", "text", "spans")
+    return unpacked_rows(joined.mapInArrow(_cut, packed.schema), docs, text_column)
 
 
 def _plain(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
