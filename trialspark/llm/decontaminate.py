@@ -2,9 +2,11 @@
 
 The test items are an inverted index; every training text is cut into passages
 that overlap by half and are as long as two of the longest item, so an item that
-a text holds lies whole in some passage. Each passage is a query, and all items
-whose BM25 score reaches ``SHARE`` of the score that the item gives itself are
-retrieved. Block-max WAND (Ding and Suel, 2011) leaves out what cannot reach it:
+a text holds lies whole in some passage. Each passage is a query. A text that
+holds ``percent`` of an item's shingles lacks so few of its words that the BM25
+score cannot fall below a share of the score that the item gives itself: all but
+its heaviest terms, as many as words can be missing. That share is the item's
+threshold, and all items that reach it are retrieved. Block-max WAND (Ding and Suel, 2011) leaves out what cannot reach it:
 of a passage's terms, ordered by their largest weight, those that together stay
 below the threshold open no posting list; items met in the other lists are
 scored only if the maxima of their block of items reach the threshold. Passages
@@ -26,21 +28,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from trialspark.llm.anchors import version
-from trialspark.llm.batches import NOT_ALPHANUMERIC, RollingHash, Words, chunks, lower_ascii, text_bytes
+from trialspark.llm.anchors import packed_rows, unpacked_rows, version
+from trialspark.llm.batches import NOT_ALPHANUMERIC, RollingHash, Words, chunks, distinct, lower_ascii, text_bytes
 
 WORDS = 5
-SHARE = 0.5
 PART_BYTES = 1 << 24
 ITEM_BLOCK = 16
 K1, B = 1.2, 0.75
+# Upper bits of a term's hash by which most other words are told from terms.
+_MAYBE_BITS = 20
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", question_column: str = "text", answer_column: str | None = None) -> DataFrame:
     """(``doc_id``, ``n_items``, ``item_ids``, ``best_score``, ``kept``) per row of ``docs``.
 
     ``item_ids`` are the leaked items in order, ``best_score`` the best BM25
-    score among them as a share of the item's own, ``kept`` whether there is
+    score among them in units of the item's threshold, ``kept`` whether there is
     none. Words are runs of ASCII letters, digits and non-ASCII bytes, A-Z
     lower-cased. An item whose question has fewer than five words cannot be told
     from ordinary text and is never found; an answer with fewer must occur as a
@@ -63,12 +66,11 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, id_c
 
     Each part of the index filters what the part before left; nothing is shuffled.
     """
-    row = F.struct(*[docs[c] for c in docs.columns])
-    rows = docs.select(row.alias("row"), F.col(text_column).cast("string").alias("text"))
-    schema = f"row {rows.schema['row'].dataType.simpleString()}, text string"
+    rows = packed_rows(docs, text_column)
+    schema = rows.schema
     for index in _indexes(benchmark, percent, item_column, question_column, answer_column):
         rows = rows.mapInArrow(_clean(rows.sparkSession.sparkContext.broadcast(index)), schema)
-    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return unpacked_rows(rows, docs, text_column)
 
 
 def leaked_items(rows: DataFrame, benchmark: DataFrame, percent: int, item_column: str, question_column: str, answer_column: str | None) -> DataFrame:
@@ -96,15 +98,19 @@ def _indexes(benchmark: DataFrame, percent: int, item_column: str, question_colu
 
 
 class Index:
-    """Postings of the items' terms, weights as shares of an item's own score."""
+    """Postings of the items' terms, weights as shares of an item's threshold.
+
+    Items go by length, so that a block holds items with similar weights.
+    """
 
     def __init__(self, ids: list[int], questions: list[str], answers: list[str | None], percent: int):
         self.percent = percent
         hashes, rows = _hashed(questions)
+        by_length = np.argsort(np.diff(rows), kind="stable").tolist()
         rolling = RollingHash(hashes)
         self.items, terms, self.shingles, self.answers, self.answer_size = [], [], [], [], []
         spans = []
-        for i in range(len(questions)):
+        for i in by_length:
             a, b = int(rows[i]), int(rows[i + 1])
             if b - a < WORDS:
                 continue
@@ -120,6 +126,8 @@ class Index:
             self.answers.append(np.unique(RollingHash(own).of(at, at + n)) if n else np.zeros(0, np.uint64))
         self.passage = 2 * max([WORDS, *spans])
         self.terms, which = np.unique(np.concatenate([t for t, _ in terms] or [np.zeros(0, np.uint64)]), return_inverse=True)
+        self.maybe = np.zeros(1 << _MAYBE_BITS, bool)
+        self.maybe[self.terms >> np.uint64(64 - _MAYBE_BITS)] = True
         item = np.repeat(np.arange(len(terms)), [len(t) for t, _ in terms])
         tf = np.concatenate([c for _, c in terms] or [np.zeros(0)])
         length = np.array(spans, float)
@@ -127,6 +135,10 @@ class Index:
         idf = np.log1p((len(terms) - df + 0.5) / (df + 0.5))
         weight = idf[which] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / max(length.mean() if len(length) else 1, 1)))
         weight /= np.bincount(item, weights=weight, minlength=len(terms))[item]
+        for i, end in enumerate(np.cumsum([len(t) for t, _ in terms])):
+            own = weight[end - len(terms[i][0]) : end]
+            missing = len(self.shingles[i]) * (100 - percent) // 100 + 1
+            own /= max(0.05, 1 - np.sort(own)[::-1][:missing].sum())
         order = np.lexsort((item, which))
         self.posting_item, self.posting_weight = item[order], weight[order]
         self.starts = np.append(0, np.cumsum(df))
@@ -140,19 +152,25 @@ class Index:
         self.block_most = np.maximum.reduceat(self.posting_weight, heads) if len(heads) else np.zeros(0)
 
     def search(self, hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, item, score) of all items that reach ``SHARE`` in some passage of a row."""
-        at = np.searchsorted(self.terms, hashes)
-        known = np.flatnonzero(self.terms[np.minimum(at, len(self.terms) - 1)] == hashes)
-        term = at[known]
-        row = np.searchsorted(rows, known, "right") - 1
+        """(row, item, score) of all items that reach their threshold in some passage of a row."""
+        known = np.flatnonzero(self.maybe[hashes >> np.uint64(64 - _MAYBE_BITS)])
+        at = np.searchsorted(self.terms, hashes[known])
+        is_term = self.terms[np.minimum(at, len(self.terms) - 1)] == hashes[known]
+        known, term = known[is_term], at[is_term]
+        row = np.repeat(np.arange(len(rows) - 1), np.diff(np.searchsorted(known, rows)))
         half = self.passage // 2
         number = np.diff(rows) // half + 1  # passages of each row; the last may be short
         before = np.append(0, np.cumsum(number))
         later = before[row] + (known - rows[row]) // half
         # A word is in the passage that starts with its half and in the one before.
-        passage = np.concatenate([later, later[later > before[row]] - 1])
-        term = np.concatenate([term, term[later > before[row]]])
-        pairs = np.unique(passage * len(self.terms) + term)
+        # Passages whose terms, even counted as often as they occur, stay below the threshold are done.
+        halves = np.bincount(later, weights=self.most[term], minlength=before[-1] + 1)
+        reaches = halves[:-1] + halves[1:] >= 1 - 1e-9
+        earlier = later - 1
+        own, also = reaches[later], (later > before[row]) & reaches[earlier]
+        passage = np.concatenate([later[own], earlier[also]])
+        term = np.concatenate([term[own], term[also]])
+        pairs = distinct(passage * len(self.terms) + term)
         passage, term = pairs // len(self.terms), pairs % len(self.terms)
         most = self.most[term]
         order = np.lexsort((most, passage))
@@ -160,7 +178,7 @@ class Index:
         heads = np.flatnonzero(np.append(True, passage[1:] != passage[:-1])) if len(passage) else np.zeros(0, np.int64)
         size = np.diff(np.append(heads, len(passage)))
         total = np.cumsum(most)
-        reached = total - np.repeat(total[heads] - most[heads], size) >= SHARE - 1e-9
+        reached = total - np.repeat(total[heads] - most[heads], size) >= 1 - 1e-9
         # Only terms from the pivot on open their posting lists.
         opened = np.flatnonzero(reached)
         count = self.starts[term[opened] + 1] - self.starts[term[opened]]
@@ -168,14 +186,14 @@ class Index:
         posting = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + self.starts[term[opened]][owner]
         group = np.searchsorted(heads, opened, "right") - 1
         n = len(self.items)
-        met = np.unique(group[owner] * n + self.posting_item[posting])
+        met = distinct(group[owner] * n + self.posting_item[posting])
         group, item = met // n, met % n
         blocks, which = np.unique(group * self.n_blocks + item // ITEM_BLOCK, return_inverse=True)
         bound = self._sums(heads, size, term, blocks // self.n_blocks, blocks % self.n_blocks, self.n_blocks, self.block_keys, self.block_most)
-        can = bound[which] >= SHARE - 1e-9
+        can = bound[which] >= 1 - 1e-9
         group, item = group[can], item[can]
         score = self._sums(heads, size, term, group, item, n, self.keys, self.posting_weight)
-        good = score >= SHARE - 1e-9
+        good = score >= 1 - 1e-9
         row = np.searchsorted(before, passage[heads[group[good]]], "right") - 1
         return row, item[good], score[good]
 
