@@ -7,7 +7,7 @@ tree starts from one selected token; documents that agree on it share a node. A
 node that is still large selects ``BRANCHES`` further coordinates by a hash of
 its path and splits on their tokens; a small node is compared exhaustively.
 Independent trees repeat this, so that a pair at the threshold is missed with a
-probability below 1e-5, and every reported link is confirmed on the full sets.
+probability below 2e-5, and every reported link is confirmed on the full sets.
 
 Hot groups: documents with equal sets are one class before the trees start, node
 sizes are counted with map-side aggregation before rows are shuffled, and each
