@@ -66,8 +66,9 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     docs = docs.filter("doc_id IS NOT NULL")
     levels = lengths(window)
     found = docs.mapInArrow(_fragments(window, levels[0]), _FOUND)
-    found = cut_lineage(found.join(_in_two(found, "k"), "k", "left_semi"), "fragments")
-    first = found.groupBy("k", "f").agg(F.min("doc_id").alias("first"))
+    # Stored keys: both sides of these joins are then plain shuffles, which AQE splits where a key is hot.
+    found = cut_lineage(found.join(cut_lineage(_in_two(found, "k"), "repeated"), "k", "left_semi"), "fragments")
+    first = cut_lineage(found.groupBy("k", "f").agg(F.min("doc_id").alias("first")), "classes")
     placed = cut_lineage(found.join(first, ["k", "f"]), "placed")
     whole = placed.filter("doc_id > first").select("doc_id", "v", "s", (F.col("s") + F.col("n") + F.lit(window - 1)).alias("e"))
     # One document's fragment stands for its class where classes of one anchor differ.
