@@ -9,6 +9,11 @@ an n-gram that the profile lacks counting as ``PROFILE`` places.
 Profiles are learned from about ``FIT_ROWS`` labelled documents, drawn by a hash
 of the id; n-grams are counted and ranked on the cluster, and only ``PROFILE``
 n-grams per language come to the driver and go to the executors.
+
+A text in no learned language is still nearest to some profile. How far a real
+text can be is learned too: labelled texts and their first words are scored
+against their own language, and what lies as far below the lowest hundredth of
+such scores as that lies below the median, at this number of n-grams, is rejected.
 """
 
 from __future__ import annotations
@@ -23,6 +28,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from trialspark.llm.anchors import packed_rows, unpacked_rows
 
 FIT_ROWS = 20_000
+# Labelled rows of each language that are scored to learn its least scores, about.
+SCORED_ROWS = 2_000
+# Scores of a language and size from which a least score is learned, at least.
+LEAST_ROWS = 20
 PROFILE = 400
 LONGEST = 3
 UNKNOWN = "und"
@@ -53,14 +62,33 @@ def identify(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
 
 
 def keep_identified(docs: DataFrame, least: float, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
-    """Rows of ``docs`` whose language can be told with a score of ``least`` or more.
+    """Rows of ``docs`` whose score is one that texts in their language have.
 
+    The least score is learned from the labelled rows, by language and number of
+    n-grams; it is ``least`` where they are too few to tell, and never below.
     Handles the same cases as ``identify``: rows without a letter go.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"), F.col(lang_column).cast("string").alias("lang"))
-    profiles = learn_profiles(rows.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()))
+    labelled = rows.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
+    profiles = learn_profiles(labelled)
+    learned = least_scores(labelled, profiles)
     packed = packed_rows(docs, text_column)
-    return unpacked_rows(packed.mapInArrow(_identified(profiles, least), packed.schema), docs, text_column)
+    return unpacked_rows(packed.mapInArrow(_identified(profiles, learned, least), packed.schema), docs, text_column)
+
+
+def least_scores(rows: DataFrame, profiles: list[tuple[str, np.ndarray]]) -> dict[tuple[str, int], float]:
+    """(language, size class of the text) -> the score below which a text is not in the language."""
+    drawn = _drawn(rows.filter("text IS NOT NULL AND lang IS NOT NULL"), SCORED_ROWS)
+    scored = drawn.select("lang", "text").mapInArrow(_own_scores(profiles), "lang string, size int, score double")
+    low = scored.groupBy("lang", "size").agg(F.count("*").alias("n"), F.expr("percentile(score, array(0.01D, 0.5D))").alias("q")).filter(F.col("n") >= LEAST_ROWS)
+    return {(r.lang, r.size): 2 * r.q[0] - r.q[1] for r in low.collect()}
+
+
+def _drawn(rows: DataFrame, most: int) -> DataFrame:
+    """About ``most`` rows of each language, by a hash of the id; all of a language with fewer."""
+    share = rows.groupBy(F.col("lang").alias("of")).agg(F.least(F.lit(1.0), F.lit(float(most)) / F.count("*")).alias("share"))
+    place = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 30))
+    return rows.join(F.broadcast(share), F.col("lang") == F.col("of")).filter(place < F.col("share") * (1 << 30)).select("doc_id", "text", "lang")
 
 
 def learn_profiles(rows: DataFrame) -> list[tuple[str, np.ndarray]]:
@@ -124,17 +152,50 @@ class Profiles:
         for i, (_, own) in enumerate(profiles):
             self.rank[i, np.searchsorted(self.all, own)] = np.arange(len(own))
 
-    def nearest(self, text: str | None) -> tuple[str, float]:
+    def scores(self, text: str | None) -> tuple[np.ndarray, int]:
+        """The score of each language, and the text's number of n-grams; none without a letter."""
         own = ranked_grams(text) if text and self.langs else ()
         if not len(own):
-            return UNKNOWN, 0.0
+            return np.zeros(0), 0
         at = np.searchsorted(self.all, own)
         at[(at == len(self.all)) | (self.all[np.minimum(at, len(self.all) - 1)] != own)] = len(self.all)
         rank = self.rank[:, at]
         places = np.where(rank < 0, PROFILE, np.abs(rank - np.arange(len(own))))
-        distance = places.sum(axis=1)
-        best = int(np.argmin(distance))
-        return self.langs[best], float(1 - distance[best] / (PROFILE * len(own)))
+        return 1 - places.sum(axis=1) / (PROFILE * len(own)), len(own)
+
+    def nearest(self, text: str | None) -> tuple[str, float, int]:
+        """(language, score, size class)."""
+        score, n = self.scores(text)
+        if not n:
+            return UNKNOWN, 0.0, 0
+        best = int(np.argmax(score))
+        return self.langs[best], float(score[best]), size_class(n)
+
+
+def size_class(n: int) -> int:
+    """Texts with 2^k to 2^(k+1) - 1 n-grams go together."""
+    return n.bit_length()
+
+
+def _own_scores(profiles: list[tuple[str, np.ndarray]]):
+    """Scores of labelled texts and of their first 1, 2, 4 to 128 words against their own language."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Profiles(profiles)
+        for batch in batches:
+            langs, sizes, scores = [], [], []
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                words = text.split(None, 128)
+                heads = [" ".join(words[: 1 << k]) for k in range(8) if 1 << k < len(words)]
+                for part in [*heads, text]:
+                    score, n = known.scores(part)
+                    if n:
+                        langs.append(lang)
+                        sizes.append(size_class(n))
+                        scores.append(score[known.langs.index(lang)])
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(sizes, pa.int32()), pa.array(scores, pa.float64())], ["lang", "size", "score"])
+
+    return run
 
 
 def _predicted(profiles: list[tuple[str, np.ndarray]]):
@@ -142,16 +203,16 @@ def _predicted(profiles: list[tuple[str, np.ndarray]]):
         known = Profiles(profiles)
         for batch in batches:
             told = [known.nearest(t.as_py()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([t for t, _ in told], pa.string()), pa.array([s for _, s in told], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([t for t, _, _ in told], pa.string()), pa.array([s for _, s, _ in told], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     return run
 
 
-def _identified(profiles: list[tuple[str, np.ndarray]], least: float):
+def _identified(profiles: list[tuple[str, np.ndarray]], learned: dict[tuple[str, int], float], least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Profiles(profiles)
         for batch in batches:
             told = (known.nearest(t.as_py()) for t in batch.column("text"))
-            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in told], pa.bool_()))
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= max(least, learned.get((lang, size), least)) for lang, score, size in told], pa.bool_()))
 
     return run
