@@ -85,17 +85,54 @@ SPACES = (_BYTES == 32) | ((_BYTES >= 9) & (_BYTES <= 13))
 NOT_ALPHANUMERIC = (_BYTES < 128) & ~np.array([chr(b).isalnum() for b in range(256)])
 
 
+# Code points of scripts that are written without blanks between words.
+_UNSPACED = (
+    (0x0E00, 0x0EFF), (0x0F00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19FF), (0x1A20, 0x1AAF), (0x2E80, 0x2FDF),
+    (0x3005, 0x3007), (0x3021, 0x302F), (0x3031, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA980, 0xA9DF),
+    (0xA9E0, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1AFF0, 0x1B16F), (0x20000, 0x3FFFF),
+)
+# Their punctuation, and full-width punctuation.
+_MARKS = ((0x3000, 0x3004), (0x3008, 0x3020), (0x3030, 0x3030), (0xFE30, 0xFE4F), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65))
+
+
+def _within(code: np.ndarray, ranges: tuple[tuple[int, int], ...]) -> np.ndarray:
+    place = np.searchsorted([a for a, _ in ranges], code, "right") - 1
+    return (place >= 0) & (code <= np.array([b for _, b in ranges])[place])
+
+
+def unspaced(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte positions where a character of a script without blanks starts or ends, and bytes of its punctuation."""
+    lead = np.flatnonzero(data >= 0xE0)
+    if not len(lead):
+        return lead, lead
+    size = np.where(data[lead] >= 0xF0, 4, 3)
+    byte = [data[np.minimum(lead + i, len(data) - 1)].astype(np.int64) & 0x3F for i in range(1, 4)]
+    three = (data[lead].astype(np.int64) & 0x0F) << 12 | byte[0] << 6 | byte[1]
+    four = (data[lead].astype(np.int64) & 0x07) << 18 | byte[0] << 12 | byte[1] << 6 | byte[2]
+    code = np.where(size == 4, four, three)
+    own, marks = _within(code, _UNSPACED), _within(code, _MARKS)
+    return np.concatenate([lead[own], lead[own] + size[own]]), np.concatenate([lead[marks] + i for i in range(3)])
+
+
 class Words:
-    """The words of a chunk: byte ranges, and for each row the range of its words."""
+    """The words of a chunk: byte ranges, and for each row the range of its words.
+
+    With ``split`` each character of a script without blanks is a word.
+    """
 
-    def __init__(self, data: np.ndarray, at: np.ndarray, between: np.ndarray = SPACES):
+    def __init__(self, data: np.ndarray, at: np.ndarray, between: np.ndarray = SPACES, split: bool = False):
         space = between[data]
+        cuts = at
+        if split:
+            more, marks = unspaced(data)
+            cuts = np.concatenate([at, more])
+            space[marks] = True
         before = np.ones(len(data) + 1, bool)
         before[1:] = space
-        before[at] = True
+        before[cuts] = True
         after = np.ones(len(data) + 1, bool)
         after[:-1] = space
-        after[at] = True
+        after[cuts] = True
         self.starts = np.flatnonzero(~space & before[:-1])
         self.ends = np.flatnonzero(~space & after[1:]) + 1
         self.rows = np.searchsorted(self.starts, at)

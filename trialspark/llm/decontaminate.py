@@ -13,7 +13,8 @@ scored only if the maxima of their block of items reach the threshold. Passages
 of a batch go through these steps together.
 
 A retrieved item is a leak if the text holds at least ``percent`` of the
-five-word shingles of its question, and of its answer where there is one.
+five-word shingles of its question, and of its answer where there is one. A
+shorter question or answer is one shingle.
 
 The index is bounded: items are split into parts of at most ``PART_BYTES`` of
 text, each part is one broadcast and one pass over the texts, and all passes
@@ -45,9 +46,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, id_column: s
     ``item_ids`` are the leaked items in order, ``best_score`` the best BM25
     score among them in units of the item's threshold, ``kept`` whether there is
     none. Words are runs of ASCII letters, digits and non-ASCII bytes, A-Z
-    lower-cased. An item whose question has fewer than five words cannot be told
-    from ordinary text and is never found; an answer with fewer must occur as a
-    whole. A null or empty text, or an empty benchmark, leaks nothing. Repeated
+    lower-cased; a character of a script without blanks is a word of its own. A
+    question or answer of fewer than five words must occur as a whole; one
+    without words is never found. A null or empty text, or an empty benchmark, leaks nothing. Repeated
     items count once if their id is the same. Repeated rows get a row each, also
     those without a ``doc_id``. Other columns are ignored, whatever their names.
     """
@@ -108,17 +109,19 @@ class Index:
         hashes, rows = _hashed(questions)
         by_length = np.argsort(np.diff(rows), kind="stable").tolist()
         rolling = RollingHash(hashes)
-        self.items, terms, self.shingles, self.answers, self.answer_size = [], [], [], [], []
+        self.items, terms, self.shingles, self.sizes, self.answers, self.answer_size = [], [], [], [], [], []
         spans = []
         for i in by_length:
             a, b = int(rows[i]), int(rows[i + 1])
-            if b - a < WORDS:
+            if a == b:
                 continue
-            first = np.arange(a, b - WORDS + 1)
+            size = min(WORDS, b - a)
+            first = np.arange(a, b - size + 1)
             self.items.append(ids[i])
             spans.append(b - a)
             terms.append(np.unique(hashes[a:b], return_counts=True))
-            self.shingles.append(np.unique(rolling.of(first, first + WORDS)))
+            self.shingles.append(np.unique(rolling.of(first, first + size)))
+            self.sizes.append(size)
             own, ends = _hashed([answers[i] or ""])
             n = min(WORDS, len(own))
             at = np.arange(len(own) - n + 1) if n else np.zeros(0, np.int64)
@@ -209,27 +212,27 @@ class Index:
 
     def holds(self, words: np.ndarray, item: int) -> bool:
         """Whether a text's words hold the item's question, and its answer."""
-        rolling = RollingHash(words)
-        first = np.arange(max(0, len(words) - WORDS + 1))
-        own = rolling.of(first, first + WORDS)
+        rolling, size = RollingHash(words), self.sizes[item]
+        first = np.arange(max(0, len(words) - size + 1))
+        own = rolling.of(first, first + size)
         if 100 * np.isin(self.shingles[item], own).sum() < self.percent * len(self.shingles[item]):
             return False
         n = self.answer_size[item]
         if not n:
             return True
-        first = np.arange(len(words) - n + 1)
+        first = np.arange(max(0, len(words) - n + 1))
         return bool(100 * np.isin(self.answers[item], rolling.of(first, first + n)).sum() >= self.percent * len(self.answers[item]))
 
 
 def _hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     data, at = text_bytes(pa.array(texts, pa.string()))
-    words = Words(lower_ascii(data), at, NOT_ALPHANUMERIC)
+    words = Words(lower_ascii(data), at, NOT_ALPHANUMERIC, split=True)
     return words.hashes(), words.rows
 
 
 def _held(index: Index, data: np.ndarray, at: np.ndarray) -> list[tuple[int, int, float]]:
     """(row, item, score) of the items that the texts of a chunk hold."""
-    words = Words(lower_ascii(data), at, NOT_ALPHANUMERIC)
+    words = Words(lower_ascii(data), at, NOT_ALPHANUMERIC, split=True)
     hashes, rows = words.hashes(), words.rows
     best: dict[tuple[int, int], float] = {}
     for row, item, score in zip(*(x.tolist() for x in index.search(hashes, rows)), strict=True):
