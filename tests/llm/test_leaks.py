@@ -1,7 +1,6 @@
 from __future__ import annotations
 
-import pytest
-from plain import sentence, table
+from plain import leaked, sentence, table
 
 from trialspark.llm.decontaminate import leaks, without_leaks
 
@@ -29,3 +28,19 @@ def test_short_items_are_found_as_a_whole(spark):
     ]
     got = {r.doc_id: r.item_ids for r in leaks(table(spark, rows), benchmark, question_column="q", answer_column="a").collect()}
     assert got == {1: [1], 2: [2], 3: [], 4: [], 5: [], 6: [5], 7: [], 8: [], 9: []}
+
+
+def test_split_items_match_brute_force(spark):
+    words = sentence(1, 59).split()
+    items = {1: " ".join(words), 2: sentence(2, 59), 3: sentence(3, 25)}
+    rows = [
+        (10 * gap + lead, " ".join([sentence(50 + lead, lead), *words[:30], sentence(900 + gap, gap), *words[30:], sentence(70, 40)]))
+        for gap in (0, 70, 100, 400)
+        for lead in (5, 33)
+    ]
+    rows += [(9000, " ".join([sentence(80, 200), *words[:20], sentence(81, 150), *words[25:40], sentence(82, 150), *words[45:]]))]
+    benchmark = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = leaks(table(spark, rows), benchmark).collect()
+    texts = dict(rows)
+    assert {r.doc_id: r.item_ids for r in got} == {d: leaked(t, items) for d, t in texts.items()}
+    assert sum(r.n_items for r in got) == 8 and all(r.best_score >= 1 for r in got if r.n_items)

@@ -2,7 +2,8 @@
 
 The test items are an inverted index; every training text is cut into passages
 that overlap by half and are as long as two of the longest item, so an item that
-a text holds lies whole in some passage. Each passage is a query. A text that
+stands in one piece lies whole in some passage. Each passage is a query, and so is
+the whole text, for items whose parts stand apart. A text that
 holds ``percent`` of an item's shingles lacks so few of its words that the BM25
 score cannot fall below a share of the score that the item gives itself: all but
 its heaviest terms, as many as words can be missing. That share is the item's
@@ -10,7 +11,9 @@ threshold, and all items that reach it are retrieved. Block-max WAND (Ding and S
 of a passage's terms, ordered by their largest weight, those that together stay
 below the threshold open no posting list; items met in the other lists are
 scored only if the maxima of their block of items reach the threshold. Passages
-of a batch go through these steps together.
+of a batch go through these steps together. The whole text has most words of most
+items, which no bound on terms can leave out; it opens the items of which it has
+``percent`` of the question's shingles.
 
 A retrieved item is a leak if the text holds at least ``percent`` of the
 five-word shingles of its question, and of its answer where there is one. A
@@ -44,8 +47,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, id_column: s
     """(``doc_id``, ``n_items``, ``item_ids``, ``best_score``, ``kept``) per row of ``docs``.
 
     ``item_ids`` are the leaked items in order, ``best_score`` the best BM25
-    score among them in units of the item's threshold, ``kept`` whether there is
-    none. Words are runs of ASCII letters, digits and non-ASCII bytes, A-Z
+    score among them in units of the item's threshold (that of a passage, or of
+    the whole text where no passage reaches it), ``kept`` whether there is none. Words are runs of ASCII letters, digits and non-ASCII bytes, A-Z
     lower-cased; a character of a script without blanks is a word of its own. A
     question or answer of fewer than five words must occur as a whole; one
     without words is never found. A null or empty text, or an empty benchmark, leaks nothing. Repeated
@@ -128,6 +131,18 @@ class Index:
             self.answer_size.append(n)
             self.answers.append(np.unique(RollingHash(own).of(at, at + n)) if n else np.zeros(0, np.uint64))
         self.passage = 2 * max([WORDS, *spans])
+        # Shingles with their items, for the whole text as a query, by number of words.
+        self.whole = {}
+        for size in sorted(set(self.sizes)):
+            of = [i for i, n in enumerate(self.sizes) if n == size]
+            shingle = np.concatenate([self.shingles[i] for i in of])
+            owner = np.repeat(of, [len(self.shingles[i]) for i in of])
+            order = np.argsort(shingle, kind="stable")
+            shingle, owner = shingle[order], owner[order]
+            maybe = np.zeros(1 << _MAYBE_BITS, bool)
+            maybe[shingle >> np.uint64(64 - _MAYBE_BITS)] = True
+            self.whole[size] = maybe, shingle, owner
+        self.item_terms = []
         self.terms, which = np.unique(np.concatenate([t for t, _ in terms] or [np.zeros(0, np.uint64)]), return_inverse=True)
         self.maybe = np.zeros(1 << _MAYBE_BITS, bool)
         self.maybe[self.terms >> np.uint64(64 - _MAYBE_BITS)] = True
@@ -142,6 +157,7 @@ class Index:
             own = weight[end - len(terms[i][0]) : end]
             missing = len(self.shingles[i]) * (100 - percent) // 100 + 1
             own /= max(0.05, 1 - np.sort(own)[::-1][:missing].sum())
+            self.item_terms.append((terms[i][0], own))
         order = np.lexsort((item, which))
         self.posting_item, self.posting_weight = item[order], weight[order]
         self.starts = np.append(0, np.cumsum(df))
@@ -200,6 +216,31 @@ class Index:
         row = np.searchsorted(before, passage[heads[group[good]]], "right") - 1
         return row, item[good], score[good]
 
+    def search_whole(self, hashes: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        """(row, item, score) of the items of which a row has ``percent`` of the question's shingles."""
+        rolling = RollingHash(hashes)
+        n = len(self.items)
+        needed = np.array([len(x) for x in self.shingles])
+        for size, (maybe, shingle, owner) in self.whole.items():
+            first = np.arange(max(0, len(hashes) - size + 1))
+            own = rolling.of(first, first + size)
+            first = first[maybe[own >> np.uint64(64 - _MAYBE_BITS)]]
+            row = np.searchsorted(rows, first, "right") - 1
+            inside = first + size <= rows[row + 1]
+            first, row = first[inside], row[inside]
+            at = np.searchsorted(shingle, own[first])
+            known = shingle[np.minimum(at, len(shingle) - 1)] == own[first]
+            pairs = distinct(row[known] * len(shingle) + at[known])
+            row, low = pairs // len(shingle), pairs % len(shingle)
+            count = np.searchsorted(shingle, shingle[low], "right") - low
+            which = np.repeat(np.arange(len(low)), count)
+            item = owner[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + low[which]]
+            met, held = np.unique(row[which] * n + item, return_counts=True)
+            met = met[100 * held >= self.percent * needed[met % n]]
+            for r, i in zip((met // n).tolist(), (met % n).tolist(), strict=True):
+                terms, weight = self.item_terms[i]
+                yield r, i, float(weight[np.isin(terms, hashes[rows[r] : rows[r + 1]])].sum())
+
     @staticmethod
     def _sums(heads, size, term, group, column, columns, keys, values) -> np.ndarray:
         """Sums over a passage's terms of their values in one column."""
@@ -237,6 +278,8 @@ def _held(index: Index, data: np.ndarray, at: np.ndarray) -> list[tuple[int, int
     best: dict[tuple[int, int], float] = {}
     for row, item, score in zip(*(x.tolist() for x in index.search(hashes, rows)), strict=True):
         best[row, item] = max(score, best.get((row, item), 0.0))
+    for row, item, score in index.search_whole(hashes, rows):
+        best.setdefault((row, item), score)
     return [(r, i, s) for (r, i), s in sorted(best.items()) if index.holds(hashes[rows[r] : rows[r + 1]], i)]
 
 
