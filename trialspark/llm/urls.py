@@ -23,8 +23,9 @@ RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 
 _CANONICAL = (
     r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)",
-    r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*[\"']?[^\"'>]*?url\s*=\s*([^\"'\s>;]+)",
+    r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*[\"']?[^\"'>]*?url\s*=\s*((?:&(?:amp|#38|#x26);|[^\"'\s>;])+)",
 )
+_TRACKING = r"(?i)^(utm_[^=]*|gclid|dclid|gbraid|wbraid|fbclid|msclkid|yclid|twclid|igshid|mc_cid|mc_eid|_ga|_gl)(=|$)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -39,6 +40,13 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def query_of(url: Column) -> Column:
+    """From ``?`` up to ``#`` or the end, without tracking parameters; empty without others."""
+    query = F.regexp_extract(url, r"(?s)^.*?://[^?#]*\?([^#]*)", 1)
+    kept = F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(_TRACKING))
+    return F.coalesce(F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))), F.lit(""))
+
+
 def matching_rule(host: Column, path: Column, rules=RULES) -> Column:
     """The longest (action, rule) that fits: the rule's host or a subdomain, and a path prefix.
 
@@ -69,8 +77,8 @@ def url_verdicts(pages: DataFrame, rules=RULES, id_column: str = "page_id", url_
 
     ``verdict`` is the longest fitting rule's action. A page without a rule is
     blocked if a page of its component is blocked by a rule and none is allowed
-    by one; else it is allowed. ``component`` is the smallest url key (host and
-    path) of the page's aliases, null for a url without a host, which links to
+    by one; else it is allowed. ``component`` is the smallest url key (host, path
+    and query without tracking parameters) of the page's aliases, null for a url without a host, which links to
     nothing: a null url or one without ``://`` has empty host and path and is
     allowed. Links to urls that are no page still connect the pages that point
     at them. Repeated rows get a row each; other columns are ignored, whatever
@@ -78,7 +86,7 @@ def url_verdicts(pages: DataFrame, rules=RULES, id_column: str = "page_id", url_
     """
     url = F.col(url_column).cast("string")
     rows = pages.select(F.col(id_column).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), F.col(html_column).cast("string").alias("html"), url.alias("url"))
-    rows = rows.withColumn("key", _key(F.col("host"), F.col("path")))
+    rows = rows.withColumn("key", _key(F.col("host"), F.col("path"), query_of(F.col("url"))))
     rules_of = matching_rule(F.col("host"), F.col("path"), rules)
     links = cut_lineage(_links(rows), "links")
     roots, _ = connected_components(links)
@@ -87,7 +95,8 @@ def url_verdicts(pages: DataFrame, rules=RULES, id_column: str = "page_id", url_
     placed = judged.join(roots, "key", "left").withColumn("component", F.coalesce("root", "key"))
     # Rules of urls that are only linked to count as well.
     targets = roots.select(F.col("key")).union(roots.select("root")).distinct()
-    split = targets.select("key", F.split("key", "/", 2)[0].alias("host"), F.concat(F.lit("/"), F.split("key", "/", 2)[1]).alias("path"))
+    path = F.split(F.split("key", "/", 2)[1], r"\?", 2)[0]
+    split = targets.select("key", F.split("key", "/", 2)[0].alias("host"), F.concat(F.lit("/"), path).alias("path"))
     actions = split.select("key", matching_rule(F.col("host"), F.col("path"), rules)["allow"].alias("allow")).join(roots, "key", "left")
     actions = actions.groupBy(F.coalesce("root", "key").alias("component")).agg(F.bool_or("allow").alias("any_allow"), F.bool_or(~F.col("allow")).alias("any_block"))
     verdict = F.coalesce("allow", ~(F.coalesce("any_block", F.lit(False)) & ~F.coalesce("any_allow", F.lit(False))))
@@ -95,23 +104,26 @@ def url_verdicts(pages: DataFrame, rules=RULES, id_column: str = "page_id", url_
     return out.select("page_id", "host", "path", "rule", F.when(verdict, "allow").otherwise("block").alias("verdict"), "component")
 
 
-def _key(host: Column, path: Column) -> Column:
-    """What aliases are told apart by: host and path, an empty path being ``/``."""
-    return F.when(host != "", F.concat(host, F.when(path == "", F.lit("/")).otherwise(path)))
+def _key(host: Column, path: Column, query: Column) -> Column:
+    """What aliases are told apart by: host, path and query, an empty path being ``/``."""
+    return F.when(host != "", F.concat(host, F.when(path == "", F.lit("/")).otherwise(path), query))
 
 
 def _links(rows: DataFrame) -> DataFrame:
     """(``a``, ``b``): url keys joined by a canonical link or a redirect of the page's html."""
     targets = F.flatten(F.array(*[F.regexp_extract_all("html", F.lit(p), 1) for p in _CANONICAL]))
     found = rows.filter("key IS NOT NULL AND html IS NOT NULL").select("key", "host", "path", "url", F.explode(targets).alias("to"))
+    found = found.withColumn("to", F.regexp_replace("to", "(?i)&(amp|#38|#x26);", "&"))
     scheme = F.regexp_extract("url", r"(?s)^(.*?)://", 1)
     folder = F.regexp_extract("path", r"(?s)^(.*/)", 1)
     absolute = (
-        F.when(F.col("to").contains("://"), F.col("to"))
+        F.when(F.col("to").rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), F.col("to"))
         .when(F.col("to").startswith("//"), F.concat(scheme, F.lit(":"), F.col("to")))
         .when(F.col("to").startswith("/"), F.concat(scheme, F.lit("://"), F.col("host"), F.col("to")))
+        .when(F.col("to").startswith("?"), F.concat(scheme, F.lit("://"), F.col("host"), F.col("path"), F.col("to")))
+        .when(F.col("to").startswith("#"), F.col("url"))
         .otherwise(F.concat(scheme, F.lit("://"), F.col("host"), F.when(folder == "", "/").otherwise(folder), F.col("to")))
     )
     other = absolute
-    linked = found.select(F.col("key").alias("a"), _key(host_of(other), path_of(other)).alias("b"))
+    linked = found.select(F.col("key").alias("a"), _key(host_of(other), path_of(other), query_of(other)).alias("b"))
     return linked.filter("a <> b").distinct()
