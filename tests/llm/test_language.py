@@ -6,6 +6,8 @@ import random
 import corpus_pipeline
 from plain import table
 
+from trialspark.llm import language
+
 DATA = "/root/testdata/sf0.001"
 FOREIGN = {
     9001: "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura, che la diritta via era smarrita. Ahi quanto a dir qual era è cosa dura questa selva selvaggia e aspra e forte che nel pensier rinova la paura",
@@ -30,3 +32,11 @@ def test_other_languages_and_letter_junk_go(spark):
     got = {r.doc_id for r in corpus_pipeline.identified(spark, docs.select(columns).union(more), DATA).collect()}
     assert not got & set(other)
     assert {9100, 9101} <= got and {d for d, t in real.items() if any(c.isalpha() for c in t)} <= got
+
+
+def test_rare_languages_are_learned_from_large_tables(spark, monkeypatch):
+    monkeypatch.setattr(language, "FIT_ROWS", 20)
+    rows = [(i, "the cat and the dog with the house", "en") for i in range(400)] + [(1000 + i, "der hund und die katze mit dem haus", "de") for i in range(2)]
+    rows += [(2000, "die katze mit dem hund", None), (2001, "the house with the cat", None)]
+    got = {r.doc_id: r.lang_pred for r in language.identify(table(spark, rows)).collect()}
+    assert got[2000] == got[1000] == "de" and got[2001] == "en"

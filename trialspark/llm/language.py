@@ -6,8 +6,8 @@ document is given the language whose profile is nearest to its own list by the
 out-of-place distance: the sum over its n-grams of how far their ranks differ,
 an n-gram that the profile lacks counting as ``PROFILE`` places.
 
-Profiles are learned from about ``FIT_ROWS`` labelled documents, drawn by a hash
-of the id; n-grams are counted and ranked on the cluster, and only ``PROFILE``
+Profiles are learned from about ``FIT_ROWS`` labelled documents of each language,
+drawn by a hash of the id, and from all of a language that has fewer; n-grams are counted and ranked on the cluster, and only ``PROFILE``
 n-grams per language come to the driver and go to the executors.
 
 A text in no learned language is still nearest to some profile. How far a real
@@ -93,9 +93,7 @@ def _drawn(rows: DataFrame, most: int) -> DataFrame:
 
 def learn_profiles(rows: DataFrame) -> list[tuple[str, np.ndarray]]:
     """(language, its n-grams from the most frequent on), by language."""
-    usable = rows.filter("text IS NOT NULL AND lang IS NOT NULL")
-    share = min(1.0, FIT_ROWS / max(usable.count(), 1))
-    drawn = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+    drawn = _drawn(rows.filter("text IS NOT NULL AND lang IS NOT NULL"), FIT_ROWS)
     counted = drawn.select("lang", "text").mapInArrow(_gram_counts, "lang string, gram long, n long")
     ranked = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
