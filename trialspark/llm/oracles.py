@@ -76,4 +76,39 @@ SELECT k.page_id, k.host, k.path, own.rule,
 FROM k LEFT JOIN own ON own.page_id = k.page_id LEFT JOIN aliases ON aliases.a = k.key
 """
 
-ORACLES: dict[str, str] = {"op2_chosen_path": _OP2, "op7_doubling": _OP7, "op8_redirect_equivalence": _OP8}
+_OP11 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, {_WORDS.format('t')} AS w FROM d),
+firsts AS (SELECT t, min(doc_id) AS first FROM d GROUP BY t),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT w.part, coalesce(l.good, false) AS good, coalesce(l.toxic, false) AS toxic,
+    CASE WHEN len(w) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(w.t, '[^A-Z]', '', 'g')) > 10 * length(w.t) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(w.t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN firsts.first < w.doc_id THEN 16 ELSE 0 END AS mask
+  FROM w JOIN firsts ON firsts.t = w.t LEFT JOIN l ON l.doc_id = w.doc_id
+),
+c AS (SELECT part, good, toxic, mask, count(*) AS n FROM f GROUP BY ALL),
+letters(x, own) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders(filter_order, used) AS (SELECT x, own FROM letters UNION ALL SELECT filter_order || x, used + own FROM orders, letters WHERE used & own = 0),
+steps AS (
+  SELECT filter_order, s.step, own, coalesce((SELECT sum(e.own) FROM letters e WHERE strpos(filter_order, e.x) < s.step), 0) AS before
+  FROM orders, (SELECT unnest(range(1, 6)) AS step) s, letters WHERE used = 31 AND letters.x = filter_order[s.step]
+),
+out AS (
+  SELECT part, filter_order, step, own,
+    sum(CASE WHEN mask & (own | CAST(before AS INTEGER)) = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN mask & own > 0 AND mask & CAST(before AS INTEGER) = 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN mask & own > 0 AND mask & CAST(before AS INTEGER) > 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN mask = own THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN mask & own > 0 AND mask & CAST(before AS INTEGER) = 0 AND good THEN n ELSE 0 END) AS good_lost,
+    sum(CASE WHEN mask & own > 0 AND mask & CAST(before AS INTEGER) = 0 AND toxic THEN n ELSE 0 END) AS toxic_lost
+  FROM c, steps GROUP BY part, filter_order, step, own
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM out
+"""
+
+ORACLES: dict[str, str] = {"op2_chosen_path": _OP2, "op7_doubling": _OP7, "op8_redirect_equivalence": _OP8, "op11_existential_join": _OP11}

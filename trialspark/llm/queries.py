@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from trialspark.llm.decontaminate import leaks
 from trialspark.llm.doubling import doubling_dedup
+from trialspark.llm.filter_audit import filter_interactions
 from trialspark.llm.language import identify
 from trialspark.llm.minhash import near_duplicates
 from trialspark.llm.pieces import encode_documents
@@ -88,6 +89,12 @@ def op10_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(_documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op11_existential_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from every language in each of their 120 orders."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality", "toxic")
+    return filter_interactions(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"), labels)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_streaming_viterbi": op1_streaming_viterbi,
     "op2_chosen_path": op2_chosen_path,
@@ -99,4 +106,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_redirect_equivalence": op8_redirect_equivalence,
     "op9_sampled_splitters": op9_sampled_splitters,
     "op10_block_max_wand": op10_block_max_wand,
+    "op11_existential_join": op11_existential_join,
 }
