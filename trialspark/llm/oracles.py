@@ -111,4 +111,34 @@ SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) A
 FROM out
 """
 
-ORACLES: dict[str, str] = {"op2_chosen_path": _OP2, "op7_doubling": _OP7, "op8_redirect_equivalence": _OP8, "op11_existential_join": _OP11}
+
+def _hashes(words: str) -> str:
+    """The five-word shingle hashes of a list of words."""
+    count = f"CASE WHEN len({words}) > 0 THEN greatest(len({words}) - 4, 1) ELSE 0 END"
+    return f"list_transform(range(1, {count} + 1), lambda i: substr(md5(array_to_string({words}[i:i + 4], ' ')), 1, 15))"
+
+
+def _sketch(hashes: str) -> str:
+    """The retained hashes, or the smallest one."""
+    low = f"list_filter({hashes}, lambda h: h < '2')"
+    return f"list_sort(list_distinct(CASE WHEN len({low}) > 0 OR len({hashes}) = 0 THEN {low} ELSE [list_min({hashes})] END))"
+
+
+def _share(common: str, of: str) -> str:
+    return f"CASE WHEN len({of}) = 0 THEN 1.0::DOUBLE ELSE len({common})::DOUBLE / len({of})::DOUBLE END"
+
+
+_OP13 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT *, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS after FROM d),
+e AS (SELECT *, left(t, CAST(length(t) - length(t) // 2 AS BIGINT)) || left(after, CAST(length(t) // 2 AS BIGINT)) AS edited FROM n),
+w AS MATERIALIZED (SELECT *, {_WORDS.format('t')} AS w1, {_WORDS.format('after')} AS w2, {_WORDS.format('edited')} AS w3 FROM e),
+h AS MATERIALIZED (SELECT *, {_hashes('w1')} AS h1, {_hashes('w2')} AS h2, {_hashes('w3')} AS h3 FROM w),
+s AS (SELECT *, {_sketch('h1')} AS own, {_sketch('h2')} AS next, {_sketch('h3')} AS changed FROM h)
+SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, array_to_string(own, ' ') AS fingerprint, array_to_string(changed, ' ') AS edited_fingerprint,
+  {_share('list_intersect(own, changed)', 'list_distinct(own || changed)')} AS near_edited, {_share('list_intersect(own, next)', 'list_distinct(own || next)')} AS near_next,
+  {_share('list_intersect(own, next)', 'own')} AS in_next, {_share('list_intersect(own, next)', 'next')} AS next_in
+FROM s
+"""
+
+ORACLES: dict[str, str] = {"op2_chosen_path": _OP2, "op7_doubling": _OP7, "op8_redirect_equivalence": _OP8, "op11_existential_join": _OP11, "op13_scaled_sketch": _OP13}

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from trialspark.llm.decontaminate import leaks
 from trialspark.llm.doubling import doubling_dedup
 from trialspark.llm.filter_audit import filter_interactions
+from trialspark.llm.fingerprints import fingerprints
 from trialspark.llm.language import identify
 from trialspark.llm.minhash import near_duplicates
 from trialspark.llm.pieces import encode_documents
@@ -95,6 +96,11 @@ def op11_existential_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_interactions(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"), labels)
 
 
+def op13_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited text, and their likeness."""
+    return fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_streaming_viterbi": op1_streaming_viterbi,
     "op2_chosen_path": op2_chosen_path,
@@ -107,4 +113,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sampled_splitters": op9_sampled_splitters,
     "op10_block_max_wand": op10_block_max_wand,
     "op11_existential_join": op11_existential_join,
+    "op13_scaled_sketch": op13_scaled_sketch,
 }
