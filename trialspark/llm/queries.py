@@ -8,6 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from trialspark.llm.collocations import collocations
 from trialspark.llm.decontaminate import leaks
 from trialspark.llm.doubling import doubling_dedup
 from trialspark.llm.filter_audit import filter_interactions
@@ -96,6 +97,11 @@ def op11_existential_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_interactions(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"), labels)
 
 
+def op12_double_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 collocations of every language."""
+    return collocations(_documents(spark, sf_dir).select("text", "lang"))
+
+
 def op13_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness."""
     return fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
@@ -113,5 +119,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sampled_splitters": op9_sampled_splitters,
     "op10_block_max_wand": op10_block_max_wand,
     "op11_existential_join": op11_existential_join,
+    "op12_double_array": op12_double_array,
     "op13_scaled_sketch": op13_scaled_sketch,
 }
