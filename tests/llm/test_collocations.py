@@ -60,7 +60,7 @@ def test_against_plain_counts(spark, monkeypatch, part_bytes, part_phrases, chun
     got = collocations(table(spark, rows), least=least, top=50)
     assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
     found = sorted(tuple(r) for r in got.collect())
-    assert found == plain_rows(rows, least, 50) and len(found) > 10
+    assert found == plain_rows(rows, least, 50) and len(found) > 4
 
 
 def test_nothing_frequent_and_no_rows(spark):
