@@ -8,7 +8,7 @@ import pytest
 from conftest import drug, nct
 from pyspark.sql import functions as F
 
-from trialspark.operators import network
+from trialspark.operators import evidence, network
 from trialspark.operators.components import connected_components
 from trialspark.operators.network import alias_pairs, build_network, drug_mentions
 
@@ -216,3 +216,37 @@ def test_components_against_union_find(spark, seed):
 def test_no_components(spark):
     table, count = connected_components(spark.createDataFrame([("x", "x")], "a string, b string"))
     assert (table.count(), count) == (0, 0)
+
+
+@pytest.mark.parametrize("crowded", [1 << 16, 20])
+def test_samples_of_hot_edges_end_at_a_cut(study_table, monkeypatch, crowded):
+    """Links beyond the cut are dropped before the shuffle; where ids lie close together a window limits them."""
+    monkeypatch.setattr(evidence, "_CUT_SAMPLE", 300)
+    monkeypatch.setattr(network, "EDGE_IDS", crowded)
+    rng = random.Random(8)
+    rows, ids = [], defaultdict(list)
+    for i in range(900):
+        late = {"Late"} if i > 850 else set()  # a drug of the last ids only
+        chosen = sorted({"Hot", "Warm"} | late | ({f"D{rng.randint(0, 9)}"} if rng.random() < 0.3 else set()))
+        rows.append(trial(i, *chosen))
+        for pair in combinations(sorted(c.lower() for c in chosen), 2):
+            ids[pair].append(nct(i))
+    graph = build_network(study_table(rows, 4), "drug_drug", unique_ids=True, evidence_limit=3)
+    marked = {(r["source"][5:], r["target"][5:]): (r["until"], r["below"]) for r in graph.weights.collect()}
+    assert marked["hot", "warm"][0] is not None and marked["hot", "warm"][1] < 60
+    assert (marked["hot", "late"][1] > 20) == (len(ids["hot", "late"]) > 20)
+    got = {(r["source"][5:], r["target"][5:]): (r["weight"], r["source_ids"]) for r in graph.edges.collect()}
+    assert got == {p: (len(v), v[:3]) for p, v in ids.items()}
+
+
+def test_links_are_not_sorted(study_table):
+    rows = [trial(i, "A", "B", "C") for i in range(60)]
+    graph = build_network(study_table(rows), "drug_drug", unique_ids=True, evidence_limit=2)
+    plan = graph._sampled_ids(False)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" in plan and not any(node in plan for node in ("Window", "Sort ", "SortAggregate"))
+
+
+def test_cuts_of_few_and_no_ids(spark):
+    ids = spark.createDataFrame([(nct(i),) for i in range(50)], "nct_id string")
+    assert evidence.id_cuts(ids, 3) == [nct(2), nct(11), nct(47)]
+    assert evidence.id_cuts(ids.limit(0), 3) == []

@@ -4,10 +4,11 @@ import json
 
 import pytest
 from conftest import drug, nct
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from trialspark import fixed_values as fixed
 from trialspark.functions import paths
+from trialspark.operators.audit import verify_stored
 from trialspark.sources import adapter
 from trialspark.sources.reader import (
     dedupe_trials,
@@ -17,8 +18,8 @@ from trialspark.sources.reader import (
     read_trials,
     split_valid_ids,
 )
-from trialspark.sources.schema import RESULT_ROW, STUDY, TRIALS
-from trialspark.sources.sink import read_results, result_rows, schema_conforms, write_results
+from trialspark.sources.schema import RESULT_META, RESULT_ROW, STUDY, TRIALS
+from trialspark.sources.sink import conform, read_results, result_rows, schema_conforms, store_results, stored_problems, write_results
 
 
 def _study(number, **modules):
@@ -118,7 +119,8 @@ def test_results_are_stored_under_the_contract(spark, study_table, tmp_path):
     from trialspark import distribution
 
     bars = result_rows(distribution(study_table([{"nct_id": nct(1), "phases": ["NA"]}]), "phase"), "r1")
-    write_results(bars, str(tmp_path), "rows")
+    meta = spark.createDataFrame([("r1",)], "result_id string")
+    store_results(str(tmp_path), bars, conform(meta, RESULT_META))
     back = read_results(spark, str(tmp_path), "rows")
     assert schema_conforms(back, RESULT_ROW) == []
     assert back.first()["citations"][0]["matched_value"] == "NA"
@@ -130,6 +132,61 @@ def test_results_are_stored_under_the_contract(spark, study_table, tmp_path):
     assert set(TRIALS.fieldNames()) >= {"nct_id", "conditions"}
 
 
+def _stored_rows(spark, count: int, results=("r1", "r:2/x")):
+    rows = [(r, f"v{i}", i) for r in results for i in range(count)]
+    made = spark.createDataFrame(rows, "result_id string, value string, count_trials long")
+    meta = spark.createDataFrame([(r, "ok") for r in results], "result_id string, status string")
+    contract = T.StructType([*RESULT_ROW.fields, T.StructField("result_id", T.StringType())])
+    return conform(made, contract), conform(meta, RESULT_META)
+
+
+def _seen(spark, path):
+    rows = read_results(spark, path, "rows").groupBy("result_id").count().collect()
+    meta = read_results(spark, path, "meta").groupBy("result_id").count().collect()
+    return {r[0]: r[1] for r in rows}, {r[0]: r[1] for r in meta}
+
+
+def test_a_repeated_write_leaves_one_result(spark, tmp_path):
+    path = str(tmp_path)
+    assert _seen(spark, path) == ({}, {})
+    for _ in range(2):
+        store_results(path, *_stored_rows(spark, 3), version="a")
+    assert _seen(spark, path) == ({"r1": 3, "r:2/x": 3}, {"r1": 1, "r:2/x": 1})
+    store_results(path, *_stored_rows(spark, 5, ["r1"]))
+    assert _seen(spark, path) == ({"r1": 5, "r:2/x": 3}, {"r1": 1, "r:2/x": 1})
+
+
+def test_a_write_that_stops_shows_nothing_of_itself(spark, tmp_path):
+    path, (rows, meta) = str(tmp_path), _stored_rows(spark, 3)
+    write_results(rows, path, "rows", "first")
+    assert _seen(spark, path) == ({}, {})
+    store_results(path, rows, meta, version="first")
+    more, meta = _stored_rows(spark, 9)
+    write_results(more, path, "rows", "second")  # killed here
+    assert _seen(spark, path)[0] == {"r1": 3, "r:2/x": 3}
+    write_results(meta, path, "meta", "second")  # or here
+    assert _seen(spark, path) == ({"r1": 3, "r:2/x": 3}, {"r1": 1, "r:2/x": 1})
+    store_results(path, more, meta, version="second")
+    assert _seen(spark, path)[0] == {"r1": 9, "r:2/x": 9}
+
+
+def test_files_are_checked_by_their_own_columns(spark, tmp_path):
+    path, (rows, meta) = str(tmp_path), _stored_rows(spark, 3, ["good"])
+    store_results(path, rows, meta, version="g")
+    store_results(path, rows.drop("percent").withColumn("result_id", F.lit("r:2 +x")), meta.withColumn("result_id", F.lit("r:2 +x")))
+    store_results(path, rows.withColumn("members", F.lit("x")).withColumn("result_id", F.lit("typed")), meta.withColumn("result_id", F.lit("typed")), version="t")
+    write_results(rows.drop("label").withColumn("result_id", F.lit("good")), path, "rows", "unseen")
+    found = {(r.result_id, r.kind): r.problem for r in stored_problems(spark, path).collect()}
+    assert found == {("r:2 +x", "rows"): "missing column percent", ("typed", "rows"): "column members is string, expected array<string>"}
+    verdicts = {r.result_id: (r.i_schema, r.ii_provenance, r.ok) for r in verify_stored(spark, path).collect()}
+    assert verdicts["typed"] == verdicts["r:2 +x"] == ("FAIL", "SKIP", False) and verdicts["good"][0] == "PASS"
+    assert read_results(spark, path, "rows", [("typed", "t")]).filter("result_id = 'good'").count() == 3
+    folder = next((tmp_path / "rows" / "result_id=good").glob("version=g/*.parquet"))
+    folder.write_bytes(b"not a table")
+    (folder.parent / f".{folder.name}.crc").unlink(missing_ok=True)
+    assert {r.problem for r in stored_problems(spark, path).filter("result_id = 'good'").collect()} == {"unreadable file: ArrowInvalid"}
+
+
 def test_ids_of_large_keys_stay_apart(spark):
     keys = [5, 100000001, 100000002, 1000000010, 12345678901]
     got = spark.createDataFrame([(k,) for k in keys], "k long").select(adapter.nct_id(F.col("k"))).collect()

@@ -7,6 +7,7 @@ from trialspark.operators.audit import (
     audit_notes,
     release_check,
     verify_results,
+    verify_stored,
 )
 from trialspark.operators.compare import Arm, arm_rows, compare, compare_summary
 from trialspark.operators.evidence import citations_index
@@ -34,6 +35,6 @@ from trialspark.sources.reader import (
     read_trials,
     split_valid_ids,
 )
-from trialspark.sources.sink import read_results, result_edges, result_rows, write_results
+from trialspark.sources.sink import commit_results, read_results, result_edges, result_rows, store_results, stored_problems, write_results
 
 __all__ = [name for name in dir() if not name.startswith("_")]

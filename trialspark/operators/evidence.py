@@ -13,6 +13,8 @@ from trialspark.sources.schema import CITATION
 
 # A hot bucket's candidates meet in this many tasks before they meet in one.
 _MERGE_GROUPS = 64
+# Ids from which the cuts of hot buckets are taken.
+_CUT_SAMPLE = 1 << 16
 
 
 def first_per_bucket(rows: DataFrame, bucket: Sequence[str], k: int) -> DataFrame:
@@ -35,6 +37,37 @@ def first_per_bucket(rows: DataFrame, bucket: Sequence[str], k: int) -> DataFram
     )
 
 
+def id_cuts(ids: DataFrame, k: int, column: str = "nct_id") -> list[str]:
+    """Ids that split a table into ever smaller beginnings, each a quarter of the next, smallest first.
+
+    Taken from a bounded sample drawn by a hash of the id; the first is where
+    ``k`` rows of the whole table, or of the sample's grain, end.
+    """
+    count = ids.count()
+    share = min(1.0, _CUT_SAMPLE / count) if count else 1.0
+    drawn = ids.filter(F.pmod(F.xxhash64(column), F.lit(1 << 30)) < share * (1 << 30))
+    places, place = [], max(1, int(k * share))
+    while place < _CUT_SAMPLE:
+        places.append(place)
+        place *= 4
+    row = drawn.agg(F.array_sort(F.collect_list(column)).alias("ids")).select(*[F.get("ids", p - 1) for p in places]).first()
+    return [cut for cut in row if cut is not None]
+
+
+def below_cut(cuts: Sequence[str], k: int, column: str = "nct_id") -> tuple[list[Column], Column, Column]:
+    """Aggregates that find where the ``k`` smallest ids of a bucket end, for the pass that counts it.
+
+    (the aggregates, ``until``, ``below``): rows of a bucket with ids up to
+    ``until`` are ``below`` rows and hold its ``k`` smallest; no ``until``, no cut.
+    """
+    counted = [F.count_if(F.col(column) <= cut).alias(f"_until{i}") for i, cut in enumerate(cuts)]
+    until, below = F.lit(None).cast("string"), F.lit(None).cast("long")
+    for i, cut in reversed(list(enumerate(cuts))):
+        until = F.when(F.col(f"_until{i}") >= k, F.lit(cut)).otherwise(until)
+        below = F.when(F.col(f"_until{i}") >= k, F.col(f"_until{i}")).otherwise(below)
+    return counted, until.alias("until"), below.alias("below")
+
+
 def citation(
     path: Column | str,
     value: Column,

@@ -19,7 +19,7 @@ from trialspark.functions.names import drug_key, is_combination, is_placebo, slu
 from trialspark.functions.paths import clean
 from trialspark.functions.text import strip
 from trialspark.operators.components import connected_components
-from trialspark.operators.evidence import citation, collect_citations, first_per_bucket, with_evidence
+from trialspark.operators.evidence import below_cut, citation, collect_citations, first_per_bucket, id_cuts, with_evidence
 from trialspark.session import BROADCAST_ROWS, broadcast_if_small, cut_lineage
 from trialspark.sources.reader import dedupe_trials
 
@@ -28,6 +28,9 @@ KINDS = ("drug_drug", "sponsor_drug")
 # Merged names up to which they are looked up in a map instead of joined.
 MAP_ROWS = 500
 
+# Ids of one edge that are collected at once to take the smallest of them.
+EDGE_IDS = 1 << 16
+
 TRIAL_COLUMNS = ("nct_id", "brief_title", "sponsor_name", "interventions")
 
 _DRUG_PATH = fixed.FIELD_PATHS["interventionName"]
@@ -262,8 +265,15 @@ class Network:
 
     @cached_property
     def all_weights(self) -> DataFrame:
-        """All edges with their weight: distinct trials. Stored, as the other tables read it."""
-        return cut_lineage(self.links.groupBy("source", "target").agg(F.count(F.lit(1)).alias("weight")), "edges")
+        """All edges with their weight: distinct trials. Stored, as the other tables read it.
+
+        The same pass counts how many of an edge's trials lie among the first
+        ids: ``until`` is where its sample must end at the latest, ``below`` how
+        many trials that leaves.
+        """
+        counts, until, below = below_cut(id_cuts(self.resolved.select("nct_id"), self.evidence_limit), self.evidence_limit)
+        counted = self.links.groupBy("source", "target").agg(F.count(F.lit(1)).alias("weight"), *counts)
+        return cut_lineage(counted.select("source", "target", "weight", until, F.coalesce(below, "weight").alias("below")), "edges")
 
     @cached_property
     def heavy(self) -> DataFrame:
@@ -281,7 +291,7 @@ class Network:
             top = F.broadcast(top)
         kept = heavy.join(top.withColumnRenamed("id", "source"), "source", "left_semi")
         kept = kept.join(top.withColumnRenamed("id", "target"), "target", "left_semi")
-        return cut_lineage(kept.select("source", "target", "weight"), "kept-edges")
+        return cut_lineage(kept, "kept-edges")
 
     @cached_property
     def nodes(self) -> DataFrame:
@@ -308,27 +318,47 @@ class Network:
         """
         # max_nodes nodes have at most max_nodes^2 / 2 edges between them.
         few = self.max_nodes is not None and self.max_nodes**2 <= 2 * BROADCAST_ROWS
-        linked = self.links
-        if self.max_nodes is not None or self.min_edge_weight > 1:
-            kept = self.weights.select("source", "target")
-            linked = linked.join(F.broadcast(kept) if few else kept, ["source", "target"], "left_semi")
-        sampled = first_per_bucket(linked, ["source", "target"], self.evidence_limit)
-        ids = sampled.groupBy("source", "target").agg(
-            F.sort_array(F.collect_list("nct_id")).alias("source_ids")
-        )
+        ids = self._sampled_ids(few)
         # Only the ends and one id go to the records; the id lists meet the edges at the end.
         first = ids.select("source", "target", F.get("source_ids", 0).alias("nct_id"))
         cited = self.resolved.join(F.broadcast(first) if few else first, "nct_id").select(
             "source", "target", F.array(self._source_citation(), self._drug_citation("target")).alias("citations")
         )
         return (
-            self.weights.join(ids, ["source", "target"])
+            self.weights.drop("until", "below").join(ids, ["source", "target"])
             .join(cited, ["source", "target"])
             .withColumn("contributing_count", F.col("weight"))
             .withColumn("truncated", F.col("weight") > F.size("source_ids"))
             .orderBy(F.col("weight").desc(), "source", "target")
         )
 
+    def _sampled_ids(self, few: bool) -> DataFrame:
+        """``source, target, source_ids``: the smallest ids of each kept edge.
+
+        Links beyond an edge's cut are dropped where they are made, so few more
+        than the sample are shuffled and none are sorted by edge. Edges that have
+        too many trials before the cut all the same, because their ids lie close
+        together, go through a limited window.
+        """
+        key, linked = ["source", "target"], self.links
+        if self.max_nodes is not None or self.min_edge_weight > 1:
+            kept = self.weights.select(*key)
+            linked = linked.join(F.broadcast(kept) if few else kept, key, "left_semi")
+        cut = self.weights.filter("until IS NOT NULL").select(*key, "until", "below", "weight")
+        facts = self.weights.agg(F.count("until").alias("cut"), F.coalesce(F.sum("weight"), F.lit(0)).alias("links"), F.count_if(F.col("below") > EDGE_IDS).alias("crowded")).first()
+        if facts["cut"] > BROADCAST_ROWS:
+            # Edges with more than this share of all links; the others are small enough for a task.
+            cut = cut.filter(F.col("weight") * BROADCAST_ROWS > facts["links"])
+        if facts["cut"]:
+            marked = linked.join(F.broadcast(cut.select(*key, "until")), key, "left")
+            linked = marked.filter(F.col("until").isNull() | (F.col("nct_id") <= F.col("until"))).select("nct_id", *key)
+        smallest = F.slice(F.array_sort(F.collect_list("nct_id")), 1, self.evidence_limit).alias("source_ids")
+        if not facts["crowded"]:
+            return linked.groupBy(*key).agg(smallest)
+        crowded = self.weights.filter(F.col("below") > EDGE_IDS).select(*key)
+        limited = first_per_bucket(linked.join(crowded, key, "left_semi"), key, self.evidence_limit)
+        return linked.join(crowded, key, "left_anti").unionByName(limited.select("nct_id", *key)).groupBy(*key).agg(smallest)
+
     def _source_citation(self) -> Column:
         if self.kind == "drug_drug":
             return self._drug_citation("source")

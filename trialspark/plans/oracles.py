@@ -941,3 +941,20 @@ oracle(
     """,
     _COMPLETED,
 )
+oracle(
+    "stored_files",
+    f"""
+    SELECT r AS result_id, CASE WHEN broken THEN 'FAIL' ELSE 'PASS' END AS i_schema,
+      CASE WHEN broken THEN 'SKIP' ELSE 'PASS' END AS ii_provenance, CASE WHEN broken THEN 'SKIP' ELSE 'PASS' END AS iii_counts,
+      CASE WHEN broken THEN 'SKIP' WHEN r = 'replaced' THEN 'FAIL' ELSE 'PASS' END AS iv_reconciliation,
+      '0/0' AS v_notes, NOT broken AND r <> 'replaced' AS ok,
+      CASE WHEN NOT broken THEN all_bars.n - CASE WHEN r = 'replaced' THEN 1 ELSE 0 END END AS bars,
+      CASE WHEN NOT broken THEN CAST(all_bars.trials - CASE WHEN r = 'replaced' THEN all_bars.completed ELSE 0 END AS BIGINT) END AS bar_sum,
+      problems
+    FROM (VALUES
+      ('sound', false, NULL), ('replaced', false, NULL), ('broken_off', false, NULL),
+      ('missing_column', true, 'missing column contributing_count; missing column members'),
+      ('mistyped_column', true, 'column count_trials is string, expected bigint'), ('short_meta', true, 'missing column notes')) v(r, broken, problems),
+    (SELECT count(DISTINCT {_STATUS}) AS n, count(*) AS trials, count(*) FILTER (WHERE {_STATUS} = 'COMPLETED') AS completed FROM base) all_bars
+    """,
+)

@@ -39,7 +39,7 @@ from trialspark.session import checkpoint_dir, cut_lineage
 from trialspark.sources.adapter import nct_id, trials_from_orders
 from trialspark.sources.reader import dedupe_trials, flatten_studies, is_valid_nct_id, nest_studies, parse_studies, split_valid_ids
 from trialspark.sources.schema import TRIALS
-from trialspark.sources.sink import conform, read_results, result_edges, result_meta, result_rows, write_results
+from trialspark.sources.sink import conform, read_results, result_edges, result_meta, result_rows, store_results, stored_problems, write_results
 
 CURRENT_YEAR = 2000
 
@@ -825,13 +825,38 @@ def stored_results(spark, sf_dir):
         rows = cut_lineage(result_rows(buckets, name), "result")
         seen = rows.agg(F.sum("count_trials").alias("count_trials")) if name == "cut_short" else total
         meta = result_meta(rows, name, chart_type="bar", mode=mode, total=total, distinct=seen, truncated=name == "cut_short")
-        write_results(rows, path, "rows")
-        write_results(meta, path, "meta")
+        store_results(path, rows, meta)
     rows, meta = read_results(spark, path, "rows"), read_results(spark, path, "meta")
     verdicts = audit.verify_results(rows, meta).join(audit.release_check(rows, meta).drop("ok", "disclosure"), "result_id")
     return verdicts.join(meta.select("result_id", "count_total", "distinct_trials", "mentions", "truncated", "partial", F.size("notes").alias("n_notes")), "result_id")
 
 
+@query
+def stored_files(spark, sf_dir):
+    """Results stored by sound, damaged, retried, replaced and broken-off writes, verified from their files."""
+    trials = _stored(_for_fields(spark, sf_dir, "overallStatus", extra=["brief_title"]))
+    rows = cut_lineage(result_rows(distribution(trials, "overallStatus", unique_ids=True, sort=False), "sound"), "result")
+    meta = cut_lineage(result_meta(rows, "sound", chart_type="bar", mode="combine", total=count_trials(trials, unique_ids=True)), "meta")
+    path = f"{checkpoint_dir(spark)}/stored-files-{uuid.uuid4().hex}"
+
+    def named(df: DataFrame, *results: str) -> DataFrame:
+        return df.withColumn("result_id", F.explode(F.array(*map(F.lit, results))))
+
+    for attempt in range(2):  # the second is a retry
+        store_results(path, named(rows, "sound", "replaced", "broken_off"), named(meta, "sound", "replaced", "broken_off"), version=f"first {attempt // 2}")
+    write_results(named(rows.unionAll(rows), "broken_off"), path, "rows", "second")  # neither meta row nor commit follows
+    store_results(path, named(rows.filter("value <> 'COMPLETED'"), "replaced"), named(meta, "replaced"), version="third")
+    store_results(path, named(rows.drop("contributing_count", "members"), "missing_column"), named(meta, "missing_column"))
+    store_results(path, named(rows.withColumn("count_trials", F.col("count_trials").cast("string")), "mistyped_column"), named(meta, "mistyped_column"))
+    store_results(path, named(rows, "short_meta"), named(meta.drop("notes"), "short_meta"))
+    found = cut_lineage(stored_problems(spark, path), "problems")
+    verdicts = audit.verify_stored(spark, path, found)
+    broken = [(r["result_id"], r["version"]) for r in found.select("result_id", "version").distinct().collect()]
+    bars = read_results(spark, path, "rows", broken).groupBy("result_id").agg(F.count(F.lit(1)).alias("bars"), F.sum("count_trials").alias("bar_sum"))
+    problems = found.groupBy("result_id").agg(_join(F.array_sort(F.collect_set("problem")), "; ").alias("problems"))
+    return verdicts.join(bars, "result_id", "left").join(problems, "result_id", "left")
+
+
 @query
 def audit_quotes(spark, sf_dir):
     """Citations that do not quote their own value, over sound and forged results."""

@@ -1,15 +1,29 @@
-"""Stored results: write result rows, graph edges and their meta rows; read them back."""
+"""Stored results: write result rows, graph edges and their meta rows; read them back.
+
+A write is repeatable: every result has a folder per version, and a manifest,
+written last, names the version of each result that readers see.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import uuid
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark.errors import UnsupportedOperationException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type
 
 from trialspark import fixed_values as fixed
 from trialspark.operators.grouping import partial_note
-from trialspark.sources.schema import EDGES, RESULT_META, RESULT_ROW
+from trialspark.sources.schema import EDGES, RESULT_META, RESULT_ROW, struct
 
 _KINDS = {"rows": RESULT_ROW, "edges": EDGES, "meta": RESULT_META}
+MANIFEST = struct(result_id=T.StringType(), version=T.StringType(), number=T.LongType())
+#: Rows in one stored file, at most.
+FILE_ROWS = 100_000
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -65,33 +79,138 @@ def result_meta(
     return conform(row, RESULT_META)
 
 
-def write_results(df: DataFrame, path: str, kind: str, mode: str = "append") -> None:
-    """Append results to the table of their kind (``rows``, ``edges`` or ``meta``)."""
-    if kind not in _KINDS:
-        raise ValueError(f"unknown result kind {kind!r}; known: {sorted(_KINDS)}")
-    df.write.mode(mode).parquet(f"{path}/{kind}")
+def write_results(df: DataFrame, path: str, kind: str, version: str = "1") -> None:
+    """Write results (tagged with ``result_id``) of one kind: ``rows``, ``edges`` or ``meta``.
+
+    A result's rows lie in a folder of their own, by result and ``version``, and
+    replace what an earlier attempt at that version left there. Readers do not
+    see them before :func:`commit_results`.
+    """
+    _known(kind)
+    tagged = df.withColumn("version", F.lit(version))
+    writer = tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", FILE_ROWS)
+    writer.partitionBy("result_id", "version").parquet(f"{path}/{kind}")
+
+
+def commit_results(spark: SparkSession, path: str, version: str = "1") -> None:
+    """Let readers see the results whose meta rows were written as ``version``; the last step of a write.
+
+    The manifest only grows, by one file per commit, and the commit with the
+    highest number is the one that counts: so a write that stops anywhere leaves
+    the results as they were, and repeating one changes nothing.
+    """
+    known = _table(spark, f"{path}/manifest", MANIFEST)
+    number = known.agg(F.coalesce(F.max("number"), F.lit(0)).alias("n")).first()["n"] + 1
+    meta = spark.read.schema(_partitioned("meta")).parquet(f"{path}/meta").filter(F.col("version") == version)
+    rows = meta.select("result_id", "version").distinct().withColumn("number", F.lit(number).cast("long"))
+    rows.coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+
+
+def store_results(path: str, rows: DataFrame, meta: DataFrame, edges: DataFrame | None = None, version: str | None = None) -> str:
+    """Write results whole and commit them; a retry under the same ``version`` replaces what a failed attempt left."""
+    version = version or uuid.uuid4().hex
+    write_results(rows, path, "rows", version)
+    if edges is not None:
+        write_results(edges, path, "edges", version)
+    write_results(meta, path, "meta", version)
+    commit_results(meta.sparkSession, path, version)
+    return version
+
+
+def committed(spark: SparkSession, path: str) -> DataFrame:
+    """(``result_id``, ``version``) that readers see: the last committed version of each result."""
+    manifest = _table(spark, f"{path}/manifest", MANIFEST)
+    last = manifest.groupBy("result_id").agg(F.max("number").alias("number"))
+    return manifest.join(last, ["result_id", "number"]).groupBy("result_id").agg(F.max("version").alias("version"))
+
+
+def stored_problems(spark: SparkSession, path: str) -> DataFrame:
+    """(``result_id``, ``version``, ``kind``, ``problem``): committed files that break the contract.
+
+    Read from the footer of every file, before any schema is laid over it. The
+    files are opened in tasks; :data:`FILE_ROWS` bounds their size.
+    """
+    found = None
+    for kind in _KINDS:
+        folder = f"{path}/{kind}"
+        if not _exists(spark, folder):
+            continue
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(folder)
+        one = files.select("path", "content").mapInArrow(_footer_problems(kind), "path string, problem string").withColumn("kind", F.lit(kind))
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        return spark.createDataFrame([], "result_id string, version string, kind string, problem string")
+
+    def named(key: str) -> Column:
+        return F.url_decode(F.regexp_replace(F.regexp_extract("path", f"/{key}=([^/]*)/", 1), "[+]", "%2B"))
 
+    problems = found.select(named("result_id").alias("result_id"), named("version").alias("version"), "kind", "problem")
+    return problems.join(committed(spark, path), ["result_id", "version"], "left_semi").distinct()
 
-def read_results(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """The stored results of one kind, under the declared contract."""
+
+def _footer_problems(kind: str):
+    schema = T.StructType([f for f in _KINDS[kind].fields if f.name != "result_id"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                try:
+                    physical = pq.read_schema(pa.BufferReader(content.as_buffer()))
+                    problems = differences({f.name: from_arrow_type(f.type).simpleString() for f in physical}, schema)
+                except (pa.ArrowInvalid, UnsupportedOperationException) as unreadable:
+                    problems = [f"unreadable file: {type(unreadable).__name__}"]
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(problems), pa.string()), pa.array(problems, pa.string())], ["path", "problem"])
+
+    return run
+
+
+def read_results(spark: SparkSession, path: str, kind: str, without: Iterable[tuple[str, str]] = ()) -> DataFrame:
+    """The committed results of one kind, under the declared contract.
+
+    ``without`` names (result, version) folders that are not opened, as their
+    files break it.
+    """
+    _known(kind)
+    table = _table(spark, f"{path}/{kind}", _partitioned(kind))
+    for result, version in without:
+        table = table.filter(~((F.col("result_id") == result) & (F.col("version") == version)))
+    seen = table.join(F.broadcast(committed(spark, path)), ["result_id", "version"], "left_semi")
+    order = _KINDS[kind].fieldNames() + ([] if kind == "meta" else ["result_id"])
+    return seen.select(*order)
+
+
+def _known(kind: str) -> None:
     if kind not in _KINDS:
         raise ValueError(f"unknown result kind {kind!r}; known: {sorted(_KINDS)}")
-    schema = _KINDS[kind]
-    if kind != "meta":
-        schema = T.StructType(schema.fields + [T.StructField("result_id", T.StringType())])
-    return spark.read.schema(schema).parquet(f"{path}/{kind}")
 
 
-def schema_conforms(df: DataFrame, schema: T.StructType) -> list[str]:
-    """Differences between a stored table's columns and the contract; empty when it conforms."""
+def _partitioned(kind: str) -> T.StructType:
+    own = [f for f in _KINDS[kind].fields if f.name != "result_id"]
+    return T.StructType([*own, T.StructField("result_id", T.StringType()), T.StructField("version", T.StringType())])
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def _table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A stored table; empty before its first write."""
+    return spark.read.schema(schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
+
+
+def differences(present: dict[str, str], schema: T.StructType) -> list[str]:
+    """What columns, given with their types, lack of a schema; empty when they conform."""
     problems = []
-    present = {f.name: f.dataType for f in df.schema.fields}
     for field in schema.fields:
+        expected = field.dataType.simpleString()
         if field.name not in present:
             problems.append(f"missing column {field.name}")
-        elif present[field.name].simpleString() != field.dataType.simpleString():
-            problems.append(
-                f"column {field.name} is {present[field.name].simpleString()}, "
-                f"expected {field.dataType.simpleString()}"
-            )
+        elif present[field.name] != expected:
+            problems.append(f"column {field.name} is {present[field.name]}, expected {expected}")
     return problems
+
+
+def schema_conforms(df: DataFrame, schema: T.StructType) -> list[str]:
+    """Differences between a table's columns and the contract; empty when it conforms."""
+    return differences({f.name: f.dataType.simpleString() for f in df.schema.fields}, schema)
