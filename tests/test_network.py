@@ -250,3 +250,18 @@ def test_cuts_of_few_and_no_ids(spark):
     ids = spark.createDataFrame([(nct(i),) for i in range(50)], "nct_id string")
     assert evidence.id_cuts(ids, 3) == [nct(2), nct(11), nct(47)]
     assert evidence.id_cuts(ids.limit(0), 3) == []
+
+
+def test_labels_and_first_rows_are_not_sort_aggregated(study_table):
+    trials = study_table([trial(i, "A", "B", sponsor="Acme") for i in range(9)])
+    mentions = drug_mentions(trials)
+    for table in (mentions, network.drug_labels(mentions, (mentions, 0)), network.sponsor_labels(trials)):
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_first_mentions_are_ordered_by_id_then_place(spark):
+    rows = [("NCT00000001", 9), ("NCT00000002", 0), ("NCT000000019", 0), ("NCT0000000001", 1), ("A", 5), ("A", 2_000_000), ("é", 1)]
+    number = network.first_seen(F.col("i"), F.col("p"))
+    got = spark.createDataFrame(rows, "i string, p int").select("i", "p", number.alias("n")).collect()
+    assert [(r.i, r.p) for r in sorted(got, key=lambda r: r.n)] == sorted(rows, key=lambda r: (r[0].encode(), r[1]))

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 from conftest import drug, nct
@@ -10,6 +11,7 @@ from trialspark import fixed_values as fixed
 from trialspark.functions import paths
 from trialspark.operators.audit import verify_stored
 from trialspark.sources import adapter
+from trialspark.sources.layout import merge_trials, open_trials, store_trials
 from trialspark.sources.reader import (
     dedupe_trials,
     flatten_studies,
@@ -132,6 +134,57 @@ def test_results_are_stored_under_the_contract(spark, study_table, tmp_path):
     assert set(TRIALS.fieldNames()) >= {"nct_id", "conditions"}
 
 
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stored_trials_are_not_shuffled_again(spark, study_table, tmp_path):
+    rows = [{"nct_id": nct(i % 40), "overall_status": f"S{i}", "start_date": str(1000 + i)} for i in range(100)] + [{"nct_id": None}]
+    trials = study_table(rows).select("nct_id", "overall_status", "start_date")
+    stored = store_trials(trials, "layout_a", str(tmp_path / "a"), order_column="start_date", buckets=4)
+    assert {(r.nct_id, r.overall_status) for r in stored.collect()} == {(nct(i), f"S{i}") for i in range(40)} and stored.count() == 40
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "Exchange" not in _plan(dedupe_trials(stored, "start_date"))
+        assert "Exchange" not in _plan(stored.groupBy("nct_id").count())
+        counted = _plan(stored.agg(F.count_distinct("nct_id")))
+        assert counted.count("Exchange") == 1 and "SinglePartition" in counted  # one number per task
+        claims = spark.createDataFrame([(nct(3), "x")], "nct_id string, claim string")
+        checked = _plan(stored.join(claims, "nct_id"))
+        assert checked.count("Exchange") == 1 and "Bucketed: true" in stored.join(claims, "nct_id")._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        batch = study_table([{"nct_id": nct(5), "overall_status": "EARLIER", "start_date": "0"}, {"nct_id": nct(6), "overall_status": "LATER", "start_date": "9999"}, {"nct_id": nct(77), "overall_status": "NEW"}, {"nct_id": None}])
+        batch = batch.select("nct_id", "overall_status", "start_date")
+        merged = merge_trials(stored, batch, "start_date")
+        assert _plan(merged).count("Exchange") == _plan(dedupe_trials(batch, "start_date")).count("Exchange") + 1  # the batch to its buckets
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    again = store_trials(merged, "layout_b", str(tmp_path / "b"), buckets=4, unique_ids=True)
+    got = {r.nct_id: r.overall_status for r in again.collect()}
+    assert len(got) == again.count() == 41
+    assert (got[nct(5)], got[nct(6)], got[nct(77)]) == ("EARLIER", "S6", "NEW")
+    schema = again.schema
+    spark.sql("DROP TABLE layout_b")
+    back = open_trials(spark, "layout_b", str(tmp_path / "b"), schema, 4)
+    assert back.count() == 41 and "Exchange" not in _plan(back.groupBy("nct_id").count())
+    for name in ("layout_a", "layout_b"):
+        spark.sql(f"DROP TABLE {name}")
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_batches_merge_to_the_rows_of_one_dedup(spark, study_table, tmp_path, seed):
+    draw = random.Random(seed)
+    rows = [{"nct_id": draw.choice([nct(i) for i in range(12)] + [None]), "overall_status": draw.choice("abc"), "start_date": draw.choice([None, "1", "2"]), "phases": draw.choice([None, [], ["NA"]])} for _ in range(60)]
+    columns = ["nct_id", "overall_status", "start_date", "phases"]
+    table = study_table(rows).select(*columns)
+    stored = store_trials(study_table(rows[:20]).select(*columns), f"batches_{seed}_0", str(tmp_path / "0"), order_column="start_date", buckets=3)
+    for i in (1, 2):
+        merged = merge_trials(stored, study_table(rows[20 * i : 20 * i + 20]).select(*columns), "start_date")
+        stored = store_trials(merged, f"batches_{seed}_{i}", str(tmp_path / str(i)), buckets=3, unique_ids=True)
+    assert sorted(map(str, stored.collect())) == sorted(map(str, dedupe_trials(table, "start_date").select(*columns).collect()))
+    for i in range(3):
+        spark.sql(f"DROP TABLE batches_{seed}_{i}")
+
+
 def _stored_rows(spark, count: int, results=("r1", "r:2/x")):
     rows = [(r, f"v{i}", i) for r in results for i in range(count)]
     made = spark.createDataFrame(rows, "result_id string, value string, count_trials long")

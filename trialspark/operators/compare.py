@@ -91,14 +91,10 @@ def compare(
     # Bucket tables from here on: categories x arms.
     place = F.row_number().over(Window.partitionBy("arm").orderBy(*spec.order()))
     placed = buckets.withColumn("place", place)
-    first = F.min(F.struct("arm", "place", "label")).alias("first")
+    shown = F.row_number().over(Window.partitionBy("value").orderBy("arm", "place", "label"))
+    first = placed.withColumn("_shown", shown).filter(F.col("_shown") == 1).select("value", F.struct("arm", "place", "label").alias("first"))
     every = F.array(*[F.struct(F.lit(i).alias("arm"), F.lit(a.label).alias("series")) for i, a in enumerate(arms)])
-    grid = (
-        placed.groupBy("value")
-        .agg(first)
-        .select("value", "first", F.inline(every))
-        .join(arm_totals(rows, unique_ids), "arm", "left")
-    )
+    grid = first.select("value", "first", F.inline(every)).join(arm_totals(rows, unique_ids), "arm", "left")
     filled = grid.join(placed.drop("label", "place"), ["arm", "value"], "left")
     count = F.coalesce(F.col("count_trials"), F.lit(0))
     total = F.coalesce(F.col("arm_total"), F.lit(0))

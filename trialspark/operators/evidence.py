@@ -155,9 +155,6 @@ def citations_index(rows: DataFrame, position: Column) -> DataFrame:
     order decides.
     """
     seen = rows.select(position.alias("row_position"), F.posexplode("citations").alias("place", "citation"))
-    first = F.min(F.struct("row_position", "place", "citation")).alias("first")
-    return (
-        seen.groupBy(F.col("citation.nct_id").alias("nct_id"))
-        .agg(first)
-        .select("nct_id", "first.row_position", "first.place", "first.citation")
-    )
+    seen = seen.select(F.col("citation.nct_id").alias("nct_id"), "row_position", "place", "citation")
+    first = F.row_number().over(Window.partitionBy("nct_id").orderBy("row_position", "place", "citation"))
+    return seen.withColumn("_first", first).filter(F.col("_first") == 1).drop("_first")

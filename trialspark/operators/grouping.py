@@ -11,7 +11,7 @@ from trialspark.functions.names import title_case
 from trialspark.operators.evidence import bucket_evidence, citation, collect_citations, first_per_bucket, with_evidence
 from trialspark.operators.fields import FIELDS, FieldSpec, field_spec
 from trialspark.session import cut_lineage
-from trialspark.sources.reader import dedupe_trials
+from trialspark.sources.reader import dedupe_trials, first_row
 
 FROM_SPEC = -1
 
@@ -100,11 +100,7 @@ def first_row_per_trial(rows: DataFrame, keys: Sequence[str], order_column: str
     """One row per (keys, trial), the first in walk order. Rows without an id drop out."""
     if not keys:
         return dedupe_trials(rows, order_column)
-    rest = [c for c in rows.columns if c not in (*keys, "nct_id")]
-    order = [order_column] if order_column else []
-    row = F.min(F.struct(*order, *[c for c in rest if c not in order])).alias("_row")
-    reduced = rows.filter(F.col("nct_id").isNotNull()).groupBy(*keys, "nct_id").agg(row)
-    return reduced.select(*keys, "nct_id", *[F.col(f"_row.{c}").alias(c) for c in rest])
+    return first_row(rows.filter(F.col("nct_id").isNotNull()), [*keys, "nct_id"], order_column)
 
 
 def bucket_rows(rows: DataFrame, fold: Column | None = None) -> DataFrame:

@@ -63,18 +63,23 @@ def drug_rows(trials: DataFrame, *carried: str) -> DataFrame:
 
 
 def drug_mentions(trials: DataFrame) -> DataFrame:
-    """Distinct (name, other names) with how often, where first, and in which last trial.
+    """Distinct (name, other names) with how often, where first, and in how many trials: one or more.
 
     Reduced before the shuffle, so a drug in a third of all trials costs each
-    task one row. Keys are computed on the reduced rows only.
+    task one row. All measures are numbers, so the reduction is a hash
+    aggregation: ``seen`` orders first mentions, and ``low`` differs from
+    ``high`` where two trials mention the pair. Keys are computed on the reduced
+    rows only.
     """
+    trial = F.xxhash64("nct_id")
     reduced = (
         drug_rows(trials)
         .groupBy("name", "other_names")
         .agg(
             F.count(F.lit(1)).alias("mentions"),
-            F.min(F.struct("nct_id", "place")).alias("first"),
-            F.max("nct_id").alias("last_id"),
+            F.min(first_seen(F.col("nct_id"), F.col("place"))).alias("seen"),
+            F.min(trial).alias("low"),
+            F.max(trial).alias("high"),
         )
     )
     keys = F.array_distinct(F.transform(F.coalesce("other_names", F.array().cast("array<string>")), drug_key))
@@ -88,28 +93,23 @@ def alias_pairs(mentions: DataFrame) -> DataFrame:
 
     An other name is an alias only when it is itself the main name of a drug.
     Combination products, and interventions with two or more such names, attest
-    nothing. Attestation needs two distinct trials, and two are there exactly
-    when the smallest and the largest trial id differ.
+    nothing. Attestation needs two distinct trials, and two are there when the
+    smallest and the largest hash of their ids differ.
     """
     mains = mentions.select(F.col("key").alias("alias")).distinct()
     named = mentions.filter((F.size("alias_keys") > 0) & ~is_combination(F.col("name")))
     hits = (
-        named.select("name", "other_names", "key", "first", "last_id", F.explode("alias_keys").alias("alias"))
+        named.select("name", "other_names", "key", "low", "high", F.explode("alias_keys").alias("alias"))
         .join(mains, "alias", "left_semi")
-        .groupBy("name", "other_names")
-        .agg(
-            F.count(F.lit(1)).alias("aliases"),
-            F.first("key").alias("key"),
-            F.first("alias").alias("alias"),
-            F.first("first.nct_id").alias("first_id"),
-            F.first("last_id").alias("last_id"),
-        )
-        .filter(F.col("aliases") == 1)
+        .groupBy("name", "other_names", "key", "low", "high")
+        .agg(F.collect_list("alias").alias("aliases"))
+        .filter(F.size("aliases") == 1)
+        .withColumn("alias", F.get("aliases", 0))
     )
     return (
         hits.groupBy(F.least("key", "alias").alias("a"), F.greatest("key", "alias").alias("b"))
-        .agg(F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"))
-        .filter(F.col("first_id") < F.col("last_id"))
+        .agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        .filter(F.col("low") < F.col("high"))
         .select("a", "b")
     )
 
@@ -123,16 +123,35 @@ def resolve(rows: DataFrame, components: tuple[DataFrame, int]) -> DataFrame:
     return joined.withColumn("canon", F.coalesce("root", "key")).drop("root")
 
 
+def first_seen(nct_id: Column, place: Column) -> Column:
+    """A number that orders mentions by trial id, then by place in the record.
+
+    It holds the first 13 bytes of the id, all of a registry number, and the
+    place up to 999,999; what ties beyond that is told apart by the name.
+    """
+    digits = F.rpad(F.hex(nct_id), 26, "0")
+    head, tail = (F.conv(part, 16, 10).cast("decimal(20,0)") for part in (F.substring(digits, 1, 14), F.substring(digits, 15, 12)))
+    number = head.cast("decimal(38,0)") * F.lit(1 << 48).cast("decimal(15,0)") + tail
+    return (number.cast("decimal(32,0)") * F.lit(1_000_000).cast("decimal(7,0)") + F.least(place, F.lit(999_999))).cast("decimal(38,0)")
+
+
 def _most_frequent(names: DataFrame, key: str) -> DataFrame:
-    """Display label per key: the most frequent raw name, the first seen on ties."""
-    best = F.min(F.struct((-F.col("n")).alias("n"), "seen", "name")).alias("best")
-    return names.groupBy(key).agg(best).select(key, F.col("best.name").alias("label"))
+    """Display label per key: the most frequent raw name, the first seen on ties.
+
+    The best of each measure in turn, all of them numbers: hash aggregations of
+    the names that are left.
+    """
+    left = names.select(key, "name", (-F.col("n")).alias("_rare"), F.col("seen").alias("_seen"), F.xxhash64("name").alias("_name"))
+    for measure in ("_rare", "_seen", "_name"):
+        best = left.groupBy(key).agg(F.min(measure).alias("_best"))
+        left = left.join(best, key).filter(F.col(measure) == F.col("_best")).drop("_best")
+    return left.select(key, F.col("name").alias("label"))
 
 
 def drug_labels(mentions: DataFrame, components: tuple[DataFrame, int]) -> DataFrame:
     """``canon`` -> ``label``; counts mentions, not trials."""
     names = resolve(mentions, components).groupBy("canon", "name").agg(
-        F.sum("mentions").alias("n"), F.min("first").alias("seen")
+        F.sum("mentions").alias("n"), F.min("seen").alias("seen")
     )
     return _most_frequent(names, "canon")
 
@@ -143,7 +162,7 @@ def sponsor_labels(trials: DataFrame) -> DataFrame:
         trials.select("nct_id", clean(F.col("sponsor_name")).alias("name"))
         .filter(F.col("name").isNotNull() & F.col("nct_id").isNotNull())
         .groupBy("name")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("nct_id").alias("seen"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min(first_seen(F.col("nct_id"), F.lit(0))).alias("seen"))
     )
     return _most_frequent(names.withColumn("sponsor", sponsor_key(F.col("name"))), "sponsor")
 
@@ -232,7 +251,7 @@ def _drug_node_labels(mentions: DataFrame, components: tuple[DataFrame, int], sh
     names = resolve(mentions, components).withColumn("id", node_id("drug", F.col("canon")))
     if shown is not None:
         names = names.join(shown.select("id"), "id", "left_semi")
-    names = names.groupBy("id", "name").agg(F.sum("mentions").alias("n"), F.min("first").alias("seen"))
+    names = names.groupBy("id", "name").agg(F.sum("mentions").alias("n"), F.min("seen").alias("seen"))
     return _most_frequent(names, "id")
 
 

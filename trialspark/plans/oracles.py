@@ -253,6 +253,7 @@ oracle(
 )
 oracle("id_validity", "SELECT o_orderkey AS k, o_orderkey % 8 IN (0, 5, 7) AS valid FROM orders")
 oracle("first_row_wins", "SELECT nct_id, overall_status FROM base")
+oracle("stored_trials", "SELECT nct_id, overall_status, start_date, (SELECT count(DISTINCT nct_id) FROM base) AS trials FROM base")
 
 # --- filters -------------------------------------------------------------------------------
 

@@ -37,6 +37,7 @@ from trialspark.operators.histogram import duration_histogram
 from trialspark.operators.series import series_summary, timeseries
 from trialspark.session import checkpoint_dir, cut_lineage
 from trialspark.sources.adapter import nct_id, trials_from_orders
+from trialspark.sources.layout import merge_trials, store_trials
 from trialspark.sources.reader import dedupe_trials, flatten_studies, is_valid_nct_id, nest_studies, parse_studies, split_valid_ids
 from trialspark.sources.schema import TRIALS
 from trialspark.sources.sink import conform, read_results, result_edges, result_meta, result_rows, store_results, stored_problems, write_results
@@ -178,6 +179,19 @@ def first_row_wins(spark, sf_dir):
     return dedupe_trials(changed, "walk").select("nct_id", "overall_status")
 
 
+@query
+def stored_trials(spark, sf_dir):
+    """The same rows from a bucketed table that got them in two batches, the later rows first."""
+    trials = _with_repeats(_trials(spark, sf_dir, "overall_status", "start_date"))
+    changed = trials.withColumn("overall_status", F.when(F.col("repeat"), "WITHDRAWN").otherwise(F.col("overall_status")))
+    made, folder = f"trials_{uuid.uuid4().hex}", f"{checkpoint_dir(spark)}/stored-trials-{uuid.uuid4().hex}"
+    first = store_trials(changed.filter("repeat"), f"{made}_1", f"{folder}/1", order_column="walk", buckets=8)
+    merged = merge_trials(first, changed.filter("NOT repeat"), "walk")
+    second = store_trials(merged, f"{made}_2", f"{folder}/2", buckets=8, unique_ids=True)
+    total = count_trials(second).select("count_trials").scalar()
+    return second.select("nct_id", "overall_status", "start_date", total.alias("trials"))
+
+
 # --- filters ------------------------------------------------------------------------------
 
 _FILTERS = {

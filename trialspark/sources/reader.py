@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from trialspark import fixed_values as fixed
 from trialspark.sources.schema import INTERVENTION, LENIENT_STUDY, STUDY
@@ -172,10 +172,18 @@ def dedupe_trials(trials: DataFrame, order_column: str | None = None) -> DataFra
     depend on how the data is partitioned. Project first: only the columns
     still present travel through the shuffle.
     """
+    known = trials.filter(F.col("nct_id").isNotNull())
     if trials.columns == ["nct_id"]:
-        return trials.filter(F.col("nct_id").isNotNull()).distinct()
-    rest = [c for c in trials.columns if c not in ("nct_id", order_column)]
-    order = [F.col(order_column)] if order_column else []
-    row = F.struct(*order, *[F.col(c) for c in rest])
-    reduced = trials.filter(F.col("nct_id").isNotNull()).groupBy("nct_id").agg(F.min(row).alias("row"))
-    return reduced.select("nct_id", *[F.col(f"row.{c}").alias(c) for c in trials.columns if c != "nct_id"])
+        return known.distinct()
+    return first_row(known, ["nct_id"], order_column)
+
+
+def first_row(rows: DataFrame, keys: Sequence[str], order_column: str | None = None) -> DataFrame:
+    """The first row of each key by ``order_column``, then by content, nulls first.
+
+    Every task keeps one row of a key ahead of the shuffle, so a key that
+    repeats without end costs a row per task.
+    """
+    order = [c for c in (order_column,) if c] + [c for c in rows.columns if c not in (*keys, order_column)]
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*(order or keys)))
+    return rows.withColumn("_place", place).filter(F.col("_place") == 1).drop("_place")
