@@ -9,7 +9,7 @@ import pytest
 from plain import lower, odd_texts
 
 from trialspark.llm import collocations as module
-from trialspark.llm.collocations import DoubleArray, Tokens, _packed, _unpacked, collocations, frequent_phrases, word_trie
+from trialspark.llm.collocations import Tokens, _packed, _unpacked, collocations, followed, frequent_phrases, phrase_trie, word_trie
 
 SCHEMA = "doc_id long, text string, lang string, w string, n string, word string, phrase string, code string, part string"
 
@@ -69,16 +69,16 @@ def test_nothing_frequent_and_no_rows(spark):
     assert collocations(table(spark, [(i, "one. two. " * 20, "en") for i in range(5)])).count() == 0  # words, no phrases
 
 
-def test_double_array_against_a_dict():
+def test_phrase_trie_against_a_dict():
     draw = np.random.default_rng(1)
     codes = np.unique(np.concatenate([draw.integers(0, 400, 3000) * 5000 + draw.integers(1, 5000, 3000), 7 * 5000 + np.arange(1, 3000)]))
-    parent, symbol, child = codes // 5000, codes % 5000, np.arange(1, len(codes) + 1)
-    trie = DoubleArray.build(400, parent, symbol, child)
-    known = dict(zip(codes.tolist(), child.tolist(), strict=True))
-    p, s = np.repeat(np.arange(400), 50), draw.integers(0, 5100, 20000)
-    assert trie.step(p, s).tolist() == [known.get(a * 5000 + b, -1) if b < 5000 else -1 for a, b in zip(p.tolist(), s.tolist(), strict=True)]
-    assert (trie.step(parent, symbol) == child).all()
-    assert len(trie.check) < 20 * len(codes)
+    parent, symbol, ids = codes // 5000 + 100, codes % 5000, np.arange(1, len(codes) + 1)
+    trie, more = _unpacked(_packed(phrase_trie(100, parent, symbol, ids, 5000)))
+    known = {(p, s): i for p, s, i in zip(parent.tolist(), symbol.tolist(), ids.tolist(), strict=True)}
+    p, s = np.repeat(np.arange(90, 520), 50), draw.integers(0, 5000, 430 * 50)
+    assert followed(trie, more, p, s).tolist() == [known.get(x, 0) for x in zip(p.tolist(), s.tolist(), strict=True)]
+    assert (followed(trie, more, parent, symbol) == ids).all()
+    assert len(trie.check) < 2 * len(trie.base)
 
 
 def test_word_trie_accepts_its_words_only():
@@ -100,8 +100,7 @@ def test_word_trie_accepts_its_words_only():
 def test_words_with_equal_hashes_are_told_apart():
     text = np.frombuffer(b"one two one six", np.uint8)
     tokens = Tokens(text, np.array([0, 15]))
-    tokens.hashes[:] = 1
-    assert tokens.counted(np.arange(4)) == {b"one": 2, b"two": 1, b"six": 1}
+    assert tokens.counted(np.arange(4), np.ones(4, np.uint64)) == {b"one": 2, b"two": 1, b"six": 1}
 
 
 def test_all_lengths_have_their_counts(spark):

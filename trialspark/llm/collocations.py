@@ -10,7 +10,7 @@ shards decide which are frequent. No hash stands for a word or a phrase: the
 first trie reads the bytes of words, the others their numbers.
 
 The tries are double arrays (Aoe, 1989): node ``s`` goes by symbol ``c`` to slot
-``base[s] + c`` if ``check`` names ``s`` there. A trie is built in tasks, in parts
+``base[s] + c``, wrapped around the table, if ``check`` names ``s`` there. A trie is built in tasks, in parts
 of bounded size; each part is one broadcast and one pass, and all passes fill the
 same states. Texts are reduced once to the numbers of frequent words, runs of
 which are all that later levels read.
@@ -40,8 +40,8 @@ UNKNOWN = "und"
 PART_BYTES = 1 << 21
 PART_PHRASES = 1 << 20
 #: Text bytes, and word positions, that a task handles at once.
-CHUNK = 1 << 21
-POSITIONS = 1 << 22
+CHUNK = 1 << 20
+POSITIONS = 1 << 20
 
 _BYTES = np.arange(256)
 _MARKS = np.isin(_BYTES, list(b".,;:!?\n\x0b\x0c\r"))
@@ -59,41 +59,29 @@ class DoubleArray:
 
     @classmethod
     def build(cls, nodes: int, parent: np.ndarray, symbol: np.ndarray, child: np.ndarray) -> DoubleArray:
-        """From transitions sorted by (parent, symbol), each once.
+        """From transitions sorted by (parent, symbol), each once; symbols are small numbers.
 
-        Parents with many children take their slots first: some free offset among
-        random ones, or the end of the table. Parents with one child fill the gaps.
+        Parents with many children take their slots first, at some free offset
+        or at the end of the table; parents with one child fill the gaps.
         """
         start = np.searchsorted(parent, np.arange(nodes + 1))
         count = np.diff(start)
-        base = np.zeros(nodes, np.int64)
-        random = np.random.default_rng(5)
-        used = np.zeros(1024, bool)
+        base, random, used = np.zeros(nodes, np.int64), np.random.default_rng(5), np.zeros(1024, bool)
         top = 0  # all slots from here on are free
         for p in np.argsort(-count, kind="stable")[: int((count > 1).sum())].tolist():
             own = symbol[start[p] : start[p + 1]]
             span = int(own[-1]) + 1
-            found = None
-            for tries in (4, 64, 1024):
-                offsets = random.integers(0, max(top, 1), tries)
-                if top + span > len(used):
-                    used = np.append(used, np.zeros(max(len(used), top + span), bool))
-                free = np.flatnonzero(~used[offsets[:, None] + own].any(axis=1))
-                if len(free):
-                    found = int(offsets[free[0]])
-                    break
-            if found is None:
-                found = top - int(own[0]) if top >= own[0] else 0
-                while used[found + own].any():
-                    found += 1
-            base[p] = found
-            used[found + own] = True
-            top = max(top, found + span)
+            if top + span > len(used):
+                used = np.append(used, np.zeros(len(used) + span, bool))
+            offsets = random.integers(0, top + 1, 64)
+            free = np.flatnonzero(~used[offsets[:, None] + own].any(axis=1))
+            base[p] = offsets[free[0]] if len(free) else top - int(own[0]) if top >= own[0] else top
+            used[base[p] + own] = True
+            top = max(top, int(base[p]) + span)
         lone = np.flatnonzero(count == 1)
-        gaps = np.flatnonzero(~used)
-        if len(gaps) < len(lone):
-            gaps = np.append(gaps, np.arange(len(used), len(used) + len(lone) - len(gaps)))
-        base[lone] = gaps[: len(lone)] - symbol[start[lone]]
+        gaps = np.flatnonzero(~used[:top])[: len(lone)]
+        gaps = np.append(gaps, np.arange(top, top + len(lone) - len(gaps)))
+        base[lone] = gaps - symbol[start[lone]]
         slot = base[parent] + symbol
         size = int(slot.max()) + 1 if len(slot) else 1
         check, target = np.full(size, -1, np.int32), np.zeros(size, np.int32)
@@ -101,45 +89,81 @@ class DoubleArray:
         return cls(base.astype(np.int32), check, target)
 
     def step(self, node: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """The child of each node, or -1."""
+        """The child of each node, or -1; a node of -1 has none."""
         slot = self.base[node].astype(np.int64) + symbol
-        inside = (slot >= 0) & (slot < len(self.check))
-        slot = np.where(inside, slot, 0)
+        inside = (slot >= 0) & (slot < len(self.check)) & (node >= 0)
+        slot[~inside] = 0
         return np.where(inside & (self.check[slot] == node), self.child[slot], -1)
 
 
-def word_trie(words: list[bytes], ids: np.ndarray) -> dict[str, np.ndarray]:
-    """The arrays of a trie over the bytes of distinct words; ``accept`` holds their ids, 0 elsewhere."""
-    size = np.array([len(w) for w in words], np.int64)
-    data = np.frombuffer(b"".join(words), np.uint8)
-    start = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
-    node, nodes, depth = np.zeros(len(words), np.int64), 1, 0
-    parents, symbols, accept = [], [], {}
-    left = np.arange(len(words))
+def _grown(roots: int, node: np.ndarray, symbols_of: Callable[[np.ndarray, int], tuple[np.ndarray, np.ndarray]], ids: np.ndarray) -> dict[str, np.ndarray]:
+    """The trie of keys that start at the nodes ``node`` (below ``roots``), one symbol of every key at a time.
+
+    ``symbols_of(keys, depth)`` tells which of the keys end at a depth, and the
+    symbols of the others. ``accept`` holds a key's id at its last node, 0 elsewhere.
+    """
+    node, nodes, depth, left = node.astype(np.int64), roots, 0, np.arange(len(ids))
+    parents, symbols, ends, accepted = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     while len(left):
-        over = size[left] == depth
-        accept.update(zip(node[left[over]].tolist(), ids[left[over]].tolist(), strict=True))
+        over, symbol = symbols_of(left, depth)
+        ends.append(node[left[over]])
+        accepted.append(ids[left[over]])
         left = left[~over]
-        made, which = np.unique(node[left] << 8 | data[start[left] + depth], return_inverse=True)
-        parents.append(made >> 8)
-        symbols.append(made & 255)
+        made, which = np.unique(node[left] << 16 | symbol, return_inverse=True)
+        parents.append(made >> 16)
+        symbols.append(made & 0xFFFF)
         node[left] = nodes + which
         nodes, depth = nodes + len(made), depth + 1
-    parent, symbol = np.concatenate([*parents, np.zeros(0, np.int64)]), np.concatenate([*symbols, np.zeros(0, np.int64)])
-    child = np.arange(1, nodes)
+    parent, symbol = np.concatenate(parents), np.concatenate(symbols)
     order = np.lexsort((symbol, parent))
-    trie = DoubleArray.build(nodes, parent[order], symbol[order], child[order])
-    accepts = np.zeros(nodes, np.int32)
-    accepts[list(accept)] = list(accept.values())
-    return {"base": trie.base, "check": trie.check, "child": trie.child, "accept": accepts}
+    trie = DoubleArray.build(nodes, parent[order], symbol[order], np.arange(roots, nodes)[order])
+    accept = np.zeros(nodes, np.int32)
+    accept[np.concatenate(ends)] = np.concatenate(accepted)
+    return {"base": trie.base, "check": trie.check, "child": trie.child, "accept": accept}
 
 
-def phrase_trie(low: int, parent: np.ndarray, symbol: np.ndarray, child: np.ndarray) -> dict[str, np.ndarray]:
-    """The arrays of the transitions from phrases ``low`` on by one word."""
-    order = np.lexsort((symbol, parent))
-    own = parent[order] - low
-    trie = DoubleArray.build(int(own[-1]) + 1, own, symbol[order], child[order])
-    return {"base": trie.base, "check": trie.check, "child": trie.child, "low": np.array([low])}
+def word_trie(words: list[bytes], ids: np.ndarray) -> dict[str, np.ndarray]:
+    """The arrays of a trie over the bytes of distinct words."""
+    size = np.array([len(w) for w in words], np.int64)
+    data, start = np.frombuffer(b"".join(words), np.uint8), np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
+
+    def symbols_of(keys: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        over = size[keys] == depth
+        return over, data[start[keys[~over]] + depth].astype(np.int64)
+
+    return _grown(1, np.zeros(len(words), np.int64), symbols_of, ids)
+
+
+def digits(symbols: int) -> tuple[int, int]:
+    """Into how many digits of how many bits word numbers below ``symbols`` are split."""
+    bits = max(1, (symbols - 1).bit_length())
+    count = -(-bits // 10)
+    return count, -(-bits // count)
+
+
+def phrase_trie(low: int, parent: np.ndarray, symbol: np.ndarray, ids: np.ndarray, symbols: int) -> dict[str, np.ndarray]:
+    """The arrays of the transitions from phrases ``low`` on by one word of ``symbols``.
+
+    The number of a word is read digit by digit, so that the children of a node
+    lie close together, as double arrays need it.
+    """
+    count, bits = digits(symbols)
+    own = parent - low
+
+    def symbols_of(keys: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        over = np.full(len(keys), depth == count)
+        return over, symbol[keys[~over]] >> bits * (count - 1 - depth) & (1 << bits) - 1
+
+    return _grown(int(own.max()) + 1, own, symbols_of, ids) | {"low": np.array([low, own.max() + 1, count, bits])}
+
+
+def followed(trie: DoubleArray, more: dict[str, np.ndarray], phrase: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The phrase that each phrase becomes by one more word, or 0; phrases of other parts become none."""
+    low, nodes, count, bits = more["low"].tolist()
+    node = np.where((phrase >= low) & (phrase < low + nodes), phrase - low, -1)
+    for place in range(count - 1, -1, -1):
+        node = trie.step(node, word >> bits * place & (1 << bits) - 1)
+    return np.where(node >= 0, more["accept"][node], 0)
 
 
 def _packed(arrays: dict[str, np.ndarray]) -> bytes:
@@ -178,11 +202,11 @@ class Tokens:
         piece = np.cumsum(_MARKS[self.data])[self.starts]
         self.first = np.ones(len(self.starts), bool)
         self.first[1:] = (piece[1:] != piece[:-1]) | (self.row[1:] != self.row[:-1])
-        self.hashes = words.hashes()
+        self.words = words
 
-    def counted(self, own: np.ndarray) -> Counter:
+    def counted(self, own: np.ndarray, hashes: np.ndarray) -> Counter:
         """The distinct words among those at ``own``, by their bytes, and how often each occurs."""
-        _, first, which, count = np.unique(self.hashes[own], return_index=True, return_inverse=True, return_counts=True)
+        _, first, which, count = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
         starts, size = self.starts[own], (self.ends - self.starts)[own]
         like = first[which]
         same = size == size[like]
@@ -204,11 +228,11 @@ def _langs(part: pa.RecordBatch) -> tuple[list[str], np.ndarray]:
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, data, at in chunks(batch, "text", CHUNK):
-            tokens = Tokens(data, at)
-            langs, of = _langs(part)
+            tokens, (langs, of) = Tokens(data, at), _langs(part)
+            hashes = tokens.words.hashes()
             for i, lang in enumerate(langs):
                 own = np.flatnonzero(of[tokens.row] == i)
-                found = tokens.counted(own) if len(own) else {}
+                found = tokens.counted(own, hashes[own]) if len(own) else {}
                 names = pa.array([None, *found], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(found) + 1), pa.string()), names, pa.array([len(own), *found.values()], pa.int64())], ["lang", "word", "n"])
 
@@ -240,11 +264,12 @@ def _broadcast_parts(tries: DataFrame) -> Iterator[tuple[Broadcast, bool]]:
 # --- levels -------------------------------------------------------------------------------
 
 
-def _collapsed(w: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of words, one 0 between them and at both ends."""
-    w, node = np.concatenate([[0], w, [0]]), np.concatenate([[0], node, [0]])
+def _collapsed(w: np.ndarray, *more: np.ndarray) -> list[np.ndarray]:
+    """Runs of words, one 0 between them and at both ends, and the numbers at the same places of ``more``."""
+    end = np.zeros(1, np.int32)
+    w = np.concatenate([end, w, end])
     keep = (w != 0) | np.append(True, w[:-1] != 0)
-    return w[keep].astype(np.int32), node[keep].astype(np.int32)
+    return [w[keep], *(np.concatenate([end, x, end])[keep] for x in more)]
 
 
 def _lists(column: str, batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -254,9 +279,15 @@ def _lists(column: str, batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         yield flat[at[i] : at[i + 1]]
 
 
+# Words of runs and the states at them; no states where those of single words are meant, which are the words.
 _RUNS = "lang string, w array<int>, node array<int>"
 
 
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    for lang, w, node in zip(batch.column("lang").to_pylist(), _lists("w", batch), _lists("node", batch), strict=True):
+        yield lang, w, node if len(node) else w
+
+
 def _run_batch(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     def packed(parts: list[np.ndarray]) -> pa.Array:
         at = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
@@ -308,8 +339,8 @@ def _encoded(trie: _Once, last: bool) -> Callable:
                     places[1::2] = w[own]
                     keep = np.ones(len(places), bool)
                     keep[::2] = tokens.first[own]
-                    runs, _ = _collapsed(places[keep], places[keep])
-                    rows.append((lang, runs, runs))
+                    (runs,) = _collapsed(places[keep])
+                    rows.append((lang, runs, runs[:0]))
                 yield _run_batch(rows)
 
     return run
@@ -323,23 +354,19 @@ def _advanced(trie: _Once, size: int, last: bool) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie.open()
-        low, nodes = int(trie.more["low"][0]), len(trie.array.base)
         for batch in batches:
             rows = []
-            for lang, w, node in zip(batch.column("lang").to_pylist(), _lists("w", batch), _lists("node", batch), strict=True):
+            for lang, w, node in _runs(batch):
                 node = node.copy()
-                at = np.flatnonzero((node >= low) & (node < low + nodes) & (node > 0))
-                at = at[at + size - 1 < len(w)]
-                word = w[at + size - 1]
-                child = trie.array.step(node[at] - low, word)
-                met = (child > 0) & (word > 0)
-                node[at[met]] = -child[met]
+                at = np.flatnonzero(node[: max(0, len(w) - size + 1)] > 0)
+                child = followed(trie.array, trie.more, node[at], w[at + size - 1])
+                node[at[child > 0]] = -child[child > 0]
                 if last:
-                    node = np.where(node < 0, -node, 0)
+                    node = np.where(node < 0, -node, 0).astype(np.int32)
                     near = np.zeros(len(w) + size, np.int32)
                     np.add.at(near, np.flatnonzero(node), 1)
                     np.add.at(near, np.flatnonzero(node) + size, -1)
-                    w, node = _collapsed(np.where(np.cumsum(near)[: len(w)] > 0, w, 0), node)
+                    w, node = _collapsed(np.where(np.cumsum(near, dtype=np.int32)[: len(w)] > 0, w, 0).astype(np.int32), node)
                 rows.append((lang, w, node))
             yield _run_batch(rows)
 
@@ -352,16 +379,19 @@ def _candidates(size: int) -> Callable:
     A phrase is the state of its first part and its last word, in one number.
     """
 
-    def summed(lang: str, parts: list[np.ndarray]) -> pa.RecordBatch:
-        code, which = np.unique(np.concatenate(parts), return_inverse=True)
-        count = np.bincount(which, minlength=len(code))
-        return pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code), pa.array(count, pa.int64())], ["lang", "code", "n"])
+    def summed(lang: str, parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        codes = np.concatenate(parts)
+        codes.sort()
+        new = np.append(True, codes[1:] != codes[:-1])
+        count = np.bincount(np.cumsum(new, dtype=np.int32) - 1)
+        table = pa.table({"lang": pa.repeat(pa.scalar(lang, pa.string()), len(count)), "code": codes[new], "n": count.astype(np.int64)})
+        yield from table.to_batches(1 << 16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[np.ndarray]] = {}
         waiting = 0
         for batch in batches:
-            for lang, w, node in zip(batch.column("lang").to_pylist(), _lists("w", batch), _lists("node", batch), strict=True):
+            for lang, w, node in _runs(batch):
                 count = max(0, len(w) - size + 1)
                 at = np.flatnonzero((node[:count] > 0) & (node[1 : count + 1] > 0) & (w[size - 1 : size - 1 + count] > 0)) if count else np.zeros(0, np.int64)
                 if len(at):
@@ -369,10 +399,10 @@ def _candidates(size: int) -> Callable:
                     waiting += len(at)
                 if waiting >= POSITIONS:
                     for name, parts in held.items():
-                        yield summed(name, parts)
+                        yield from summed(name, parts)
                     held, waiting = {}, 0
         for name, parts in held.items():
-            yield summed(name, parts)
+            yield from summed(name, parts)
 
     return run
 
@@ -392,7 +422,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     if not total:
         return every, totals
     parts = -(-total // PART_BYTES)
-    known, _ = _numbered(distinct.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(parts)).cast("int")), "word")
+    known, numbers = _numbered(distinct.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(parts)).cast("int")), "word")
     known = cut_lineage(known, "numbered-words")
 
     def words_of(part: pd.DataFrame) -> pd.DataFrame:
@@ -425,7 +455,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
 
         def phrases_of(part: pd.DataFrame) -> pd.DataFrame:
             own = [part[c].to_numpy().astype(np.int64) for c in ("parent", "symbol", "id")]
-            return pd.DataFrame({"part": part["part"].iloc[:1], "trie": [_packed(phrase_trie(int(own[0].min()), *own))]})
+            return pd.DataFrame({"part": part["part"].iloc[:1], "trie": [_packed(phrase_trie(int(own[0].min()), *own, numbers + 1))]})
 
         tries = cut_lineage(made.groupBy("part").applyInPandas(phrases_of, "part int, trie binary"), "tries")
         for trie, last in _broadcast_parts(tries):
