@@ -9,7 +9,7 @@ from conftest import drug, nct
 from pyspark.sql import functions as F
 
 from trialspark.operators import evidence, network
-from trialspark.operators.components import connected_components
+from trialspark.operators.components import connected_components, merge_components
 from trialspark.operators.network import alias_pairs, build_network, drug_mentions
 
 
@@ -213,6 +213,22 @@ def test_components_against_union_find(spark, seed):
     assert count == len(want)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_batches_of_links_give_the_components_of_all(spark, seed):
+    rng = random.Random(seed)
+    links = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(50)] + [(i, i + 1) for i in range(100, 112)]
+    rng.shuffle(links)
+    stars, _ = connected_components(spark.createDataFrame(links[:20], "a int, b int"))
+    for i in (20, 35, 50):
+        batch = links[i : i + 15] + links[:2]  # known links come again
+        stars, count = merge_components(stars, spark.createDataFrame(batch, "a int, b int"))
+        full, _ = connected_components(spark.createDataFrame(links[: i + 15], "a int, b int"))
+        got = sorted(tuple(r) for r in stars.collect())
+        assert got == sorted(tuple(r) for r in full.collect()) and count == len(got)
+    same, count = merge_components(stars, spark.createDataFrame([], "a int, b int"))
+    assert sorted(tuple(r) for r in same.collect()) == got and count == len(got)
+
+
 def test_no_components(spark):
     table, count = connected_components(spark.createDataFrame([("x", "x")], "a string, b string"))
     assert (table.count(), count) == (0, 0)

@@ -28,6 +28,28 @@ def connected_components(pairs: DataFrame, a: str = "a", b: str = "b") -> tuple[
     return edges.select(F.col("u").alias("key"), F.col("v").alias("root")), count
 
 
+def merge_components(stars: DataFrame, pairs: DataFrame, a: str = "a", b: str = "b") -> tuple[DataFrame, int]:
+    """The (``key``, ``root``) table ``stars`` brought up to date with new ``pairs``, and the row count.
+
+    New pairs are contracted through the roots they already have, so the search
+    runs over the components they touch, each a single key. Only rows of
+    components whose root changed are rewritten; a pair inside a component
+    changes nothing. The result is that of a full run over all pairs so far.
+    """
+    new = cut_lineage(pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b").distinct(), "new-pairs")
+    rooted = new
+    for end in ("a", "b"):
+        known = stars.select(F.col("key").alias(end), F.col("root").alias(f"{end}_root"))
+        rooted = rooted.join(known, end, "left").withColumn(f"{end}_top", F.coalesce(f"{end}_root", end)).drop(f"{end}_root")
+    moved, count = connected_components(rooted.select(F.col("a_top").alias("a"), F.col("b_top").alias("b")))
+    moved = moved.select(F.col("key").alias("old"), F.col("root").alias("new"))
+    # Roots and keys without a component are not rows of the table: those that moved become rows.
+    moves = broadcast_if_small(moved, count)
+    kept = stars.join(moves, stars["root"] == moves["old"], "left").select("key", F.coalesce("new", "root").alias("root"))
+    merged = cut_lineage(kept.unionByName(moved.select(F.col("old").alias("key"), F.col("new").alias("root"))), "components")
+    return merged, merged.count()
+
+
 def _state(edges: DataFrame) -> tuple[int, bool]:
     """(number of edges, whether every component is a star around its smallest key).
 

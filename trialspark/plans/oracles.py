@@ -755,6 +755,7 @@ oracle(
 )
 oracle("drug_alias_pairs", "SELECT a, b FROM pairs")
 oracle("drug_components", "SELECT key, canon AS root FROM canon WHERE key <> canon")
+oracle("drug_components_in_batches", "SELECT key, canon AS root FROM canon WHERE key <> canon")
 oracle("drug_display_labels", "SELECT canon, label FROM drug_labels")
 oracle("sponsor_display_labels", "SELECT sponsor, label FROM sponsor_labels")
 
