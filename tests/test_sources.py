@@ -10,8 +10,9 @@ from pyspark.sql import functions as F, types as T
 from trialspark import fixed_values as fixed
 from trialspark.functions import paths
 from trialspark.operators.audit import verify_stored
+from trialspark.operators.filters import filter_trials
 from trialspark.sources import adapter
-from trialspark.sources.layout import merge_trials, open_trials, store_trials
+from trialspark.sources.layout import merge_trials, open_trials, store_by_year, store_trials
 from trialspark.sources.reader import (
     dedupe_trials,
     flatten_studies,
@@ -170,6 +171,20 @@ def test_stored_trials_are_not_shuffled_again(spark, study_table, tmp_path):
         spark.sql(f"DROP TABLE {name}")
 
 
+def test_a_year_range_reads_its_own_folders(spark, study_table, tmp_path):
+    dates = ["1998-01", "1999", "2000-05-03", "2001", "12000", "1850", None, "soon", "2000-13", ""]
+    trials = study_table([{"nct_id": nct(i), "start_date": d} for i, d in enumerate(dates * 3)])
+    stored = store_by_year(trials.select("nct_id", "start_date"), str(tmp_path / "years"))
+    assert stored.count() == 30
+    for filters, folders in (({"start_year": 1999, "end_year": 2000}, 2), ({"start_year": 2000}, 3), ({"end_year": 1999}, 3), ({}, None)):
+        got = filter_trials(stored, filters)
+        assert {r.nct_id for r in got.collect()} == {r.nct_id for r in filter_trials(trials, filters).collect()}
+        if folders:
+            assert "start_year_part" in _plan(got).split("PartitionFilters: [")[1].split("]")[0]
+            read = got.select(F.regexp_extract(F.input_file_name(), "start_year_part=([^/]*)", 1).alias("f")).distinct()
+            assert {r.f for r in read.collect()} <= {"1998", "1999", "2000", "2001", "0"} and read.count() <= folders
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_batches_merge_to_the_rows_of_one_dedup(spark, study_table, tmp_path, seed):
     draw = random.Random(seed)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from trialspark import fixed_values as fixed
 from trialspark.functions.dates import ct_year
+from trialspark.sources.layout import YEAR_PART, year_folders
 
 class Filter(NamedTuple):
     """A named filter: the columns it reads, the check of its value, and its clauses."""
@@ -144,7 +145,13 @@ def predicate(filters: Mapping | None = None, search: Mapping | None = None) ->
 def filter_trials(
     trials: DataFrame, filters: Mapping | None = None, search: Mapping | None = None
 ) -> DataFrame:
-    """The matching trials. Each scalar clause is a separate filter, so it reaches the scan."""
+    """The matching trials. Each scalar clause is a separate filter, so it reaches the scan.
+
+    Of trials stored by year, a year range opens the folders that can hold it.
+    """
+    years = [(filters or {}).get(key) for key in ("start_year", "end_year")]
+    if YEAR_PART in trials.columns and any(year is not None for year in years):
+        trials = trials.filter(year_folders(*years))
     for clause in _filters(filters or {}):
         trials = trials.filter(clause)
     for area, value in (search or {}).items():

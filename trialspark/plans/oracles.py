@@ -270,6 +270,13 @@ _matching("filter_study_type", "study_type = 'OBSERVATIONAL'")
 _matching("filter_phase", "regexp_matches(phases, '(^|[|])(PHASE1|EARLY_PHASE1)([|]|$)')")
 _matching("filter_sponsor_class", "sponsor_class = 'INDUSTRY'")
 _matching("filter_intervention_type", "k IN (SELECT k FROM iv WHERE type = 'DEVICE')")
+oracle(
+    "filter_years_stored",
+    """
+    SELECT nct_id, 'closed' AS years FROM dated WHERE k % 50 > 2 AND start_year BETWEEN 1996 AND 1998
+    UNION ALL SELECT nct_id, 'open' FROM dated WHERE k % 50 = 0 OR k % 50 > 2 AND start_year >= 1999
+    """,
+)
 _matching("filter_years", "start_year BETWEEN 1996 AND 1998")
 _matching("filter_since_year", "start_year >= 1999")
 _matching(

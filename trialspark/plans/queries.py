@@ -37,7 +37,7 @@ from trialspark.operators.histogram import duration_histogram
 from trialspark.operators.series import series_summary, timeseries
 from trialspark.session import checkpoint_dir, cut_lineage
 from trialspark.sources.adapter import nct_id, trials_from_orders
-from trialspark.sources.layout import merge_trials, store_trials
+from trialspark.sources.layout import merge_trials, store_by_year, store_trials
 from trialspark.sources.reader import dedupe_trials, flatten_studies, is_valid_nct_id, nest_studies, parse_studies, split_valid_ids
 from trialspark.sources.schema import TRIALS
 from trialspark.sources.sink import conform, read_results, result_edges, result_meta, result_rows, store_results, stored_problems, write_results
@@ -229,6 +229,17 @@ def _register_filters() -> None:
 _register_filters()
 
 
+@query
+def filter_years_stored(spark, sf_dir):
+    """A closed and an open range over trials in a folder per start year, some years out of the ordinary."""
+    trials = _trials(spark, sf_dir, "start_date")
+    number = F.expr("substring(nct_id, 4)").cast("long")
+    odd = F.when(number % 50 == 0, "12000-01").when(number % 50 == 1, F.lit(None)).when(number % 50 == 2, "no date").otherwise(F.col("start_date"))
+    stored = store_by_year(trials.withColumn("start_date", odd), f"{checkpoint_dir(spark)}/trials-by-year-{uuid.uuid4().hex}")
+    closed = filter_trials(stored, _FILTERS["years"]).select("nct_id", F.lit("closed").alias("years"))
+    return closed.unionByName(filter_trials(stored, _FILTERS["since_year"]).select("nct_id", F.lit("open").alias("years")))
+
+
 # --- scalar functions -----------------------------------------------------------------------
 
 
