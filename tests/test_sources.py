@@ -21,6 +21,7 @@ from trialspark.sources.reader import (
     read_trials,
     split_valid_ids,
 )
+from trialspark.sources.search_index import build_search_index, candidates, search_trials
 from trialspark.sources.schema import RESULT_META, RESULT_ROW, STUDY, TRIALS
 from trialspark.sources.sink import conform, read_results, result_rows, schema_conforms, store_results, stored_problems, write_results
 
@@ -171,6 +172,23 @@ def test_stored_trials_are_not_shuffled_again(spark, study_table, tmp_path):
         spark.sql(f"DROP TABLE {name}")
 
 
+def test_indexed_search_finds_what_a_scan_finds(spark, study_table, tmp_path):
+    rows = [
+        {"nct_id": nct(1), "brief_title": "Aspirin in ÉCLAIR", "conditions": ["Heart Failure", None], "sponsor_name": "Acme"},
+        {"nct_id": nct(2), "interventions": [drug("ASPIRIN 10mg"), drug(None, ["aspi", "rin"]), ("DEVICE", "x", None)], "countries_raw": ["USA", None]},
+        {"nct_id": nct(3), "brief_title": "aspir", "interventions": [drug("irin")], "countries_raw": []},
+        {"nct_id": nct(4), "sponsor_name": "spiriaspi rin", "conditions": []}, {"nct_id": None, "brief_title": "aspirin"}, {"nct_id": nct(5)},
+    ]
+    trials = study_table(rows)
+    index = build_search_index(trials, str(tmp_path / "postings"), partitions=3)
+    for search in ({"term": "aspirin"}, {"intr": "Aspirin"}, {"term": "éclair"}, {"cond": "heart f"}, {"term": "in"}, {"country": "usa"}, {"spons": "acme", "term": "asp"}, {"term": ""}, {"term": "spiri"}, {"term": "a(b"}):
+        want = {r.nct_id for r in filter_trials(trials, None, search).collect()} - {None}
+        assert {r.nct_id for r in search_trials(index, trials, search).collect()} - {None} == want, search
+    assert {r.nct_id for r in candidates(index, "term", "aspirin").collect()} == {nct(1), nct(2), nct(3), nct(4)}  # the last two have the parts, not the word
+    plan = _plan(candidates(index, "cond", "heart"))
+    assert "area" in plan.split("PartitionFilters: [")[1].split("]")[0] and "gram" in plan.split("PushedFilters: [")[1]
+
+
 def test_a_year_range_reads_its_own_folders(spark, study_table, tmp_path):
     dates = ["1998-01", "1999", "2000-05-03", "2001", "12000", "1850", None, "soon", "2000-13", ""]
     trials = study_table([{"nct_id": nct(i), "start_date": d} for i, d in enumerate(dates * 3)])

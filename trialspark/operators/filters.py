@@ -85,7 +85,7 @@ SEARCH_COLUMNS = {
 def filter_columns(filters: Mapping | None = None, search: Mapping | None = None) -> set[str]:
     """Flat columns the given filters and search terms read."""
     names = {c for key in (filters or {}) if key in FILTERS for c in FILTERS[key].columns}
-    return names | {c for key in (search or {}) for c in SEARCH_COLUMNS.get(_area(key), ())}
+    return names | {c for key in (search or {}) for c in SEARCH_COLUMNS.get(search_area(key), ())}
 
 
 def _filters(filters: Mapping) -> list[Column]:
@@ -100,7 +100,7 @@ def _filters(filters: Mapping) -> list[Column]:
     return [clause for key in FILTERS if key in checked for clause in FILTERS[key].clauses(checked[key])]
 
 
-def _area(name: str) -> str:
+def search_area(name: str) -> str:
     area = fixed.DIMENSION_AREAS.get(name, name)
     if area not in fixed.SEARCH_AREAS:
         raise ValueError(f"unknown search area {name!r}; known: {sorted(fixed.DIMENSION_AREAS)}")
@@ -138,7 +138,7 @@ def predicate(filters: Mapping | None = None, search: Mapping | None = None) ->
     ``search`` maps an area or a dimension name to text; empty text is skipped.
     """
     clauses = _filters(filters or {})
-    clauses += [_search(_area(area), value) for area, value in (search or {}).items() if value]
+    clauses += [_search(search_area(area), value) for area, value in (search or {}).items() if value]
     return F.coalesce(reduce(lambda a, b: a & b, clauses, F.lit(True)), F.lit(False))
 
 
@@ -155,7 +155,7 @@ def filter_trials(
     for clause in _filters(filters or {}):
         trials = trials.filter(clause)
     for area, value in (search or {}).items():
-        clause_area = _area(area)
+        clause_area = search_area(area)
         if value:
             trials = trials.filter(_search(clause_area, value))
     return trials

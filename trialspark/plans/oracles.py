@@ -290,6 +290,18 @@ _matching("search_sponsor", "contains(lower(sponsor_name), 'merck')")
 _matching("search_country", "k IN (SELECT k FROM loc WHERE contains(lower(raw), 'russia'))")
 _matching("search_term", _HAS_DRUG.format("'widget, 25mg'"))
 _matching("search_operators_are_text", "false")
+oracle(
+    "search_indexed",
+    f"""
+    SELECT 'condition' AS search, nct_id FROM dated WHERE k IN (SELECT k FROM cond WHERE contains(condition, 'promo dis'))
+    UNION ALL SELECT 'drug', nct_id FROM dated WHERE {_HAS_DRUG.format("'code-12'")}
+    UNION ALL SELECT 'sponsor', nct_id FROM dated WHERE contains(lower(sponsor_name), 'merck')
+    UNION ALL SELECT 'country', nct_id FROM dated WHERE k IN (SELECT k FROM loc WHERE contains(lower(raw), 'russia'))
+    UNION ALL SELECT 'term', nct_id FROM dated WHERE {_HAS_DRUG.format("'widget, 25mg'")}
+    UNION ALL SELECT 'short', nct_id FROM dated WHERE {_HAS_DRUG.format("'mg'")} OR contains(lower(brief_title), 'mg')
+      OR contains(lower(sponsor_name), 'mg') OR k IN (SELECT k FROM cond WHERE contains(lower(condition), 'mg'))
+    """,
+)
 
 # --- scalar functions ------------------------------------------------------------------------
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -40,6 +41,7 @@ from trialspark.sources.adapter import nct_id, trials_from_orders
 from trialspark.sources.layout import merge_trials, store_by_year, store_trials
 from trialspark.sources.reader import dedupe_trials, flatten_studies, is_valid_nct_id, nest_studies, parse_studies, split_valid_ids
 from trialspark.sources.schema import TRIALS
+from trialspark.sources.search_index import build_search_index, search_trials
 from trialspark.sources.sink import conform, read_results, result_edges, result_meta, result_rows, store_results, stored_problems, write_results
 
 CURRENT_YEAR = 2000
@@ -229,6 +231,17 @@ def _register_filters() -> None:
 _register_filters()
 
 
+@query
+def search_indexed(spark, sf_dir):
+    """All searches again, through a stored trigram index; one needle is too short for it."""
+    wanted = {**_SEARCHES, "short": {"term": "mg"}}
+    columns = set().union(*(filter_columns(None, s) for s in wanted.values()))
+    trials = _stored(_trials(spark, sf_dir, *sorted(columns)))
+    index = build_search_index(trials, f"{checkpoint_dir(spark)}/postings-{uuid.uuid4().hex}")
+    found = [search_trials(index, trials, s).select(F.lit(name).alias("search"), "nct_id") for name, s in wanted.items()]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query
 def filter_years_stored(spark, sf_dir):
     """A closed and an open range over trials in a folder per start year, some years out of the ordinary."""
