@@ -11,7 +11,7 @@ from plain import key, leaked, odd_texts, rule_counts, sentence, table
 from trialspark.llm import decontaminate
 from trialspark.llm.decontaminate import leaks, without_leaks
 from trialspark.llm.language import UNKNOWN, identify, keep_identified
-from trialspark.llm.pieces import MODEL, Encoder, Stream, Vocabulary, decode_documents, encode_documents, encoder
+from trialspark.llm.pieces import MODEL, Encoder, Lattice, Stream, Vocabulary, decode_documents, encode_documents, encoder
 from trialspark.llm.rules import quality
 from trialspark.llm.token_counts import RANKS, Tokens, attribute, field_tokens, section_tokens
 
@@ -44,6 +44,17 @@ def test_pieces_of_random_text_equal_the_library():
         assert own.encode(text).tolist() == model.encode(text)
 
 
+def test_round_trips_are_those_of_decoded_ids():
+    own, rng = encoder(MODEL, "bpe"), random.Random(2)
+    parts = ["a", "the", " ", "  ", "\n", "▁", "é", "漢", "🤔", "\x00", "ﬁ", "ñ", "１"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(400)]
+    got = own.round_trips(texts)
+    assert [same for _, same in got] == [own.decode(ids) == t for (ids, _), t in zip(got, texts, strict=True)]
+    assert {same for _, same in got} == {True, False}
+    own.forget()
+    assert [i.tolist() for i, _ in own.round_trips(texts)] == [i.tolist() for i, _ in got]
+
+
 class _Pieces(Vocabulary):
     def __init__(self, pieces: dict[str, float], kind: str):
         self.kind, self.bytes, self.unknown = kind, {}, 0
@@ -74,6 +85,9 @@ def test_unigram_stream_finds_the_best_sum_and_forgets_what_is_final():
         assert "".join(names) == text
         total = sum(pieces.get(n, vocabulary.penalty) for n in names)
         assert abs(total - best(text)) < 1e-6
+        in_order = Lattice(vocabulary)
+        for start in sorted((text[:40], text[:45], text[3:30])):
+            assert abs(sum(pieces.get(vocabulary.name(p), vocabulary.penalty) for p in in_order.pieces(start)) - best(start)) < 1e-6
         assert most < 80
 
 

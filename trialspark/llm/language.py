@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trialspark.llm.anchors import packed_rows, unpacked_rows
+from trialspark.llm.batches import chunks
+from trialspark.session import broadcast_if_small
 
 FIT_ROWS = 20_000
 # Labelled rows of each language that are scored to learn its least scores, about.
@@ -65,7 +67,7 @@ def keep_identified(docs: DataFrame, least: float, id_column: str = "doc_id", te
     """Rows of ``docs`` whose score is one that texts in their language have.
 
     The least score is learned from the labelled rows, by language and number of
-    n-grams; it is ``least`` where they are too few to tell, and never below.
+    n-grams, from the nearest number that enough of them have; it is never below ``least``.
     Handles the same cases as ``identify``: rows without a letter go.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"), F.col(lang_column).cast("string").alias("lang"))
@@ -84,11 +86,26 @@ def least_scores(rows: DataFrame, profiles: list[tuple[str, np.ndarray]]) -> dic
     return {(r.lang, r.size): 2 * r.q[0] - r.q[1] for r in low.collect()}
 
 
+def least_of(learned: dict[tuple[str, int], float], lang: str, size: int, least: float) -> float:
+    """The least score of a language and size: that of the nearest size learned, the smaller of two.
+
+    A language of which nothing was learned takes the lowest of the others at
+    the nearest size; ``least`` is the bound below all, and what counts where
+    no language has enough scores of any size.
+    """
+    own = [s for of, s in learned if of == lang] or [s for _, s in learned]
+    if not own:
+        return least
+    near = min(own, key=lambda s: (abs(s - size), s))
+    found = learned.get((lang, near))
+    return max(least, min(v for (_, s), v in learned.items() if s == near) if found is None else found)
+
+
 def _drawn(rows: DataFrame, most: int) -> DataFrame:
     """About ``most`` rows of each language, by a hash of the id; all of a language with fewer."""
     share = rows.groupBy(F.col("lang").alias("of")).agg(F.least(F.lit(1.0), F.lit(float(most)) / F.count("*")).alias("share"))
     place = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 30))
-    return rows.join(F.broadcast(share), F.col("lang") == F.col("of")).filter(place < F.col("share") * (1 << 30)).select("doc_id", "text", "lang")
+    return rows.join(broadcast_if_small(share, share.count()), F.col("lang") == F.col("of")).filter(place < F.col("share") * (1 << 30)).select("doc_id", "text", "lang")
 
 
 def learn_profiles(rows: DataFrame) -> list[tuple[str, np.ndarray]]:
@@ -129,10 +146,17 @@ def ranked_grams(text: str) -> np.ndarray:
     return values[np.lexsort((values, -count))[:PROFILE]]
 
 
-def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with a bounded amount of text."""
     for batch in batches:
+        for part, _, _ in chunks(batch, "text"):
+            yield part
+
+
+def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in _parts(batches):
         by_lang: dict[str, list] = {}
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist(), strict=True):
             by_lang.setdefault(lang, []).append(np.unique(grams(text), return_counts=True))
         for lang, parts in by_lang.items():
             values, which = np.unique(np.concatenate([v for v, _ in parts]), return_inverse=True)
@@ -180,7 +204,7 @@ def _own_scores(profiles: list[tuple[str, np.ndarray]]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Profiles(profiles)
-        for batch in batches:
+        for batch in _parts(batches):
             langs, sizes, scores = [], [], []
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 words = text.split(None, 128)
@@ -199,7 +223,7 @@ def _own_scores(profiles: list[tuple[str, np.ndarray]]):
 def _predicted(profiles: list[tuple[str, np.ndarray]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Profiles(profiles)
-        for batch in batches:
+        for batch in _parts(batches):
             told = [known.nearest(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([t for t, _, _ in told], pa.string()), pa.array([s for _, s, _ in told], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
@@ -208,9 +232,10 @@ def _predicted(profiles: list[tuple[str, np.ndarray]]):
 
 def _identified(profiles: list[tuple[str, np.ndarray]], learned: dict[tuple[str, int], float], least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bound = lru_cache(maxsize=None)(lambda lang, size: least_of(learned, lang, size, least))
         known = Profiles(profiles)
-        for batch in batches:
+        for batch in _parts(batches):
             told = (known.nearest(t.as_py()) for t in batch.column("text"))
-            yield batch.filter(pa.array([lang != UNKNOWN and score >= max(least, learned.get((lang, size), least)) for lang, score, size in told], pa.bool_()))
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= bound(lang, size) for lang, score, size in told], pa.bool_()))
 
     return run

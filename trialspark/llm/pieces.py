@@ -34,11 +34,18 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
+from trialspark.llm.batches import chunks
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Segments, pairs and starts remembered by a worker: about 100, 50 and 60 MB.
-REMEMBERED = 1 << 19
-REMEMBERED_STARTS = 1 << 18
+#: Bytes of segments, and numbers of pairs and starts, that a task remembers: about 64, 25 and 30 MB.
+REMEMBERED_BYTES = 64 << 20
+REMEMBERED = 1 << 18
+REMEMBERED_STARTS = 1 << 17
+# What a remembered segment takes beside its characters and ids: two objects and a place in the table.
+_ENTRY = 190
+#: Characters of segments that are encoded together; a longer one goes through a stream.
+SHORT = 64
 #: Characters that mostly tell which pieces start at a position.
 AHEAD = 5
 _SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -69,6 +76,7 @@ class Vocabulary:
         self.offers: dict[str, tuple] = {}
         if self.kind == "bpe":
             self.ids = {p: i for p, i in self.ids.items() if len(p) == 1 or self.merged(p) == [p]}
+        self.ends = dict.fromkeys((p[n:] for p in self.ids for n in range(len(p))), -1) | self.ids
         self.found = dict.fromkeys(self.prefixes) | {p: (len(p), i) for p, i in self.ids.items()}
 
     def merged(self, text: str) -> list[str]:
@@ -195,12 +203,70 @@ class Stream:
         return out
 
 
+class Lattice:
+    """The lattice of short segments that come in order: what a segment shares with the one before is kept.
+
+    The best piece that ends at a position depends on the text before it alone.
+    """
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        self.text = ""
+        self.starts: list[int | None] = [0]
+        self.last: list[int | None] = [None]
+        self.best = [0.0]
+
+    def pieces(self, text: str) -> list[int]:
+        """The pieces of a segment."""
+        v, starts, last, best = self.vocabulary, self.starts, self.last, self.best
+        ends, pairs, bpe, longest = v.ends.get, v.pairs.get, v.kind == "bpe", v.longest
+        before, shared = self.text, 0
+        for a, b in zip(text, before):  # noqa: B905
+            if a != b:
+                break
+            shared += 1
+        del starts[shared + 1 :], last[shared + 1 :], best[shared + 1 :]
+        self.text = text
+        for j in range(shared + 1, len(text) + 1):
+            from_, piece_, score_ = None, None, 0.0
+            for i in range(j - 1, max(-1, j - 1 - longest), -1):
+                piece = ends(text[i:j])
+                if piece is None and i < j - 1:
+                    break
+                if piece is None or piece < 0:
+                    if i < j - 1:
+                        continue
+                    piece = -1 - ord(text[i])  # a character without a piece of its own
+                left = last[i]
+                if i and left is None:
+                    continue
+                if bpe:
+                    fit = True if left is None else pairs(left << 32 | piece + (1 << 31))
+                    if fit or fit is None and v.fits(left, piece):
+                        from_, piece_ = i, piece
+                        break
+                else:
+                    score = best[i] + (v.scores[piece] if piece >= 0 else v.penalty)
+                    if piece_ is None or score >= score_:
+                        from_, piece_, score_ = i, piece, score
+            starts.append(from_)
+            last.append(piece_)
+            best.append(score_)
+        out, end = [], len(text)
+        while end:
+            out.append(last[end])
+            end = starts[end]
+        return out[::-1]
+
+
 class Encoder:
     """Text to ids and back, with the segments of earlier texts remembered."""
 
     def __init__(self, vocabulary: Vocabulary, normalize=None):
         self.vocabulary, self.normalize = vocabulary, normalize
         self._segments: dict[str, bytes] = {}
+        self._lossy: set[str] = set()
+        self._held = 0
         size = len(vocabulary.scores)
         text = {i: p.replace(SPACE, " ").encode() for i, p in vocabulary.pieces.items()}
         text |= {i: bytes([b]) for b, i in vocabulary.bytes.items()}
@@ -222,25 +288,52 @@ class Encoder:
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text, by the model's own normalization."""
-        text = self.normalize(text) if self.normalize else text
-        if not (self.vocabulary.splits and (self.vocabulary.bytes or not text)):
-            return np.frombuffer(self._ids(self._stream(text)), np.int32)
+        return self.round_trips([text])[0][0]
+
+    def round_trips(self, texts: list[str]) -> list[tuple[np.ndarray, bool]]:
+        """The ids of each text, and whether decoding them gives it back.
+
+        Segments are decoded where they are encoded. The text of ids is that of
+        their segments, so where all came back, decoding gives the normalized text.
+        """
+        normals = [self.normalize(t) if self.normalize else t for t in texts]
+        if not self.vocabulary.splits or not self.vocabulary.bytes and any(normals):
+            ids = [np.frombuffer(self._ids(self._stream(n)), np.int32) for n in normals]
+            return [(i, self.decode(i) == t) for i, t in zip(ids, texts, strict=True)]
+        parts = [_SEGMENT.findall(n) for n in normals]
+        self._learn(set().union(*parts))
+        known, lossy, out = self._segments, self._lossy, []
+        for text, normal, own in zip(texts, normals, parts, strict=True):
+            ids = np.frombuffer(b"".join([known[p] for p in own]), np.int32)
+            whole = not lossy or lossy.isdisjoint(own)
+            out.append((ids, (normal.replace(SPACE, " ").removeprefix(" ") if whole else self.decode(ids)) == text))
+        return out
+
+    def _learn(self, parts: set[str]) -> None:
+        """Encode the segments that are not known, in order, so that each starts from the lattice of its beginning."""
         known = self._segments
-        parts = _SEGMENT.findall(text)
-        try:
-            return np.frombuffer(b"".join([known[p] for p in parts]), np.int32)
-        except KeyError:
-            found = []
-            for part in parts:
-                ids = known.get(part)
-                if ids is None:
-                    ids = self._ids(self._stream(part))
-                    if len(part) <= 64:
-                        if len(known) >= REMEMBERED:
-                            known.clear()
-                        known[part] = ids
-                found.append(ids)
-            return np.frombuffer(b"".join(found), np.int32)
+        new = [p for p in parts if p not in known]
+        if self._held + sum(map(len, new)) + _ENTRY * len(new) > REMEMBERED_BYTES:
+            self._clear()
+            new = list(parts)
+        lattice = Lattice(self.vocabulary)
+        for part in sorted(new):
+            ids = self._ids(lattice.pieces(part) if len(part) <= SHORT else self._stream(part))
+            if b"".join(map(self._text.__getitem__, array("i", ids))) != part.replace(SPACE, " ").encode("utf-8", "surrogatepass"):
+                self._lossy.add(part)
+            known[part] = ids
+            self._held += len(part) + len(ids) + _ENTRY
+
+    def _clear(self) -> None:
+        self._segments.clear()
+        self._lossy.clear()
+        self._held = 0
+
+    def forget(self) -> None:
+        """Drop what was remembered; the vocabulary stays."""
+        self._clear()
+        self.vocabulary.pairs.clear()
+        self.vocabulary.offers.clear()
 
     def _stream(self, text: str) -> list[int]:
         stream, out = Stream(self.vocabulary), []
@@ -275,15 +368,16 @@ def encode_documents(docs: DataFrame, model_file: str = MODEL, kind: str = "bpe"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(model_file, kind)
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+            for part, _, _ in chunks(batch, "text", 1 << 20):
                 texts = part.column("text").to_pylist()
-                ids = [None if t is None else own.encode(t) for t in texts]
-                same = [None if t is None else own.decode(i) == t for t, i in zip(texts, ids, strict=True)]
+                done = iter(own.round_trips([t for t in texts if t is not None]))
+                done = [(None, None) if t is None else next(done) for t in texts]
+                ids, same = [i for i, _ in done], [s for _, s in done]
                 size = [0 if i is None else len(i) for i in ids]
                 offsets = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32), mask=np.append([i is None for i in ids], False))
                 flat = pa.array(np.concatenate([i for i in ids if i is not None] or [np.zeros(0, np.int32)]))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size, pa.int64()), pa.ListArray.from_arrays(offsets, flat), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids", "round_trip"])
+        own.forget()  # a worker serves other stages after this task
 
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, round_trip boolean")
 
