@@ -60,12 +60,26 @@ def _or_raw(key: Column, raw: Column) -> Column:
     return F.coalesce(F.nullif(key, F.lit("")), F.lower(strip(raw)))
 
 
-def drug_key(name: Column) -> Column:
-    """Active-ingredient key: no dose, no punctuation, no trailing salt, form or route."""
+def _bare_drug(name: Column) -> Column:
     low = F.lower(name)
     has_number = low.rlike(r"(?U)\d")
     undosed = F.when(has_number, F.regexp_replace(low, fixed.DOSE_PATTERN, " ")).otherwise(low)
-    return _or_raw(_without_trailing(_words(undosed), fixed.DRUG_TRAILING_WORDS), name)
+    return _without_trailing(_words(undosed), fixed.DRUG_TRAILING_WORDS)
+
+
+def drug_key(name: Column) -> Column:
+    """Active-ingredient key: no dose, no punctuation, no trailing salt, form or route."""
+    return _or_raw(_bare_drug(name), name)
+
+
+def drug_keys(names: Column | str) -> Column:
+    """:func:`drug_key` of each name of a list, each pattern tried once.
+
+    Inside a list an expression that is used twice is computed twice, so every
+    step is a list of its own.
+    """
+    bare = F.transform(names, _bare_drug)
+    return F.zip_with(bare, names, lambda k, n: F.when(k != "", k).otherwise(F.lower(strip(n))))
 
 
 # Compatibility forms that NFKC folds to a-z0-9 and that occur in names: the
@@ -84,11 +98,22 @@ def sponsor_key(name: Column) -> Column:
     return _or_raw(F.coalesce(lookup(fixed.SPONSOR_ALIASES, key), key), name)
 
 
+def _plain_slug(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+
+
+def _hashed_slug(text: Column) -> Column:
+    return F.substring(F.md5(text.cast("binary")), 1, 8)
+
+
 def slug(text: Column) -> Column:
     """``a-z0-9-`` form of a key; a key with none of those gets 8 digits of its md5."""
-    plain = F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
-    hashed = F.substring(F.md5(text.cast("binary")), 1, 8)
-    return F.coalesce(F.nullif(plain, F.lit("")), hashed)
+    return F.coalesce(F.nullif(_plain_slug(text), F.lit("")), _hashed_slug(text))
+
+
+def slugs(texts: Column | str) -> Column:
+    """:func:`slug` of each key of a list, see :func:`drug_keys`."""
+    return F.zip_with(F.transform(texts, _plain_slug), texts, lambda p, t: F.when(p != "", p).otherwise(_hashed_slug(t)))
 
 
 def is_placebo(name: Column, other_names: Column) -> Column:

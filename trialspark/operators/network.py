@@ -8,20 +8,19 @@ edges, evidence and the fallback bar all read that table.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trialspark import fixed_values as fixed
-from trialspark.functions.names import drug_key, is_combination, is_placebo, slug, sponsor_key
+from trialspark.functions.names import drug_key, drug_keys, is_combination, is_placebo, slug, slugs, sponsor_key
 from trialspark.functions.paths import clean
 from trialspark.functions.text import strip
 from trialspark.operators.components import connected_components
 from trialspark.operators.evidence import below_cut, citation, collect_citations, first_per_bucket, id_cuts, with_evidence
 from trialspark.session import BROADCAST_ROWS, broadcast_if_small, cut_lineage
-from trialspark.sources.reader import dedupe_trials
+from trialspark.sources.reader import dedupe_trials, is_valid_nct_id
 
 KINDS = ("drug_drug", "sponsor_drug")
 
@@ -56,30 +55,41 @@ def drug_rows(trials: DataFrame, *carried: str) -> DataFrame:
         "nct_id", *carried, F.posexplode("interventions").alias("place", "item")
     )
     kept = listed.filter(_is_drug(F.col("item")))
-    others = F.filter(F.transform("item.otherNames", strip), lambda o: o.isNotNull() & (o != ""))
     return kept.select(
-        "nct_id", *carried, "place", strip(F.col("item.name")).alias("name"), others.alias("other_names")
+        "nct_id", *carried, "place", strip(F.col("item.name")).alias("name"), _other_names(F.col("item.otherNames")).alias("other_names")
     )
 
 
+def _other_names(listed: Column) -> Column:
+    return F.filter(F.transform(listed, strip), lambda o: o.isNotNull() & (o != ""))
+
+
 def drug_mentions(trials: DataFrame) -> DataFrame:
     """Distinct (name, other names) with how often, where first, and in how many trials: one or more.
 
     Reduced before the shuffle, so a drug in a third of all trials costs each
     task one row. All measures are numbers, so the reduction is a hash
     aggregation: ``seen`` orders first mentions, and ``low`` differs from
-    ``high`` where two trials mention the pair. Keys are computed on the reduced
-    rows only.
+    ``high`` where two trials mention the pair. The raw texts are reduced first,
+    so names are trimmed, tested and made keys on the reduced rows only.
     """
-    trial = F.xxhash64("nct_id")
+    valid = is_valid_nct_id(F.col("nct_id"))
+    # Registry numbers order as their digits do: one long finds their first mention. Ids of any other form go apart.
+    number = F.substring("nct_id", 4, 8).cast("long") * 1_000_000
+    place = F.least("place", F.lit(999_999))
+    numbered = _raw_mentions(trials.filter(valid), number.alias("at"), F.col("at") + place)
+    numbered = numbered.withColumn("seen", _number_seen(F.col("seen")))
+    others = _raw_mentions(trials.filter(F.col("nct_id").isNotNull() & ~valid), F.col("nct_id").alias("at"), first_seen(F.col("at"), F.col("place")))
+    raw = numbered.unionByName(others)
+    item = F.struct(F.lit("DRUG").alias("type"), "name", "otherNames")
+    kept = raw.withColumn("item", item).filter(_is_drug(F.col("item")))
     reduced = (
-        drug_rows(trials)
-        .groupBy("name", "other_names")
+        kept.groupBy(strip(F.col("name")).alias("name"), _other_names(F.col("otherNames")).alias("other_names"))
         .agg(
-            F.count(F.lit(1)).alias("mentions"),
-            F.min(first_seen(F.col("nct_id"), F.col("place"))).alias("seen"),
-            F.min(trial).alias("low"),
-            F.max(trial).alias("high"),
+            F.sum("mentions").alias("mentions"),
+            F.min("seen").alias("seen"),
+            F.min("low").alias("low"),
+            F.max("high").alias("high"),
         )
     )
     keys = F.array_distinct(F.transform(F.coalesce("other_names", F.array().cast("array<string>")), drug_key))
@@ -88,6 +98,16 @@ def drug_mentions(trials: DataFrame) -> DataFrame:
     )
 
 
+def _raw_mentions(trials: DataFrame, at: Column, seen: Column) -> DataFrame:
+    """Distinct raw (name, other names) of the drugs, with the measures of :func:`drug_mentions`."""
+    listed = trials.select(F.xxhash64("nct_id").alias("trial"), at, F.posexplode("interventions").alias("place", "item"))
+    return (
+        listed.filter(F.col("item.type") == "DRUG")
+        .groupBy(F.col("item.name").alias("name"), F.col("item.otherNames").alias("otherNames"))
+        .agg(F.count(F.lit(1)).alias("mentions"), F.min(seen).alias("seen"), F.min("trial").alias("low"), F.max("trial").alias("high"))
+    )
+
+
 def alias_pairs(mentions: DataFrame) -> DataFrame:
     """(``a``, ``b``) key pairs to merge: aliases attested by at least two trials.
 
@@ -135,6 +155,12 @@ def first_seen(nct_id: Column, place: Column) -> Column:
     return (number.cast("decimal(32,0)") * F.lit(1_000_000).cast("decimal(7,0)") + F.least(place, F.lit(999_999))).cast("decimal(38,0)")
 
 
+def _number_seen(number: Column) -> Column:
+    """:func:`first_seen` of a registry number's digits times a million, and the place added to it."""
+    digits = F.lpad(F.floor(number / 1_000_000).cast("string"), 8, "0")
+    return first_seen(F.concat(F.lit("NCT"), digits), (number % 1_000_000).cast("int"))
+
+
 def _most_frequent(names: DataFrame, key: str) -> DataFrame:
     """Display label per key: the most frequent raw name, the first seen on ties.
 
@@ -158,11 +184,18 @@ def drug_labels(mentions: DataFrame, components: tuple[DataFrame, int]) -> DataF
 
 def sponsor_labels(trials: DataFrame) -> DataFrame:
     """``sponsor`` key -> ``label`` over the raw lead-sponsor names."""
+    valid = is_valid_nct_id(F.col("nct_id"))
+    named = trials.filter(F.col("sponsor_name").isNotNull() & F.col("nct_id").isNotNull())
+
+    def first(rows: DataFrame, seen: Column) -> DataFrame:
+        return rows.groupBy("sponsor_name").agg(F.count(F.lit(1)).alias("n"), F.min(seen).alias("seen"))
+
+    numbered = first(named.filter(valid), F.substring("nct_id", 4, 8).cast("long") * 1_000_000).withColumn("seen", _number_seen(F.col("seen")))
+    raw = numbered.unionByName(first(named.filter(~valid), first_seen(F.col("nct_id"), F.lit(0))))
     names = (
-        trials.select("nct_id", clean(F.col("sponsor_name")).alias("name"))
-        .filter(F.col("name").isNotNull() & F.col("nct_id").isNotNull())
+        raw.withColumn("name", clean(F.col("sponsor_name"))).filter(F.col("name").isNotNull())
         .groupBy("name")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(first_seen(F.col("nct_id"), F.lit(0))).alias("seen"))
+        .agg(F.sum("n").alias("n"), F.min("seen").alias("seen"))
     )
     return _most_frequent(names.withColumn("sponsor", sponsor_key(F.col("name"))), "sponsor")
 
@@ -188,21 +221,19 @@ def trial_drugs(trials: DataFrame, components: tuple[DataFrame, int]) -> DataFra
     else:
         kept = F.filter("interventions", _is_drug)
         names = F.transform(kept, lambda x: strip(x["name"]))
-        listed = trials.filter(F.col("nct_id").isNotNull()).select("nct_id", "brief_title", "sponsor_name", names.alias("names"))
-        listed = listed.filter(F.size("names") > 0)
-        canon: Callable[[Column], Column] = drug_key
+        # A list of one list, exploded: a filter on its row is not moved below and computed again.
+        one = F.explode(F.array(names)).alias("names")
+        listed = trials.filter(F.col("nct_id").isNotNull()).select("nct_id", "brief_title", "sponsor_name", one)
+        listed = listed.filter(F.size("names") > 0).withColumn("keys", drug_keys("names"))
         if size:
             roots = table.agg(F.map_from_entries(F.collect_list(F.struct("key", "root"))).alias("roots")).scalar()
-            listed = listed.withColumn("roots", roots)
-            canon = lambda name: F.coalesce(F.try_element_at(F.col("roots"), drug_key(name)), drug_key(name))
-        listed = listed.withColumn("ids", F.transform("names", lambda n: node_id("drug", canon(n))))
-    drugs = F.transform(
-        F.array_sort(F.array_distinct("ids")),
-        lambda d: F.struct(
-            d.alias("id"), F.get("names", (F.array_position("ids", d) - 1).cast("int")).alias("name")
-        ),
-    )
-    return listed.select("nct_id", "brief_title", "sponsor_name", "names", drugs.alias("drugs"))
+            listed = listed.withColumn("roots", roots).withColumn("keys", F.transform("keys", lambda k: F.coalesce(F.try_element_at("roots", k), k)))
+        listed = listed.withColumn("ids", F.transform(slugs("keys"), lambda s: F.concat(F.lit("drug:"), s)))
+    items = F.sort_array(F.transform("ids", lambda d, i: F.struct(d.alias("id"), i.alias("place"), F.get("names", i).alias("name"))))
+    placed = listed.select("nct_id", "brief_title", "sponsor_name", "names", items.alias("items"))
+    first = F.filter("items", lambda x, i: (i == 0) | (F.get("items", i - 1)["id"] != x["id"]))
+    drugs = F.transform(first, lambda x: F.struct(x["id"].alias("id"), x["name"].alias("name")))
+    return placed.select("nct_id", "brief_title", "sponsor_name", "names", drugs.alias("drugs"))
 
 
 def _joined_drugs(trials: DataFrame, components: tuple[DataFrame, int]) -> DataFrame:
@@ -241,9 +272,9 @@ def _pairs(resolved: DataFrame, max_drugs: int | None) -> DataFrame:
 def _sponsor_pairs(resolved: DataFrame) -> DataFrame:
     named = resolved.filter(clean(F.col("sponsor_name")).isNotNull())
     sponsor = node_id("sponsor", sponsor_key(clean(F.col("sponsor_name"))))
-    return named.select(
-        "nct_id", sponsor.alias("source"), F.explode("drugs.id").alias("target")
-    )
+    # The key is made once per trial, below the explode.
+    keyed = named.select("nct_id", sponsor.alias("source"), F.col("drugs.id").alias("ids"))
+    return keyed.select("nct_id", "source", F.explode("ids").alias("target"))
 
 
 def _drug_node_labels(mentions: DataFrame, components: tuple[DataFrame, int], shown: DataFrame | None = None) -> DataFrame:
