@@ -277,3 +277,13 @@ def test_ids_of_large_keys_stay_apart(spark):
     keys = [5, 100000001, 100000002, 1000000010, 12345678901]
     got = spark.createDataFrame([(k,) for k in keys], "k long").select(adapter.nct_id(F.col("k"))).collect()
     assert [r[0] for r in got] == ["NCT00000005", "NCT100000001", "NCT100000002", "NCT1000000010", "NCT12345678901"]
+
+
+def test_the_search_index_lists_a_repeated_text_once(spark, study_table, tmp_path):
+    trials = study_table([{"nct_id": nct(i), "conditions": ["Heart Failure"], "interventions": [drug("aspirin")]} for i in range(40)])
+    index = build_search_index(trials, str(tmp_path / "postings"), areas=("cond", "term"))
+    assert index.filter("kind = 'grams'").count() == len("heart failure") - 2 + len("aspirin") - 2
+    assert index.filter("kind = 'trials'").count() == 2 * 40
+    assert search_trials(index, trials, {"term": "heart"}).count() == 40
+    long = {"term": "heart failure " * 10}
+    assert search_trials(index, trials, long).count() == 0

@@ -1,32 +1,37 @@
 """A stored trigram index for literal substring search.
 
 A text that contains a needle contains all of its three-letter parts, so the
-trials on the posting lists of all of them are the only candidates; the exact
-test follows on those. Lists are stored by area and sorted by trigram, so a
-search reads the row groups of its own trigrams. A needle of fewer than three
-letters has no trigram and scans.
+trials whose texts have all of them are the only candidates; the exact test
+follows on those. Texts repeat over trials, so an area has two kinds of lists:
+from a trigram to the distinct texts that have it, and from a text to the trials
+that hold it. The lists of one column serve every area it belongs to. They are
+sorted by trigram or text, so a search reads the row groups of its own. A needle
+of fewer than three letters has no trigram and scans.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trialspark.operators.filters import SEARCH_COLUMNS, filter_trials, search_area
-from trialspark.session import broadcast_if_small
+from trialspark.session import broadcast_if_small, cut_lineage
 
 GRAM = 3
+# Trigrams of a needle that one number can mark.
+_MARKS = 60
 
 
-def _texts(area: str) -> Column:
-    """All texts of an area, as one list."""
-
-    def listed(column: str) -> Column:
-        if column == "interventions":
-            others = F.flatten(F.filter("interventions.otherNames", lambda o: o.isNotNull()))
-            return F.concat(F.coalesce("interventions.name", F.array().cast("array<string>")), F.coalesce(others, F.array().cast("array<string>")))
-        return F.coalesce(column, F.array().cast("array<string>")) if column in ("conditions", "countries_raw") else F.array(column)
-
-    return F.filter(F.concat(*map(listed, SEARCH_COLUMNS[area])), lambda t: t.isNotNull())
+def _texts(column: str) -> Column:
+    """All texts of a column, as one list."""
+    none = F.array().cast("array<string>")
+    if column == "interventions":
+        others = F.flatten(F.filter("interventions.otherNames", lambda o: o.isNotNull()))
+        listed = F.concat(F.coalesce("interventions.name", none), F.coalesce(others, none))
+    else:
+        listed = F.coalesce(column, none) if column in ("conditions", "countries_raw") else F.array(column)
+    return F.filter(listed, lambda t: t.isNotNull())
 
 
 def grams(text: Column) -> Column:
@@ -42,31 +47,45 @@ def needle_grams(needle: str) -> list[str]:
 
 
 def build_search_index(trials: DataFrame, path: str, areas: tuple[str, ...] = tuple(SEARCH_COLUMNS), partitions: int | None = None) -> DataFrame:
-    """Write the posting table (``gram``, ``nct_id``) of every area to ``path`` and return it.
-
-    A trial is on a list once. Lists are range-partitioned by trigram and id, so
-    one that holds most trials is spread over tasks. Rows without an id are not
-    indexed.
+    """Write the lists of every column of the areas to ``path`` and return them.
+
+    ``kind`` tells the lists apart: ``grams`` (``gram``, ``text``) and ``trials``
+    (``text``, ``nct_id``), ``area`` is the column. ``text`` is a hash: texts
+    that share one give more candidates, never fewer. Trigrams are taken from
+    distinct texts. Lists are placed by trigram or text, and one that holds most
+    texts or trials is split over tasks by its measured size. Rows without an id
+    are not indexed.
     """
-    lists = F.array(*[
-        F.struct(F.lit(area).alias("area"), F.array_distinct(F.flatten(F.transform(_texts(area), grams))).alias("grams")) for area in areas
-    ])
-    rows = trials.filter(F.col("nct_id").isNotNull()).select("nct_id", F.inline(lists))
-    postings = rows.select("area", F.explode("grams").alias("gram"), "nct_id")
-    keys = ["area", "gram", "nct_id"]
-    placed = postings.repartitionByRange(partitions, *keys) if partitions else postings.repartitionByRange(*keys)
-    placed.sortWithinPartitions(*keys).write.partitionBy("area").parquet(path)
+    columns = dict.fromkeys(c for area in areas for c in SEARCH_COLUMNS[area])
+    lists = F.array(*[F.struct(F.lit(c).alias("area"), F.array_distinct(F.transform(_texts(c), F.lower)).alias("texts")) for c in columns])
+    rows = trials.filter(F.col("nct_id").isNotNull()).select("nct_id", F.inline(lists)).select("area", "nct_id", F.explode("texts").alias("low"))
+    by_text = rows.select("area", F.lit("trials").alias("kind"), F.lit(None).cast("string").alias("gram"), F.xxhash64("low").alias("text"), "nct_id")
+    distinct = rows.select("area", "low").distinct().select("area", F.xxhash64("low").alias("text"), F.explode(grams(F.col("low"))).alias("gram"))
+    by_gram = distinct.select("area", F.lit("grams").alias("kind"), "gram", "text", F.lit(None).cast("string").alias("nct_id"))
+    for table, key in ((by_text, "text"), (by_gram, "gram")):
+        placed = table.hint("rebalance", *([partitions] if partitions else []), F.col("area"), F.col(key))
+        placed.sortWithinPartitions("area", key).write.mode("append").partitionBy("area", "kind").parquet(path)
     return trials.sparkSession.read.parquet(path)
 
 
 def candidates(index: DataFrame, area: str, needle: str) -> DataFrame | None:
-    """The trials whose texts have all trigrams of the needle; none for a needle without any."""
+    """The trials whose texts have all trigrams of the needle; none for a needle without any.
+
+    A text, and then a trial, is marked with the trigrams it has: one bit each.
+    """
     wanted = needle_grams(needle)
     if not wanted:
         return None
-    lists = index.filter((F.col("area") == search_area(area)) & F.col("gram").isin(wanted))
-    met = lists.select("nct_id", "gram").distinct().groupBy("nct_id").agg(F.count(F.lit(1)).alias("n"))
-    return met.filter(F.col("n") == len(wanted)).select("nct_id")
+    own = index.filter(F.col("area").isin(*SEARCH_COLUMNS[search_area(area)]))
+    parts = [wanted[i : i + _MARKS] for i in range(0, len(wanted), _MARKS)]
+    bits = [reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.col("gram") == g, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, g in enumerate(part)]) for part in parts]
+    names = [f"marks{i}" for i in range(len(parts))]
+    listed = own.filter((F.col("kind") == "grams") & F.col("gram").isin(wanted))
+    texts = listed.groupBy("area", "text").agg(*[F.bit_or(b).alias(n) for b, n in zip(bits, names, strict=True)])
+    held = own.filter(F.col("kind") == "trials").select("area", "text", "nct_id")
+    met = texts.join(held, ["area", "text"]).groupBy("nct_id").agg(*[F.bit_or(n).alias(n) for n in names])
+    full = [F.col(n) == F.lit((1 << len(part)) - 1) for n, part in zip(names, parts, strict=True)]
+    return met.filter(reduce(lambda a, b: a & b, full)).select("nct_id")
 
 
 def search_trials(index: DataFrame, trials: DataFrame, search: dict[str, str], filters: dict | None = None) -> DataFrame:
@@ -78,5 +97,6 @@ def search_trials(index: DataFrame, trials: DataFrame, search: dict[str, str], f
     for area, needle in search.items():
         few = candidates(index, area, needle) if needle else None
         if few is not None:
+            few = cut_lineage(few, "candidates")
             trials = trials.join(broadcast_if_small(few, few.count()), "nct_id", "left_semi")
     return filter_trials(trials, filters, search)
