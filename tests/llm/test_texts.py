@@ -8,7 +8,7 @@ import pytest
 import sentencepiece
 from plain import key, leaked, odd_texts, rule_counts, sentence, table
 
-from trialspark.llm import decontaminate
+from trialspark.llm import decontaminate, rules
 from trialspark.llm.decontaminate import leaks, without_leaks
 from trialspark.llm.language import UNKNOWN, identify, keep_identified
 from trialspark.llm.pieces import MODEL, Encoder, Lattice, Stream, Vocabulary, decode_documents, encode_documents, encoder
@@ -115,6 +115,15 @@ def test_rules_match_brute_force_and_the_forest_separates(spark):
     assert all(d in kept for d, _ in good) and not any(d in kept for d, _ in junk)
 
 
+def test_the_forest_is_fitted_on_every_labelled_row(spark, monkeypatch):
+    monkeypatch.setattr(rules, "FIT_ROWS", 20, raising=False)
+    good = [(i, sentence(i, 60 + i % 40) + " #" * (i % 9)) for i in range(400)]
+    labels = spark.createDataFrame([(d, 1) for d, _ in good], "doc_id long, quality int")
+    got = quality(table(spark, good), labels).collect()
+    usable = [r for r in got if not r.base_failed]
+    assert sum(r.kept for r in usable) >= (1 - rules.LOSS) * len(usable) - 1
+
+
 def test_rules_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     got = quality(table(spark, [(1, sentence(1, 60)), (2, None)]), none).collect()

@@ -9,9 +9,10 @@ box, not only over the rows in a node, so a region without any good row is cut
 off early. The threshold is calibrated on labelled rows: at most ``LOSS`` of the
 good ones that pass the base rules may be dropped.
 
-The forest is fitted on a sample of at most about ``FIT_ROWS`` labelled rows,
-drawn by a hash of the id; counts and scores cover every document. It is a few
-hundred kilobytes, and is the only thing sent to the executors.
+Box and threshold come from all labelled rows; a tree grows on ``SUBSAMPLE`` of
+the good ones, which is the method's own parameter, and every good row can be
+drawn. Counts and scores cover every document. The forest is a few hundred
+kilobytes, and is the only thing sent to the executors.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from trialspark.llm.batches import RollingHash, Words, byte_values, chunks, mix
+from trialspark.session import broadcast_if_small, cut_lineage
 
-FIT_ROWS = 5_000
 TREES = 128
 SUBSAMPLE = 256
 DEPTH = 10
@@ -33,7 +34,7 @@ LOSS = 0.005
 _SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 _MARKS = np.isin(np.arange(256), np.frombuffer(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", np.uint8))
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-_MORE = ("n_lines", "n_upper", "n_marks")
+_AXES = ("chars", "symbols", "marks", "lines", "repeats", "upper")
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -51,9 +52,11 @@ def quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_
     used to fit. Other columns are ignored, whatever their names.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    forest = _fitted(rows, labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")))
-    judged = rows.mapInArrow(_judged(forest), "doc_id long, " + ", ".join(f"{c} long" for c in _COUNTS) + ", base_failed boolean, kept boolean, score double")
-    return judged
+    numbers = "doc_id long, " + ", ".join(f"{c} long" for c in _COUNTS) + ", base_failed boolean"
+    # The texts are read once: the counts are stored, and the forest is fitted and applied on them.
+    counted = cut_lineage(rows.mapInArrow(_counted, numbers + "".join(f", {c} double" for c in _AXES)), "rule-counts")
+    forest = _fitted(counted, labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")))
+    return counted.mapInArrow(_judged(forest), numbers + ", kept boolean, score double")
 
 
 def rule_counts(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
@@ -170,22 +173,24 @@ class Forest:
         return 2 ** (-total / TREES / max(float(_average_path(self.size)), 1.0))
 
 
-def _fitted(rows: DataFrame, labels: DataFrame) -> Forest | None:
+def _fitted(counted: DataFrame, labels: DataFrame) -> Forest | None:
     labels = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    count = labels.count()
-    share = min(1.0, FIT_ROWS / max(count, 1))
-    sample = labels.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
-    drawn = rows.join(F.broadcast(sample), "doc_id").select("quality", "text")  # at most about FIT_ROWS ids
-    counted = drawn.mapInArrow(_counted, "quality int, " + ", ".join(f"{c} long" for c in (*_COUNTS, *_MORE))).toPandas()
-    counts = {c: counted[c].to_numpy() for c in (*_COUNTS, *_MORE)}
-    points, good = coordinates(counts), counted["quality"].to_numpy() == 1
-    usable = good & ~base_failed(counts)
-    if not usable.any():
+    labels = cut_lineage(labels, "labels")
+    usable = (F.col("quality") == 1) & ~F.col("base_failed")
+    points = counted.join(broadcast_if_small(labels, labels.count()), "doc_id").select("doc_id", usable.alias("usable"), *_AXES)
+    points = cut_lineage(points, "points")
+    facts = points.agg(F.count_if("usable").alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in _AXES]).first()
+    if not facts["n"]:
         return None
-    order = np.lexsort(points.T)  # the sample's order in the table does not matter
-    points, usable = points[order], usable[order]
-    forest = Forest(points[usable], np.stack([points.min(axis=0), points.max(axis=0)]))
-    forest.threshold = float(np.quantile(forest.scores(points[usable]), 1 - LOSS, method="higher"))
+    box = np.array([[facts[f"{f}_{c}"] for c in _AXES] for f in ("min", "max")])
+    usable = points.filter("usable")
+    # As many rows as the trees take, drawn by a hash of the id; the order settles ties, so the table's order does not matter.
+    taken = usable.orderBy(F.xxhash64("doc_id", F.lit(3)), *_AXES).limit(TREES * SUBSAMPLE).select(*_AXES).toPandas().to_numpy()
+    forest = Forest(taken[np.lexsort(taken.T)], box)
+    # The threshold is one of the highest scores of all good rows: the one at the quantile, of those no more than come after it.
+    above = facts["n"] - int(np.ceil((facts["n"] - 1) * (1 - LOSS)))
+    scored = usable.mapInArrow(_point_scores(forest), "score double")
+    forest.threshold = scored.orderBy(F.desc("score")).limit(above).agg(F.min("score").alias("least")).first()["least"]
     return forest
 
 
@@ -193,20 +198,32 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, data, at in chunks(batch, "text"):
             counts = rule_counts(data, at)
-            yield pa.RecordBatch.from_arrays([part.column("quality"), *(pa.array(counts[c].astype(np.int64)) for c in (*_COUNTS, *_MORE))], ["quality", *_COUNTS, *_MORE])
+            axes = [pa.array(axis.astype(float)) for axis in coordinates(counts).T]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), *(pa.array(counts[c].astype(np.int64)) for c in _COUNTS), pa.array(base_failed(counts)), *axes],
+                ["doc_id", *_COUNTS, "base_failed", *_AXES],
+            )
+
+
+def _at(batch: pa.RecordBatch) -> np.ndarray:
+    return np.stack([batch.column(c).to_numpy() for c in _AXES], axis=1)
+
+
+def _point_scores(forest: Forest):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(forest.scores(_at(batch)))], ["score"])
+
+    return run
 
 
 def _judged(forest: Forest | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, at in chunks(batch, "text"):
-                counts = rule_counts(data, at)
-                failed = base_failed(counts)
-                score = forest.scores(coordinates(counts)) if forest else np.zeros(len(failed))
-                kept = ~failed & (score <= forest.threshold if forest else True)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), *(pa.array(counts[c].astype(np.int64)) for c in _COUNTS), pa.array(failed), pa.array(kept), pa.array(score)],
-                    ["doc_id", *_COUNTS, "base_failed", "kept", "score"],
-                )
+            failed = batch.column("base_failed").to_numpy(zero_copy_only=False)
+            score = forest.scores(_at(batch)) if forest else np.zeros(len(failed))
+            kept = ~failed & (score <= forest.threshold if forest else True)
+            names = ["doc_id", *_COUNTS, "base_failed"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(kept), pa.array(score)], [*names, "kept", "score"])
 
     return run
