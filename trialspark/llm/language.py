@@ -30,8 +30,8 @@ from trialspark.llm.batches import chunks
 from trialspark.session import broadcast_if_small
 
 FIT_ROWS = 20_000
-# Labelled rows of each language that are scored to learn its least scores, about.
-SCORED_ROWS = 2_000
+# Steps of the scores whose percentiles are the least scores; all labelled rows are scored.
+GRAIN = 1 << 16
 # Scores of a language and size from which a least score is learned, at least.
 LEAST_ROWS = 20
 PROFILE = 400
@@ -80,8 +80,10 @@ def keep_identified(docs: DataFrame, least: float, id_column: str = "doc_id", te
 
 def least_scores(rows: DataFrame, profiles: list[tuple[str, np.ndarray]]) -> dict[tuple[str, int], float]:
     """(language, size class of the text) -> the score below which a text is not in the language."""
-    drawn = _drawn(rows.filter("text IS NOT NULL AND lang IS NOT NULL"), SCORED_ROWS)
-    scored = drawn.select("lang", "text").mapInArrow(_own_scores(profiles), "lang string, size int, score double")
+    told = rows.filter("text IS NOT NULL AND lang IS NOT NULL")
+    scored = told.select("lang", "text").mapInArrow(_own_scores(profiles), "lang string, size int, score double")
+    # Scores to the nearest of GRAIN steps, so that the exact percentiles of any number of rows hold few values.
+    scored = scored.withColumn("score", F.round(F.col("score") * GRAIN) / GRAIN)
     low = scored.groupBy("lang", "size").agg(F.count("*").alias("n"), F.expr("percentile(score, array(0.01D, 0.5D))").alias("q")).filter(F.col("n") >= LEAST_ROWS)
     return {(r.lang, r.size): 2 * r.q[0] - r.q[1] for r in low.collect()}
 
