@@ -281,3 +281,45 @@ def test_first_mentions_are_ordered_by_id_then_place(spark):
     number = network.first_seen(F.col("i"), F.col("p"))
     got = spark.createDataFrame(rows, "i string, p int").select("i", "p", number.alias("n")).collect()
     assert [(r.i, r.p) for r in sorted(got, key=lambda r: r.n)] == sorted(rows, key=lambda r: (r[0].encode(), r[1]))
+
+
+def _names_of_all_kinds(study_table):
+    return study_table([
+        trial(1, " Aspirin 10 mg", drug("B", ["A2"]), drug("C", ["placebo arm"]), sponsor="Acme Inc.", title="T1"),
+        trial(2, "aspirin", "Placebo aspirin", drug("B", [None, ""]), drug("  "), drug(None), drug("D", kind="DEVICE"), sponsor=" Acme"),
+        trial(3, drug("B", ["A2"]), "A2", "ASPIRIN tablets", sponsor="  "),
+        trial(4, "a2", "C", "Ａ", sponsor="雪"),
+        trial(5, drug("A2", []), "Standard of Care", "B", "b", sponsor=None),
+        {"nct_id": nct(6), "interventions": None},
+        {"nct_id": None, "interventions": [drug("Aspirin")], "sponsor_name": "Acme"},
+    ])
+
+
+def _all_of(graph):
+    drugs = {r["nct_id"]: (r["names"], sorted(map(tuple, r["drugs"]))) for r in graph.resolved.collect()}
+    return drugs, [tuple(map(str, r)) for r in graph.edges.collect()], nodes(graph)
+
+
+@pytest.mark.parametrize("kind", network.KINDS)
+def test_ids_looked_up_are_those_made_in_the_record(study_table, monkeypatch, kind):
+    trials = _names_of_all_kinds(study_table)
+    looked_up = _all_of(build_network(trials, kind))
+    monkeypatch.setattr(network, "NAME_ROWS", 0)
+    assert _all_of(build_network(trials, kind)) == looked_up
+    monkeypatch.setattr(network, "MAP_ROWS", 0)
+    assert _all_of(build_network(trials, kind)) == looked_up
+    assert looked_up[0][nct(1)] == (["Aspirin 10 mg", "B"], [("drug:a2", "B"), ("drug:aspirin", "Aspirin 10 mg")])
+
+
+def test_names_are_made_keys_once_not_per_trial(study_table):
+    """No pattern is tried on a trial's own names: sponsor ids are stored, drug ids are looked up."""
+    trials = _names_of_all_kinds(study_table)
+    graph = build_network(trials, "sponsor_drug")
+    joined = graph.links.join(graph.weights, ["source", "target"])
+    mentions = drug_mentions(trials)
+    resolved = network.trial_drugs(trials, graph.components, graph.mentions)
+    for table in (joined, resolved):
+        assert "regexp_replace" not in table._jdf.queryExecution().optimizedPlan().toString()
+    # The last of the plan is what lies below the reduction of the raw names.
+    below = mentions._jdf.queryExecution().optimizedPlan().toString().split("count(1) AS mentions")
+    assert len(below) == 3 and "placebo" in below[1] and "placebo" not in below[2]

@@ -8,6 +8,7 @@ edges, evidence and the fallback bar all read that table.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -27,6 +28,10 @@ KINDS = ("drug_drug", "sponsor_drug")
 # Merged names up to which they are looked up in a map instead of joined.
 MAP_ROWS = 500
 
+# Distinct names, and bytes of them, up to which node ids are made once per name and looked up.
+NAME_ROWS = 50_000
+NAME_BYTES = 4 << 20
+
 # Ids of one edge that are collected at once to take the smallest of them.
 EDGE_IDS = 1 << 16
 
@@ -82,7 +87,8 @@ def drug_mentions(trials: DataFrame) -> DataFrame:
     others = _raw_mentions(trials.filter(F.col("nct_id").isNotNull() & ~valid), F.col("nct_id").alias("at"), first_seen(F.col("at"), F.col("place")))
     raw = numbered.unionByName(others)
     item = F.struct(F.lit("DRUG").alias("type"), "name", "otherNames")
-    kept = raw.withColumn("item", item).filter(_is_drug(F.col("item")))
+    # Tied to a count, or the optimizer would move the test below the reduction.
+    kept = raw.withColumn("item", item).filter(F.when(_is_drug(F.col("item")), F.col("mentions")) > 0)
     reduced = (
         kept.groupBy(strip(F.col("name")).alias("name"), _other_names(F.col("otherNames")).alias("other_names"))
         .agg(
@@ -184,6 +190,16 @@ def drug_labels(mentions: DataFrame, components: tuple[DataFrame, int]) -> DataF
 
 def sponsor_labels(trials: DataFrame) -> DataFrame:
     """``sponsor`` key -> ``label`` over the raw lead-sponsor names."""
+    return _sponsor_labels(sponsor_mentions(trials))
+
+
+def _sponsor_labels(mentions: DataFrame) -> DataFrame:
+    names = mentions.groupBy("sponsor", "name").agg(F.sum("n").alias("n"), F.min("seen").alias("seen"))
+    return _most_frequent(names, "sponsor")
+
+
+def sponsor_mentions(trials: DataFrame) -> DataFrame:
+    """Distinct raw lead-sponsor names with their trimmed name, their key, how often and where first."""
     valid = is_valid_nct_id(F.col("nct_id"))
     named = trials.filter(F.col("sponsor_name").isNotNull() & F.col("nct_id").isNotNull())
 
@@ -192,12 +208,9 @@ def sponsor_labels(trials: DataFrame) -> DataFrame:
 
     numbered = first(named.filter(valid), F.substring("nct_id", 4, 8).cast("long") * 1_000_000).withColumn("seen", _number_seen(F.col("seen")))
     raw = numbered.unionByName(first(named.filter(~valid), first_seen(F.col("nct_id"), F.lit(0))))
-    names = (
-        raw.withColumn("name", clean(F.col("sponsor_name"))).filter(F.col("name").isNotNull())
-        .groupBy("name")
-        .agg(F.sum("n").alias("n"), F.min("seen").alias("seen"))
-    )
-    return _most_frequent(names.withColumn("sponsor", sponsor_key(F.col("name"))), "sponsor")
+    reduced = raw.groupBy("sponsor_name").agg(F.sum("n").alias("n"), F.min("seen").alias("seen"))
+    cleaned = reduced.withColumn("name", clean(F.col("sponsor_name"))).filter(F.when(F.col("name").isNotNull(), F.col("n")) > 0)
+    return cleaned.withColumn("sponsor", sponsor_key(F.col("name")))
 
 
 # --- the graph --------------------------------------------------------------------------
@@ -207,46 +220,91 @@ def node_id(kind: str, key: Column) -> Column:
     return F.concat(F.lit(f"{kind}:"), slug(key))
 
 
-def trial_drugs(trials: DataFrame, components: tuple[DataFrame, int]) -> DataFrame:
+def _id_lookup(ids: DataFrame) -> tuple[Column, Callable[[Column, Column], Column]] | None:
+    """The ``id`` of each ``name`` of a table of distinct names as maps, and the read of a name in them.
+
+    Nothing when the names are too many.
+
+    The names lie in as many small maps as there are names, chosen by a hash, as
+    a map alone is searched from its start.
+    """
+    size = ids.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("name")), F.lit(0)).alias("bytes")).first()
+    if size["n"] > NAME_ROWS or size["bytes"] > NAME_BYTES:
+        return None
+    n = max(1, size["n"])
+
+    def place(name: Column) -> Column:
+        return F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+
+    filled = ids.groupBy(place(F.col("name")).alias("at")).agg(F.collect_list(F.struct("name", "id")).alias("entries"))
+    every = ids.sparkSession.range(n).select(F.col("id").cast("int").alias("at")).join(filled, "at", "left")
+    none = F.array().cast("array<struct<name:string,id:string>>")
+    listed = F.sort_array(F.collect_list(F.struct("at", F.coalesce("entries", none).alias("entries"))))
+    maps = every.agg(F.transform(listed, lambda b: F.map_from_entries(b["entries"])).alias("maps")).scalar()
+    return maps, lambda column, name: F.try_element_at(F.get(column, place(name)), name)
+
+
+def _drug_ids(mentions: DataFrame, components: tuple[DataFrame, int]) -> DataFrame:
+    """``name`` -> ``id`` of every drug name; a name has one key."""
+    names = resolve(mentions.select("name", "key").distinct(), components)
+    return cut_lineage(names.select("name", node_id("drug", F.col("canon")).alias("id")), "drug-ids")
+
+
+def trial_drugs(trials: DataFrame, components: tuple[DataFrame, int], mentions: DataFrame | None = None) -> DataFrame:
     """One row per trial with a drug: its drug names, and its distinct resolved drugs.
 
     ``names`` are the literal names in record order; ``drugs`` pairs the node id
     of each resolved drug with the first literal name it has in this record. A
-    record's list stays a list, so nothing is shuffled; merged names are looked
-    up in a map, or by a join of the exploded lists where there are too many.
+    record's list stays a list, so nothing is shuffled. With the ``mentions`` of
+    these trials the id of each distinct name is made once and looked up. Where
+    those are too many, ids are made in the record, and merged names looked up in
+    a map, or by a join of the exploded lists.
     """
     table, size = components
-    if size > MAP_ROWS:
-        listed = _joined_drugs(trials, components)
+    carried = [c for c in trials.columns if c not in ("nct_id", "interventions")]
+    found = _id_lookup(_drug_ids(mentions, components)) if mentions is not None else None
+    if found is not None:
+        # Names that are no drug's are not among the mentions; other names are tested where there are any.
+        kept = F.filter("interventions", lambda x: (x["type"] == "DRUG") & ~_others_placebo(x["otherNames"]))
+        stripped = F.transform(kept, lambda x: strip(x["name"])).alias("all")
+        listed = trials.filter(F.col("nct_id").isNotNull()).select("nct_id", *carried, stripped)
+        maps, read = found
+        listed = listed.withColumn("maps", maps).withColumn("every", F.transform("all", lambda name: read(F.col("maps"), name)))
+        pairs = F.zip_with("all", "every", lambda name, id: F.struct(id.alias("id"), name.alias("name")))
+        # A list of one list, exploded: a filter on its row is not moved below and computed again.
+        one = F.explode(F.array(F.filter(pairs, lambda p: p["id"].isNotNull()))).alias("pairs")
+        listed = listed.select("nct_id", *carried, one).filter(F.size("pairs") > 0)
+        listed = listed.select("nct_id", *carried, F.col("pairs.name").alias("names"), F.col("pairs.id").alias("ids"))
+    elif size > MAP_ROWS:
+        listed = _joined_drugs(trials, components, carried)
     else:
         kept = F.filter("interventions", _is_drug)
         names = F.transform(kept, lambda x: strip(x["name"]))
-        # A list of one list, exploded: a filter on its row is not moved below and computed again.
         one = F.explode(F.array(names)).alias("names")
-        listed = trials.filter(F.col("nct_id").isNotNull()).select("nct_id", "brief_title", "sponsor_name", one)
+        listed = trials.filter(F.col("nct_id").isNotNull()).select("nct_id", *carried, one)
         listed = listed.filter(F.size("names") > 0).withColumn("keys", drug_keys("names"))
         if size:
             roots = table.agg(F.map_from_entries(F.collect_list(F.struct("key", "root"))).alias("roots")).scalar()
             listed = listed.withColumn("roots", roots).withColumn("keys", F.transform("keys", lambda k: F.coalesce(F.try_element_at("roots", k), k)))
         listed = listed.withColumn("ids", F.transform(slugs("keys"), lambda s: F.concat(F.lit("drug:"), s)))
-    items = F.sort_array(F.transform("ids", lambda d, i: F.struct(d.alias("id"), i.alias("place"), F.get("names", i).alias("name"))))
-    placed = listed.select("nct_id", "brief_title", "sponsor_name", "names", items.alias("items"))
-    first = F.filter("items", lambda x, i: (i == 0) | (F.get("items", i - 1)["id"] != x["id"]))
-    drugs = F.transform(first, lambda x: F.struct(x["id"].alias("id"), x["name"].alias("name")))
-    return placed.select("nct_id", "brief_title", "sponsor_name", "names", drugs.alias("drugs"))
+    pairs = F.zip_with("ids", "names", lambda id, name: F.struct(id.alias("id"), name.alias("name")))
+    first = F.filter(pairs, lambda x, i: F.array_position("ids", x["id"]) == i + 1)
+    return listed.select("nct_id", *carried, "names", first.alias("drugs"))
 
 
-def _joined_drugs(trials: DataFrame, components: tuple[DataFrame, int]) -> DataFrame:
-    rows = drug_rows(trials, "brief_title", "sponsor_name").withColumn("key", drug_key(F.col("name")))
+def _others_placebo(others: Column) -> Column:
+    """:func:`is_placebo` of the other names alone."""
+    return F.coalesce((F.size(others) > 0) & is_placebo(F.lit(None).cast("string"), others), F.lit(False))
+
+
+def _joined_drugs(trials: DataFrame, components: tuple[DataFrame, int], carried: Sequence[str]) -> DataFrame:
+    rows = drug_rows(trials, *carried).withColumn("key", drug_key(F.col("name")))
     rows = resolve(rows, components).withColumn("id", node_id("drug", F.col("canon")))
     grouped = rows.groupBy("nct_id").agg(
-        F.first("brief_title").alias("brief_title"),
-        F.first("sponsor_name").alias("sponsor_name"),
+        *[F.first(c).alias(c) for c in carried],
         F.sort_array(F.collect_list(F.struct("place", "name", "id"))).alias("items"),
     )
-    return grouped.select(
-        "nct_id", "brief_title", "sponsor_name", F.col("items.name").alias("names"), F.col("items.id").alias("ids")
-    )
+    return grouped.select("nct_id", *carried, F.col("items.name").alias("names"), F.col("items.id").alias("ids"))
 
 
 def _pairs(resolved: DataFrame, max_drugs: int | None) -> DataFrame:
@@ -269,12 +327,20 @@ def _pairs(resolved: DataFrame, max_drugs: int | None) -> DataFrame:
     )
 
 
+def _with_sponsor(trials: DataFrame, mentions: DataFrame) -> DataFrame:
+    """Add ``sponsor``, the node id of the lead sponsor, null without one: looked up, or made from the name."""
+    ids = mentions.select(F.col("sponsor_name").alias("name"), node_id("sponsor", F.col("sponsor")).alias("id"))
+    found = _id_lookup(cut_lineage(ids, "sponsor-ids"))
+    if found is None:
+        return trials.withColumn("sponsor", node_id("sponsor", sponsor_key(clean(F.col("sponsor_name")))))
+    maps, read = found
+    return trials.withColumn("sponsor", read(maps, F.col("sponsor_name")))
+
+
 def _sponsor_pairs(resolved: DataFrame) -> DataFrame:
-    named = resolved.filter(clean(F.col("sponsor_name")).isNotNull())
-    sponsor = node_id("sponsor", sponsor_key(clean(F.col("sponsor_name"))))
-    # The key is made once per trial, below the explode.
-    keyed = named.select("nct_id", sponsor.alias("source"), F.col("drugs.id").alias("ids"))
-    return keyed.select("nct_id", "source", F.explode("ids").alias("target"))
+    # The id was made when the trials were stored: filters that a join adds on it cost nothing.
+    named = resolved.filter(F.col("sponsor").isNotNull())
+    return named.select("nct_id", F.col("sponsor").alias("source"), F.explode("drugs.id").alias("target"))
 
 
 def _drug_node_labels(mentions: DataFrame, components: tuple[DataFrame, int], shown: DataFrame | None = None) -> DataFrame:
@@ -305,6 +371,7 @@ class Network:
     min_edge_weight: int
     max_drugs_per_trial: int | None
     evidence_limit: int
+    sponsors: DataFrame | None = None
 
     @cached_property
     def links(self) -> DataFrame:
@@ -351,7 +418,7 @@ class Network:
         labels = _drug_node_labels(self.mentions, self.components, shown)
         if self.kind == "sponsor_drug":
             labels = labels.unionByName(
-                sponsor_labels(self.trials).select(node_id("sponsor", F.col("sponsor")).alias("id"), "label")
+                _sponsor_labels(self.sponsors).select(node_id("sponsor", F.col("sponsor")).alias("id"), "label")
             )
         joined = ends.join(labels, "id", "left")
         kind = F.split_part(F.col("id"), F.lit(":"), F.lit(1))
@@ -530,7 +597,11 @@ def build_network(
         trials = cut_lineage(dedupe_trials(trials, order_column), "trials")
     mentions = cut_lineage(drug_mentions(trials), "mentions")
     components = connected_components(alias_pairs(mentions))
-    resolved = cut_lineage(trial_drugs(trials, components), "resolved")
+    sponsors, named = None, trials
+    if kind == "sponsor_drug":
+        sponsors = cut_lineage(sponsor_mentions(trials), "sponsors")
+        named = _with_sponsor(trials, sponsors)
+    resolved = cut_lineage(trial_drugs(named, components, mentions), "resolved")
     return Network(
         kind=kind,
         trials=trials,
@@ -541,4 +612,5 @@ def build_network(
         min_edge_weight=min_edge_weight,
         max_drugs_per_trial=max_drugs_per_trial,
         evidence_limit=evidence_limit,
+        sponsors=sponsors,
     )
