@@ -1,12 +1,13 @@
 from __future__ import annotations
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from conftest import drug, nct
 from pyspark.sql import functions as F
 
+from trialspark.operators import evidence
 from trialspark.operators.fields import FIELDS
 from trialspark.operators.filters import filter_trials, predicate
 from trialspark.operators.grouping import (
@@ -245,3 +246,16 @@ def test_scalar_filters_reach_the_scan(spark, study_table, tmp_path):
     kinds = distribution(trials, "interventionType", unique_ids=True, evidence_limit=0)
     schema = [line for line in kinds._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in line][0]
     assert "otherNames" not in schema and F is not None
+
+
+def test_samples_of_hot_buckets_are_cut_before_the_sort(spark):
+    """A bucket with enough rows in the first ids keeps those only; late, rare and null ones keep all."""
+    rows = [(nct(i), "hot") for i in range(2000)] + [(nct(i), "late") for i in range(1900, 2000)]
+    rows += [(nct(7), "rare"), (None, "hot"), (nct(3), None)]
+    table = spark.createDataFrame(rows, "nct_id string, value string").repartition(4)
+    near = evidence.near_rows(table, table.select("nct_id").distinct(), ["value"], 3)
+    left = Counter(r["value"] for r in near.collect())
+    assert 4 <= left["hot"] < 300 and (left["late"], left["rare"], left[None]) == (100, 1, 1)
+    found, plain = (sorted(map(str, evidence.first_per_bucket(t, ["value"], 3).collect())) for t in (near, table))
+    assert found == plain and len(found) == 8
+    assert evidence.near_rows(table.limit(0), table.select("nct_id").limit(0), ["value"], 3).count() == 0

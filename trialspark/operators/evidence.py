@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from trialspark import fixed_values as fixed
 from trialspark.functions.paths import title_excerpt
 from trialspark.operators.fields import FieldSpec
+from trialspark.session import BROADCAST_ROWS, cut_lineage
 from trialspark.sources.schema import CITATION
 
 # A hot bucket's candidates meet in this many tasks before they meet in one.
@@ -37,6 +38,27 @@ def first_per_bucket(rows: DataFrame, bucket: Sequence[str], k: int) -> DataFram
     )
 
 
+def near_rows(rows: DataFrame, ids: DataFrame, bucket: Sequence[str], k: int) -> DataFrame:
+    """``rows`` without those that cannot be among the ``k`` of their bucket with the smallest ``nct_id``.
+
+    ``ids`` are the ids of a stored table that ``rows`` come from. Buckets with k
+    rows in a small beginning of the table have their sample there, so the rest
+    of them never reaches a sort; all other buckets keep all rows.
+    """
+    cuts = id_cuts(ids, k)
+    if not cuts:
+        return rows
+    cut = cuts[max(0, len(cuts) - 3)]
+    counted = rows.filter(F.col("nct_id") <= cut).groupBy(*bucket).agg(F.count(F.lit(1)).alias("n"))
+    keys = [F.col(c).alias(f"_full{i}") for i, c in enumerate(bucket)]
+    full = cut_lineage(counted.filter(F.col("n") >= k).select(*keys, F.lit(True).alias("_full")), "full")
+    if not 0 < full.count() <= BROADCAST_ROWS:
+        return rows
+    same = [F.col(c).eqNullSafe(F.col(f"_full{i}")) for i, c in enumerate(bucket)]
+    needed = F.col("_full").isNull() | F.col("nct_id").isNull() | (F.col("nct_id") <= cut)
+    return rows.join(F.broadcast(full), same, "left").filter(needed).select(*rows.columns)
+
+
 def id_cuts(ids: DataFrame, k: int, column: str = "nct_id") -> list[str]:
     """Ids that split a table into ever smaller beginnings, each a quarter of the next, smallest first.
 
@@ -121,14 +143,18 @@ def collect_citations(sampled: DataFrame, bucket: Sequence[str]) -> DataFrame:
 
 
 def bucket_evidence(
-    rows: DataFrame, spec: FieldSpec, bucket: Sequence[str] = ("value",), k: int = fixed.EVIDENCE_LIMIT
+    rows: DataFrame,
+    spec: FieldSpec,
+    bucket: Sequence[str] = ("value",),
+    k: int = fixed.EVIDENCE_LIMIT,
+    ids: DataFrame | None = None,
 ) -> DataFrame:
-    """``citations`` and ``source_ids`` per bucket.
+    """``citations`` and ``source_ids`` per bucket; with ``ids`` by way of :func:`near_rows`.
 
     ``rows`` holds one row per (bucket, trial): the bucket columns, ``member``
     (the value to quote), ``nct_id``, ``brief_title`` and the field's columns.
     """
-    sampled = first_per_bucket(rows, bucket, k)
+    sampled = first_per_bucket(rows if ids is None else near_rows(rows, ids, bucket, k), bucket, k)
     return collect_citations(sampled.withColumn("citation", cite(spec)), bucket)
 
 

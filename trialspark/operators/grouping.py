@@ -151,6 +151,7 @@ def distribution(
     by: Sequence[str] = (),
     inline_members: bool = False,
     sort: bool = True,
+    stored: bool = False,
 ) -> DataFrame:
     """Trials per bucket of a field, labelled, ordered, folded and cited.
 
@@ -170,6 +171,9 @@ def distribution(
     inline_members
         List the folded values on the "Other" row, for a field whose vocabulary
         is small. Otherwise :func:`fold_members` is the table of them.
+    stored
+        The trials are a table that is cheap to read: two more short passes keep
+        the evidence of hot buckets from being sorted. A fold makes them anyway.
     """
     spec = field_spec(field)
     top_n = spec.top_n if top_n == FROM_SPEC else top_n
@@ -196,7 +200,8 @@ def distribution(
     if evidence_limit:
         repeated = spec.mode == "explode" and not unique_ids
         sources = first_row_per_trial(exploded, [*by, "value"], order_column) if repeated else exploded
-        evidence = bucket_evidence(sources, spec, [*by, "value"], evidence_limit)
+        ids = trials.select("nct_id") if (stored or top_n is not None) and not repeated else None
+        evidence = bucket_evidence(sources, spec, [*by, "value"], evidence_limit, ids)
     result = with_evidence(buckets, evidence, [*by, "value"])
     return result.orderBy(*by, *spec.order()) if sort else result
 

@@ -19,7 +19,7 @@ from trialspark.functions.names import drug_key, drug_keys, is_combination, is_p
 from trialspark.functions.paths import clean
 from trialspark.functions.text import strip
 from trialspark.operators.components import connected_components
-from trialspark.operators.evidence import below_cut, citation, collect_citations, first_per_bucket, id_cuts, with_evidence
+from trialspark.operators.evidence import below_cut, citation, collect_citations, first_per_bucket, id_cuts, near_rows, with_evidence
 from trialspark.session import BROADCAST_ROWS, broadcast_if_small, cut_lineage
 from trialspark.sources.reader import dedupe_trials, is_valid_nct_id
 
@@ -270,11 +270,10 @@ def trial_drugs(trials: DataFrame, components: tuple[DataFrame, int], mentions:
         listed = trials.filter(F.col("nct_id").isNotNull()).select("nct_id", *carried, stripped)
         maps, read = found
         listed = listed.withColumn("maps", maps).withColumn("every", F.transform("all", lambda name: read(F.col("maps"), name)))
-        pairs = F.zip_with("all", "every", lambda name, id: F.struct(id.alias("id"), name.alias("name")))
-        # A list of one list, exploded: a filter on its row is not moved below and computed again.
-        one = F.explode(F.array(F.filter(pairs, lambda p: p["id"].isNotNull()))).alias("pairs")
-        listed = listed.select("nct_id", *carried, one).filter(F.size("pairs") > 0)
-        listed = listed.select("nct_id", *carried, F.col("pairs.name").alias("names"), F.col("pairs.id").alias("ids"))
+        names = F.filter("all", lambda name, i: F.get("every", i).isNotNull())
+        # A list of one element, exploded: a filter on its row is not moved below and computed again.
+        one = F.explode(F.array(F.struct(names.alias("names"), F.array_compact("every").alias("ids")))).alias("kept")
+        listed = listed.select("nct_id", *carried, one).filter(F.size("kept.ids") > 0).select("nct_id", *carried, "kept.names", "kept.ids")
     elif size > MAP_ROWS:
         listed = _joined_drugs(trials, components, carried)
     else:
@@ -556,7 +555,7 @@ def drug_frequencies(
         top = top.orderBy(F.col("count_trials").desc(), "label").limit(top_n)
         few = top.select("id")
         rows = rows.join(F.broadcast(few) if top_n <= BROADCAST_ROWS else few, "id", "left_semi")
-    sampled = first_per_bucket(rows, ["id"], evidence_limit)
+    sampled = first_per_bucket(near_rows(rows, resolved.select("nct_id"), ["id"], evidence_limit), ["id"], evidence_limit)
     quoted = citation(_DRUG_PATH, F.col("names"), True, F.col("name"))
     evidence = collect_citations(sampled.withColumn("citation", quoted), ["id"])
     buckets = top.withColumn("value", F.col("label")).withColumn("count_mentions", F.col("count_trials"))

@@ -398,7 +398,7 @@ def _register_distributions() -> None:
 
         def cited(spark, sf_dir, f=field):
             trials = _stored(_for_fields(spark, sf_dir, f, extra=["brief_title"]))
-            return _evidence(distribution(trials, f, unique_ids=True, sort=False))
+            return _evidence(distribution(trials, f, unique_ids=True, sort=False, stored=True))
 
         QUERIES[f"distribution_{name}"] = bars
         QUERIES[f"evidence_{name}"] = cited
