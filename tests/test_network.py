@@ -323,3 +323,28 @@ def test_names_are_made_keys_once_not_per_trial(study_table):
     # The last of the plan is what lies below the reduction of the raw names.
     below = mentions._jdf.queryExecution().optimizedPlan().toString().split("count(1) AS mentions")
     assert len(below) == 3 and "placebo" in below[1] and "placebo" not in below[2]
+
+
+@pytest.mark.parametrize("kind", network.KINDS)
+def test_a_graph_without_citations_has_the_same_nodes_and_summary(study_table, monkeypatch, kind):
+    trials = _names_of_all_kinds(study_table)
+    options = {"unique_ids": True, "max_drugs_per_trial": 2}
+    cited = build_network(trials, kind, **options)
+    for maps in (True, False):
+        bare = build_network(trials.drop("brief_title"), kind, cited=False, **options)
+        assert nodes(bare) == nodes(cited) and bare.summary.collect() == cited.summary.collect()
+        assert {"names", "drugs", "brief_title"}.isdisjoint(bare.resolved.columns)
+        with pytest.raises(ValueError):
+            bare.edges
+        monkeypatch.setattr(network, "NAME_ROWS", 0)
+
+
+def test_no_row_holds_a_copy_of_the_id_maps(study_table):
+    trials = _names_of_all_kinds(study_table)
+    graph = build_network(trials, "drug_drug")
+    raw = network._all_raw_mentions(trials)
+    for given in (None, raw):
+        plan = network.trial_drugs(trials, graph.components, graph.mentions, given)._jdf.queryExecution().optimizedPlan().toString()
+        # Lines of the subquery itself begin with a colon.
+        outer = [line for line in plan.splitlines() if not line.lstrip().startswith(":")]
+        assert "AS maps" not in "".join(outer) and any("scalar-subquery" in line for line in outer)

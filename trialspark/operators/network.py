@@ -78,6 +78,11 @@ def drug_mentions(trials: DataFrame) -> DataFrame:
     ``high`` where two trials mention the pair. The raw texts are reduced first,
     so names are trimmed, tested and made keys on the reduced rows only.
     """
+    return _reduced_mentions(_all_raw_mentions(trials))
+
+
+def _all_raw_mentions(trials: DataFrame) -> DataFrame:
+    """:func:`_raw_mentions` of all trials; raw texts that ids of both forms mention have a row for each."""
     valid = is_valid_nct_id(F.col("nct_id"))
     # Registry numbers order as their digits do: one long finds their first mention. Ids of any other form go apart.
     number = F.substring("nct_id", 4, 8).cast("long") * 1_000_000
@@ -85,7 +90,10 @@ def drug_mentions(trials: DataFrame) -> DataFrame:
     numbered = _raw_mentions(trials.filter(valid), number.alias("at"), F.col("at") + place)
     numbered = numbered.withColumn("seen", _number_seen(F.col("seen")))
     others = _raw_mentions(trials.filter(F.col("nct_id").isNotNull() & ~valid), F.col("nct_id").alias("at"), first_seen(F.col("at"), F.col("place")))
-    raw = numbered.unionByName(others)
+    return numbered.unionByName(others)
+
+
+def _reduced_mentions(raw: DataFrame) -> DataFrame:
     item = F.struct(F.lit("DRUG").alias("type"), "name", "otherNames")
     # Tied to a count, or the optimizer would move the test below the reduction.
     kept = raw.withColumn("item", item).filter(F.when(_is_drug(F.col("item")), F.col("mentions")) > 0)
@@ -220,10 +228,11 @@ def node_id(kind: str, key: Column) -> Column:
     return F.concat(F.lit(f"{kind}:"), slug(key))
 
 
-def _id_lookup(ids: DataFrame) -> tuple[Column, Callable[[Column, Column], Column]] | None:
+def _id_lookup(ids: DataFrame, *given: str) -> tuple[Column, Callable[[Column, Column], Column]] | None:
     """The ``id`` of each ``name`` of a table of distinct names as maps, and the read of a name in them.
 
-    Nothing when the names are too many.
+    A read gives the ``id``, or a struct of the columns ``given``. Nothing when
+    the names are too many.
 
     The names lie in as many small maps as there are names, chosen by a hash, as
     a map alone is searched from its start.
@@ -236,9 +245,11 @@ def _id_lookup(ids: DataFrame) -> tuple[Column, Callable[[Column, Column], Colum
     def place(name: Column) -> Column:
         return F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
 
-    filled = ids.groupBy(place(F.col("name")).alias("at")).agg(F.collect_list(F.struct("name", "id")).alias("entries"))
+    value = F.struct(*given) if given else F.col("id")
+    listed_ids = ids.select(place(F.col("name")).alias("at"), F.struct("name", value.alias("value")).alias("entry"))
+    filled = listed_ids.groupBy("at").agg(F.collect_list("entry").alias("entries"))
     every = ids.sparkSession.range(n).select(F.col("id").cast("int").alias("at")).join(filled, "at", "left")
-    none = F.array().cast("array<struct<name:string,id:string>>")
+    none = F.array().cast(filled.schema["entries"].dataType)
     listed = F.sort_array(F.collect_list(F.struct("at", F.coalesce("entries", none).alias("entries"))))
     maps = every.agg(F.transform(listed, lambda b: F.map_from_entries(b["entries"])).alias("maps")).scalar()
     return maps, lambda column, name: F.try_element_at(F.get(column, place(name)), name)
@@ -250,7 +261,20 @@ def _drug_ids(mentions: DataFrame, components: tuple[DataFrame, int]) -> DataFra
     return cut_lineage(names.select("name", node_id("drug", F.col("canon")).alias("id")), "drug-ids")
 
 
-def trial_drugs(trials: DataFrame, components: tuple[DataFrame, int], mentions: DataFrame | None = None) -> DataFrame:
+def _raw_ids(ids: DataFrame, raw: DataFrame) -> DataFrame:
+    """The ``id`` and the trimmed ``literal`` of each raw ``name`` that is a drug's."""
+    names = raw.select(F.col("name").alias("raw")).distinct()
+    named = names.join(ids, strip(F.col("raw")) == F.col("name"))
+    return cut_lineage(named.select(F.col("raw").alias("name"), F.col("name").alias("literal"), "id"), "raw-ids")
+
+
+def trial_drugs(
+    trials: DataFrame,
+    components: tuple[DataFrame, int],
+    mentions: DataFrame | None = None,
+    raw: DataFrame | None = None,
+    named: bool = True,
+) -> DataFrame:
     """One row per trial with a drug: its drug names, and its distinct resolved drugs.
 
     ``names`` are the literal names in record order; ``drugs`` pairs the node id
@@ -258,22 +282,35 @@ def trial_drugs(trials: DataFrame, components: tuple[DataFrame, int], mentions:
     record's list stays a list, so nothing is shuffled. With the ``mentions`` of
     these trials the id of each distinct name is made once and looked up. Where
     those are too many, ids are made in the record, and merged names looked up in
-    a map, or by a join of the exploded lists.
+    a map, or by a join of the exploded lists. With the ``raw`` mentions too, the
+    names are looked up untrimmed, and other names are tested only if any of them
+    is a placebo's. Not ``named``, the result has ``ids`` in place of both lists.
     """
     table, size = components
     carried = [c for c in trials.columns if c not in ("nct_id", "interventions")]
-    found = _id_lookup(_drug_ids(mentions, components)) if mentions is not None else None
+    found, marked = None, True
+    if mentions is not None:
+        names = _drug_ids(mentions, components).withColumn("literal", F.col("name"))
+        if raw is not None:
+            names = _raw_ids(names.drop("literal"), raw)
+            marked = not raw.filter(_others_placebo(F.col("otherNames"))).isEmpty()
+        found = _id_lookup(names, *(("id", "literal") if named else ()))
     if found is not None:
         # Names that are no drug's are not among the mentions; other names are tested where there are any.
-        kept = F.filter("interventions", lambda x: (x["type"] == "DRUG") & ~_others_placebo(x["otherNames"]))
-        stripped = F.transform(kept, lambda x: strip(x["name"])).alias("all")
-        listed = trials.filter(F.col("nct_id").isNotNull()).select("nct_id", *carried, stripped)
         maps, read = found
-        listed = listed.withColumn("maps", maps).withColumn("every", F.transform("all", lambda name: read(F.col("maps"), name)))
-        names = F.filter("all", lambda name, i: F.get("every", i).isNotNull())
+
+        def drug_of(x: Column) -> Column:
+            wanted = x["type"] == "DRUG"
+            if marked:
+                wanted = wanted & ~_others_placebo(x["otherNames"])
+            return F.when(wanted, read(F.col("maps"), strip(x["name"]) if raw is None else x["name"]))
+
+        # One use of the maps, so that no row holds a copy of them.
+        drugs = F.array_compact(F.transform("interventions", drug_of))
+        listed = trials.filter(F.col("nct_id").isNotNull()).withColumn("maps", maps).select("nct_id", *carried, drugs.alias("found"))
         # A list of one element, exploded: a filter on its row is not moved below and computed again.
-        one = F.explode(F.array(F.struct(names.alias("names"), F.array_compact("every").alias("ids")))).alias("kept")
-        listed = listed.select("nct_id", *carried, one).filter(F.size("kept.ids") > 0).select("nct_id", *carried, "kept.names", "kept.ids")
+        listed = listed.select("nct_id", *carried, F.explode(F.array("found")).alias("found")).filter(F.size("found") > 0)
+        listed = listed.select("nct_id", *carried, *((F.col("found.literal").alias("names"), F.col("found.id").alias("ids")) if named else (F.col("found").alias("ids"),)))
     elif size > MAP_ROWS:
         listed = _joined_drugs(trials, components, carried)
     else:
@@ -286,9 +323,13 @@ def trial_drugs(trials: DataFrame, components: tuple[DataFrame, int], mentions:
             roots = table.agg(F.map_from_entries(F.collect_list(F.struct("key", "root"))).alias("roots")).scalar()
             listed = listed.withColumn("roots", roots).withColumn("keys", F.transform("keys", lambda k: F.coalesce(F.try_element_at("roots", k), k)))
         listed = listed.withColumn("ids", F.transform(slugs("keys"), lambda s: F.concat(F.lit("drug:"), s)))
+    if not named:
+        return listed.select("nct_id", *carried, F.array_distinct("ids").alias("ids"))
     pairs = F.zip_with("ids", "names", lambda id, name: F.struct(id.alias("id"), name.alias("name")))
     first = F.filter(pairs, lambda x, i: F.array_position("ids", x["id"]) == i + 1)
-    return listed.select("nct_id", *carried, "names", first.alias("drugs"))
+    # Few records name a drug twice; only those are searched.
+    drugs = F.when(F.size(F.array_distinct("ids")) == F.size("ids"), pairs).otherwise(first)
+    return listed.select("nct_id", *carried, "names", drugs.alias("drugs"))
 
 
 def _others_placebo(others: Column) -> Column:
@@ -306,24 +347,24 @@ def _joined_drugs(trials: DataFrame, components: tuple[DataFrame, int], carried:
     return grouped.select("nct_id", *carried, F.col("items.name").alias("names"), F.col("items.id").alias("ids"))
 
 
+def _ids(resolved: DataFrame) -> Column:
+    """The distinct drug ids of a resolved trial."""
+    return F.col("drugs.id") if "drugs" in resolved.columns else F.col("ids")
+
+
 def _pairs(resolved: DataFrame, max_drugs: int | None) -> DataFrame:
     """Unordered drug pairs of a trial.
 
     With ``max_drugs`` larger trials are skipped and counted in ``summary``; the
     fan-out of one record is then at most max_drugs^2 / 2 pairs.
     """
-    small = resolved if max_drugs is None else resolved.filter(F.size("drugs") <= max_drugs)
-    return small.select(
-        "nct_id",
-        F.col("drugs").alias("all"),
-        F.posexplode("drugs").alias("at", "one"),
-    ).select(
+    # Only the ids are read: a pair carries two texts and the rest of its list, no names.
+    ids = resolved.select("nct_id", _ids(resolved).alias("all"))
+    if max_drugs is not None:
+        ids = ids.filter(F.size("all") <= max_drugs)
+    return ids.select("nct_id", "all", F.posexplode("all").alias("at", "one")).select(
         "nct_id", "one", F.explode(F.slice("all", F.col("at") + 2, F.size("all"))).alias("two")
-    ).select(
-        "nct_id",
-        F.least("one.id", "two.id").alias("source"),
-        F.greatest("one.id", "two.id").alias("target"),
-    )
+    ).select("nct_id", F.least("one", "two").alias("source"), F.greatest("one", "two").alias("target"))
 
 
 def _with_sponsor(trials: DataFrame, mentions: DataFrame) -> DataFrame:
@@ -339,7 +380,7 @@ def _with_sponsor(trials: DataFrame, mentions: DataFrame) -> DataFrame:
 def _sponsor_pairs(resolved: DataFrame) -> DataFrame:
     # The id was made when the trials were stored: filters that a join adds on it cost nothing.
     named = resolved.filter(F.col("sponsor").isNotNull())
-    return named.select("nct_id", F.col("sponsor").alias("source"), F.explode("drugs.id").alias("target"))
+    return named.select("nct_id", F.col("sponsor").alias("source"), F.explode(_ids(resolved)).alias("target"))
 
 
 def _drug_node_labels(mentions: DataFrame, components: tuple[DataFrame, int], shown: DataFrame | None = None) -> DataFrame:
@@ -371,6 +412,7 @@ class Network:
     max_drugs_per_trial: int | None
     evidence_limit: int
     sponsors: DataFrame | None = None
+    cited: bool = True
 
     @cached_property
     def links(self) -> DataFrame:
@@ -387,7 +429,8 @@ class Network:
         ids: ``until`` is where its sample must end at the latest, ``below`` how
         many trials that leaves.
         """
-        counts, until, below = below_cut(id_cuts(self.resolved.select("nct_id"), self.evidence_limit), self.evidence_limit)
+        cuts = id_cuts(self.resolved.select("nct_id"), self.evidence_limit) if self.cited else []
+        counts, until, below = below_cut(cuts, self.evidence_limit)
         counted = self.links.groupBy("source", "target").agg(F.count(F.lit(1)).alias("weight"), *counts)
         return cut_lineage(counted.select("source", "target", "weight", until, F.coalesce(below, "weight").alias("below")), "edges")
 
@@ -432,6 +475,7 @@ class Network:
         The two citations of an edge, one per endpoint, quote the literal names
         in its trial with the smallest id.
         """
+        self._must_be_cited()
         # max_nodes nodes have at most max_nodes^2 / 2 edges between them.
         few = self.max_nodes is not None and self.max_nodes**2 <= 2 * BROADCAST_ROWS
         ids = self._sampled_ids(few)
@@ -448,6 +492,10 @@ class Network:
             .orderBy(F.col("weight").desc(), "source", "target")
         )
 
+    def _must_be_cited(self) -> None:
+        if not self.cited:
+            raise ValueError("a graph built with cited=False has no texts to cite")
+
     def _sampled_ids(self, few: bool) -> DataFrame:
         """``source, target, source_ids``: the smallest ids of each kept edge.
 
@@ -495,7 +543,7 @@ class Network:
         distinct = self.trials.agg(F.count("nct_id").alias("n"))
         none = F.lit(0).cast("long")
         skips = self.kind == "drug_drug" and self.max_drugs_per_trial is not None
-        skipped = self.resolved.agg(F.count_if(F.size("drugs") > self.max_drugs_per_trial).alias("n")).scalar() if skips else none
+        skipped = self.resolved.agg(F.count_if(F.size(_ids(self.resolved)) > self.max_drugs_per_trial).alias("n")).scalar() if skips else none
         pruned = self.all_weights.agg(F.count_if(F.col("weight") < self.min_edge_weight).alias("n")).scalar()
         capped = self.max_nodes is not None
         heavy = self.heavy.agg(F.count(F.lit(1)).alias("n")).scalar()
@@ -519,6 +567,7 @@ class Network:
 
     def frequencies(self, top_n: int | None = None) -> DataFrame:
         """Drug-frequency bar, for when the graph is degenerate: see :func:`drug_frequencies`."""
+        self._must_be_cited()
         return drug_frequencies(self.resolved, self.mentions, self.components, top_n, self.evidence_limit)
 
     @property
@@ -579,28 +628,35 @@ def build_network(
     min_edge_weight: int = 1,
     max_drugs_per_trial: int | None = None,
     evidence_limit: int = fixed.EVIDENCE_LIMIT,
+    cited: bool = True,
 ) -> Network:
     """Resolve the names and store one resolved row per trial; the graph reads that.
 
     Everything is kept unless an option says otherwise: ``max_nodes`` of highest
     degree, a minimum edge weight, a maximum of drugs per trial. ``summary``
-    counts what they leave out.
+    counts what they leave out. Not ``cited``, the graph has weights, nodes and
+    summary only: titles are not read, and no names are stored per trial.
     """
     if kind not in KINDS:
         raise ValueError(f"unknown network kind {kind!r}; known: {list(KINDS)}")
     order = [order_column] if order_column else []
-    trials = trials.select(*TRIAL_COLUMNS, *order)
+    sponsored = ("sponsor_name",) if kind == "sponsor_drug" else ()
+    trials = trials.select(*(TRIAL_COLUMNS if cited else ("nct_id", *sponsored, "interventions")), *order)
     if unique_ids:
         trials = trials.filter(F.col("nct_id").isNotNull())
     else:
         trials = cut_lineage(dedupe_trials(trials, order_column), "trials")
-    mentions = cut_lineage(drug_mentions(trials), "mentions")
+    raw = cut_lineage(_all_raw_mentions(trials), "raw-mentions")
+    mentions = cut_lineage(_reduced_mentions(raw), "mentions")
     components = connected_components(alias_pairs(mentions))
     sponsors, named = None, trials
     if kind == "sponsor_drug":
         sponsors = cut_lineage(sponsor_mentions(trials), "sponsors")
         named = _with_sponsor(trials, sponsors)
-    resolved = cut_lineage(trial_drugs(named, components, mentions), "resolved")
+    resolved = trial_drugs(named, components, mentions, raw, named=cited)
+    if cited or max_drugs_per_trial is not None:
+        # Read more than once: else the links are the only reader.
+        resolved = cut_lineage(resolved, "resolved")
     return Network(
         kind=kind,
         trials=trials,
@@ -612,4 +668,5 @@ def build_network(
         max_drugs_per_trial=max_drugs_per_trial,
         evidence_limit=evidence_limit,
         sponsors=sponsors,
+        cited=cited,
     )

@@ -656,8 +656,8 @@ def compare_arms_capped(spark, sf_dir):
 # --- network ----------------------------------------------------------------------------------------
 
 
-def _drug_trials(spark, sf_dir) -> DataFrame:
-    return _stored(_trials(spark, sf_dir, *network.TRIAL_COLUMNS))
+def _drug_trials(spark, sf_dir, columns: Iterable[str] = network.TRIAL_COLUMNS) -> DataFrame:
+    return _stored(_trials(spark, sf_dir, *columns))
 
 
 @query
@@ -712,6 +712,12 @@ def _graph(spark, sf_dir, kind, **options) -> network.Network:
     return network.build_network(_drug_trials(spark, sf_dir), kind, unique_ids=True, **options)
 
 
+def _uncited_graph(spark, sf_dir, kind, **options) -> network.Network:
+    """A graph of which no edge or bar is shown: its trials need no titles, and no sponsors unless they are nodes."""
+    columns = ("nct_id", *(["sponsor_name"] if kind == "sponsor_drug" else []), "interventions")
+    return network.build_network(_drug_trials(spark, sf_dir, columns), kind, unique_ids=True, cited=False, **options)
+
+
 def _edge_text(edges: DataFrame) -> DataFrame:
     return edges.select(
         "source", "target", "weight", _join("source_ids").alias("source_ids"),
@@ -725,7 +731,7 @@ def _edge_text(edges: DataFrame) -> DataFrame:
 
 @query
 def drug_drug_nodes(spark, sf_dir):
-    return _graph(spark, sf_dir, "drug_drug").nodes
+    return _uncited_graph(spark, sf_dir, "drug_drug").nodes
 
 
 @query
@@ -736,18 +742,18 @@ def drug_drug_edges(spark, sf_dir):
 @query
 def drug_drug_nodes_capped(spark, sf_dir):
     """The options of a small picture: 60 nodes, edges of two trials or more, trials of up to 25 drugs."""
-    return _graph(spark, sf_dir, "drug_drug", max_nodes=60, min_edge_weight=2, max_drugs_per_trial=25).nodes
+    return _uncited_graph(spark, sf_dir, "drug_drug", max_nodes=60, min_edge_weight=2, max_drugs_per_trial=25).nodes
 
 
 @query
 def drug_drug_guarded(spark, sf_dir):
     """The options to leave out, set low: what they leave out is counted."""
-    return _graph(spark, sf_dir, "drug_drug", max_drugs_per_trial=3, min_edge_weight=4, max_nodes=30).summary
+    return _uncited_graph(spark, sf_dir, "drug_drug", max_drugs_per_trial=3, min_edge_weight=4, max_nodes=30).summary
 
 
 @query
 def sponsor_drug_nodes(spark, sf_dir):
-    return _graph(spark, sf_dir, "sponsor_drug").nodes
+    return _uncited_graph(spark, sf_dir, "sponsor_drug").nodes
 
 
 @query
@@ -757,7 +763,7 @@ def sponsor_drug_edges(spark, sf_dir):
 
 @query
 def sponsor_drug_summary(spark, sf_dir):
-    return _graph(spark, sf_dir, "sponsor_drug").summary
+    return _uncited_graph(spark, sf_dir, "sponsor_drug").summary
 
 
 @query
