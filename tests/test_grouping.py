@@ -259,3 +259,10 @@ def test_samples_of_hot_buckets_are_cut_before_the_sort(spark):
     found, plain = (sorted(map(str, evidence.first_per_bucket(t, ["value"], 3).collect())) for t in (near, table))
     assert found == plain and len(found) == 8
     assert evidence.near_rows(table.limit(0), table.select("nct_id").limit(0), ["value"], 3).count() == 0
+
+
+def test_a_fold_makes_the_values_of_a_trial_once(study_table):
+    trials = study_table([{"nct_id": f"NCT{i:08d}", "countries_raw": ["USA", "France"][: i % 3]} for i in range(9)])
+    plan = distribution(trials, "country", unique_ids=True, top_n=1)._jdf.queryExecution().optimizedPlan().toString()
+    scans = [line for line in plan.splitlines() if "Relation [" in line and "countries_raw#" in line]
+    assert scans and all("values#" in line for line in scans)

@@ -188,6 +188,8 @@ def distribution(
             F.lit(None).cast("array<string>").alias("members"),
         )
     else:
+        # Stored: the values of a trial are made once, not in each of the passes below.
+        rows = cut_lineage(rows, "keyed")
         # Stored: the kept values, the folded ones and their number all come from it.
         every = cut_lineage(count_buckets(bucket_rows(rows), spec, by, unique_ids), "buckets")
         exploded = bucket_rows(rows, _own_bucket(every, top_n, by))
