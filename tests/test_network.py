@@ -348,3 +348,39 @@ def test_no_row_holds_a_copy_of_the_id_maps(study_table):
         # Lines of the subquery itself begin with a colon.
         outer = [line for line in plan.splitlines() if not line.lstrip().startswith(":")]
         assert "AS maps" not in "".join(outer) and any("scalar-subquery" in line for line in outer)
+
+
+def _coded(trials):
+    """The trials with codes in place of their interventions, and the codes."""
+    listed = trials.select("nct_id", "sponsor_name", F.explode_outer("interventions").alias("item"))
+    items = network.item_codes(listed.select("item").filter("item IS NOT NULL").distinct())
+    lists = listed.join(items, "item", "left").groupBy("nct_id", "sponsor_name").agg(F.sort_array(F.collect_set("code")).alias("interventions"))
+    return lists, items
+
+
+@pytest.mark.parametrize("kind", network.KINDS)
+def test_codes_give_the_graph_of_the_texts(study_table, monkeypatch, kind):
+    trials = _names_of_all_kinds(study_table)
+    # As lists of codes are: sorted sets.
+    trials = trials.withColumn("interventions", F.sort_array(F.array_distinct(F.filter("interventions", lambda x: x.isNotNull()))))
+    options = {"cited": False, "unique_ids": True, "max_drugs_per_trial": 2}
+    texts = build_network(trials, kind, **options)
+    for _ in ("listed", "joined"):
+        coded, items = _coded(trials)
+        graph = build_network(coded, kind, items=items, **options)
+        assert nodes(graph) == nodes(texts) and graph.summary.collect() == texts.summary.collect()
+        monkeypatch.setattr(network, "NAME_ROWS", 0)
+    with pytest.raises(ValueError):
+        build_network(coded, kind, items=items)
+
+
+def test_codes_order_as_their_items_and_number_drug_names(spark):
+    drugs = [drug("B"), drug("A", ["x"]), drug("A"), drug("Placebo"), drug("A", ["placebo"]), drug("C", kind="DEVICE"), drug(None)]
+    rows = [((d[0], d[1], d[2]),) for d in drugs]
+    items = spark.createDataFrame(rows, "item struct<type: string, name: string, otherNames: array<string>>").repartition(4)
+    codes = network.item_codes(items).collect()
+    by_item = sorted(codes, key=lambda r: r["code"]["item"])
+    assert [r["item"] for r in by_item] == [r["item"] for r in items.orderBy("item").collect()]
+    assert {(r["item"]["name"], tuple(r["item"]["otherNames"] or ())): r["code"]["name"] for r in codes if r["code"]["name"] is not None} == {
+        ("A", ()): 0, ("A", ("x",)): 0, ("B", ()): 1
+    }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F, types as T
 
 from trialspark import fixed_values as fixed
 from trialspark.functions import paths
+from trialspark.operators import network
 from trialspark.operators.audit import verify_stored
 from trialspark.operators.filters import filter_trials
 from trialspark.sources import adapter
@@ -287,3 +288,13 @@ def test_the_search_index_lists_a_repeated_text_once(spark, study_table, tmp_pat
     assert search_trials(index, trials, {"term": "heart"}).count() == 40
     long = {"term": "heart failure " * 10}
     assert search_trials(index, trials, long).count() == 0
+
+
+def test_coded_interventions_stand_for_those_of_the_texts(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    texts = {r["nct_id"]: r["interventions"] for r in adapter.trials_from_orders(spark, sf_dir, ("nct_id", "interventions")).collect()}
+    trials, codes = adapter.coded_trials_from_orders(spark, sf_dir, ("nct_id", "interventions"), network.item_codes)
+    # No text is grouped by order.
+    assert trials.schema["interventions"].dataType.simpleString() == "array<struct<item:bigint,name:bigint>>"
+    item_of = {r["code"]["item"]: r["item"] for r in codes.collect()}
+    assert {r["nct_id"]: r["interventions"] and [item_of[c["item"]] for c in r["interventions"]] for r in trials.collect()} == texts

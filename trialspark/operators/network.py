@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trialspark import fixed_values as fixed
 from trialspark.functions.names import drug_key, drug_keys, is_combination, is_placebo, slug, slugs, sponsor_key
@@ -81,7 +81,28 @@ def drug_mentions(trials: DataFrame) -> DataFrame:
     return _reduced_mentions(_all_raw_mentions(trials))
 
 
-def _all_raw_mentions(trials: DataFrame) -> DataFrame:
+def item_codes(items: DataFrame) -> DataFrame:
+    """Add ``code`` to distinct interventions: ``item``, a number that orders as they do, and ``name``, their drug name's.
+
+    Trials whose interventions are these codes take the place of texts in
+    :func:`build_network`. Both numbers are made once per intervention and
+    stored; ``name`` is null for what is no drug, and counts from 0 without gaps
+    where names are few enough to be looked up.
+    """
+    drug = F.when(_is_drug(F.col("item")), F.col("item.name")).alias("drug")
+    items = cut_lineage(items.select("item", drug), "items")
+    names = items.select("drug").filter(F.col("drug").isNotNull()).distinct()
+    size = names.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("drug")), F.lit(0)).alias("bytes")).first()
+    few = size["n"] <= NAME_ROWS and size["bytes"] <= NAME_BYTES
+    number = F.row_number().over(Window.orderBy("drug")) - 1 if few else F.monotonically_increasing_id()
+    names = cut_lineage(names.withColumn("name", number.cast("long")), "name-codes")
+    # Sorted over all tasks, so that the numbers of one partition lie before those of the next.
+    numbered = cut_lineage(items.orderBy("item").withColumn("number", F.monotonically_increasing_id()), "item-numbers")
+    coded = numbered.join(F.broadcast(names) if few else names, "drug", "left")
+    return cut_lineage(coded.select("item", F.struct(F.col("number").alias("item"), "name").alias("code")), "item-codes")
+
+
+def _all_raw_mentions(trials: DataFrame, items: DataFrame | None = None) -> DataFrame:
     """:func:`_raw_mentions` of all trials; raw texts that ids of both forms mention have a row for each."""
     valid = is_valid_nct_id(F.col("nct_id"))
     # Registry numbers order as their digits do: one long finds their first mention. Ids of any other form go apart.
@@ -90,7 +111,11 @@ def _all_raw_mentions(trials: DataFrame) -> DataFrame:
     numbered = _raw_mentions(trials.filter(valid), number.alias("at"), F.col("at") + place)
     numbered = numbered.withColumn("seen", _number_seen(F.col("seen")))
     others = _raw_mentions(trials.filter(F.col("nct_id").isNotNull() & ~valid), F.col("nct_id").alias("at"), first_seen(F.col("at"), F.col("place")))
-    return numbered.unionByName(others)
+    raw = numbered.unionByName(others)
+    if items is None:
+        return raw
+    texts = items.select(F.col("code.item").alias("number"), "item.name", "item.otherNames")
+    return raw.join(texts, "number").drop("number")
 
 
 def _reduced_mentions(raw: DataFrame) -> DataFrame:
@@ -113,11 +138,14 @@ def _reduced_mentions(raw: DataFrame) -> DataFrame:
 
 
 def _raw_mentions(trials: DataFrame, at: Column, seen: Column) -> DataFrame:
-    """Distinct raw (name, other names) of the drugs, with the measures of :func:`drug_mentions`."""
+    """Distinct raw (name, other names) of the drugs, or their ``number``, with the measures of :func:`drug_mentions`."""
     listed = trials.select(F.xxhash64("nct_id").alias("trial"), at, F.posexplode("interventions").alias("place", "item"))
+    if _is_coded(trials):
+        drugs = listed.filter(F.col("item.name").isNotNull()).groupBy(F.col("item.item").alias("number"))
+    else:
+        drugs = listed.filter(F.col("item.type") == "DRUG").groupBy(F.col("item.name").alias("name"), F.col("item.otherNames").alias("otherNames"))
     return (
-        listed.filter(F.col("item.type") == "DRUG")
-        .groupBy(F.col("item.name").alias("name"), F.col("item.otherNames").alias("otherNames"))
+        drugs
         .agg(F.count(F.lit(1)).alias("mentions"), F.min(seen).alias("seen"), F.min("trial").alias("low"), F.max("trial").alias("high"))
     )
 
@@ -332,6 +360,29 @@ def trial_drugs(
     return listed.select("nct_id", *carried, "names", drugs.alias("drugs"))
 
 
+def _is_coded(trials: DataFrame) -> bool:
+    return "item" in trials.schema["interventions"].dataType.elementType.fieldNames()
+
+
+def _coded_drugs(trials: DataFrame, items: DataFrame, components: tuple[DataFrame, int], mentions: DataFrame) -> DataFrame:
+    """:func:`trial_drugs`, not ``named``, of trials with the codes of ``items``: ids by the numbers of the names."""
+    carried = [c for c in trials.columns if c not in ("nct_id", "interventions")]
+    names = items.filter("code.name IS NOT NULL").select(F.col("code.name").alias("number"), strip(F.col("item.name")).alias("name")).distinct()
+    ids = cut_lineage(names.join(_drug_ids(mentions, components), "name", "left").select("number", "id"), "name-ids")
+    size = ids.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("number") + 1, F.lit(0)).alias("end")).first()
+    trials = trials.filter(F.col("nct_id").isNotNull())
+    if size["n"] != size["end"]:
+        # Numbers with gaps: the names are too many for a list.
+        rows = trials.select("nct_id", *carried, F.explode("interventions.name").alias("number")).join(ids.dropna(), "number")
+        return rows.groupBy("nct_id").agg(*[F.first(c).alias(c) for c in carried], F.collect_set("id").alias("ids"))
+    by_number = F.sort_array(F.collect_list(F.struct("number", "id")))
+    every = ids.agg(F.transform(by_number, lambda x: x["id"]).alias("every")).scalar()
+    # One use of the ids, so that no row holds a copy of them.
+    found = F.array_compact(F.transform("interventions.name", lambda n: F.get(F.col("every"), n.cast("int"))))
+    listed = trials.withColumn("every", every).select("nct_id", *carried, F.explode(F.array(F.array_distinct(found))).alias("ids"))
+    return listed.filter(F.size("ids") > 0)
+
+
 def _others_placebo(others: Column) -> Column:
     """:func:`is_placebo` of the other names alone."""
     return F.coalesce((F.size(others) > 0) & is_placebo(F.lit(None).cast("string"), others), F.lit(False))
@@ -629,16 +680,20 @@ def build_network(
     max_drugs_per_trial: int | None = None,
     evidence_limit: int = fixed.EVIDENCE_LIMIT,
     cited: bool = True,
+    items: DataFrame | None = None,
 ) -> Network:
     """Resolve the names and store one resolved row per trial; the graph reads that.
 
     Everything is kept unless an option says otherwise: ``max_nodes`` of highest
     degree, a minimum edge weight, a maximum of drugs per trial. ``summary``
     counts what they leave out. Not ``cited``, the graph has weights, nodes and
-    summary only: titles are not read, and no names are stored per trial.
+    summary only: titles are not read, and no names are stored per trial. Then the
+    interventions of a trial may be codes, and ``items`` the table of :func:`item_codes`.
     """
     if kind not in KINDS:
         raise ValueError(f"unknown network kind {kind!r}; known: {list(KINDS)}")
+    if items is not None and cited:
+        raise ValueError("coded interventions have no texts to cite; use cited=False")
     order = [order_column] if order_column else []
     sponsored = ("sponsor_name",) if kind == "sponsor_drug" else ()
     trials = trials.select(*(TRIAL_COLUMNS if cited else ("nct_id", *sponsored, "interventions")), *order)
@@ -646,14 +701,17 @@ def build_network(
         trials = trials.filter(F.col("nct_id").isNotNull())
     else:
         trials = cut_lineage(dedupe_trials(trials, order_column), "trials")
-    raw = cut_lineage(_all_raw_mentions(trials), "raw-mentions")
+    raw = cut_lineage(_all_raw_mentions(trials, items), "raw-mentions")
     mentions = cut_lineage(_reduced_mentions(raw), "mentions")
     components = connected_components(alias_pairs(mentions))
     sponsors, named = None, trials
     if kind == "sponsor_drug":
         sponsors = cut_lineage(sponsor_mentions(trials), "sponsors")
         named = _with_sponsor(trials, sponsors)
-    resolved = trial_drugs(named, components, mentions, raw, named=cited)
+    if items is None:
+        resolved = trial_drugs(named, components, mentions, raw, named=cited)
+    else:
+        resolved = _coded_drugs(named, items, components, mentions)
     if cited or max_drugs_per_trial is not None:
         # Read more than once: else the links are the only reader.
         resolved = cut_lineage(resolved, "resolved")

@@ -37,7 +37,7 @@ from trialspark.operators.grouping import (
 from trialspark.operators.histogram import duration_histogram
 from trialspark.operators.series import series_summary, timeseries
 from trialspark.session import checkpoint_dir, cut_lineage
-from trialspark.sources.adapter import nct_id, trials_from_orders
+from trialspark.sources.adapter import coded_trials_from_orders, nct_id, trials_from_orders
 from trialspark.sources.layout import merge_trials, store_by_year, store_trials
 from trialspark.sources.reader import dedupe_trials, flatten_studies, is_valid_nct_id, nest_studies, parse_studies, split_valid_ids
 from trialspark.sources.schema import TRIALS
@@ -713,9 +713,10 @@ def _graph(spark, sf_dir, kind, **options) -> network.Network:
 
 
 def _uncited_graph(spark, sf_dir, kind, **options) -> network.Network:
-    """A graph of which no edge or bar is shown: its trials need no titles, and no sponsors unless they are nodes."""
+    """A graph of which no edge or bar is shown: its trials need no titles or drug names, and no sponsors unless they are nodes."""
     columns = ("nct_id", *(["sponsor_name"] if kind == "sponsor_drug" else []), "interventions")
-    return network.build_network(_drug_trials(spark, sf_dir, columns), kind, unique_ids=True, cited=False, **options)
+    trials, items = coded_trials_from_orders(spark, sf_dir, columns, network.item_codes)
+    return network.build_network(_stored(trials), kind, unique_ids=True, cited=False, items=items, **options)
 
 
 def _edge_text(edges: DataFrame) -> DataFrame:
