@@ -3,6 +3,7 @@ from __future__ import annotations
 import collections
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -63,6 +64,28 @@ def test_against_plain_counts(spark, monkeypatch, part_bytes, part_phrases, chun
     assert found == plain_rows(rows, least, 50) and len(found) > 4
 
 
+@pytest.mark.parametrize("held", [1, 1 << 26])
+def test_a_pass_takes_many_parts_and_deletes_the_runs_before_it(spark, monkeypatch, held):
+    for name, value in {"PART_BYTES": 20, "PART_PHRASES": 15, "HELD_BYTES": held}.items():
+        monkeypatch.setattr(module, name, value)
+    rows = [r for r in some_rows() if r[2] in ("en", None)][:60]
+    folder, cut, alive = Path(spark.conf.get("spark.checkpoint.dir")), module.cut_lineage, []
+    before = set(folder.glob("trialspark-*"))
+
+    def watched(df, name):
+        stored = cut(df, name)
+        if name == "runs":
+            alive.append(len(set(folder.glob("trialspark-runs-*")) - before))
+        return stored
+
+    monkeypatch.setattr(module, "cut_lineage", watched)
+    got = collocations(table(spark, rows), least=6, top=50)
+    left = {p.name.rsplit("-", 1)[0] for p in set(folder.glob("trialspark-*")) - before}
+    assert sorted(tuple(r) for r in got.collect()) == plain_rows(rows, 6, 50)
+    assert max(alive) == 2 and not left & {"trialspark-runs", "trialspark-tries"}
+    assert len(alive) == 3 if held > 1 else len(alive) > 3
+
+
 def test_nothing_frequent_and_no_rows(spark):
     assert collocations(table(spark, [(1, "a b c", "en"), (2, None, None), (3, "", "en")])).count() == 0
     assert collocations(spark.createDataFrame([], SCHEMA)).count() == 0

@@ -11,8 +11,9 @@ first trie reads the bytes of words, the others their numbers.
 
 The tries are double arrays (Aoe, 1989): node ``s`` goes by symbol ``c`` to slot
 ``base[s] + c``, wrapped around the table, if ``check`` names ``s`` there. A trie is built in tasks, in parts
-of bounded size; each part is one broadcast and one pass, and all passes fill the
-same states. Texts are reduced once to the numbers of frequent words, runs of
+of bounded size; each part is one broadcast, a pass takes as many parts as a task
+may hold, and all passes fill the same states. A pass deletes what the one before
+it stored. Texts are reduced once to the numbers of frequent words, runs of
 which are all that later levels read.
 """
 
@@ -21,6 +22,7 @@ from __future__ import annotations
 import io
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -29,7 +31,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trialspark.llm.batches import Words, chunks, lower_ascii
-from trialspark.session import cut_lineage
+from trialspark.session import cut_lineage, drop_table
 
 LONGEST = 4
 LEAST = 30
@@ -39,9 +41,14 @@ UNKNOWN = "und"
 #: Text bytes of the words, and phrases, in one part of a trie, about.
 PART_BYTES = 1 << 21
 PART_PHRASES = 1 << 20
+#: Bytes of tries that a task holds at once; more are further passes. One part is held whatever its size.
+HELD_BYTES = 5 << 24
 #: Text bytes, and word positions, that a task handles at once.
 CHUNK = 1 << 20
 POSITIONS = 1 << 20
+#: Places of runs in a row, about, and rows that are handled at once.
+RUN_WORDS = 1 << 10
+ROWS = 1 << 8
 
 _BYTES = np.arange(256)
 _MARKS = np.isin(_BYTES, list(b".,;:!?\n\x0b\x0c\r"))
@@ -172,20 +179,16 @@ def _packed(arrays: dict[str, np.ndarray]) -> bytes:
     return out.getvalue()
 
 
-def _unpacked(data: bytes) -> tuple[DoubleArray, dict[str, np.ndarray]]:
-    arrays = dict(np.load(io.BytesIO(data)))
-    return DoubleArray(arrays["base"], arrays["check"], arrays["child"]), arrays
+def _arrays(data: bytes) -> dict[str, np.ndarray]:
+    return dict(np.load(io.BytesIO(data)))
 
 
-class _Once:
-    """A broadcast trie, unpacked once by a task."""
+def _trie(arrays: dict[str, np.ndarray]) -> tuple[DoubleArray, dict[str, np.ndarray]]:
+    return DoubleArray(arrays["base"], arrays["check"], arrays["child"]), arrays
 
-    def __init__(self, trie: Broadcast):
-        self.trie, self.array, self.more = trie, None, {}
 
-    def open(self) -> None:
-        if self.array is None:
-            self.array, self.more = _unpacked(self.trie.value)
+def _unpacked(data: bytes) -> tuple[DoubleArray, dict[str, np.ndarray]]:
+    return _trie(_arrays(data))
 
 
 # --- words --------------------------------------------------------------------------------
@@ -253,12 +256,33 @@ def _numbered(rows: DataFrame, order: str) -> tuple[DataFrame, int]:
     return rows.withColumn("id", (F.col("part") * width + place).cast("int")), width * (last + 1)
 
 
-def _broadcast_parts(tries: DataFrame) -> Iterator[tuple[Broadcast, bool]]:
-    """Each part's trie as a broadcast, and whether it is the last; one is alive at a time."""
-    parts = sorted(r["part"] for r in tries.select("part").collect())
-    for part in parts:
-        one = tries.sparkSession.sparkContext.broadcast(bytes(tries.filter(F.col("part") == part).first()["trie"]))
-        yield one, part == parts[-1]
+def _passes(tries: DataFrame) -> Iterator[tuple[list[Broadcast], bool]]:
+    """The broadcast parts of the tries of each pass, and whether it is the last; those of one pass are alive at a time."""
+    passes, held = [], 0
+    for row in sorted(tries.select("part", F.octet_length("trie").alias("size")).collect()):
+        if not passes or held + row["size"] > HELD_BYTES:
+            passes.append([])
+            held = 0
+        passes[-1].append(row["part"])
+        held += row["size"]
+    for parts in passes:
+        alive = [tries.sparkSession.sparkContext.broadcast(_arrays(bytes(tries.filter(F.col("part") == p).first()["trie"]))) for p in parts]
+        yield alive, parts is passes[-1]
+        for one in alive:
+            one.destroy()
+
+
+def _filled(table: DataFrame, tries: DataFrame, fill: Callable[[list[Broadcast], bool], Callable], between: str) -> DataFrame:
+    """The runs after all passes of the tries, which are deleted; rows are ``between`` passes.
+
+    A pass reads what the one before it stored, which goes when the pass ends.
+    """
+    for alive, last in _passes(tries):
+        done = cut_lineage(table.mapInArrow(fill(alive, last), _RUNS if last else between), "runs")
+        drop_table(table)
+        table = done
+    drop_table(tries)
+    return table
 
 
 # --- levels -------------------------------------------------------------------------------
@@ -272,11 +296,11 @@ def _collapsed(w: np.ndarray, *more: np.ndarray) -> list[np.ndarray]:
     return [w[keep], *(np.concatenate([end, x, end])[keep] for x in more)]
 
 
-def _lists(column: str, batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+def _lists(column: str, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a list column, and where each row's begin."""
     lists = batch.column(column)
-    flat, at = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-    for i in range(len(lists)):
-        yield flat[at[i] : at[i + 1]]
+    at = lists.offsets.to_numpy()
+    return lists.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]], at - at[0]
 
 
 # Words of runs and the states at them; no states where those of single words are meant, which are the words.
@@ -284,46 +308,63 @@ _RUNS = "lang string, w array<int>, node array<int>"
 
 
 def _runs(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
-    for lang, w, node in zip(batch.column("lang").to_pylist(), _lists("w", batch), _lists("node", batch), strict=True):
-        yield lang, w, node if len(node) else w
-
-
-def _run_batch(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    def packed(parts: list[np.ndarray]) -> pa.Array:
-        at = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*parts, np.zeros(0, np.int32)])))
-
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), packed([r[1] for r in rows]), packed([r[2] for r in rows])], ["lang", "w", "node"])
-
-
-def _encoded(trie: _Once, last: bool) -> Callable:
-    """Word numbers of the texts from one part of the word trie.
+    """Runs from some rows of one language at a time."""
+    if not batch.num_rows:
+        return
+    langs, of = _langs(batch)
+    (w, at), (node, node_at) = _lists("w", batch), _lists("node", batch)
+    group = np.arange(len(of)) // ROWS
+    ends = np.append(np.flatnonzero((of[1:] != of[:-1]) | (group[1:] != group[:-1])) + 1, len(of)).tolist()
+    for a, b in zip([0, *ends], ends, strict=False):
+        own, states = w[at[a] : at[b]], node[node_at[a] : node_at[b]]
+        yield langs[of[a]], own, states if len(states) else own
+
+
+def _run_batch(parts: list[tuple[str, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """Rows of about ``RUN_WORDS`` places, which begin between runs: readers hold many rows at once."""
+
+    def packed(arrays: list[np.ndarray], sizes: list[np.ndarray]) -> pa.Array:
+        at = np.concatenate([[0], *sizes]).cumsum().astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*arrays, np.zeros(0, np.int32)])))
+
+    sizes = []
+    for _, w, _ in parts:
+        breaks = np.flatnonzero(w[:-1] == 0)
+        first = breaks[np.append(True, breaks[1:] // RUN_WORDS != breaks[:-1] // RUN_WORDS)] if len(breaks) else breaks
+        sizes.append(np.diff(np.concatenate([[0], first[first > 0], [len(w)]])))
+    langs = pa.array([lang for (lang, _, _), size in zip(parts, sizes, strict=True) for _ in range(len(size))], pa.string())
+    states = [size if len(node) else size * 0 for (_, _, node), size in zip(parts, sizes, strict=True)]
+    return pa.RecordBatch.from_arrays([langs, packed([p[1] for p in parts], sizes), packed([p[2] for p in parts], states)], ["lang", "w", "node"])
+
+
+def _encoded(held: list[Broadcast], last: bool) -> Callable:
+    """Word numbers of the texts from some parts of the word trie.
 
     Texts that further parts must see keep their numbers so far beside them.
     """
 
     def numbers(tokens: Tokens, before: np.ndarray | None) -> np.ndarray:
         out = np.zeros(len(tokens.starts), np.int32) if before is None else before.copy()
-        array, accept = trie.array, trie.more["accept"]
-        open_words, node, depth = np.arange(len(out)), np.zeros(len(out), np.int32), 0
-        while len(open_words):
-            over = tokens.starts[open_words] + depth == tokens.ends[open_words]
-            found = accept[node[over]]
-            ended = open_words[over]
-            out[ended[found > 0]] = found[found > 0]
-            open_words, node = open_words[~over], node[~over]
-            node = array.step(node, tokens.data[tokens.starts[open_words] + depth])
-            open_words, node, depth = open_words[node >= 0], node[node >= 0], depth + 1
+        for array, more in (_trie(one.value) for one in held):
+            open_words, depth = np.flatnonzero(out == 0), 0
+            node = np.zeros(len(open_words), np.int32)
+            while len(open_words):
+                over = tokens.starts[open_words] + depth == tokens.ends[open_words]
+                found = more["accept"][node[over]]
+                ended = open_words[over]
+                out[ended[found > 0]] = found[found > 0]
+                open_words, node = open_words[~over], node[~over]
+                node = array.step(node, tokens.data[tokens.starts[open_words] + depth])
+                open_words, node, depth = open_words[node >= 0], node[node >= 0], depth + 1
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie.open()
         for batch in batches:
             for part, data, at in chunks(batch, "text", CHUNK):
                 tokens = Tokens(data, at)
                 before = None
                 if part.column("w").null_count < part.num_rows:
-                    before = np.concatenate([*_lists("w", part), np.zeros(0, np.int32)])
+                    before = _lists("w", part)[0]
                 w = numbers(tokens, before)
                 if not last:
                     sizes = np.bincount(tokens.row, minlength=part.num_rows)
@@ -346,29 +387,27 @@ def _encoded(trie: _Once, last: bool) -> Callable:
     return run
 
 
-def _advanced(trie: _Once, size: int, last: bool) -> Callable:
-    """States of ``size`` words from states of one less and one part of their trie.
+def _advanced(size: int, held: list[Broadcast], last: bool) -> Callable:
+    """States of ``size`` words from states of one less and some parts of their trie.
 
     A position that is done has its new state as a negative number until the last part.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie.open()
         for batch in batches:
-            rows = []
             for lang, w, node in _runs(batch):
                 node = node.copy()
-                at = np.flatnonzero(node[: max(0, len(w) - size + 1)] > 0)
-                child = followed(trie.array, trie.more, node[at], w[at + size - 1])
-                node[at[child > 0]] = -child[child > 0]
+                for one in held:
+                    at = np.flatnonzero(node[: max(0, len(w) - size + 1)] > 0)
+                    child = followed(*_trie(one.value), node[at], w[at + size - 1])
+                    node[at[child > 0]] = -child[child > 0]
                 if last:
                     node = np.where(node < 0, -node, 0).astype(np.int32)
                     near = np.zeros(len(w) + size, np.int32)
                     np.add.at(near, np.flatnonzero(node), 1)
                     np.add.at(near, np.flatnonzero(node) + size, -1)
                     w, node = _collapsed(np.where(np.cumsum(near, dtype=np.int32)[: len(w)] > 0, w, 0).astype(np.int32), node)
-                rows.append((lang, w, node))
-            yield _run_batch(rows)
+                yield _run_batch([(lang, w, node)])
 
     return run
 
@@ -429,11 +468,8 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
         return pd.DataFrame({"part": part["part"].iloc[:1], "trie": [_packed(word_trie([bytes(w) for w in part["word"]], part["id"].to_numpy()))]})
 
     tries = cut_lineage(known.groupBy("part").applyInPandas(words_of, "part int, trie binary"), "tries")
-    texts = docs.withColumn("w", F.lit(None).cast("array<int>"))
-    for trie, last in _broadcast_parts(tries):
-        texts = cut_lineage(texts.mapInArrow(_encoded(_Once(trie), last), _RUNS if last else "lang string, text string, w array<int>"), "runs")
-        trie.destroy()
-    runs, phrases, names = texts, every, known.select("id", F.col("word").cast("string").alias("word"))
+    runs = _filled(docs.withColumn("w", F.lit(None).cast("array<int>")), tries, _encoded, "lang string, text string, w array<int>")
+    phrases, names = every, known.select("id", F.col("word").cast("string").alias("word"))
     before = known.select("id", F.col("word").cast("string").alias("phrase"))
     for size in range(2, longest + 1):
         found = runs.mapInArrow(_candidates(size), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("f"))
@@ -458,9 +494,8 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
             return pd.DataFrame({"part": part["part"].iloc[:1], "trie": [_packed(phrase_trie(int(own[0].min()), *own, numbers + 1))]})
 
         tries = cut_lineage(made.groupBy("part").applyInPandas(phrases_of, "part int, trie binary"), "tries")
-        for trie, last in _broadcast_parts(tries):
-            runs = cut_lineage(runs.mapInArrow(_advanced(_Once(trie), size, last), _RUNS), "runs")
-            trie.destroy()
+        runs = _filled(runs, tries, partial(_advanced, size), _RUNS)
+    drop_table(runs)
     return cut_lineage(phrases, "all-phrases"), totals
 
 

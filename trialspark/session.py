@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -11,7 +13,9 @@ BROADCAST_ROWS = 200_000
 # The same for tables with long texts, whose size is measured.
 BROADCAST_BYTES = 32 << 20
 
-_STORED: list[str] = []
+# Paths of stored tables, and the tables that read them.
+_STORED: dict[str, DataFrame] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -29,17 +33,45 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Delete the shuffle files of each write within as soon as it ends.
+
+    Otherwise they stay on the executors' disks until the driver collects garbage.
+    """
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and continue from it.
 
     A lost executor then costs a re-read instead of a recomputation, and later
-    steps scan only the columns they need. :func:`drop_stored` clears them.
+    steps scan only the columns they need. :func:`drop_table` deletes one of
+    these tables, :func:`drop_stored` all.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/trialspark-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _STORED.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
+    _STORED[path] = spark.read.schema(df.schema).parquet(path)
+    return _STORED[path]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def drop_table(table: DataFrame) -> None:
+    """Delete a table of :func:`cut_lineage` that nothing reads any more; leave other tables alone."""
+    for path in [p for p, stored in _STORED.items() if stored is table]:
+        del _STORED[path]
+        _delete(table.sparkSession, path)
 
 
 def drop_stored(spark: SparkSession) -> int:
@@ -47,11 +79,10 @@ def drop_stored(spark: SparkSession) -> int:
 
     Returns the number of tables deleted.
     """
-    paths, _STORED[:] = list(_STORED), []
-    jvm = spark.sparkContext._jvm
+    paths = list(_STORED)
+    _STORED.clear()
     for path in paths:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(spark, path)
     return len(paths)
 
 
