@@ -2,17 +2,18 @@ from __future__ import annotations
 
 import json
 import random
+from pathlib import Path
 
 import pytest
 from conftest import drug, nct
 from pyspark.sql import functions as F, types as T
 
-from trialspark import fixed_values as fixed
+from trialspark import fixed_values as fixed, session
 from trialspark.functions import paths
 from trialspark.operators import network
 from trialspark.operators.audit import verify_stored
 from trialspark.operators.filters import filter_trials
-from trialspark.sources import adapter
+from trialspark.sources import adapter, search_index
 from trialspark.sources.layout import merge_trials, open_trials, store_by_year, store_trials
 from trialspark.sources.reader import (
     dedupe_trials,
@@ -290,6 +291,35 @@ def test_the_search_index_lists_a_repeated_text_once(spark, study_table, tmp_pat
     assert search_trials(index, trials, long).count() == 0
 
 
+@pytest.mark.parametrize("bits", [2, 10])
+def test_the_search_index_lists_trigrams_by_block(spark, study_table, tmp_path, monkeypatch, bits):
+    monkeypatch.setattr(search_index, "_BLOCK_BITS", bits)
+    titles = [f"Study {37 * i} of Hearts" for i in range(200)]
+    trials = study_table([{"nct_id": nct(i), "brief_title": t, "conditions": [["Asthma", "Hearts"][i % 2]]} for i, t in enumerate(titles)])
+    index = build_search_index(trials, str(tmp_path / "postings"), areas=("term",))
+    parts = [{t.lower()[i : i + 3] for i in range(len(t) - 2)} for t in titles]
+    listed = index.filter("kind = 'grams' AND area = 'brief_title'").count()
+    assert listed < sum(map(len, parts)) / (1 if bits == 2 else 3)
+    own = [p | {c[i : i + 3] for i in range(len(c) - 2)} for p, c in zip(parts, ["asthma", "hearts"] * 100, strict=True)]
+    for needle in ("study 37", "740 of", "y 7", "Asthma", "370 of hearts", "zzz", "of hearts 3", "thmarts"):
+        wanted = {needle.lower()[i : i + 3] for i in range(len(needle) - 2)}
+        got = [r.nct_id for r in candidates(index, "term", needle).collect()]
+        assert sorted(got) == [nct(i) for i, p in enumerate(own) if wanted <= p], needle
+        assert {r.nct_id for r in search_trials(index, trials, {"term": needle}).collect()} == {r.nct_id for r in filter_trials(trials, None, {"term": needle}).collect()}
+
+
+def test_stored_tables_go_one_by_one(spark):
+    counted = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    setting = spark.conf.get(session._CLEANUP)
+    one, two = session.cut_lineage(counted, "one"), session.cut_lineage(counted, "two")
+    assert spark.conf.get(session._CLEANUP) == setting
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    assert two.count() == one.count() == 7
+    session.drop_table(one)
+    session.drop_table(counted)  # not a stored table
+    assert not [p for p in folder.glob("trialspark-one-*")] and two.count() == 7
+
+
 def test_coded_interventions_stand_for_those_of_the_texts(spark):
     sf_dir = "/root/testdata/sf0.001"
     texts = {r["nct_id"]: r["interventions"] for r in adapter.trials_from_orders(spark, sf_dir, ("nct_id", "interventions")).collect()}

@@ -2,25 +2,30 @@
 
 A text that contains a needle contains all of its three-letter parts, so the
 trials whose texts have all of them are the only candidates; the exact test
-follows on those. Texts repeat over trials, so an area has two kinds of lists:
-from a trigram to the distinct texts that have it, and from a text to the trials
-that hold it. The lists of one column serve every area it belongs to. They are
-sorted by trigram or text, so a search reads the row groups of its own. A needle
-of fewer than three letters has no trigram and scans.
+follows on those. Texts repeat over trials, and most trials have one of their
+own. So the distinct texts are kept in blocks of sorted texts, and there are three
+kinds of lists: from a trigram to the blocks that have it, from a block to its
+texts, and from a text to the trials that hold it. A search tells the trigrams
+of a text from the text itself, in the blocks that have any. The lists of one
+column serve every area it belongs to. Trigrams are sorted, so a search reads the
+row groups of its own. A needle of fewer than three letters has no trigram and
+scans.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from trialspark.operators.filters import SEARCH_COLUMNS, filter_trials, search_area
-from trialspark.session import broadcast_if_small, cut_lineage
+from trialspark.session import broadcast_if_small, cut_lineage, shuffles_dropped
 
 GRAM = 3
 # Trigrams of a needle that one number can mark.
 _MARKS = 60
+# A block has two to this power of texts.
+_BLOCK_BITS = 10
 
 
 def _texts(column: str) -> Column:
@@ -46,26 +51,41 @@ def needle_grams(needle: str) -> list[str]:
     return sorted({low[i : i + GRAM] for i in range(len(low) - GRAM + 1)})
 
 
+def _lowered(trials: DataFrame, column: str) -> DataFrame:
+    """(``nct_id``, ``low``) of the distinct lower-cased texts of a column in each trial."""
+    lists = F.array_distinct(F.transform(_texts(column), F.lower))
+    return trials.filter(F.col("nct_id").isNotNull()).select("nct_id", F.explode(lists).alias("low"))
+
+
 def build_search_index(trials: DataFrame, path: str, areas: tuple[str, ...] = tuple(SEARCH_COLUMNS), partitions: int | None = None) -> DataFrame:
     """Write the lists of every column of the areas to ``path`` and return them.
 
-    ``kind`` tells the lists apart: ``grams`` (``gram``, ``text``) and ``trials``
-    (``text``, ``nct_id``), ``area`` is the column. ``text`` is a hash: texts
-    that share one give more candidates, never fewer. Trigrams are taken from
-    distinct texts. Lists are placed by trigram or text, and one that holds most
-    texts or trials is split over tasks by its measured size. Rows without an id
-    are not indexed.
+    ``kind`` tells the lists apart: ``grams`` (``gram``, ``block``), ``texts``
+    (``block``, ``text``, ``low``) and ``trials`` (``text``, ``nct_id``), ``area``
+    is the column. ``text`` is a hash of column and text: texts that share one give
+    more candidates, never fewer. Only distinct texts, and distinct trigrams of blocks, are
+    shuffled: the lists of trials lie as the trials do. Trigrams are placed by
+    trigram, and one that most blocks have is split over tasks by its measured
+    size. Rows without an id are not indexed. ``trials`` is read twice.
     """
-    columns = dict.fromkeys(c for area in areas for c in SEARCH_COLUMNS[area])
-    lists = F.array(*[F.struct(F.lit(c).alias("area"), F.array_distinct(F.transform(_texts(c), F.lower)).alias("texts")) for c in columns])
-    rows = trials.filter(F.col("nct_id").isNotNull()).select("nct_id", F.inline(lists)).select("area", "nct_id", F.explode("texts").alias("low"))
-    by_text = rows.select("area", F.lit("trials").alias("kind"), F.lit(None).cast("string").alias("gram"), F.xxhash64("low").alias("text"), "nct_id")
-    distinct = rows.select("area", "low").distinct().select("area", F.xxhash64("low").alias("text"), F.explode(grams(F.col("low"))).alias("gram"))
-    by_gram = distinct.select("area", F.lit("grams").alias("kind"), "gram", "text", F.lit(None).cast("string").alias("nct_id"))
-    for table, key in ((by_text, "text"), (by_gram, "gram")):
-        placed = table.hint("rebalance", *([partitions] if partitions else []), F.col("area"), F.col(key))
-        placed.sortWithinPartitions("area", key).write.mode("append").partitionBy("area", "kind").parquet(path)
-    return trials.sparkSession.read.parquet(path)
+    spark, columns = trials.sparkSession, dict.fromkeys(c for area in areas for c in SEARCH_COLUMNS[area])
+    with shuffles_dropped(spark):
+        for column in columns:
+            text = F.xxhash64(F.lit(column), "low").alias("text")
+            _lowered(trials, column).select(text, "nct_id").write.parquet(f"{path}/kind=trials/area={column}")
+        lows = reduce(DataFrame.unionByName, [_lowered(trials, c).select(F.lit(c).alias("area"), "low") for c in columns])
+        block = F.shiftrightunsigned(F.monotonically_increasing_id(), _BLOCK_BITS).alias("block")
+        ordered = lows.distinct().sortWithinPartitions("area", "low")
+        ordered.select("area", block, F.xxhash64("area", "low").alias("text"), "low").write.partitionBy("area").parquet(f"{path}/kind=texts")
+        texts = _read(spark, path).filter("kind = 'texts'")
+        by_gram = texts.select("area", "block", F.explode(grams(F.col("low"))).alias("gram")).distinct()
+        placed = by_gram.hint("rebalance", *([partitions] if partitions else []), F.col("area"), F.col("gram"))
+        placed.sortWithinPartitions("area", "gram").write.partitionBy("area").parquet(f"{path}/kind=grams")
+    return _read(spark, path)
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("kind string, area string, gram string, block long, text long, low string, nct_id string").parquet(path)
 
 
 def candidates(index: DataFrame, area: str, needle: str) -> DataFrame | None:
@@ -78,12 +98,14 @@ def candidates(index: DataFrame, area: str, needle: str) -> DataFrame | None:
         return None
     own = index.filter(F.col("area").isin(*SEARCH_COLUMNS[search_area(area)]))
     parts = [wanted[i : i + _MARKS] for i in range(0, len(wanted), _MARKS)]
-    bits = [reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.col("gram") == g, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, g in enumerate(part)]) for part in parts]
+    bits = [reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.contains("low", F.lit(g)), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, g in enumerate(part)]) for part in parts]
     names = [f"marks{i}" for i in range(len(parts))]
-    listed = own.filter((F.col("kind") == "grams") & F.col("gram").isin(wanted))
-    texts = listed.groupBy("area", "text").agg(*[F.bit_or(b).alias(n) for b, n in zip(bits, names, strict=True)])
-    held = own.filter(F.col("kind") == "trials").select("area", "text", "nct_id")
-    met = texts.join(held, ["area", "text"]).groupBy("nct_id").agg(*[F.bit_or(n).alias(n) for n in names])
+    blocks = own.filter((F.col("kind") == "grams") & F.col("gram").isin(wanted)).select("area", "block").distinct()
+    listed = broadcast_if_small(blocks, blocks.count()).join(own.filter(F.col("kind") == "texts").select("area", "block", "text", "low"), ["area", "block"])
+    some = reduce(lambda a, b: a | b, [F.col(n) != 0 for n in names])
+    texts = listed.select("text", *[b.alias(n) for b, n in zip(bits, names, strict=True)]).filter(some)
+    held = own.filter(F.col("kind") == "trials").select("text", "nct_id")
+    met = broadcast_if_small(texts, texts.count()).join(held, "text").groupBy("nct_id").agg(*[F.bit_or(n).alias(n) for n in names])
     full = [F.col(n) == F.lit((1 << len(part)) - 1) for n, part in zip(names, parts, strict=True)]
     return met.filter(reduce(lambda a, b: a & b, full)).select("nct_id")
 
