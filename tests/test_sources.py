@@ -320,6 +320,14 @@ def test_stored_tables_go_one_by_one(spark):
     assert not [p for p in folder.glob("trialspark-one-*")] and two.count() == 7
 
 
+def test_portions_of_orders_make_the_whole_study_table(spark):
+    sf_dir, columns = "/root/testdata/sf0.001", ["nct_id", "interventions", "countries_raw", "phases", "sponsor_name"]
+    whole = sorted(map(str, adapter.trials_from_orders(spark, sf_dir, columns).collect()))
+    assert sorted(map(str, adapter.stored_trials_from_orders(spark, sf_dir, columns, portions=3).collect())) == whole
+    first = adapter.trials_from_orders(spark, sf_dir, columns, portion=(0, 3)).count()
+    assert 0.2 * len(whole) < first < 0.5 * len(whole)
+
+
 def test_coded_interventions_stand_for_those_of_the_texts(spark):
     sf_dir = "/root/testdata/sf0.001"
     texts = {r["nct_id"]: r["interventions"] for r in adapter.trials_from_orders(spark, sf_dir, ("nct_id", "interventions")).collect()}

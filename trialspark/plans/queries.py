@@ -37,7 +37,7 @@ from trialspark.operators.grouping import (
 from trialspark.operators.histogram import duration_histogram
 from trialspark.operators.series import series_summary, timeseries
 from trialspark.session import checkpoint_dir, cut_lineage
-from trialspark.sources.adapter import coded_trials_from_orders, nct_id, trials_from_orders
+from trialspark.sources.adapter import coded_trials_from_orders, nct_id, stored_trials_from_orders, trials_from_orders
 from trialspark.sources.layout import merge_trials, store_by_year, store_trials
 from trialspark.sources.reader import dedupe_trials, flatten_studies, is_valid_nct_id, nest_studies, parse_studies, split_valid_ids
 from trialspark.sources.schema import TRIALS
@@ -236,7 +236,7 @@ def search_indexed(spark, sf_dir):
     """All searches again, through a stored trigram index; one needle is too short for it."""
     wanted = {**_SEARCHES, "short": {"term": "mg"}}
     columns = set().union(*(filter_columns(None, s) for s in wanted.values()))
-    trials = _stored(_trials(spark, sf_dir, *sorted(columns)))
+    trials = stored_trials_from_orders(spark, sf_dir, dict.fromkeys(("nct_id", *sorted(columns))))
     index = build_search_index(trials, f"{checkpoint_dir(spark)}/postings-{uuid.uuid4().hex}")
     found = [search_trials(index, trials, s).select(F.lit(name).alias("search"), "nct_id") for name, s in wanted.items()]
     return reduce(DataFrame.unionByName, found)

@@ -54,11 +54,20 @@ def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
     steps scan only the columns they need. :func:`drop_table` deletes one of
     these tables, :func:`drop_stored` all.
     """
-    spark = df.sparkSession
+    return cut_lineages([df], name)
+
+
+def cut_lineages(parts: list[DataFrame], name: str = "table") -> DataFrame:
+    """One table of :func:`cut_lineage` from parts with equal columns, written one after the other.
+
+    Each part's shuffle files are gone before the next part shuffles.
+    """
+    spark, schema = parts[0].sparkSession, parts[0].schema
     path = f"{checkpoint_dir(spark)}/trialspark-{name}-{uuid.uuid4().hex}"
     with shuffles_dropped(spark):
-        df.write.parquet(path)
-    _STORED[path] = spark.read.schema(df.schema).parquet(path)
+        for part in parts:
+            part.write.mode("append").parquet(path)
+    _STORED[path] = spark.read.schema(schema).parquet(path)
     return _STORED[path]
 
 

@@ -40,10 +40,10 @@ def _texts(column: str) -> Column:
 
 
 def grams(text: Column) -> Column:
-    """The distinct three-letter parts of a lower-cased text."""
+    """The three-letter parts of a lower-cased text, in order; null for a shorter one."""
     low = F.lower(text)
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length(low) - GRAM + 1, F.lit(1))), lambda i: i <= F.length(low) - GRAM + 1)
-    return F.array_distinct(F.transform(starts, lambda i: F.substring(low, i, GRAM)))
+    starts = F.when(F.length(low) >= GRAM, F.sequence(F.lit(1), F.length(low) - GRAM + 1))
+    return F.transform(starts, lambda i: F.substring(low, i, GRAM))
 
 
 def needle_grams(needle: str) -> list[str]:
